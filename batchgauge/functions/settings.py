@@ -98,3 +98,22 @@ def flatten_json(df: DataFrame, keys: list[str], json_column: str, depth: int =
             flat.where(nested).select(*keys, inner.alias("path", "value"))
         )
     return flat
+
+
+def with_version(config_json: Column, version: Column) -> Column:
+    """The same configuration text with its top-level version replaced or added."""
+    text = version.cast("string")
+    leading = r'^(\s*\{[^{}]*?"version"\s*:\s*)-?[0-9]+'
+    known = F.from_json(config_json, CONFIG_SCHEMA)
+    return (
+        F.when(config_json.rlike(leading), F.regexp_replace(config_json, F.lit(leading), F.concat(F.lit("$1"), text)))
+        .when(
+            ~F.array_contains(F.json_object_keys(config_json), "version"),
+            F.regexp_replace(config_json, F.lit(r"^\s*\{"), F.concat(F.lit('{"version": '), text, F.lit(", "))),
+        )
+        .otherwise(F.to_json(known.withField("version", version.cast("int"))))
+    )
+
+
+def config_version(config_json: Column) -> Column:
+    return F.get_json_object(config_json, "$.version").try_cast("bigint")
