@@ -10,6 +10,7 @@ from batchgauge.functions.settings import (
 )
 from batchgauge.operators.catalog import newest
 from batchgauge.operators.slicing import with_neighbours, with_positions
+from batchgauge.session import materialise
 
 SCHEME_VERSION = "1.0"
 
@@ -146,6 +147,8 @@ def apply_schemes(
             "can_proceed", F.col("can_proceed") & F.col("new_name").isNotNull()
             & (F.col("request_id") == F.col("_first"))
         ).drop("_first")
+    # several result tables read the checked requests and the steps
+    checked = materialise(checked)
     accepted = checked.where("can_proceed")
 
     origin = schemes.select(
@@ -167,8 +170,10 @@ def apply_schemes(
         })
     # several requests for one batch build on each other
     chained = with_neighbours(accepted, ["batch_id"], "request_id", "request_id", "new_json")
-    steps = chained.withColumn("old_json", F.coalesce("prev_value", "old_json")).withColumn(
-        "version_regressed", F.col("new_version") < config_version(F.col("old_json"))
+    steps = materialise(
+        chained.withColumn("old_json", F.coalesce("prev_value", "old_json")).withColumn(
+            "version_regressed", F.col("new_version") < config_version(F.col("old_json"))
+        )
     )
     seeds = history_seed(batches.join(accepted.select("batch_id").distinct(), "batch_id", "left_semi"), history)
     applied = steps.select(

@@ -2,6 +2,8 @@
 
 Readings: ``batch_id, row_number, ts, sensor, value``; a missing cell is a NULL value,
 and every source row has one reading per sensor of its batch.
+
+``rows_per_slice``, ``profile`` and ``largest`` are those of ``slicing.slice_groups``.
 """
 
 from __future__ import annotations
@@ -50,8 +52,12 @@ def _interpolated(limit: Column) -> Column:
     return F.coalesce(F.col("value"), F.when(near, line))
 
 
-def _neighbours(readings: DataFrame, rows_per_slice: int, profile: DataFrame | None) -> DataFrame:
-    return with_neighbours(readings, SERIES, "ts", "row_number", "value", rows_per_slice, profile)
+def _neighbours(
+    readings: DataFrame, rows_per_slice: int, profile: DataFrame | None, largest: int | None
+) -> DataFrame:
+    return with_neighbours(
+        readings, SERIES, "ts", "row_number", "value", rows_per_slice, profile, largest
+    )
 
 
 def interpolate(
@@ -60,13 +66,14 @@ def interpolate(
     fill: float = 0.0,
     rows_per_slice: int = ROWS_PER_SLICE,
     profile: DataFrame | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Linear in row position; ``limit`` cells are filled from either side of a gap, the
     border value is copied outwards at the ends, whatever is left becomes ``fill``."""
     if limit < 1:
         raise ValueError("limit must be greater than 0")
     value = F.coalesce(_interpolated(F.lit(limit)), F.lit(float(fill)))
-    return _neighbours(readings, rows_per_slice, profile).select(
+    return _neighbours(readings, rows_per_slice, profile, largest).select(
         "batch_id", "row_number", "ts", "sensor", value.alias("value")
     )
 
@@ -80,10 +87,11 @@ def fill_forward_back(
     fill: float = 0.0,
     rows_per_slice: int = ROWS_PER_SLICE,
     profile: DataFrame | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Last known value, before the first known one the next, else ``fill``."""
     value = F.coalesce("value", "prev_value", "next_value", F.lit(float(fill)))
-    return _neighbours(readings, rows_per_slice, profile).select(
+    return _neighbours(readings, rows_per_slice, profile, largest).select(
         "batch_id", "row_number", "ts", "sensor", value.alias("value")
     )
 
@@ -99,11 +107,12 @@ def impute_by_config(
     config: DataFrame,
     rows_per_slice: int = ROWS_PER_SLICE,
     profile: DataFrame | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Each batch by its own strategy: interpolate, fill, ffill, drop; any other leaves
     missing values as they are. ``config`` is a flat configuration table."""
     options = config.select("batch_id", "strategy", "numeric_fill_value", "max_interpolate_gap")
-    rows = _neighbours(readings, rows_per_slice, profile).join(options, "batch_id")
+    rows = _neighbours(readings, rows_per_slice, profile, largest).join(options, "batch_id")
     strategy, fill = F.col("strategy"), F.col("numeric_fill_value")
     limit = F.when(F.col("max_interpolate_gap") >= 1, F.col("max_interpolate_gap")).otherwise(
         F.raise_error(F.lit("max_interpolate_gap must be greater than 0"))

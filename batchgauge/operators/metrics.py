@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchgauge.functions.settings import FLAGGED_METRICS
-from batchgauge.operators.quantiles import EXACT_ROWS, exact_quantiles
-from batchgauge.operators.slicing import group_shape, small_side
+from batchgauge.operators.quantiles import EXACT_ROWS, exact_quantiles, percentiles
+from batchgauge.operators.slicing import largest_group
+from batchgauge.session import materialise
 
 SERIES = ["batch_id", "sensor"]
 QUARTILES = [0.25, 0.5, 0.75]
@@ -25,32 +26,40 @@ def _moments() -> list[Column]:
     ]
 
 
+def series_moments(readings: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """count, mean, std, min, max per series with any known value: all a z-score needs."""
+    return readings.groupBy(*(keys or SERIES)).agg(*_moments()).where(F.col("count") > 0)
+
+
 def series_stats(
     readings: DataFrame,
     keys: list[str] | None = None,
     exact_rows: int = EXACT_ROWS,
-    profile: DataFrame | None = None,
-    extra: list[Column] | None = None,
+    largest: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
-    """count, mean, std, min, q1, median, q3, max, range per series with any known value.
+    """The moments and q1, median, q3, range, null_count per series with any known value.
 
     One aggregate serves the metrics and both anomaly methods. Series too large for
-    ``percentile`` get their quartiles by selection (see ``quantiles``).
+    ``percentile`` get their quartiles by selection, which reads the rows several times:
+    they are written to the shared folder first unless they are ``stored`` already, that
+    is cheap to read. ``largest`` is the size of the largest series if it is known.
     """
     keys = keys or SERIES
-    measured = readings if profile is None else profile
-    groups, largest, _ = group_shape(measured, keys, exact_rows)
-    extra = extra or []
+    if largest is None:
+        largest = largest_group(readings, keys)
+    columns = [*_moments(), F.count_if(F.col("value").isNull()).alias("null_count")]
     if largest <= exact_rows:
-        quartiles = F.percentile("value", F.array(*[F.lit(p) for p in QUARTILES]))
-        stats = readings.groupBy(*keys).agg(*_moments(), *extra, quartiles.alias("q"))
+        stats = readings.groupBy(*keys).agg(*columns, percentiles("value", QUARTILES).alias("q"))
     else:
-        q = exact_quantiles(readings, keys, "value", QUARTILES, exact_rows, profile)
-        stats = readings.groupBy(*keys).agg(*_moments(), *extra).join(small_side(q, groups), keys)
-    others = [c for c in stats.columns if c not in {*keys, "count", "mean", "std", "min", "max", "q"}]
+        rows = readings.select(*keys, "value")
+        rows = rows if stored else materialise(rows)
+        q = exact_quantiles(rows, keys, "value", QUARTILES, exact_rows, largest)
+        stats = rows.groupBy(*keys).agg(*columns).join(q, keys)
     return stats.where(F.col("count") > 0).select(
         *keys,
         "count",
+        "null_count",
         "mean",
         "std",
         "min",
@@ -59,7 +68,6 @@ def series_stats(
         F.col("q")[2].alias("q3"),
         "max",
         (F.col("max") - F.col("min")).alias("range"),
-        *others,
     )
 
 
@@ -87,10 +95,9 @@ def metrics_by_config(stats: DataFrame, config: DataFrame) -> DataFrame:
     )
 
 
-def source_column_stats(readings: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+def source_column_stats(readings: DataFrame) -> DataFrame:
     """Statistics of the raw values, with the number of missing cells per sensor."""
-    nulls = F.count_if(F.col("value").isNull()).alias("null_count")
-    return series_stats(readings, profile=profile, extra=[nulls]).select(
+    return series_stats(readings, stored=True).select(
         "batch_id", "sensor", "count", "null_count", "mean", "std", "min", "max", "median"
     )
 

@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchgauge.operators.slicing import group_shape, small_side
+from batchgauge.operators.slicing import largest_group, small_side
 from batchgauge.session import materialise
 
 EXACT_ROWS = 250_000
@@ -24,37 +24,39 @@ MAX_BUCKETS = 4096
 """Histogram buckets per bracket and pass; more passes follow where that is too coarse."""
 
 
+def percentiles(value: str, probs: list[float]) -> Column:
+    return F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]))
+
+
 def exact_quantiles(
-    df: DataFrame,
+    rows: DataFrame,
     keys: list[str],
     value: str,
     probs: list[float],
     exact_rows: int = EXACT_ROWS,
-    profile: DataFrame | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """One row per group: ``keys`` and ``q`` = array of quantiles in the order of ``probs``.
 
-    ``profile`` may name a cheaper superset of the rows for measuring the group sizes.
+    ``largest`` is (an upper bound of) the size of the largest group if it is known. The
+    rows are read several times when a group is larger than ``exact_rows``: store them
+    first if they are costly to compute.
     """
-    measured = df if profile is None else profile
-    _, largest, _ = group_shape(measured, keys, exact_rows)
-    known = df.where(F.col(value).isNotNull()).select(*keys, value)
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, value)
+    if largest is None:
+        largest = largest_group(rows, keys)
     if largest <= exact_rows:
-        return known.groupBy(*keys).agg(F.percentile(value, wanted).alias("q"))
+        return rows.groupBy(*keys).agg(percentiles(value, probs).alias("q"))
 
-    rows = materialise(known)
-    sizes = materialise(
-        rows.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")
-        )
+    sizes = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")
     )
-    large = sizes.where(F.col("n") > exact_rows)
+    large = materialise(sizes.where(F.col("n") > exact_rows))
     n_large = large.count()
     small = rows.join(small_side(large.select(*keys), n_large), keys, "left_anti")
     return (
         small.groupBy(*keys)
-        .agg(F.percentile(value, wanted).alias("q"))
+        .agg(percentiles(value, probs).alias("q"))
         .unionByName(_by_selection(rows, large, n_large, keys, value, probs, exact_rows))
     )
 

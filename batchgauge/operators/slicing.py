@@ -27,20 +27,10 @@ BROADCAST_ROWS = 500_000
 """Largest counted side that gets a broadcast hint."""
 
 
-def group_shape(df: DataFrame, keys: list[str], rows_per_slice: int = ROWS_PER_SLICE):
-    """(number of groups, rows in the largest group, slices needed by oversized groups)."""
-    pieces = F.when(F.col("n") > rows_per_slice, F.ceil(F.col("n") / rows_per_slice) + 1)
-    row = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(
-            F.count(F.lit(1)).alias("groups"),
-            F.coalesce(F.max("n"), F.lit(0)).alias("largest"),
-            F.coalesce(F.sum(pieces), F.lit(0)).alias("slices"),
-        )
-        .first()
-    )
-    return row["groups"], row["largest"], row["slices"]
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows in the largest group: one scan of the key columns, combined on the map side."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
@@ -81,15 +71,22 @@ def slice_groups(
     tie: str,
     rows_per_slice: int = ROWS_PER_SLICE,
     profile: DataFrame | None = None,
+    largest: int | None = None,
 ) -> Sliced | None:
     """Add slice columns, or return None when every group fits one task.
 
     ``order`` is a numeric or timestamp column (NULL sorts last), ``tie`` a numeric tie
     breaker. ``profile`` may name a cheaper superset of the rows to measure (for instance
-    the scanned table while ``df`` is its de-duplicated form).
+    the scanned table while ``df`` is its de-duplicated form), ``largest`` the size of the
+    largest group if it is known already.
+
+    The first cut is by equal steps of the sort key; pieces that still hold too many rows
+    (bursts) are cut again inside their own range, and rows that share one sort key by the
+    tie breaker, until every slice is small. Usually the first cut is enough.
     """
     measured = df if profile is None else profile
-    _, largest, bound = group_shape(measured, keys, rows_per_slice)
+    if largest is None:
+        largest = largest_group(measured, keys)
     if largest <= rows_per_slice:
         return None
 
@@ -128,13 +125,14 @@ def slice_groups(
         return joined.withColumns(marks).drop("_k", "_lo", "_hi", "_tlo", "_thi")
 
     rows, measured = number(df), number(measured.select(*dict.fromkeys([*keys, order, tie])))
+    bound = 0
     while True:
         borders = materialise(oversized(measured.where("_cut") if names else measured))
-        count, added = borders.agg(F.count(F.lit(1)), F.sum(F.col("_k") + 1)).first()
+        count, pieces = borders.agg(F.count(F.lit(1)), F.sum(F.col("_k") + 1)).first()
         if count == 0:
             break
+        bound += pieces
         name = f"_slice{len(names)}"
-        bound += added
         rows = assign(rows, borders, count, name)
         measured = assign(measured, borders, count, name)
         names.append(name)
@@ -167,9 +165,11 @@ def with_positions(
     tie: str,
     name: str = "pos",
     rows_per_slice: int = ROWS_PER_SLICE,
+    profile: DataFrame | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """1-based position of each row inside its group, by ``(order nulls last, tie)``."""
-    sliced = slice_groups(df, keys, order, tie, rows_per_slice)
+    sliced = slice_groups(df, keys, order, tie, rows_per_slice, profile, largest)
     if sliced is None:
         window = Window.partitionBy(*keys).orderBy(*_ordering(order, tie))
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
@@ -192,9 +192,10 @@ def with_positions(
 
 def _skipping_nulls(function: str, value: str, parts: list[str], order: str, tie: str) -> Column:
     # lag / lead take IGNORE NULLS in SQL only
+    names = ", ".join(f"`{p}`" for p in parts)
     return F.expr(
-        f"{function}({value}) IGNORE NULLS OVER (PARTITION BY {', '.join(parts)} "
-        f"ORDER BY {order} ASC NULLS LAST, {tie} ASC NULLS LAST)"
+        f"{function}({value}) IGNORE NULLS OVER (PARTITION BY {names} "
+        f"ORDER BY `{order}` ASC NULLS LAST, `{tie}` ASC NULLS LAST)"
     )
 
 
@@ -206,6 +207,7 @@ def with_neighbours(
     value: str,
     rows_per_slice: int = ROWS_PER_SLICE,
     profile: DataFrame | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Position plus the nearest non-NULL ``value`` strictly before and after each row.
 
@@ -213,7 +215,7 @@ def with_neighbours(
     ahead uses ``lead IGNORE NULLS`` on the same sort: a frame unbounded to the right
     would be evaluated again for every row, in quadratic time.
     """
-    sliced = slice_groups(df, keys, order, tie, rows_per_slice, profile)
+    sliced = slice_groups(df, keys, order, tie, rows_per_slice, profile, largest)
     parts = keys if sliced is None else keys + sliced.slices
     local = F.row_number().over(Window.partitionBy(*parts).orderBy(*_ordering(order, tie)))
     known = F.struct(F.col(value).alias("v"), F.col("pos").alias("p"))

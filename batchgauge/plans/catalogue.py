@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from batchgauge.operators import (
     anomaly, catalog, compare, configs, drift, impute, merge, metrics, replay, tickets, validate,
 )
-from batchgauge.operators.slicing import ROWS_PER_SLICE, group_shape
+from batchgauge.operators.quantiles import EXACT_ROWS
+from batchgauge.operators.slicing import ROWS_PER_SLICE, largest_group
 from batchgauge.plans import bindings as b
 from batchgauge.plans import process as run
 from batchgauge.sinks import exports
@@ -35,8 +36,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def cut_size(df: DataFrame, keys: list[str]) -> int:
-    _, largest, _ = group_shape(df, keys)
-    return max(1, min(ROWS_PER_SLICE, largest // PIECES))
+    return max(1, min(ROWS_PER_SLICE, largest_group(df, keys) // PIECES))
 
 
 # --- sources and validation ---------------------------------------------------------
@@ -162,13 +162,15 @@ def impute_by_config(spark, sf):
 # --- metrics and anomalies ----------------------------------------------------------
 
 
-def _imputed(spark, sf):
-    return impute.interpolate(impute.dedup_readings(b.readings(spark, sf)), limit=5, fill=0.0,
-                              profile=b.readings(spark, sf))
-
-
-def _stats(spark, sf):
-    return metrics.series_stats(_imputed(spark, sf), profile=b.readings(spark, sf))
+def _stats(spark, sf, cut: bool = False):
+    """Statistics of the de-duplicated, interpolated readings."""
+    raw = b.readings(spark, sf)
+    largest = largest_group(raw, impute.SERIES)
+    rows = max(1, min(ROWS_PER_SLICE, largest // PIECES)) if cut else ROWS_PER_SLICE
+    exact = rows if cut else EXACT_ROWS
+    source = run.by_series(raw) if largest <= min(rows, exact) else raw
+    filled = impute.interpolate(impute.dedup_readings(source), 5, 0.0, rows, raw, largest)
+    return metrics.series_stats(filled, exact_rows=exact, largest=largest)
 
 
 @query
@@ -178,10 +180,7 @@ def sensor_metrics(spark, sf):
 
 @query
 def sensor_metrics_sliced(spark, sf):
-    raw = b.readings(spark, sf)
-    rows = cut_size(raw, impute.SERIES)
-    filled = impute.interpolate(impute.dedup_readings(raw), 5, 0.0, rows, raw)
-    return rounded(metrics.metric_rows(metrics.series_stats(filled, exact_rows=rows, profile=raw)))
+    return rounded(metrics.metric_rows(_stats(spark, sf, cut=True)))
 
 
 def _line_readings(spark, sf):
@@ -198,7 +197,7 @@ def _line_readings(spark, sf):
 @query
 def lineitem_metrics(spark, sf):
     readings = _line_readings(spark, sf)
-    return rounded(metrics.metric_rows(metrics.series_stats(readings)), 4)
+    return rounded(metrics.metric_rows(metrics.series_stats(readings, stored=True)), 4)
 
 
 @query
@@ -210,13 +209,13 @@ def metrics_by_config(spark, sf):
 @query
 def anomaly_zscore(spark, sf):
     readings = b.readings(spark, sf)
-    return rounded(anomaly.zscore_anomalies(readings, metrics.series_stats(readings), 3.0))
+    return rounded(anomaly.zscore_anomalies(readings, metrics.series_moments(readings), 3.0))
 
 
 @query
 def anomaly_iqr(spark, sf):
     readings = b.readings(spark, sf)
-    return rounded(anomaly.iqr_anomalies(readings, metrics.series_stats(readings), 1.5))
+    return rounded(anomaly.iqr_anomalies(readings, metrics.series_stats(readings, stored=True), 1.5))
 
 
 @query
@@ -235,7 +234,7 @@ def anomaly_by_config_sliced(spark, sf):
 @query
 def zscore_threshold_sweep(spark, sf):
     readings = b.readings(spark, sf)
-    return anomaly.threshold_sweep(readings, metrics.series_stats(readings), [1.0, 1.5, 2.0, 3.0])
+    return anomaly.threshold_sweep(readings, metrics.series_moments(readings), [1.0, 1.5, 2.0, 3.0])
 
 
 def _days(spark, sf):
@@ -244,7 +243,7 @@ def _days(spark, sf):
 
 def _counts(spark, sf):
     readings = b.readings(spark, sf)
-    found = anomaly.zscore_anomalies(readings, metrics.series_stats(readings), 3.0)
+    found = anomaly.zscore_anomalies(readings, metrics.series_moments(readings), 3.0)
     return anomaly.anomaly_counts(found, _days(spark, sf))
 
 
@@ -378,12 +377,13 @@ def raise_tickets(spark, sf):
 
 def _replay(spark, sf):
     raw = b.readings(spark, sf, "long")
+    largest = largest_group(raw, impute.SERIES)
 
     def measured(filled):
-        return metrics.metric_rows(metrics.series_stats(filled, profile=raw))
+        return metrics.metric_rows(metrics.series_stats(filled, largest=largest))
 
-    stored = measured(impute.interpolate(raw, 3, 0.0))
-    again = measured(impute.fill_forward_back(raw))
+    stored = measured(impute.interpolate(raw, 3, 0.0, largest=largest))
+    again = measured(impute.fill_forward_back(raw, largest=largest))
     return replay.replay_comparison(stored, again.where("metric_name <> 'range'"), 5.0)
 
 

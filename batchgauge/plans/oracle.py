@@ -452,7 +452,7 @@ ORACLES["even_sample"] = _with(SCATTERED) + """
 wanted AS (
   SELECT DISTINCT batch_id, (i * (n - 1)) // greatest(least(10, n) - 1, 1) AS idx
   FROM (SELECT batch_id, n, unnest(range(0, least(10, n))) AS i FROM (SELECT DISTINCT batch_id, n FROM placed)))
-SELECT p.batch_id, p.idx, row_number, ts, sensor, value, n FROM placed p JOIN wanted w ON p.batch_id = w.batch_id AND p.idx = w.idx"""
+SELECT p.batch_id, p.idx, row_number, ts, sensor, value FROM placed p JOIN wanted w ON p.batch_id = w.batch_id AND p.idx = w.idx"""
 ORACLES["even_sample_sliced"] = ORACLES["even_sample"]
 ORACLES["manifest_summary"] = _with(RUNS, RUN_METRICS, RUN_ANOMALIES, RUN_ERRORS) + """
 SELECT r.run_id, batch_id, run_number, config_version, coalesce(m.n, 0) AS total_metrics,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from batchgauge.operators import anomaly, impute, metrics
 from batchgauge.operators.quantiles import EXACT_ROWS
-from batchgauge.operators.slicing import ROWS_PER_SLICE, group_shape, small_side
+from batchgauge.operators.slicing import ROWS_PER_SLICE, largest_group, small_side
 from batchgauge.session import materialise
 
 
@@ -20,14 +20,13 @@ class RunResult:
     anomalies: DataFrame
 
 
-def clean_and_impute(readings: DataFrame, config: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """De-duplicate and fill each batch as its configuration says.
+def by_series(readings: DataFrame) -> DataFrame:
+    """Bring each series into one task right away, for series that fit.
 
-    The scanned readings serve as the profile for the group sizes: they are a superset of
-    the de-duplicated rows and cost only a scan of the key columns.
+    De-duplication, the window over the series and the statistics then all work inside
+    that partitioning: one shuffle for the whole run.
     """
-    cleaned = impute.clean_by_config(readings, config)
-    return impute.impute_by_config(cleaned, config, rows_per_slice, profile=readings)
+    return readings.repartition(*impute.SERIES)
 
 
 def process(
@@ -38,18 +37,22 @@ def process(
 ) -> RunResult:
     """Readings and a flat configuration table to metrics and anomalies.
 
-    While every series fits a task, the imputed rows stay partitioned by series and the
-    statistics, and their join back, need no further shuffle. Once a series has to be cut,
+    Group sizes are measured once, on the scanned readings: a superset of the
+    de-duplicated rows that costs a scan of the key columns. Once a series has to be cut,
     the imputed rows feed several passes and are written to the shared folder first.
     """
-    imputed = clean_and_impute(readings, config, rows_per_slice)
-    groups, largest, _ = group_shape(readings, impute.SERIES)
+    largest = largest_group(readings, impute.SERIES)
     large = largest > min(rows_per_slice, exact_rows)
+    source = readings if large else by_series(readings)
+    imputed = impute.impute_by_config(
+        impute.clean_by_config(source, config), config, rows_per_slice, readings, largest
+    )
     if large:
         imputed = materialise(imputed)
-    stats = metrics.series_stats(imputed, exact_rows=exact_rows, profile=readings)
+    stats = metrics.series_stats(imputed, exact_rows=exact_rows, largest=largest, stored=True)
     if large:
-        stats = small_side(materialise(stats), groups)
+        stats = materialise(stats)
+        stats = small_side(stats, stats.count())
     return RunResult(
         imputed=imputed,
         stats=stats,
