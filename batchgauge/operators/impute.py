@@ -102,6 +102,43 @@ def drop_incomplete(readings: DataFrame) -> DataFrame:
     return readings.join(gaps, ["batch_id", "row_number"], "left_anti").select(*readings.columns)
 
 
+def flag_incomplete(readings: DataFrame, config: DataFrame) -> DataFrame:
+    """Mark (``incomplete``) the rows with a missing sensor in batches that drop them.
+
+    Whether a row is complete does not depend on later steps, so it is settled on the raw
+    readings, before they are brought together by series; without a dropping batch there
+    is nothing to join.
+    """
+    dropping = config.where("strategy = 'drop'").select("batch_id")
+    if dropping.isEmpty():
+        return readings.withColumn("incomplete", F.lit(False))
+    gaps = (
+        readings.where(F.col("value").isNull())
+        .join(dropping, "batch_id", "left_semi")
+        .select("batch_id", "row_number", F.lit(True).alias("incomplete"))
+        .distinct()
+    )
+    return readings.join(gaps, ["batch_id", "row_number"], "left").fillna(False, ["incomplete"])
+
+
+def clean_by_config(readings: DataFrame, config: DataFrame) -> DataFrame:
+    """De-duplicate the batches whose configuration asks for it; a flag of
+    ``flag_incomplete`` stays with its row."""
+    wanted = config.select("batch_id", "remove_duplicates")
+    # rows of the other batches keep apart by their own row number
+    apart = F.when(~F.col("remove_duplicates"), F.col("row_number"))
+    carried = [c for c in ("value", "incomplete") if c in readings.columns]
+    return (
+        readings.join(wanted, "batch_id")
+        .groupBy("batch_id", "sensor", "ts", apart.alias("_apart"))
+        .agg(
+            F.min("row_number").alias("row_number"),
+            *[F.min_by(c, "row_number").alias(c) for c in carried],
+        )
+        .select("batch_id", "row_number", "ts", "sensor", *carried)
+    )
+
+
 def impute_by_config(
     readings: DataFrame,
     config: DataFrame,
@@ -111,6 +148,8 @@ def impute_by_config(
 ) -> DataFrame:
     """Each batch by its own strategy: interpolate, fill, ffill, drop; any other leaves
     missing values as they are. ``config`` is a flat configuration table."""
+    if "incomplete" not in readings.columns:
+        readings = flag_incomplete(readings, config)
     options = config.select("batch_id", "strategy", "numeric_fill_value", "max_interpolate_gap")
     rows = _neighbours(readings, rows_per_slice, profile, largest).join(options, "batch_id")
     strategy, fill = F.col("strategy"), F.col("numeric_fill_value")
@@ -123,28 +162,6 @@ def impute_by_config(
         .when(strategy == "ffill", F.coalesce("value", "prev_value", "next_value", fill))
         .otherwise(F.col("value"))
     )
-    dropping = options.where("strategy = 'drop'").select("batch_id")
-    gaps = (
-        readings.where(F.col("value").isNull())
-        .join(dropping, "batch_id", "left_semi")
-        .select("batch_id", "row_number")
-        .distinct()
-    )
-    return (
-        rows.withColumn("value", value)
-        .join(gaps, ["batch_id", "row_number"], "left_anti")
-        .select("batch_id", "row_number", "ts", "sensor", "value")
-    )
-
-
-def clean_by_config(readings: DataFrame, config: DataFrame) -> DataFrame:
-    """De-duplicate the batches whose configuration asks for it."""
-    wanted = config.select("batch_id", "remove_duplicates")
-    marked = readings.join(wanted, "batch_id")
-    # rows of other batches keep their own row number as an extra key and stay apart
-    apart = F.when(~F.col("remove_duplicates"), F.col("row_number"))
-    return (
-        marked.groupBy("batch_id", "sensor", "ts", apart.alias("_apart"))
-        .agg(F.min_by("value", "row_number").alias("value"), F.min("row_number").alias("row_number"))
-        .select("batch_id", "row_number", "ts", "sensor", "value")
+    return rows.where((strategy != "drop") | ~F.col("incomplete")).select(
+        "batch_id", "row_number", "ts", "sensor", value.alias("value")
     )

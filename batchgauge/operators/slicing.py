@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from batchgauge.session import materialise
 
 ROWS_PER_SLICE = 2_000_000
-"""Largest group a single task handles; beyond it a group is cut."""
+"""Largest group one task handles; a larger one is cut into slices of about this size."""
 
 BROADCAST_ROWS = 500_000
 """Largest counted side that gets a broadcast hint."""
@@ -38,6 +38,12 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def stored_small(df: DataFrame) -> DataFrame:
+    """Store a table that is expected to be small, count it, and broadcast it if it is."""
+    stored = materialise(df)
+    return small_side(stored, stored.count())
+
+
 @dataclass(frozen=True)
 class Sliced:
     """Rows with slice columns; ``rows`` bounds the number of slices of cut groups."""
@@ -96,17 +102,21 @@ def slice_groups(
         return rows.withColumns({"_pos": sort_number(rows, order), "_tie": sort_number(rows, tie)})
 
     def oversized(rows: DataFrame) -> DataFrame:
+        # a piece somewhat above the target is not worth another pass
+        limit = rows_per_slice * (2 if names else 1)
         return (
             rows.groupBy(*keys, *names)
             .agg(
-                F.ceil(F.count(F.lit(1)) / rows_per_slice).alias("_k"),
+                F.count(F.lit(1)).alias("_n"),
                 F.min("_pos").alias("_lo"),
                 F.max("_pos").alias("_hi"),
                 F.min("_tie").alias("_tlo"),
                 F.max("_tie").alias("_thi"),
             )
-            .where(F.col("_k") > 1)
+            .where(F.col("_n") > limit)
             .where((F.col("_lo") < F.col("_hi")) | (F.col("_tlo") < F.col("_thi")))
+            .withColumn("_k", F.ceil(F.col("_n") / rows_per_slice))
+            .drop("_n")
         )
 
     def assign(rows: DataFrame, borders: DataFrame, count: int, name: str) -> DataFrame:

@@ -56,7 +56,7 @@ def parsed_rows(lines: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def cell_rows(rows: DataFrame) -> DataFrame:
-    """One row per sensor cell of every accepted row: raw text and numeric value."""
+    """One row per sensor cell of every accepted row: stripped text and numeric value."""
     pairs = F.filter(
         F.arrays_zip(F.col("headers").alias("sensor"), F.col("cells").alias("raw")),
         lambda pair: pair["sensor"] != TIME_COLUMN,
@@ -64,9 +64,9 @@ def cell_rows(rows: DataFrame) -> DataFrame:
     raw = strip(F.col("cell.raw"))
     return (
         rows.where(F.col("row_error").isNull())
-        .select("batch_id", "row_number", "ts", "line", F.explode(pairs).alias("cell"))
+        .select("batch_id", "row_number", "ts", F.explode(pairs).alias("cell"))
         .select(
-            "batch_id", "row_number", "ts", "line",
+            "batch_id", "row_number", "ts",
             F.col("cell.sensor").alias("sensor"),
             raw.alias("raw"),
             parse_number(raw).alias("value"),
@@ -74,14 +74,13 @@ def cell_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def readings_of(cells: DataFrame) -> DataFrame:
+def readings_of(rows: DataFrame) -> DataFrame:
     """Long readings; blank and unreadable cells are NULL, the row is kept."""
-    return cells.select("batch_id", "row_number", "ts", "sensor", "value")
+    return cell_rows(rows).select("batch_id", "row_number", "ts", "sensor", "value")
 
 
-def row_level_errors(rows: DataFrame, kind: str | None = None) -> DataFrame:
-    """Errors that reject a whole row, optionally of one kind."""
-    detail = (
+def _row_detail() -> Column:
+    return (
         F.when(
             F.col("row_error") == "column_mismatch",
             F.format_string("expected %d columns, found %d", F.size("headers"), F.size("cells")),
@@ -89,26 +88,46 @@ def row_level_errors(rows: DataFrame, kind: str | None = None) -> DataFrame:
         .when(F.col("row_error") == "missing_timestamp", "timestamp is blank")
         .otherwise(F.format_string("cannot read timestamp '%s'", F.col("raw_time")))
     )
+
+
+def row_level_errors(rows: DataFrame, kind: str | None = None) -> DataFrame:
+    """Errors that reject a whole row, optionally of one kind."""
     wanted = F.col("row_error").isNotNull() if kind is None else F.col("row_error") == kind
     return rows.where(wanted).select(
         "batch_id", "row_number", F.col("row_error").alias("error_type"),
-        detail.alias("error_detail"), F.col("line").alias("raw_data"),
+        _row_detail().alias("error_detail"), F.col("line").alias("raw_data"),
     )
 
 
-def cell_errors(cells: DataFrame) -> DataFrame:
-    """One error per cell that is neither blank nor a number; the row itself is kept."""
-    bad = (F.col("raw") != "") & ~is_number(F.col("raw"))
-    return cells.where(bad).select(
-        "batch_id", "row_number", F.lit("non_numeric_value").alias("error_type"),
-        F.format_string("value of sensor %s is not a number: '%s'", "sensor", "raw").alias("error_detail"),
-        F.col("line").alias("raw_data"),
+def _bad_cells() -> Column:
+    """The sensor cells of an accepted row that are neither blank nor a number."""
+    cells = F.transform(
+        F.arrays_zip(F.col("headers").alias("sensor"), F.col("cells").alias("raw")),
+        lambda c: F.struct(c["sensor"].alias("sensor"), strip(c["raw"]).alias("raw")),
+    )
+    return F.filter(
+        cells, lambda c: (c["sensor"] != TIME_COLUMN) & (c["raw"] != "") & ~is_number(c["raw"])
     )
 
 
-def row_errors(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    """The complete error table of a run."""
-    return row_level_errors(rows).unionByName(cell_errors(cells))
+def row_errors(rows: DataFrame) -> DataFrame:
+    """The complete error table of a run, from one pass over the rows: the row-level error
+    of a rejected row, or one error per bad cell of an accepted row."""
+    whole = F.array(F.struct(F.col("row_error").alias("kind"), _row_detail().alias("detail")))
+    per_cell = F.transform(_bad_cells(), lambda c: F.struct(
+        F.lit("non_numeric_value").alias("kind"),
+        F.format_string("value of sensor %s is not a number: '%s'", c["sensor"], c["raw"]).alias("detail"),
+    ))
+    found = F.when(F.col("row_error").isNotNull(), whole).otherwise(per_cell)
+    return rows.select("batch_id", "row_number", "line", F.explode(found).alias("e")).select(
+        "batch_id", "row_number", F.col("e.kind").alias("error_type"),
+        F.col("e.detail").alias("error_detail"), F.col("line").alias("raw_data"),
+    )
+
+
+def cell_errors(rows: DataFrame) -> DataFrame:
+    """One error per cell that is neither blank nor a number; the row itself is kept."""
+    return row_errors(rows.where(F.col("row_error").isNull()))
 
 
 def rejected_files(files: DataFrame, lines: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from batchgauge.operators.quantiles import EXACT_ROWS
 from batchgauge.operators.slicing import ROWS_PER_SLICE, largest_group
 from batchgauge.plans import bindings as b
 from batchgauge.plans import process as run
+from batchgauge.session import materialise
 from batchgauge.sinks import exports
 from batchgauge.sources import csv_files
 
@@ -50,8 +51,7 @@ def csv_scan(spark, sf):
         F.concat_ws("/", F.regexp_extract("file_path", folder, 1), F.regexp_extract("file_path", folder, 2)).alias("batch_id"),
         "row_number", "line",
     )
-    _, cells = csv_files.scan(keyed)
-    return validate.readings_of(cells)
+    return validate.readings_of(csv_files.scan(keyed))
 
 
 @query
@@ -70,49 +70,49 @@ def _scanned(spark, sf):
 
 @query
 def err_column_mismatch(spark, sf):
-    return validate.row_level_errors(_scanned(spark, sf)[0], "column_mismatch")
+    return validate.row_level_errors(_scanned(spark, sf), "column_mismatch")
 
 
 @query
 def err_missing_timestamp(spark, sf):
-    return validate.row_level_errors(_scanned(spark, sf)[0], "missing_timestamp")
+    return validate.row_level_errors(_scanned(spark, sf), "missing_timestamp")
 
 
 @query
 def err_invalid_timestamp(spark, sf):
-    return validate.row_level_errors(_scanned(spark, sf)[0], "invalid_timestamp")
+    return validate.row_level_errors(_scanned(spark, sf), "invalid_timestamp")
 
 
 @query
 def err_non_numeric(spark, sf):
-    return validate.cell_errors(_scanned(spark, sf)[1])
+    return validate.cell_errors(_scanned(spark, sf))
 
 
 @query
 def row_errors(spark, sf):
-    return validate.row_errors(*_scanned(spark, sf))
+    return validate.row_errors(_scanned(spark, sf))
 
 
 @query
 def clean_readings(spark, sf):
-    return validate.readings_of(_scanned(spark, sf)[1])
+    return validate.readings_of(_scanned(spark, sf))
 
 
 @query
 def run_counters(spark, sf):
-    rows, cells = _scanned(spark, sf)
-    return metrics.run_counters(cells, validate.row_errors(rows, cells))
+    rows = _scanned(spark, sf)
+    return metrics.run_counters(validate.readings_of(rows), validate.row_errors(rows))
 
 
 @query
 def source_summary(spark, sf):
-    rows, cells = _scanned(spark, sf)
-    return metrics.source_summary(cells, validate.row_errors(rows, cells))
+    rows = _scanned(spark, sf)
+    return metrics.source_summary(validate.readings_of(rows), validate.row_errors(rows))
 
 
 @query
 def error_type_counts(spark, sf):
-    return anomaly.error_type_counts(validate.row_errors(*_scanned(spark, sf)))
+    return anomaly.error_type_counts(validate.row_errors(_scanned(spark, sf)))
 
 
 @query
@@ -270,6 +270,11 @@ def _metrics(spark, sf):
     return metrics.metric_rows(_stats(spark, sf))
 
 
+def _stored_metrics(spark, sf):
+    """Results of a run are stored tables; later steps read them instead of rerunning."""
+    return materialise(_metrics(spark, sf))
+
+
 @query
 def cmp_metrics(spark, sf):
     return rounded(compare.metric_matrix(_metrics(spark, sf)))
@@ -277,7 +282,7 @@ def cmp_metrics(spark, sf):
 
 @query
 def cmp_metrics_wide(spark, sf):
-    return rounded(compare.metric_matrix_wide(_metrics(spark, sf)))
+    return rounded(compare.metric_matrix_wide(_stored_metrics(spark, sf)))
 
 
 @query
@@ -292,7 +297,7 @@ def cmp_top10(spark, sf):
 
 @query
 def cmp_anomalies_wide(spark, sf):
-    return compare.anomaly_table(_counts(spark, sf), _days(spark, sf))
+    return compare.anomaly_table(materialise(_counts(spark, sf)), _days(spark, sf))
 
 
 @query
@@ -314,8 +319,8 @@ def batch_summaries(spark, sf):
 
 def _baseline(spark, sf):
     """Thresholds of the first day, and requests to check every later day against it."""
-    found = _metrics(spark, sf)
-    days = _days(spark, sf)
+    found = _stored_metrics(spark, sf)
+    days = materialise(_days(spark, sf))
     first = days.agg(F.min("batch_id").alias("batch_id"))
     thresholds = drift.build_thresholds(found.join(first, "batch_id", "left_semi")).select(
         F.lit(1).cast("bigint").alias("baseline_id"), "sensor", "metric_name", "baseline_value",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from batchgauge.operators import anomaly, impute, metrics
 from batchgauge.operators.quantiles import EXACT_ROWS
-from batchgauge.operators.slicing import ROWS_PER_SLICE, largest_group, small_side
+from batchgauge.operators.slicing import ROWS_PER_SLICE, largest_group, stored_small
 from batchgauge.session import materialise
 
 
@@ -43,16 +43,15 @@ def process(
     """
     largest = largest_group(readings, impute.SERIES)
     large = largest > min(rows_per_slice, exact_rows)
-    source = readings if large else by_series(readings)
-    imputed = impute.impute_by_config(
-        impute.clean_by_config(source, config), config, rows_per_slice, readings, largest
-    )
+    config = stored_small(config)
+    flagged = impute.flag_incomplete(readings, config)
+    cleaned = impute.clean_by_config(flagged if large else by_series(flagged), config)
+    imputed = impute.impute_by_config(cleaned, config, rows_per_slice, readings, largest)
     if large:
         imputed = materialise(imputed)
     stats = metrics.series_stats(imputed, exact_rows=exact_rows, largest=largest, stored=True)
     if large:
-        stats = materialise(stats)
-        stats = small_side(stats, stats.count())
+        stats = stored_small(stats)
     return RunResult(
         imputed=imputed,
         stats=stats,

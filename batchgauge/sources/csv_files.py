@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from batchgauge.operators.slicing import small_side
-from batchgauge.operators.validate import cell_rows, headers_of, parsed_rows
-from batchgauge.session import materialise
+from batchgauge.operators.slicing import stored_small
+from batchgauge.operators.validate import headers_of, parsed_rows
 
 BLOCK = ["file_path", "block_start"]
 
@@ -32,14 +31,14 @@ def file_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     earlier = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    blocks = materialise(
+    blocks = stored_small(
         raw.groupBy(*BLOCK)
         .agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first_place"))
         .select(*BLOCK, "first_place", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     )
     number = F.col("place") - F.col("first_place") + F.col("before") + 1
     return (
-        raw.join(small_side(blocks, blocks.count()), BLOCK)
+        raw.join(blocks, BLOCK)
         .select("file_path", number.alias("row_number"), "line")
         .withColumn("line", F.when(
             F.col("row_number") == 1, F.regexp_replace("line", "^﻿", "")
@@ -54,10 +53,11 @@ def listed_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def scan(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parsed rows (with row-level errors) and sensor cells of numbered lines."""
-    rows = parsed_rows(lines, headers_of(lines))
-    return rows, cell_rows(rows)
+def scan(lines: DataFrame) -> DataFrame:
+    """Parsed rows, with their row-level errors, of numbered lines.
 
+    The headers (one row per file) are stored and counted first, so the lines themselves
+    are not shuffled for the join while the list of files is of ordinary length.
+    """
+    return parsed_rows(lines, stored_small(headers_of(lines)))
 
-__all__ = ["file_lines", "file_name", "listed_files", "scan"]
