@@ -84,20 +84,28 @@ def version_compatible(version: Column, current: str) -> Column:
     )
 
 
-def flatten_json(df: DataFrame, keys: list[str], json_column: str, depth: int = 3) -> DataFrame:
-    """(keys, path, value) rows of a JSON object; nested objects become dotted paths."""
-    entries = F.from_json(F.col(json_column), "map<string,string>")
-    flat = df.select(*keys, F.explode(entries).alias("path", "value"))
-    nested = F.coalesce(F.col("value").startswith("{"), F.lit(False))
-    for _ in range(depth - 1):
-        inner = F.explode(F.transform_keys(
-            F.from_json(F.col("value"), "map<string,string>"),
-            lambda k, _v: F.concat_ws(".", F.col("path"), k),
-        ))
-        flat = flat.where(~nested).unionByName(
-            flat.where(nested).select(*keys, inner.alias("path", "value"))
+def flat_options(config_json: Column, depth: int = 3) -> Column:
+    """A JSON object as a map of dotted paths to values; works inside one row."""
+    text = "map<string,string>"
+
+    def is_object(entry: Column) -> Column:
+        return F.coalesce(entry["value"].startswith("{"), F.lit(False))
+
+    def opened(entry: Column) -> Column:
+        inner = F.transform(
+            F.map_entries(F.from_json(entry["value"], text)),
+            lambda e: F.struct(
+                F.concat_ws(".", entry["key"], e["key"]).alias("key"), e["value"].alias("value")
+            ),
         )
-    return flat
+        return F.when(is_object(entry), inner).otherwise(F.array(entry))
+
+    entries = F.map_entries(F.from_json(config_json, text))
+    for _ in range(depth - 1):
+        entries = F.when(
+            F.exists(entries, is_object), F.flatten(F.transform(entries, opened))
+        ).otherwise(entries)
+    return F.map_from_entries(entries)
 
 
 def with_version(config_json: Column, version: Column) -> Column:

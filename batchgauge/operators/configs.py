@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchgauge.functions.settings import (
-    config_version, flatten_json, missing_sections, version_compatible, with_version,
+    config_version, flat_options, missing_sections, version_compatible, with_version,
 )
 from batchgauge.operators.catalog import newest
 from batchgauge.operators.slicing import with_neighbours, with_positions
@@ -31,36 +31,49 @@ def version_check(schemes: DataFrame, current: str = SCHEME_VERSION) -> DataFram
     )
 
 
-def config_diff(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Changed options between ``old_json`` and ``new_json`` of each pair.
+def with_changes(pairs: DataFrame, name: str = "config_diff") -> DataFrame:
+    """Add the array of ``path, change, old_value, new_value`` between ``old_json`` and
+    ``new_json``.
 
-    Nested options appear under dotted paths; numbers compare by value, so 1 equals 1.0
-    and true equals 1.
+    Both sides are in one row, so no join is needed. Nested options appear under dotted
+    paths; numbers compare by value: 1 equals 1.0, and true equals 1.
     """
-    def side(column: str, name: str) -> DataFrame:
-        flat = flatten_json(pairs.where(F.col(column).isNotNull()), keys, column)
-        return flat.select(*keys, "path", F.col("value").alias(name), F.lit(True).alias(f"has_{name}"))
+    nothing = F.create_map().cast("map<string,string>")
+    # columns of their own: inside the lambdas the maps would be built again for every path
+    flat = pairs.withColumns({
+        "_old": F.coalesce(flat_options(F.col("old_json")), nothing),
+        "_new": F.coalesce(flat_options(F.col("new_json")), nothing),
+    })
+    old, new = F.col("_old"), F.col("_new")
 
-    def comparable(value: str) -> Column:
-        text = F.when(F.col(value) == "true", "1").when(F.col(value) == "false", "0").otherwise(F.col(value))
+    def comparable(value: Column) -> Column:
+        text = F.when(value == "true", "1").when(value == "false", "0").otherwise(value)
         return F.coalesce(text.try_cast("double").cast("string"), text)
 
-    both = side("old_json", "old").join(side("new_json", "new"), [*keys, "path"], "full_outer")
-    change = (
-        F.when(F.col("has_old").isNull(), "added")
-        .when(F.col("has_new").isNull(), "removed")
-        .when(~comparable("old").eqNullSafe(comparable("new")), "modified")
-    )
-    return both.select(
-        *keys, "path", change.alias("change"),
-        F.col("old").alias("old_value"), F.col("new").alias("new_value"),
-    ).where(F.col("change").isNotNull())
+    def judged(path: Column) -> Column:
+        before, after = F.try_element_at(old, path), F.try_element_at(new, path)
+        change = (
+            F.when(~F.map_contains_key(old, path), "added")
+            .when(~F.map_contains_key(new, path), "removed")
+            .when(before.eqNullSafe(after), None)
+            .when(~comparable(before).eqNullSafe(comparable(after)), "modified")
+        )
+        return F.struct(
+            path.alias("path"), change.alias("change"),
+            before.alias("old_value"), after.alias("new_value"),
+        )
 
+    paths = F.array_union(F.map_keys("_old"), F.map_keys("_new"))
+    found = F.filter(F.transform(paths, judged), lambda c: c["change"].isNotNull())
+    return flat.withColumn(name, found).drop("_old", "_new")
 
-def diff_documents(diff: DataFrame, keys: list[str]) -> DataFrame:
-    """One map of changes per pair (a configuration has a fixed small number of options)."""
-    entry = F.struct("path", F.struct("change", "old_value", "new_value"))
-    return diff.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("config_diff"))
+
+def config_diff(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per changed option of each pair (``old_json``, ``new_json``)."""
+    # a plain explode would let the optimizer filter on the array size first, below the
+    # columns the array is made from, and build the maps anew for every path
+    rows = with_changes(pairs).select(*keys, F.explode_outer("config_diff").alias("c"))
+    return rows.where(F.col("c").isNotNull()).select(*keys, "c.*")
 
 
 def _risk(condition: Column, kind: str, severity: str = "blocker") -> Column:
@@ -81,12 +94,18 @@ def apply_precheck(
     ``requests``: ``request_id, scheme_id, batch_id, new_name, source_scheme_id`` (the
     last two may be NULL).
     """
+    # everything that depends on one scheme or one batch is worked out before the joins
+    version = F.coalesce(config_version(F.col("config_json")), F.lit(0)) + 1
     scheme = schemes.select(
-        "scheme_id", F.col("name").alias("scheme_name"), "scheme_version",
-        F.col("config_json").alias("scheme_config"), F.lit(True).alias("has_scheme"),
+        "scheme_id", F.col("name").alias("scheme_name"),
+        version_compatible(F.col("scheme_version"), current).alias("compatible"),
+        (F.size(missing_sections(F.col("config_json"))) > 0).alias("incomplete"),
+        version.alias("next_version"),
+        with_version(F.col("config_json"), version).alias("next_json"),
     )
     target = batches.select(
-        "batch_id", "locked", F.col("config_json").alias("batch_config"), F.lit(True).alias("has_batch")
+        "batch_id", "locked", F.col("config_json").alias("batch_config"),
+        config_version(F.col("config_json")).alias("current_version"), F.lit(True).alias("has_batch"),
     )
     taken = schemes.select(F.col("name").alias("new_name"), F.col("scheme_id").alias("name_owner"))
     source = schemes.select(
@@ -98,24 +117,23 @@ def apply_precheck(
         .join(taken, "new_name", "left")
         .join(source, "source_scheme_id", "left")
     )
-    has_batch, has_scheme = F.col("has_batch").isNotNull(), F.col("has_scheme").isNotNull()
+    has_batch, has_scheme = F.col("has_batch").isNotNull(), F.col("next_version").isNotNull()
+    both = has_batch & has_scheme
     risks = [
         _risk(~has_batch, "batch_not_found"),
         _risk(~has_scheme, "scheme_not_found"),
         _risk(has_batch & F.col("locked"), "batch_locked"),
         _risk(F.col("name_owner").isNotNull(), "name_conflict"),
         _risk(F.col("source_scheme_id").isNotNull() & F.col("source_scheme_name").isNull(), "source_missing"),
-        _risk(has_scheme & ~version_compatible(F.col("scheme_version"), current), "version_mismatch", "warning"),
-        _risk(has_scheme & (F.size(missing_sections(F.col("scheme_config"))) > 0), "config_incomplete"),
+        _risk(has_scheme & ~F.col("compatible"), "version_mismatch", "warning"),
+        _risk(has_scheme & F.col("incomplete"), "config_incomplete"),
     ]
-    new_version = F.coalesce(config_version(F.col("scheme_config")), F.lit(0)) + 1
     return _with_verdict(joined, risks).select(
         "request_id", "batch_id", "scheme_id", "scheme_name", "new_name",
-        "source_scheme_id", "source_scheme_name", "risks", "can_proceed",
-        config_version(F.col("batch_config")).alias("current_version"),
-        F.when(has_batch & has_scheme, new_version).alias("new_version"),
-        F.when(has_batch & has_scheme, F.col("batch_config")).alias("old_json"),
-        F.when(has_batch & has_scheme, with_version(F.col("scheme_config"), new_version)).alias("new_json"),
+        "source_scheme_id", "source_scheme_name", "risks", "can_proceed", "current_version",
+        F.when(both, F.col("next_version")).alias("new_version"),
+        F.when(both, F.col("batch_config")).alias("old_json"),
+        F.when(both, F.col("next_json")).alias("new_json"),
     )
 
 
@@ -188,11 +206,12 @@ def apply_schemes(
         F.lit(None).cast("bigint").alias("source_scheme_id"), "config_version", "config_json",
         "action", F.lit(None).cast("bigint").alias("rolled_back_from_id"),
     )
-    diff = diff_documents(config_diff(steps, ["request_id"]), ["request_id"])
-    done = steps.select("request_id", "applied_id", "applied_name", F.col("old_json").alias("before"),
-                        F.col("new_json").alias("after"), "version_regressed")
+    done = with_changes(steps).select(
+        "request_id", "applied_id", "applied_name", F.col("old_json").alias("before"),
+        F.col("new_json").alias("after"), "version_regressed", "config_diff",
+    )
     audit = (
-        checked.join(done, "request_id", "left").join(diff, "request_id", "left")
+        checked.join(done, "request_id", "left")
         .select(
             "request_id", "batch_id", F.coalesce("applied_id", "scheme_id").alias("scheme_id"),
             F.coalesce("applied_name", "scheme_name").alias("scheme_name"),

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchgauge.operators.slicing import ROWS_PER_SLICE, with_positions
+from batchgauge.operators.slicing import ROWS_PER_SLICE, largest_group, with_positions
+from batchgauge.session import materialise
 
 # The policies, and the suffix given to renamed inputs.
 POLICIES = ("reject", "skip", "overwrite", "rename")
@@ -52,7 +53,7 @@ def _renamed(
 ) -> DataFrame:
     own = names.where(F.col("target_id").isNull()).select("name")
     taken = existing.select("name").unionByName(own)
-    clashes = judged.where("_conflict")
+    clashes = materialise(judged.where("_conflict").drop("_first", "_conflict"))
     unclear = clashes
     explicit = None
     if "new_name" in incoming.columns:
@@ -92,19 +93,21 @@ def _first_free_names(taken: DataFrame, inputs: DataFrame, rows_per_slice: int)
         F.regexp_extract("name", NUMBERED, 1).alias("base"),
         F.when(match == "", 0).otherwise(match.try_cast("bigint")).cast("bigint").alias("t"),
     ).where(F.col("t").isNotNull())
-    wanted = inputs.select("name").distinct().withColumnRenamed("name", "base")
-    numbers = numbers.join(wanted, "base", "left_semi").distinct()
-    ranked = with_positions(numbers, ["base"], "t", "t", "j", rows_per_slice).select(
+    inputs = inputs.withColumnRenamed("name", "base")
+    wanted = inputs.select("base").distinct()
+    numbers = materialise(numbers.join(wanted, "base", "left_semi").distinct())
+    # one measurement bounds the groups of all three orderings
+    largest = largest_group(numbers.select("base").unionByName(inputs.select("base")), ["base"])
+    sizes = {"rows_per_slice": rows_per_slice, "largest": largest}
+    ranked = with_positions(numbers, ["base"], "t", "t", "j", **sizes).select(
         "base", (F.col("t") - F.col("j") + 1).alias("free_before"),
         F.lit(-1).cast("bigint").alias("kind"), F.lit(None).cast("bigint").alias("seq"),
     )
-    placed = with_positions(
-        inputs.withColumnRenamed("name", "base"), ["base"], "seq", "seq", "r", rows_per_slice
-    ).select(
+    placed = with_positions(inputs, ["base"], "seq", "seq", "r", **sizes).select(
         "base", (F.col("r") - 1).alias("free_before"), F.lit(0).cast("bigint").alias("kind"), "seq"
     )
     merged = with_positions(
-        ranked.unionByName(placed), ["base"], "free_before", "kind", "place", rows_per_slice
+        ranked.unionByName(placed), ["base"], "free_before", "kind", "place", **sizes
     )
     number = F.col("place") - 1
     return merged.where("kind = 0").select(

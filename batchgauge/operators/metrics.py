@@ -50,7 +50,10 @@ def series_stats(
         largest = largest_group(readings, keys)
     columns = [*_moments(), F.count_if(F.col("value").isNull()).alias("null_count")]
     if largest <= exact_rows:
-        stats = readings.groupBy(*keys).agg(*columns, percentiles("value", QUARTILES).alias("q"))
+        # stored rows first go to the task of their series: merging the value maps of
+        # partial percentiles costs more than moving the values
+        rows = readings.repartition(*keys) if stored else readings
+        stats = rows.groupBy(*keys).agg(*columns, percentiles("value", QUARTILES).alias("q"))
     else:
         rows = readings.select(*keys, "value")
         rows = rows if stored else materialise(rows)

@@ -49,9 +49,9 @@ def exact_quantiles(
         return rows.groupBy(*keys).agg(percentiles(value, probs).alias("q"))
 
     sizes = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")
+        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
     )
-    large = materialise(sizes.where(F.col("n") > exact_rows))
+    large = materialise(sizes.where(F.col("_n") > exact_rows))
     n_large = large.count()
     small = rows.join(small_side(large.select(*keys), n_large), keys, "left_anti")
     return (
@@ -70,21 +70,21 @@ def _by_selection(
     probs: list[float],
     exact_rows: int,
 ) -> DataFrame:
-    bounds = ["lo", "hi"]
+    bounds = ["_lo", "_hi"]
     spot = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("n") - 1)).alias("at"))
+        F.struct(F.lit(i).alias("_i"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("_at"))
         for i, p in enumerate(probs)
     ]))
     targets = materialise(
-        sizes.select(*keys, *bounds, F.lit(0).cast("bigint").alias("below"),
-                     F.col("n").alias("inside"), spot.alias("spot"))
+        sizes.select(*keys, *bounds, F.lit(0).cast("bigint").alias("_below"),
+                     F.col("_n").alias("_inside"), spot.alias("_spot"))
         .select("*", F.explode(F.array_distinct(F.array(
-            F.floor("spot.at"), F.ceil("spot.at")))).alias("rank"))
+            F.floor("_spot._at"), F.ceil("_spot._at")))).alias("_rank"))
     )
     most = groups * 2 * len(probs)
     done: list[DataFrame] = []
     while True:
-        settled = (F.col("inside") <= exact_rows) | (F.col("lo") == F.col("hi"))
+        settled = (F.col("_inside") <= exact_rows) | (F.col("_lo") == F.col("_hi"))
         done.append(targets.where(settled))
         targets = targets.where(~settled)
         if targets.isEmpty():
@@ -92,30 +92,30 @@ def _by_selection(
         targets = materialise(_narrow(rows, targets, most, keys, value, exact_rows))
 
     found = reduce(DataFrame.unionByName, done)
-    constant = found.where(F.col("lo") == F.col("hi")).withColumn("v", F.col("lo"))
-    ranged = found.where(F.col("lo") < F.col("hi"))
+    constant = found.where(F.col("_lo") == F.col("_hi")).withColumn("_v", F.col("_lo"))
+    ranged = found.where(F.col("_lo") < F.col("_hi"))
     spans = ranged.select(*keys, *bounds).distinct()
     nth = Window.partitionBy(*keys, *bounds).orderBy(value)
     ordered = (
         rows.join(small_side(spans, most), keys)
-        .where(F.col(value).between(F.col("lo"), F.col("hi")))
-        .withColumn("nth", F.row_number().over(nth) - 1)
+        .where(F.col(value).between(F.col("_lo"), F.col("_hi")))
+        .withColumn("_nth", F.row_number().over(nth) - 1)
     )
     picked = (
         ordered.join(small_side(ranged, most), keys + bounds)
-        .where(F.col("rank") - F.col("below") == F.col("nth"))
-        .withColumn("v", F.col(value))
+        .where(F.col("_rank") - F.col("_below") == F.col("_nth"))
+        .withColumn("_v", F.col(value))
     )
-    columns = [*keys, "spot", "rank", "v"]
+    columns = [*keys, "_spot", "_rank", "_v"]
     ranks = constant.select(*columns).unionByName(picked.select(*columns))
-    at = F.col("spot.at")
-    weight = F.when(F.floor(at) == F.ceil(at), 1.0).otherwise(1.0 - F.abs(at - F.col("rank")))
+    at = F.col("_spot._at")
+    weight = F.when(F.floor(at) == F.ceil(at), 1.0).otherwise(1.0 - F.abs(at - F.col("_rank")))
     return (
-        ranks.groupBy(*keys, F.col("spot.i").alias("i"))
-        .agg(F.sum(weight * F.col("v")).alias("v"))
+        ranks.groupBy(*keys, F.col("_spot._i").alias("_i"))
+        .agg(F.sum(weight * F.col("_v")).alias("_v"))
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("q"))
-        .withColumn("q", F.col("q.v"))
+        .agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("q"))
+        .withColumn("q", F.col("q._v"))
     )
 
 
@@ -123,41 +123,41 @@ def _narrow(
     rows: DataFrame, targets: DataFrame, most: int, keys: list[str], value: str, exact_rows: int
 ) -> DataFrame:
     """Replace each bracket by the histogram bucket that holds its rank."""
-    span = [*keys, "lo", "hi"]
+    span = [*keys, "_lo", "_hi"]
     spans = targets.select(
         *span,
-        F.least(F.ceil(F.col("inside") / exact_rows) * 4, F.lit(MAX_BUCKETS)).alias("k"),
+        F.least(F.ceil(F.col("_inside") / exact_rows) * 4, F.lit(MAX_BUCKETS)).alias("_k"),
     ).distinct()
-    width = F.col("hi") - F.col("lo")
+    width = F.col("_hi") - F.col("_lo")
     share = F.when(
-        width < float("inf"), F.floor((F.col(value) - F.col("lo")) / width * F.col("k"))
+        width < float("inf"), F.floor((F.col(value) - F.col("_lo")) / width * F.col("_k"))
     )
     # an infinite border: keep both ends apart, everything finite in the middle
-    ends = F.when(F.col(value) == F.col("lo"), 0).when(
-        F.col(value) == F.col("hi"), F.col("k") - 1
-    ).otherwise(F.col("k") / 2)
-    bucket = F.least(F.coalesce(share, ends).cast("bigint"), F.col("k") - 1)
-    earlier = Window.partitionBy(*span).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.when(F.col(value) == F.col("_lo"), 0).when(
+        F.col(value) == F.col("_hi"), F.col("_k") - 1
+    ).otherwise(F.col("_k") / 2)
+    bucket = F.least(F.coalesce(share, ends).cast("bigint"), F.col("_k") - 1)
+    earlier = Window.partitionBy(*span).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     histogram = (
         rows.join(small_side(spans, most), keys)
-        .where(F.col(value).between(F.col("lo"), F.col("hi")))
-        .groupBy(*span, bucket.alias("bucket"))
+        .where(F.col(value).between(F.col("_lo"), F.col("_hi")))
+        .groupBy(*span, bucket.alias("_bucket"))
         .agg(
-            F.count(F.lit(1)).alias("c"), F.min(value).alias("blo"), F.max(value).alias("bhi")
+            F.count(F.lit(1)).alias("_c"), F.min(value).alias("_blo"), F.max(value).alias("_bhi")
         )
-        .withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+        .withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
     )
-    offset = F.col("rank") - F.col("below")
+    offset = F.col("_rank") - F.col("_below")
     return (
         histogram.join(small_side(targets, most), span)
-        .where((offset >= F.col("before")) & (offset < F.col("before") + F.col("c")))
+        .where((offset >= F.col("_before")) & (offset < F.col("_before") + F.col("_c")))
         .select(
             *keys,
-            F.col("blo").alias("lo"),
-            F.col("bhi").alias("hi"),
-            (F.col("below") + F.col("before")).alias("below"),
-            F.col("c").alias("inside"),
-            "spot",
-            "rank",
+            F.col("_blo").alias("_lo"),
+            F.col("_bhi").alias("_hi"),
+            (F.col("_below") + F.col("_before")).alias("_below"),
+            F.col("_c").alias("_inside"),
+            "_spot",
+            "_rank",
         )
     )

@@ -49,7 +49,7 @@ def process(
     imputed = impute.impute_by_config(cleaned, config, rows_per_slice, readings, largest)
     if large:
         imputed = materialise(imputed)
-    stats = metrics.series_stats(imputed, exact_rows=exact_rows, largest=largest, stored=True)
+    stats = metrics.series_stats(imputed, exact_rows=exact_rows, largest=largest, stored=large)
     if large:
         stats = stored_small(stats)
     return RunResult(

@@ -46,11 +46,13 @@ def file_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def listed_files(spark: SparkSession, path: str) -> DataFrame:
-    """Every file with its size, empty ones included (content is not read)."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
-        F.col("path").alias("file_path"), F.col("length").alias("file_size")
-    )
+def listed_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file_path`` of every file, from the listing Spark makes when it opens the paths.
+
+    A scan skips empty files, so it cannot tell that one exists; the listing can.
+    """
+    names = spark.read.text(paths).inputFiles()
+    return spark.createDataFrame([(n,) for n in names], "file_path STRING")
 
 
 def scan(lines: DataFrame) -> DataFrame:

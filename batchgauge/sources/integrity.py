@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,19 +26,41 @@ BASELINE_FILES = [
 FORMAT_VERSION = "1.0"
 
 
-def fingerprints(spark: SparkSession, path: str) -> DataFrame:
+IN_MEMORY = 256 * 1024 * 1024
+"""Largest file hashed as one value; larger ones are hashed in pieces as they are read."""
+
+
+def fingerprints(spark: SparkSession, path: str, in_memory: int = IN_MEMORY) -> DataFrame:
     """Size and SHA-256 of every file below ``path``."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select(
-            F.col("path").alias("file_path"),
-            file_name(F.col("path")).alias("file_name"),
-            F.col("length").alias("file_size"),
-            F.sha2("content", 256).alias("sha256"),
-        )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    named = [
+        F.col("path").alias("file_path"),
+        file_name(F.col("path")).alias("file_name"),
+        F.col("length").alias("file_size"),
+    ]
+    # the length filter reaches the source, so contents of larger files are never loaded
+    small = files.where(F.col("length") <= in_memory).select(
+        *named, F.sha2("content", 256).alias("sha256")
     )
+    large = files.where(F.col("length") > in_memory).select(*named)
+    schema = "file_path STRING, file_name STRING, file_size BIGINT, sha256 STRING"
+    return small.unionByName(large.mapInPandas(_hash_in_pieces, schema))
+
+
+def _hash_in_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SHA-256 needs the bytes in order: one task per file, a few megabytes at a time."""
+    from pyarrow import fs
+
+    for batch in batches:
+        digests = []
+        for uri in batch["file_path"]:
+            system, inner = fs.FileSystem.from_uri(quote(re.sub(r"^file:/+", "file:///", uri), safe=":/%"))
+            digest = hashlib.sha256()
+            with system.open_input_stream(inner) as stream:
+                while piece := stream.read(8 * 1024 * 1024):
+                    digest.update(piece)
+            digests.append(digest.hexdigest())
+        yield batch.assign(sha256=digests)
 
 
 def check_packages(actual: DataFrame, listed: DataFrame, required: list[str]) -> DataFrame:
