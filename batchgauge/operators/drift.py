@@ -72,7 +72,8 @@ def drift_check(thresholds: DataFrame, metrics: DataFrame, requests: DataFrame)
     key that spreads evenly however many targets one baseline has. Metrics the target
     run lacks are skipped.
     """
-    expected = requests.join(thresholds, "baseline_id")
+    limits = thresholds.select("baseline_id", *KEY, "baseline_value", "warn_pct", "block_pct")
+    expected = requests.join(limits, "baseline_id")
     pairs = expected.join(metrics.select("batch_id", *KEY, "metric_value"), ["batch_id", *KEY])
     return _judged(pairs.where(F.col("metric_value").isNotNull())).select(
         "baseline_id", "batch_id", *KEY, "baseline_value", "actual_value",

@@ -334,7 +334,7 @@ def _baseline(spark, sf):
 
 @query
 def baseline_thresholds(spark, sf):
-    return rounded(drift.build_thresholds(_metrics(spark, sf), 5.0, 15.0))
+    return rounded(drift.build_thresholds(_metrics(spark, sf), 5.0, 15.0), 7)
 
 
 @query

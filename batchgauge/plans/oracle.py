@@ -272,7 +272,7 @@ ORACLES["anomaly_counts"] = _with(*COUNTED) + """
 SELECT batch_id, sensor, anomalies FROM counts UNION ALL SELECT batch_id, NULL, total FROM totals"""
 ORACLES["anomaly_range"] = _with(*COUNTED) + """
 SELECT min(total) AS min_total, max(total) AS max_total, max(total) - min(total) AS abs_diff,
-       (SELECT string_agg(DISTINCT sensor, ',' ORDER BY sensor) FROM counts) AS sensors FROM totals"""
+       coalesce((SELECT string_agg(DISTINCT sensor, ',' ORDER BY sensor) FROM counts), '') AS sensors FROM totals"""
 
 # --- comparison ---------------------------------------------------------------------
 
@@ -370,8 +370,8 @@ verdict AS (
          CASE WHEN bool_or(status = 'block') THEN 'block' WHEN bool_or(status = 'warn') THEN 'warn' ELSE 'pass' END AS check_status
   FROM drift GROUP BY batch_id)"""
 ORACLES["baseline_thresholds"] = _with(*METRICS) + """
-SELECT batch_id, sensor, metric_name, round(b, 6) AS baseline_value, 5.0::DOUBLE AS warn_pct, 15.0::DOUBLE AS block_pct,
-       round(b - w, 6) AS warn_min, round(b + w, 6) AS warn_max, round(b - k, 6) AS block_min, round(b + k, 6) AS block_max
+SELECT batch_id, sensor, metric_name, round(b, 7) AS baseline_value, 5.0::DOUBLE AS warn_pct, 15.0::DOUBLE AS block_pct,
+       round(b - w, 7) AS warn_min, round(b + w, 7) AS warn_max, round(b - k, 7) AS block_min, round(b + k, 7) AS block_max
 FROM (SELECT *, metric_value AS b, CASE WHEN metric_value = 0 THEN 0.01 ELSE abs(metric_value) * 0.05 END AS w,
              CASE WHEN metric_value = 0 THEN 0.1 ELSE abs(metric_value) * 0.15 END AS k FROM metrics)"""
 ORACLES["drift_check"] = _with(*METRICS, DRIFT) + """
