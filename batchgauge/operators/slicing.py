@@ -14,6 +14,8 @@ sketches, so a recomputed task cuts the group in exactly the same places.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +25,8 @@ from batchgauge.session import materialise
 ROWS_PER_SLICE = 2_000_000
 """Largest group one task handles; a larger one is cut into slices of about this size."""
 
-BROADCAST_ROWS = 500_000
-"""Largest counted side that gets a broadcast hint."""
+BROADCAST_ROWS = 1_000_000
+"""Largest counted side that gets a broadcast hint: about 100 MB of slice rows."""
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -155,6 +157,20 @@ def _ordering(order: str, tie: str) -> list[Column]:
     return [F.col(order).asc_nulls_last(), F.col(tie).asc_nulls_last()]
 
 
+def _attach(rows: DataFrame, per_slice: DataFrame, sliced: Sliced) -> DataFrame:
+    """Join one row per slice to the rows of cut groups.
+
+    The condition is there for the plan. With plain equality the optimizer would add
+    not-null filters below ``per_slice`` only, and without ``_cut`` it would drop that
+    column from the rows; either way the two shuffles would differ and the rows would be
+    computed and shuffled twice instead of once.
+    """
+    parts = sliced.keys + sliced.slices
+    other = per_slice.withColumnsRenamed({p: f"_of_{p}" for p in parts})
+    same = reduce(and_, [F.col(p).eqNullSafe(F.col(f"_of_{p}")) for p in parts], F.col("_cut"))
+    return rows.join(small_side(other, sliced.rows), same, "left").drop(*[f"_of_{p}" for p in parts])
+
+
 def _earlier(keys: list[str], slices: list[str]):
     return (
         Window.partitionBy(*keys).orderBy(*slices).rowsBetween(Window.unboundedPreceding, -1)
@@ -194,7 +210,7 @@ def with_positions(
     local = F.row_number().over(Window.partitionBy(*parts).orderBy(*_ordering(order, tie)))
     return (
         sliced.df.withColumn("_local", local)
-        .join(small_side(offsets, sliced.rows), parts, "left")
+        .transform(_attach, offsets, sliced)
         .withColumn(name, (F.col("_local") + F.coalesce(F.col("_before"), F.lit(0))).cast("bigint"))
         .select(*df.columns, name)
     )
@@ -290,7 +306,7 @@ def _across_slices(rows: DataFrame, sliced: Sliced, value: str) -> DataFrame:
         )
     )
     return (
-        rows.join(small_side(carry, sliced.rows), parts, "left")
+        _attach(rows, carry, sliced)
         .withColumn("_before", F.coalesce(F.col("_before"), F.lit(0)))
         .withColumns({
             "_prev": F.coalesce(shifted("_prev"), F.col("_carry_prev")),
