@@ -115,8 +115,8 @@ def anomaly_counts(anomalies: DataFrame, batches: DataFrame) -> DataFrame:
 
 
 def anomaly_range(counts: DataFrame) -> DataFrame:
-    """Smallest, largest and spread of the batch totals, and the sensors with anomalies."""
-    # one row per sensor first (the totals are the NULL sensor), so the list stays short
+    """Smallest, largest and spread of the batch totals, and how many sensors are hit."""
+    # one row per sensor first; the totals are the NULL sensor
     per_sensor = counts.groupBy("sensor").agg(
         F.min("anomalies").alias("lo"),
         F.max("anomalies").alias("hi"),
@@ -128,10 +128,14 @@ def anomaly_range(counts: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(total, F.col("lo"))), F.lit(0)).alias("min_total"),
         F.coalesce(F.max(F.when(total, F.col("hi"))), F.lit(0)).alias("max_total"),
         F.max(F.when(total, spread)).alias("abs_diff"),
-        F.array_join(F.array_sort(F.collect_set("sensor")), ",").alias("sensors"),
+        F.count_if(~total).alias("sensors"),
     )
 
 
+def sensors_with_anomalies(counts: DataFrame) -> DataFrame:
+    return counts.where(F.col("sensor").isNotNull()).select("sensor").distinct()
+
+
 def error_type_counts(errors: DataFrame) -> DataFrame:
     return errors.groupBy("batch_id", "error_type").agg(F.count(F.lit(1)).alias("errors"))
 

@@ -307,7 +307,9 @@ def apply_rollback(requests: DataFrame, batches: DataFrame, history: DataFrame)
 def last_change(batches: DataFrame, audit: DataFrame, schemes: DataFrame, history: DataFrame) -> DataFrame:
     """Newest change of every batch, dry runs left out, with scheme and rollback details."""
     change = newest(audit.where("action <> 'dry_run'"), "batch_id", "id").select(
-        "batch_id", F.col("id").alias("audit_id"), "action", "result", "scheme_id"
+        "batch_id", F.col("id").alias("audit_id"), "action", "result", "scheme_id",
+        config_version(F.col("previous_config_json")).alias("old_version"),
+        config_version(F.col("new_config_json")).alias("new_version"),
     )
     undone = newest(history, "batch_id", "id").select(
         "batch_id", F.col("rolled_back_from_id").alias("_from"), F.col("scheme_id").alias("_to"),
@@ -320,7 +322,7 @@ def last_change(batches: DataFrame, audit: DataFrame, schemes: DataFrame, histor
         .join(undone, "batch_id", "left")
         .select(
             "batch_id", "batch_name", "locked", "config_version", "audit_id", "action", "result",
-            "scheme_id", "scheme_name", "scheme_version",
+            "scheme_id", "scheme_name", "scheme_version", "old_version", "new_version",
             F.when(rolled, F.col("_from")).alias("rolled_back_from_id"),
             F.when(rolled, F.col("_to")).alias("rolled_back_to_scheme_id"),
         )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchgauge.operators.slicing import ROWS_PER_SLICE, with_positions
+from batchgauge.operators.slicing import ROWS_PER_SLICE, stored_small, with_positions
 
 KEY = ["batch_id", "sensor", "metric_name"]
 
@@ -64,7 +64,8 @@ def even_sample(
         .when(i == k - 1, F.col("n") - 1)
         .otherwise(F.floor(i * ((F.col("n") - 1) / F.greatest(k - 1, F.lit(1))))),
     )
-    chosen = sizes.select("batch_id", F.explode(F.array_distinct(wanted)).alias("idx"))
+    # at most ``sample_rows`` rows per batch
+    chosen = stored_small(sizes.select("batch_id", F.explode(F.array_distinct(wanted)).alias("idx")))
     return placed.withColumn("idx", F.col("pos") - 1).drop("pos").join(chosen, ["batch_id", "idx"])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchgauge.operators.slicing import ROWS_PER_SLICE, with_neighbours
+from batchgauge.operators.slicing import ROWS_PER_SLICE, with_neighbours, with_positions
 
 
 def judged_events(events: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
@@ -134,16 +134,26 @@ def raise_tickets(
     )
 
 
-def ticket_documents(tickets: DataFrame, notes: DataFrame) -> DataFrame:
-    """Tickets as exchange documents with their note timeline.
+NOTES_PER_DOCUMENT = 1000
+"""Notes in one exchange document; a longer timeline goes on in further parts."""
 
-    Notes travel inside the document because the format asks for it; analyses use the
-    flat note table instead.
+
+def ticket_documents(
+    tickets: DataFrame, notes: DataFrame, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """Tickets as exchange documents with their note timeline, in order.
+
+    The format nests the notes, so a timeline is split into numbered parts of bounded
+    length: no row grows with the number of notes of a ticket, and none is left out.
     """
+    placed = with_positions(notes, ["ticket_id"], "note_id", "note_id", "pos", rows_per_slice)
     line = F.struct("note_id", "author", "note_type", "content")
-    timeline = notes.groupBy("ticket_id").agg(F.array_sort(F.collect_list(line)).alias("notes"))
+    parts = placed.groupBy(
+        "ticket_id", F.floor((F.col("pos") - 1) / NOTES_PER_DOCUMENT).alias("part")
+    ).agg(F.array_sort(F.collect_list(line)).alias("notes"))
     none = F.array().cast("array<struct<note_id:bigint,author:string,note_type:string,content:string>>")
-    return tickets.join(timeline, "ticket_id", "left").withColumns({
+    return tickets.join(parts, "ticket_id", "left").withColumns({
+        "part": F.coalesce("part", F.lit(0)),
         "notes": F.coalesce("notes", none),
         "original_ticket_id": F.coalesce("original_ticket_id", "ticket_id"),
     })

@@ -271,7 +271,7 @@ def config_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
+    k, p, s = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus")
     action = (
         F.when(p == "1-URGENT", "apply").when(p == "2-HIGH", "rollback").when(p == "3-MEDIUM", "import")
         .when(p == "4-NOT SPECIFIED", "direct_modify").otherwise("dry_run")
@@ -279,7 +279,9 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("batch_id"), action.alias("action"),
         F.when(s == "F", "success").when(s == "O", "failed").otherwise("blocked").alias("result"),
-        (F.col("o_orderkey") % 25).alias("scheme_id"),
+        (k % 25).alias("scheme_id"),
+        config_json(k % 9 + 1, F.lit(1)).alias("previous_config_json"),
+        config_json(k % 9 + 2, k % 3 + 1).alias("new_config_json"),
     )
 
 

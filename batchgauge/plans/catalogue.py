@@ -257,6 +257,11 @@ def anomaly_range(spark, sf):
     return anomaly.anomaly_range(_counts(spark, sf))
 
 
+@query
+def sensors_with_anomalies(spark, sf):
+    return anomaly.sensors_with_anomalies(_counts(spark, sf))
+
+
 @query
 def anomaly_kind_counts(spark, sf):
     result = run.process(b.readings(spark, sf), b.day_config(spark, sf))
@@ -451,7 +456,7 @@ def ticket_export_docs(spark, sf):
     )
     documents = tickets.ticket_documents(b.tickets(spark, sf), notes)
     return documents.select(
-        "ticket_id", "title", "status", "original_ticket_id",
+        "ticket_id", "title", "status", "original_ticket_id", "part",
         F.array_join(F.transform("notes", lambda n: F.concat_ws("|", n["note_type"], n["content"])), ";").alias("timeline"),
     )
 

@@ -272,7 +272,7 @@ ORACLES["anomaly_counts"] = _with(*COUNTED) + """
 SELECT batch_id, sensor, anomalies FROM counts UNION ALL SELECT batch_id, NULL, total FROM totals"""
 ORACLES["anomaly_range"] = _with(*COUNTED) + """
 SELECT min(total) AS min_total, max(total) AS max_total, max(total) - min(total) AS abs_diff,
-       coalesce((SELECT string_agg(DISTINCT sensor, ',' ORDER BY sensor) FROM counts), '') AS sensors FROM totals"""
+       (SELECT count(DISTINCT sensor) FROM counts) AS sensors FROM totals"""
 
 # --- comparison ---------------------------------------------------------------------
 
@@ -505,11 +505,15 @@ ORACLES["ticket_illegal"] = _with(EVENTS_LOG) + """
 SELECT ticket_id, seq, action, CASE WHEN action = 'reopen' THEN 'not_resolved' ELSE 'already_resolved' END AS reason
 FROM folded WHERE NOT ok"""
 ORACLES["ticket_export_docs"] = _with(EVENTS_LOG) + """
+, notes AS (
+  SELECT *, (row_number() OVER (PARTITION BY ticket_id ORDER BY seq) - 1) // 1000 AS part
+  FROM ticket_log WHERE action <> 'create')
 SELECT c_custkey AS ticket_id, c_name AS title,
        CASE c_nationkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'assigned' ELSE 'resolved' END AS status,
        CASE WHEN c_nationkey % 4 = 0 THEN c_custkey - 1 ELSE c_custkey END AS original_ticket_id,
-       coalesce(string_agg(action || '|' || payload, ';' ORDER BY seq), '') AS timeline
-FROM customer LEFT JOIN ticket_log ON ticket_id = c_custkey AND action <> 'create' GROUP BY ALL"""
+       coalesce(part, 0) AS part, coalesce(string_agg(action || '|' || payload, ';' ORDER BY seq), '') AS timeline
+FROM customer LEFT JOIN notes ON ticket_id = c_custkey GROUP BY ALL"""
+ORACLES["sensors_with_anomalies"] = _with(*COUNTED) + "SELECT DISTINCT sensor FROM counts"
 ORACLES["ticket_conflicts"] = _with("""
 incoming AS (
   SELECT o_orderkey AS seq, 'Customer#' || lpad(CAST(o_orderkey * 2 AS VARCHAR), 9, '0') AS title,
@@ -653,11 +657,11 @@ AUDIT = """audit AS (
          CASE o_orderpriority WHEN '1-URGENT' THEN 'apply' WHEN '2-HIGH' THEN 'rollback' WHEN '3-MEDIUM' THEN 'import'
               WHEN '4-NOT SPECIFIED' THEN 'direct_modify' ELSE 'dry_run' END AS action,
          CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failed' ELSE 'blocked' END AS result,
-         o_orderkey % 25 AS scheme_id
-  FROM orders)"""
+         o_orderkey % 25 AS scheme_id, {old} AS previous_config_json, {new} AS new_config_json
+  FROM orders)""".format(old=_config("o_orderkey % 9 + 1", "1"), new=_config("o_orderkey % 9 + 2", "o_orderkey % 3 + 1"))
 ORACLES["last_change"] = _with(BATCHES, AUDIT, SCHEMES, HISTORY) + """
 SELECT b.batch_id, batch_name, locked, b.config_version, a.id AS audit_id, a.action, result, a.scheme_id,
-       s.name AS scheme_name, s.scheme_version,
+       s.name AS scheme_name, s.scheme_version, a.id % 9 + 1 AS old_version, a.id % 9 + 2 AS new_version,
        CASE WHEN a.action = 'rollback' THEN h.rolled_back_from_id END AS rolled_back_from_id,
        CASE WHEN a.action = 'rollback' AND h.rolled_back_from_id IS NOT NULL THEN h.scheme_id END AS rolled_back_to_scheme_id
 FROM batches b

@@ -69,6 +69,29 @@ def write_comparison(path: str, document: DataFrame) -> str:
     return path
 
 
+def write_comparison_csv(path: str, tables: dict[str, DataFrame]) -> dict[str, str]:
+    """The report as CSV tables, one folder each: summary, batches, metrics, anomalies and
+    the range of the anomaly totals."""
+    expected = {"summary", "batches", "metrics", "anomalies", "range"}
+    if set(tables) != expected:
+        raise ValueError(f"expected the tables {sorted(expected)}")
+    return {name: write_csv(table, f"{path}/{name}") for name, table in tables.items()}
+
+
+def comparison_summary(name: str, batches: DataFrame, scheme: tuple[str, str] | None = None) -> DataFrame:
+    """The header row of a report over at least two batches."""
+    row = batches.agg(
+        F.lit(name).alias("report_name"),
+        F.lit(scheme[0] if scheme else None).cast("string").alias("scheme_name"),
+        F.lit(scheme[1] if scheme else None).cast("string").alias("scheme_version"),
+        F.count(F.lit(1)).alias("batch_count"),
+    )
+    enough = F.when(F.col("batch_count") >= 2, F.col("batch_count")).otherwise(
+        F.raise_error(F.lit("a comparison needs at least 2 batches"))
+    )
+    return row.withColumn("batch_count", enough)
+
+
 def scheme_documents(schemes: DataFrame) -> DataFrame:
     return schemes.select(
         "name", "scheme_version", F.col("config_json").alias("config"), "source_scheme_id",

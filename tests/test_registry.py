@@ -42,11 +42,11 @@ def test_anomaly_counts_keep_zero_batches(spark):
     marked = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y")], "batch_id STRING, sensor STRING")
     counts = anomaly.anomaly_counts(marked, batches)
     assert rows_of(counts.where("sensor IS NULL"), "batch_id", "anomalies") == [("a", 3), ("b", 0)]
-    assert tuple(anomaly.anomaly_range(counts).first()) == (0, 3, 3, "x,y")
+    assert tuple(anomaly.anomaly_range(counts).first()) == (0, 3, 3, 2)
     wide = compare.anomaly_table(counts, batches)
     assert rows_of(wide, "batch_id", "total_anomalies", "anomalies_x", "anomalies_y") == [("a", 3, 2, 1), ("b", 0, 0, 0)]
     none = anomaly.anomaly_counts(marked.limit(0), batches.limit(1))
-    assert tuple(anomaly.anomaly_range(none).first()) == (0, 0, None, "")
+    assert tuple(anomaly.anomaly_range(none).first()) == (0, 0, None, 0)
 
 
 def test_drift_levels_are_inclusive(spark):
@@ -199,11 +199,12 @@ def test_rollback_twice_toggles(spark):
 
 def test_last_change_and_lineage(spark):
     batches, schemes, history = registry(spark)
-    audit = spark.createDataFrame([(1, 1, "apply", "success", 1), (2, 1, "dry_run", "success", 2), (3, 3, "rollback", "failed", None)],
-        "id BIGINT, batch_id BIGINT, action STRING, result STRING, scheme_id BIGINT")
+    audit = spark.createDataFrame(
+        [(1, 1, "apply", "success", 1, '{"version": 3}', '{"version": 2}'), (2, 1, "dry_run", "success", 2, None, None), (3, 3, "rollback", "failed", None, None, None)],
+        "id BIGINT, batch_id BIGINT, action STRING, result STRING, scheme_id BIGINT, previous_config_json STRING, new_config_json STRING")
     found = configs.last_change(batches, audit, schemes, history)
-    assert rows_of(found, "batch_id", "action", "scheme_name", "rolled_back_from_id") == [
-        (1, "apply", "base", None), (2, None, None, None), (3, "rollback", None, None)]
+    assert rows_of(found, "batch_id", "action", "scheme_name", "old_version", "new_version", "rolled_back_from_id") == [
+        (1, "apply", "base", 3, 2, None), (2, None, None, None, None, None), (3, "rollback", None, None, None, None)]
     lineage = {r.scheme_id: (r.source_scheme_name, r.root_id, r.newest_copy_name) for r in configs.scheme_lineage(schemes).collect()}
     assert lineage == {1: (None, 1, "copy"), 2: ("base", 2, None), 3: (None, 3, None), 4: (None, 1, None)}
 
@@ -316,6 +317,16 @@ def test_ticket_conflicts(spark):
         (1, "title_exists", 1), (2, "source_exists", 1), (3, "source_exists", 2), (4, "source_exists", 4), (5, None, None), (6, None, None)]
 
 
+def test_long_timelines_go_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(tickets, "NOTES_PER_DOCUMENT", 3)
+    held = spark.createDataFrame([(1, None), (2, 9)], "ticket_id BIGINT, original_ticket_id BIGINT")
+    notes = spark.createDataFrame([(1, i, "me", "comment", f"n{i}") for i in range(8)],
+        "ticket_id BIGINT, note_id BIGINT, author STRING, note_type STRING, content STRING")
+    found = tickets.ticket_documents(held, notes, rows_per_slice=2)
+    assert [(r.ticket_id, r.part, r.original_ticket_id, [n.note_id for n in r.notes]) for r in found.orderBy("ticket_id", "part").collect()] == [
+        (1, 0, 1, [0, 1, 2]), (1, 1, 1, [3, 4, 5]), (1, 2, 1, [6, 7]), (2, 0, 9, [])]
+
+
 def test_raised_tickets(spark):
     verdicts = spark.createDataFrame([("a", "block"), ("b", "warn"), ("c", "block")], "batch_id STRING, check_status STRING")
     counts = spark.createDataFrame([("a", None, 9), ("a", "s", 9), ("b", None, 2)], "batch_id STRING, sensor STRING, anomalies BIGINT")

@@ -155,6 +155,19 @@ def test_comparison_document(spark, tmp_path):
     assert json.loads(doc.where("part = 'report'").first().value) == {"name": "report", "anomalies": {"batch_id": "a", "n": 1}}
 
 
+def test_comparison_csv(spark, tmp_path):
+    batches = spark.createDataFrame([("a",), ("b",)], "batch_id STRING")
+    summary = exports.comparison_summary("r", batches, ("s", "1.0"))
+    assert tuple(summary.first()) == ("r", "s", "1.0", 2)
+    with pytest.raises(Exception, match="at least 2 batches"):
+        exports.comparison_summary("r", batches.limit(1)).collect()
+    tables = dict.fromkeys(("batches", "metrics", "anomalies", "range"), batches)
+    paths = exports.write_comparison_csv(str(tmp_path / "r"), {"summary": summary, **tables})
+    assert spark.read.csv(paths["summary"], header=True).first().batch_count == "2"
+    with pytest.raises(ValueError):
+        exports.write_comparison_csv(str(tmp_path / "x"), tables)
+
+
 def test_scheme_export_and_baseline_package(spark, tmp_path):
     schemes = spark.createDataFrame([(5, "a", "1.0", "{}", None, 2), (6, "b", "1.0", "{}", 5, None)],
         "scheme_id BIGINT, name STRING, scheme_version STRING, config_json STRING, source_scheme_id BIGINT, original_id BIGINT")
