@@ -102,9 +102,8 @@ def flat_options(config_json: Column, depth: int = 3) -> Column:
 
     entries = F.map_entries(F.from_json(config_json, text))
     for _ in range(depth - 1):
-        entries = F.when(
-            F.exists(entries, is_object), F.flatten(F.transform(entries, opened))
-        ).otherwise(entries)
+        # one use of ``entries`` per level: lambdas are evaluated anew for each use
+        entries = F.flatten(F.transform(entries, opened))
     return F.map_from_entries(entries)
 
 
