@@ -161,10 +161,15 @@ def apply_schemes(
         first = (
             checked.where("can_proceed").groupBy("new_name").agg(F.min("request_id").alias("_first"))
         )
-        checked = checked.join(first, "new_name", "left").withColumn(
-            "can_proceed", F.col("can_proceed") & F.col("new_name").isNotNull()
-            & (F.col("request_id") == F.col("_first"))
-        ).drop("_first")
+        unnamed = F.col("new_name").isNull()
+        lost = F.col("can_proceed") & (F.col("request_id") != F.col("_first"))
+        extra = F.array_compact(F.array(_risk(unnamed, "name_missing"), _risk(lost, "name_conflict")))
+        checked = (
+            checked.join(first, "new_name", "left")
+            .withColumn("risks", F.concat("risks", extra))
+            .withColumn("can_proceed", F.col("can_proceed") & ~unnamed & ~lost)
+            .drop("_first")
+        )
     # several result tables read the checked requests and the steps
     checked = materialise(checked)
     accepted = checked.where("can_proceed")

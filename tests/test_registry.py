@@ -175,9 +175,11 @@ def test_apply_chains_requests_of_one_batch(spark):
 @pytest.mark.parametrize("action, source", [("clone_apply", None), ("derive_apply", 1)])
 def test_copy_and_apply(spark, action, source):
     batches, schemes, history = registry(spark)
-    requests = spark.createDataFrame([(1, 1, 1, "new", None), (2, 3, 1, "new", None), (3, 2, 1, "locked", None), (4, 3, 1, "second", None)], REQUEST)
+    requests = spark.createDataFrame([(1, 1, 1, "new", None), (2, 3, 1, "new", None), (3, 2, 1, "locked", None), (4, 3, 1, "second", None), (5, 1, 1, None, None)], REQUEST)
     done = configs.apply_schemes(requests, batches, schemes, history, action)
     assert rows_of(done["schemes"], "scheme_id", "name", "source_scheme_id") == [(5, "new", source), (6, "second", source)]
+    assert rows_of(done["audit_log"], "request_id", "result", "error_message") == [
+        (1, "success", ""), (2, "blocked", "name_conflict"), (3, "blocked", "batch_locked"), (4, "success", ""), (5, "blocked", "name_missing")]
     applied = done["config_history"].where("action = 'apply'")
     assert rows_of(applied, "batch_id", "scheme_id", "source_scheme_id") == [(1, 5, 1), (3, 6, 1)]
 
