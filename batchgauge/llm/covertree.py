@@ -30,7 +30,7 @@ CHUNK = 4096
 """Queries per chunk, about."""
 FAN_OUT = 8
 LEAF = 32
-LOWEST = np.iinfo(np.int64).min
+LOWEST = np.iinfo(np.int64).min + 1
 
 
 def integer_vector(vector: Column, scale: int = 64) -> Column:

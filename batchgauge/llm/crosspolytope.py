@@ -107,71 +107,96 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["id", "copies", "vector", "keys"])
 
 
-def _first_shared(codes: np.ndarray, i: np.ndarray, j: np.ndarray, key: int) -> np.ndarray:
-    """Whether ``key`` is the smallest code of both rows of each pair (i, j)."""
+def _first_shared(x: np.ndarray, i: np.ndarray, j: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether ``keys[p]`` is the smallest code that rows ``i[p]`` and ``j[p]`` share."""
+    used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    codes = bucket_codes(x[used])
+    i, j = place[: len(i)], place[len(i) :]
     out = np.zeros(len(i), bool)
     for at in range(0, len(i), PAIRS_AT_ONCE):
-        a, b = codes[i[at : at + PAIRS_AT_ONCE]], codes[j[at : at + PAIRS_AT_ONCE]]
+        some = slice(at, at + PAIRS_AT_ONCE)
+        a, b = codes[i[some]], codes[j[some]]
         same = (a[:, :, :, None] == b[:, :, None, :]).any(3)
-        smallest = np.where(same, a, np.iinfo(np.int64).max).min((1, 2))
-        out[at : at + PAIRS_AT_ONCE] = smallest == key
+        out[some] = np.where(same, a, np.iinfo(np.int64).max).min((1, 2)) == keys[some]
     return out
 
 
-def bucket_links(x: np.ndarray, copies: np.ndarray, side: np.ndarray, key: int, pair: bool, cosine: float):
-    """Links per row that this bucket is the first to find, and a forest label per row."""
+def _near_pairs(unit: np.ndarray, side: np.ndarray, pair: bool, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows with at least the cosine; with ``pair`` only those across the two sides."""
+    rows = np.arange(len(unit))
+    first, second = (rows[side == side.min()], rows[side != side.min()]) if pair else (rows, rows)
+    for at in range(0, len(first), 256):
+        a, b = np.nonzero(unit[first[at : at + 256]] @ unit[second].T >= cosine)
+        i, j = first[a + at], second[b]
+        yield (i, j) if pair else (i[i < j], j[i < j])
+
+
+def bucket_links(x: np.ndarray, copies: np.ndarray, side: np.ndarray, starts: np.ndarray, keys: np.ndarray, pair: np.ndarray, cosine: float):
+    """Links of many buckets, which begin at ``starts``: how many each row gets from the buckets that
+    are the first to find them, and a forest label per row."""
     unit = x / np.abs(x).max(1, keepdims=True)
     unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
-    codes = bucket_codes(x)
     counts, labels = np.zeros(len(x), np.int64), np.arange(len(x))
-    first = np.flatnonzero(side == side.min()) if pair else np.arange(len(x))
-    second = np.flatnonzero(side != side.min()) if pair else first
-    for at in range(0, len(first), 256):
-        rows = first[at : at + 256]
-        a, b = np.nonzero(unit[rows] @ unit[second].T >= cosine)
-        i, j = rows[a], second[b]
-        if not pair:
-            i, j = i[i < j], j[i < j]
-        own = _first_shared(codes, i, j, key)
+    held: list[tuple] = []
+
+    def settle() -> None:
+        nonlocal labels
+        i, j, of = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        own = _first_shared(x, i, j, of)
         i, j = i[own], j[own]
         np.add.at(counts, i, copies[j])
         np.add.at(counts, j, copies[i])
-        # earlier links enter as pairs of a row and its label
-        labels = forest(len(x), np.concatenate([i, np.arange(len(x))]), np.concatenate([j, labels]))
+        rows = np.arange(len(x))  # earlier links enter as pairs of a row and its label
+        labels = forest(len(x), np.concatenate([i, rows]), np.concatenate([j, labels]))
+
+    waiting = 0
+    for start, end, key, two in zip(starts.tolist(), [*starts[1:].tolist(), len(x)], keys.tolist(), pair.tolist()):
+        if end - start > 1:
+            for i, j in _near_pairs(unit[start:end], side[start:end], two, cosine):
+                if len(i):
+                    held.append((i + start, j + start, np.full(len(i), key)))
+                    waiting += len(i)
+            if waiting > 500_000:
+                settle()
+                waiting = 0
+    if held:
+        settle()
     return counts, labels
 
 
 def _linked(cosine: float):
     ddl = "a BIGINT, b BIGINT, n BIGINT"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of equal (key, low, high); a run never exceeds two chunks."""
-        schema, held = arrow_schema(ddl), None
-
-        def answer(table: pa.Table) -> pa.RecordBatch:
-            ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
-            key, low, high = (table.column(c)[0].as_py() for c in ("key", "low", "high"))
-            x = matrix(table.column("vector"))
-            counts, labels = bucket_links(x, copies, table.column("side").to_numpy(), key & ((1 << 40) - 1), low != high, cosine)
-            some, moved = np.flatnonzero(counts), np.flatnonzero(labels != np.arange(len(ids)))
-            a = pa.array(np.concatenate([ids[some], ids[moved]]))
-            b = pa.array(np.concatenate([np.zeros(len(some), np.int64), ids[labels[moved]]]),
-                         mask=np.arange(len(some) + len(moved)) < len(some))
-            n = pa.array(np.concatenate([counts[some], np.zeros(len(moved), np.int64)]))
-            return pa.RecordBatch.from_arrays([a, b, n], schema=schema)
+    def answer(part: pa.RecordBatch) -> pa.RecordBatch:
+        ids, copies = part.column("id").to_numpy(), part.column("copies").to_numpy()
+        key, low, high = (part.column(c).to_numpy() for c in ("key", "low", "high"))
+        new = np.ones(len(key), bool)
+        new[1:] = (np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)
+        starts = np.flatnonzero(new)
+        counts, labels = bucket_links(
+            matrix(part.column("vector")), copies, part.column("side").to_numpy(), starts,
+            key[starts] & ((1 << 40) - 1), low[starts] != high[starts], cosine)
+        some, moved = np.flatnonzero(counts), np.flatnonzero(labels != np.arange(len(ids)))
+        a = pa.array(np.concatenate([ids[some], ids[moved]]))
+        b = pa.array(np.concatenate([np.zeros(len(some), np.int64), ids[labels[moved]]]),
+                     mask=np.arange(len(some) + len(moved)) < len(some))
+        n = pa.array(np.concatenate([counts[some], np.zeros(len(moved), np.int64)]))
+        return pa.RecordBatch.from_arrays([a, b, n], schema=arrow_schema(ddl))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Buckets are runs of equal (key, low, high), of two chunks at most; the last run of a batch
+        waits for the next batch."""
+        held = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            keys = [held.column(c).to_numpy() for c in ("key", "low", "high")]
-            change = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
-            starts = [0, *change.tolist()]
-            for start, end in zip(starts, starts[1:]):
-                if end - start > 1:
-                    yield answer(held.slice(start, end - start))
-            held = held.slice(starts[-1])
-        if held is not None and held.num_rows > 1:
-            yield answer(held)
+            whole = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            key, low, high = (whole.column(c).to_numpy() for c in ("key", "low", "high"))
+            cut = int(np.argmax((key == key[-1]) & (low == low[-1]) & (high == high[-1])))
+            if cut:
+                yield from map(answer, _by_length(whole.slice(0, cut), "vector"))
+            held = whole.slice(cut)
+        if held is not None:
+            yield from map(answer, _by_length(held, "vector"))
 
     return run, ddl
 
