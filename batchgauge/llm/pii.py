@@ -388,10 +388,12 @@ def redacted(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
     Null texts stay null, with the ``n_chars`` they had.
     """
     held = documents.sparkSession.sparkContext.broadcast(train(documents, sample))
+    names = documents.columns
+    at, counted = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            at, changed = batch.schema.get_field_index("text"), []
+            changed = []
             for text in batch.column(at).to_pylist():
                 if text:
                     base = base_spans(text)
@@ -401,8 +403,10 @@ def redacted(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
             columns[at] = pa.array(changed, type=batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    clean = documents.mapInArrow(run, documents.schema)
-    if "n_chars" in documents.columns:
-        kind = documents.schema["n_chars"].dataType
-        clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return clean
+    plain = documents.toDF(*[f"c{i}" for i in range(len(names))])  # whatever the names hold
+    clean = plain.mapInArrow(run, plain.schema)
+    if counted is not None:
+        n, text = F.col(f"c{counted}"), F.col(f"c{at}")
+        kind = documents.schema[counted].dataType
+        clean = clean.withColumn(f"c{counted}", F.when(text.isNull(), n).otherwise(F.length(text).cast(kind)))
+    return clean.toDF(*names)

@@ -41,13 +41,14 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` less the rows with an id in ``gone``; the join is left to the optimizer's size checks."""
-    return docs.join(materialise(gone.where("doc_id IS NOT NULL")), "doc_id", "left_anti").select(*docs.columns)
+    gone = materialise(gone.where("doc_id IS NOT NULL"))
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
 
 
 def _once(docs: DataFrame) -> DataFrame:
     """One row per ``doc_id``, only ids that occur more than once being shuffled with their texts."""
     repeated = materialise(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
-    first = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    first = docs.join(repeated, docs["doc_id"] == repeated["doc_id"], "left_semi").dropDuplicates(["doc_id"])
     return _without(docs, repeated).union(first)
 
 
