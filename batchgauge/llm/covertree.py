@@ -29,7 +29,10 @@ BLOCK = 8192
 CHUNK = 4096
 """Queries per chunk, about."""
 FAN_OUT = 8
-LEAF = 32
+LEAF = 192
+"""Rows below which a node is not divided any more."""
+ROWS_SCORED = 2048
+"""Candidates scored together for a query leaf, about."""
 LOWEST = np.iinfo(np.int64).min + 1
 
 
@@ -83,8 +86,8 @@ class Best:
         return int(np.maximum(self.scores[rows, -1], self.floors[rows]).min())
 
     def offer(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        scores = np.where(ids == self.ids[rows][:, None], LOWEST, scores)
-        useful = (scores >= self.floors[rows][:, None]).any(0)
+        scores[ids == self.ids[rows][:, None]] = LOWEST
+        useful = (scores >= np.maximum(self.floors[rows], self.scores[rows, -1])[:, None]).any(0)
         if not useful.any():
             return
         scores = np.concatenate([self.scores[rows], scores[:, useful]], 1)
@@ -94,15 +97,19 @@ class Best:
         self.found[rows] = np.take_along_axis(all_ids, order, 1)
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def exact_in_doubles(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether doubles hold every inner product of rows of ``a`` and ``b``."""
+    return a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) < 2.0**53
+
+
+def products(a: np.ndarray, b: np.ndarray, doubles: bool) -> np.ndarray:
     """Integer inner products of all rows; doubles do the work where they are exact."""
-    if a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) < 2.0**53:
-        return (a @ b.T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    return (a @ b.T).astype(np.int64) if doubles else a.astype(np.int64) @ b.astype(np.int64).T
 
 
 def dual_search(queries: np.ndarray, candidates: np.ndarray, ids: np.ndarray, best: Best) -> None:
     """Improve ``best`` by all candidates, leaving out node pairs that cannot matter."""
+    doubles = exact_in_doubles(queries, candidates)
 
     def bound(q: Node, nodes: list[Node]) -> np.ndarray:
         centers = np.array([n.center for n in nodes])
@@ -131,11 +138,13 @@ def dual_search(queries: np.ndarray, candidates: np.ndarray, ids: np.ndarray, be
             return
         reach = bound(q, leaves)
         order = np.argsort(-reach, kind="stable")
-        for at in range(0, len(order), 8):
-            if reach[order[at]] < best.worst(q.rows):
+        filled = np.cumsum([len(leaves[i].rows) for i in order])
+        starts = np.flatnonzero(np.diff(filled // ROWS_SCORED, prepend=-1))
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+            if reach[order[start]] < best.worst(q.rows):
                 break
-            rows = np.concatenate([leaves[i].rows for i in order[at : at + 8]])
-            best.offer(q.rows, ids[rows], products(queries[q.rows], candidates[rows]))
+            rows = np.concatenate([leaves[i].rows for i in order[start:end]])
+            best.offer(q.rows, ids[rows], products(queries[q.rows], candidates[rows], doubles))
 
     visit(cover_tree(queries), [cover_tree(candidates)])
 
@@ -187,7 +196,7 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64)
                 floors = np.full(len(x), LOWEST)
                 asks = np.flatnonzero(ids % every == 0)
                 if len(asks) and d in samples and len(samples[d][0]) > k:
-                    scores = products(x[asks], samples[d][1])
+                    scores = products(x[asks], samples[d][1], exact_in_doubles(x[asks], samples[d][1]))
                     scores[ids[asks][:, None] == samples[d][0][None]] = LOWEST
                     floors[asks] = np.partition(scores, -k, axis=1)[:, -k]
                 arrays = [batch.column("vec_id"), batch.column("v"), pa.array(cell + d * PIVOTS), pa.array(apart[np.arange(len(x)), cell]),

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,7 +92,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def _by_length(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    lengths = pa.compute.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    lengths = pc.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)
     for length in np.unique(lengths):
         yield batch.filter(pa.array(lengths == length))
 
