@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchgauge.llm import covertree, crosspolytope, dac, ecoc, licenses, packing, pii, simhash, transducer, urls
+from batchgauge.session import share_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,12 +24,7 @@ def query(function):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    # Python workers import this package; a driver that put its folder on sys.path tells them so.
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    environment = spark.sparkContext.environment
-    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in known:
-        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+    share_package(spark)
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
