@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from batchgauge.functions.json_text import json_with_version
+
 # Sections a configuration must have, and the defaults of its options.
 REQUIRED_SECTIONS = ["cleaning", "missing_values", "anomaly_detection", "metrics"]
 DEFAULTS = {
@@ -84,42 +86,9 @@ def version_compatible(version: Column, current: str) -> Column:
     )
 
 
-def flat_options(config_json: Column, depth: int = 3) -> Column:
-    """A JSON object as a map of dotted paths to values; works inside one row."""
-    text = "map<string,string>"
-
-    def is_object(entry: Column) -> Column:
-        return F.coalesce(entry["value"].startswith("{"), F.lit(False))
-
-    def opened(entry: Column) -> Column:
-        inner = F.transform(
-            F.map_entries(F.from_json(entry["value"], text)),
-            lambda e: F.struct(
-                F.concat_ws(".", entry["key"], e["key"]).alias("key"), e["value"].alias("value")
-            ),
-        )
-        return F.when(is_object(entry), inner).otherwise(F.array(entry))
-
-    entries = F.map_entries(F.from_json(config_json, text))
-    for _ in range(depth - 1):
-        # one use of ``entries`` per level: lambdas are evaluated anew for each use
-        entries = F.flatten(F.transform(entries, opened))
-    return F.map_from_entries(entries)
-
-
 def with_version(config_json: Column, version: Column) -> Column:
     """The same configuration text with its top-level version replaced or added."""
-    text = version.cast("string")
-    leading = r'^(\s*\{[^{}]*?"version"\s*:\s*)-?[0-9]+'
-    known = F.from_json(config_json, CONFIG_SCHEMA)
-    return (
-        F.when(config_json.rlike(leading), F.regexp_replace(config_json, F.lit(leading), F.concat(F.lit("$1"), text)))
-        .when(
-            ~F.array_contains(F.json_object_keys(config_json), "version"),
-            F.regexp_replace(config_json, F.lit(r"^\s*\{"), F.concat(F.lit('{"version": '), text, F.lit(", "))),
-        )
-        .otherwise(F.to_json(known.withField("version", version.cast("int"))))
-    )
+    return json_with_version(config_json, version.cast("string"))
 
 
 def config_version(config_json: Column) -> Column:

@@ -19,18 +19,20 @@ def _fences(multiplier: Column) -> tuple[Column, Column]:
 
 
 def _side(lower: Column, upper: Column) -> Column:
-    return F.when(F.col("value") < lower, "below_lower").when(F.col("value") > upper, "above_upper")
+    # infinite quartiles give NaN fences, which Spark would hold larger than any value
+    return F.when((F.col("value") < lower) & ~F.isnan(lower), "below_lower").when(
+        (F.col("value") > upper) & ~F.isnan(upper), "above_upper")
 
 
 def zscore_anomalies(
     readings: DataFrame, stats: DataFrame, threshold: float = 3.0, min_values: int = 5
 ) -> DataFrame:
     """Readings farther than ``threshold`` sample deviations from the mean (strict)."""
-    eligible = stats.where((F.col("count") >= min_values) & (F.col("std") > 0))
+    eligible = stats.where((F.col("count") >= min_values) & (F.col("std") > 0) & ~F.isnan("std"))
     return (
         readings.join(eligible.select(*SERIES, "mean", "std"), SERIES)
         .withColumn("score", _z())
-        .where(F.col("score") > threshold)
+        .where((F.col("score") > threshold) & ~F.isnan("score"))
         .select(*READING, "score")
     )
 
@@ -63,7 +65,7 @@ def anomalies_by_config(readings: DataFrame, stats: DataFrame, config: DataFrame
     limits = (
         stats.join(options, "batch_id")
         .where(F.col("count") >= F.col("min_values"))
-        .where("(method = 'zscore' AND std > 0) OR method = 'iqr'")
+        .where("(method = 'zscore' AND std > 0 AND NOT isnan(std)) OR method = 'iqr'")
         .select(
             *SERIES, "method", "mean", "std", "zscore_threshold",
             F.when(F.col("method") == "iqr", lower).alias("lower"),
@@ -76,7 +78,7 @@ def anomalies_by_config(readings: DataFrame, stats: DataFrame, config: DataFrame
         readings.where(F.col("value").isNotNull())
         .join(limits, SERIES)
         .withColumns({"score": score, "side": side})
-        .where((F.col("score") > F.col("zscore_threshold")) | F.col("side").isNotNull())
+        .where(((F.col("score") > F.col("zscore_threshold")) & ~F.isnan("score")) | F.col("side").isNotNull())
         .select(*READING, "method", "score", "lower", "upper", "side")
     )
 

@@ -49,14 +49,14 @@ def metric_matrix_wide(metrics: DataFrame) -> DataFrame:
 def matrix_summary(matrix: DataFrame) -> DataFrame:
     return matrix.agg(
         F.count(F.lit(1)).alias("total_metrics_compared"),
-        F.count_if(F.col("abs_diff") > 0).alias("metrics_with_diff"),
+        F.count_if((F.col("abs_diff") > 0) & ~F.isnan("abs_diff")).alias("metrics_with_diff"),
     )
 
 
 def top_differences(matrix: DataFrame, limit: int = 10) -> DataFrame:
     """The metrics that differ most, largest absolute difference first."""
     return (
-        matrix.where(F.col("abs_diff") > 0)
+        matrix.where((F.col("abs_diff") > 0) & ~F.isnan("abs_diff"))
         .orderBy(F.desc("abs_diff"), *METRIC)
         .limit(limit)
     )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from batchgauge.functions.json_text import json_changes
 from batchgauge.functions.settings import (
-    config_version, flat_options, missing_sections, version_compatible, with_version,
+    config_version, missing_sections, version_compatible, with_version,
 )
 from batchgauge.operators.catalog import newest
 from batchgauge.operators.slicing import with_neighbours, with_positions
@@ -35,37 +36,10 @@ def with_changes(pairs: DataFrame, name: str = "config_diff") -> DataFrame:
     """Add the array of ``path, change, old_value, new_value`` between ``old_json`` and
     ``new_json``.
 
-    Both sides are in one row, so no join is needed. Nested options appear under dotted
-    paths; numbers compare by value: 1 equals 1.0, and true equals 1.
+    Both sides are in one row, so no join is needed. Nested options of any depth appear under
+    dotted paths; values compare by type and value: 1 equals 1.0 and true, "1" does not equal 1.
     """
-    nothing = F.create_map().cast("map<string,string>")
-    # columns of their own: inside the lambdas the maps would be built again for every path
-    flat = pairs.withColumns({
-        "_old": F.coalesce(flat_options(F.col("old_json")), nothing),
-        "_new": F.coalesce(flat_options(F.col("new_json")), nothing),
-    })
-    old, new = F.col("_old"), F.col("_new")
-
-    def comparable(value: Column) -> Column:
-        text = F.when(value == "true", "1").when(value == "false", "0").otherwise(value)
-        return F.coalesce(text.try_cast("double").cast("string"), text)
-
-    def judged(path: Column) -> Column:
-        before, after = F.try_element_at(old, path), F.try_element_at(new, path)
-        change = (
-            F.when(~F.map_contains_key(old, path), "added")
-            .when(~F.map_contains_key(new, path), "removed")
-            .when(before.eqNullSafe(after), None)
-            .when(~comparable(before).eqNullSafe(comparable(after)), "modified")
-        )
-        return F.struct(
-            path.alias("path"), change.alias("change"),
-            before.alias("old_value"), after.alias("new_value"),
-        )
-
-    paths = F.array_union(F.map_keys("_old"), F.map_keys("_new"))
-    found = F.filter(F.transform(paths, judged), lambda c: c["change"].isNotNull())
-    return flat.withColumn(name, found).drop("_old", "_new")
+    return pairs.withColumn(name, json_changes(F.col("old_json"), F.col("new_json")))
 
 
 def config_diff(pairs: DataFrame, keys: list[str]) -> DataFrame:

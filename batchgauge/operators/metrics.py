@@ -123,7 +123,10 @@ def source_summary(readings: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def run_counters(readings: DataFrame, errors: DataFrame) -> DataFrame:
-    """Processed rows, error records and rows with an error, per batch."""
+    """Processed rows, error records and rows with an error, per batch.
+
+    ``readings`` are those that were processed: after cleaning and imputation.
+    """
     # every row has one reading per sensor, so any sensor's count is the row count
     per_sensor = readings.groupBy("batch_id", "sensor").agg(F.count(F.lit(1)).alias("n"))
     processed = per_sensor.groupBy("batch_id").agg(F.max("n").alias("rows_processed"))

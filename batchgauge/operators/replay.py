@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchgauge.operators.slicing import ROWS_PER_SLICE, stored_small, with_positions
@@ -13,7 +13,7 @@ KEY = ["batch_id", "sensor", "metric_name"]
 def replay_comparison(stored: DataFrame, replayed: DataFrame, tolerance_pct: float = 1.0) -> DataFrame:
     """Every metric of either side with its difference and whether it is tolerable."""
     old, new = F.col("original_value"), F.col("new_value")
-    diff = F.abs(new - old)
+    diff = F.when(old == new, 0.0).otherwise(F.abs(new - old))  # also of infinities and NaN
     rel = F.when(old != 0, diff / F.nullif(F.abs(old), F.lit(0.0)) * 100).otherwise(
         F.when(diff == 0, 0.0).when(diff > 0, F.lit(float("inf")))
     )
@@ -26,9 +26,13 @@ def replay_comparison(stored: DataFrame, replayed: DataFrame, tolerance_pct: flo
     )
 
 
+def _differs() -> Column:
+    return F.col("one_sided") | ((F.col("abs_diff") > 0) & ~F.isnan("abs_diff"))
+
+
 def replay_differences(comparison: DataFrame) -> DataFrame:
     """Only what differs: a value moved, or the metric exists on one side only."""
-    return comparison.where(F.col("one_sided") | (F.col("abs_diff") > 0))
+    return comparison.where(_differs())
 
 
 def first_differences(differences: DataFrame, limit: int = 20) -> DataFrame:
@@ -37,7 +41,7 @@ def first_differences(differences: DataFrame, limit: int = 20) -> DataFrame:
 
 def replay_verdict(comparison: DataFrame) -> DataFrame:
     """Counts per replayed batch; acceptable when every difference is tolerable."""
-    differs = F.col("one_sided") | (F.col("abs_diff") > 0)
+    differs = _differs()
     return comparison.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("total_metrics_compared"),
         F.count_if(differs).alias("metrics_with_diff"),

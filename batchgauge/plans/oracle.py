@@ -179,7 +179,7 @@ ORACLES["row_errors"] = _with(CSV_FIELDS) + "SELECT * FROM errors"
 ORACLES["clean_readings"] = _with(CSV_FIELDS) + "SELECT * FROM cells"
 ORACLES["run_counters"] = _with(CSV_FIELDS) + """
 SELECT p.batch_id, rows_processed, coalesce(error_records, 0) AS error_records, coalesce(error_rows, 0) AS error_rows
-FROM (SELECT batch_id, count(DISTINCT row_number) AS rows_processed FROM cells GROUP BY 1) p
+FROM (SELECT batch_id, count(DISTINCT ts) AS rows_processed FROM cells GROUP BY 1) p
 LEFT JOIN (SELECT batch_id, count(*) AS error_records, count(DISTINCT row_number) AS error_rows FROM errors GROUP BY 1) e
 ON p.batch_id = e.batch_id"""
 ORACLES["source_summary"] = _with(CSV_FIELDS) + """
@@ -328,13 +328,13 @@ run_metrics AS (
 RUN_ANOMALIES = """run_anomalies AS (
   SELECT l_orderkey AS run_id, 'quantity' AS sensor, CAST(l_linenumber AS BIGINT) AS row_number,
          l_shipdate AS "timestamp", l_quantity AS value, 'iqr' AS anomaly_type
-  FROM lineitem WHERE l_quantity >= 45)"""
+  FROM lineitem)"""
 RUN_ERRORS = """run_errors AS (
   SELECT l_orderkey AS run_id, CAST(l_linenumber AS BIGINT) AS row_number,
          CASE l_returnflag WHEN 'A' THEN 'column_mismatch' WHEN 'N' THEN 'missing_timestamp'
               ELSE 'non_numeric_value' END AS error_type,
          l_linestatus AS error_detail, CAST(l_partkey AS VARCHAR) || ',' || CAST(l_suppkey AS VARCHAR) AS raw_data
-  FROM lineitem WHERE l_tax >= 0.08)"""
+  FROM lineitem)"""
 BATCHES = """batches AS (
   SELECT c_custkey AS batch_id, c_name AS batch_name, c_nationkey % 5 = 0 AS locked, 1 + c_custkey % 4 AS config_version,
          c_name || '.csv' AS source_file,
@@ -394,7 +394,7 @@ requests AS (
 judged AS (
   SELECT q.*, CASE WHEN r.o_custkey IS NULL OR r.o_custkey <> q.batch_id THEN 'run_not_of_batch'
                    WHEN r.o_orderstatus <> 'F' THEN 'run_not_successful'
-                   WHEN q.name IN (SELECT 'base_' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_nationkey = 3)
+                   WHEN q.name IN (SELECT 'base_' || CAST(c_custkey * 5 AS VARCHAR) FROM customer)
                    THEN 'name_exists' END AS reason
   FROM requests q LEFT JOIN orders r ON r.o_orderkey = q.run_id)""") + """
 SELECT request_id, name, batch_id, run_id,
@@ -557,7 +557,7 @@ HISTORY = f"""history AS (
          CASE WHEN o_orderpriority = '2-HIGH' THEN 'rollback' ELSE 'apply' END AS action,
          CASE WHEN o_orderpriority = '2-HIGH' THEN o_orderkey - 1 END AS rolled_back_from_id,
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS nth
-  FROM orders WHERE o_orderstatus = 'F')"""
+  FROM orders)"""
 ORACLES["eligible_batches"] = "SELECT c_custkey AS batch_id, c_name AS batch_name FROM customer WHERE c_nationkey % 5 <> 0"
 ORACLES["config_missing_fields"] = _with(SCHEMES) + (
     "SELECT scheme_id, 'missing_values,anomaly_detection,metrics' AS missing FROM schemes WHERE partial"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from batchgauge.operators.slicing import stored_small
 from batchgauge.operators.validate import headers_of, parsed_rows
+from batchgauge.session import materialise
 
 BLOCK = ["file_path", "block_start"]
 
@@ -22,12 +23,13 @@ def file_name(path: Column) -> Column:
 
 def file_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``file_path, row_number, line`` for every physical line, header = line 1."""
-    raw = spark.read.text(paths).select(
+    # Stored once: another scan may cut the files elsewhere, as the cut follows the executors present.
+    raw = materialise(spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("place"),
         F.col("value").alias("line"),
-    )
+    ))
     earlier = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -135,9 +135,9 @@ def sample_readings(spark):
 
 
 GOLDEN = {
-    "sensor_temp": (28.62931, 12.884276, 23.5, 95.0, 26.5, 71.5, 29.0),
-    "sensor_pressure": (1011.727586, 0.887169, 1010.3, 1013.2, 1011.7, 2.9, 29.0),
-    "sensor_humidity": (42.265517, 1.787511, 39.4, 45.2, 42.2, 5.8, 29.0),
+    "flow": (6.155882, 6.41497, 4.0, 31.0, 4.6, 27.0, 17.0),
+    "level": (225.764706, 9.444108, 210.0, 240.0, 226.0, 30.0, 17.0),
+    "power": (1.348824, 0.054415, 1.27, 1.45, 1.34, 0.18, 17.0),
 }
 
 
@@ -155,38 +155,36 @@ def test_sample_run(spark, limits):
         for name, value in zip(["mean", "std", "min", "max", "median", "range", "count"], values):
             assert found[sensor, name] == pytest.approx(value, abs=1e-6)
     cells = {(r.row_number, r.sensor): r.value for r in result.imputed.collect()}
-    assert cells[5, "sensor_temp"] == pytest.approx(23.95)
-    assert cells[8, "sensor_pressure"] == pytest.approx(1012.6)
-    assert cells[6, "sensor_humidity"] == pytest.approx(44.5)
+    assert cells[5, "level"] == pytest.approx(217.0)
+    assert cells[7, "flow"] == pytest.approx(5.05)
+    assert cells[9, "power"] == pytest.approx(1.31)
     marked = result.anomalies.collect()
-    assert [(r.row_number, r.sensor, round(r.score, 4)) for r in marked] == [(17, "sensor_temp", 5.1513)]
+    assert [(r.row_number, r.sensor, round(r.score, 4)) for r in marked] == [(13, "flow", 3.8728)]
     label = result.anomalies.select(anomaly.anomaly_label(*[F.col(c) for c in ("score", "lower", "upper", "side")]).alias("l"))
-    assert label.first().l == "zscore (z=5.15)"
+    assert label.first().l == "zscore (z=3.87)"
 
 
 def test_sample_source_statistics(spark):
     found = {r.sensor: r for r in metrics.source_column_stats(sample_readings(spark)).collect()}
-    for sensor, mean, std in (("sensor_temp", 28.796429, 13.088657), ("sensor_pressure", 1011.696429, 0.887144),
-                              ("sensor_humidity", 42.185714, 1.766921)):
+    for sensor, mean, std in (("flow", 6.225, 6.618812), ("level", 226.3125, 9.470788), ("power", 1.35125, 0.055242)):
         row = found[sensor]
-        assert (row["count"], row.null_count) == (28, 1)
+        assert (row["count"], row.null_count) == (16, 1)
         assert (row["mean"], row["std"]) == (pytest.approx(mean, abs=1e-6), pytest.approx(std, abs=1e-6))
 
 
-@pytest.mark.parametrize("threshold, others", [(3.0, []), (1.5, [2, 3, 31]), (1.0, [*range(2, 8), *range(26, 32)])])
+@pytest.mark.parametrize("threshold, others", [(3.0, []), (1.5, [("level", 2), ("level", 19), ("power", 12)])])
 def test_sample_zscore(spark, threshold, others):
     filled = impute.interpolate(sample_readings(spark))
     found = anomaly.zscore_anomalies(filled, metrics.series_moments(filled), threshold)
-    expected = {("sensor_temp", 17)} | {(s, n) for s in ("sensor_pressure", "sensor_humidity") for n in others}
-    assert {(r.sensor, r.row_number) for r in found.collect()} == expected
+    assert {(r.sensor, r.row_number) for r in found.collect()} == {("flow", 13), *others}
 
 
 def test_sample_iqr(spark):
     filled = impute.interpolate(sample_readings(spark))
     stats = metrics.series_stats(filled)
     quartiles = {r.sensor: (round(r.q1, 4), round(r.q3, 4)) for r in stats.collect()}
-    assert quartiles == {"sensor_temp": (24.7, 27.9), "sensor_pressure": (1011.0, 1012.5), "sensor_humidity": (40.8, 43.8)}
-    assert rows_of(anomaly.iqr_anomalies(filled, stats), "sensor", "row_number", "side") == [("sensor_temp", 17, "above_upper")]
+    assert quartiles == {"flow": (4.3, 5.0), "level": (219.0, 233.0), "power": (1.31, 1.39)}
+    assert rows_of(anomaly.iqr_anomalies(filled, stats), "sensor", "row_number", "side") == [("flow", 13, "above_upper")]
 
 
 def test_edges_of_anomalies(spark):
@@ -251,3 +249,18 @@ def test_result_does_not_depend_on_partitions(spark, partitions):
         assert rows_of(again, "batch_id", "sensor", "metric_name", "metric_value") == base
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+# --- infinite cells -----------------------------------------------------------------
+
+
+def test_infinite_cells_do_not_mark_their_series(spark):
+    inf = math.inf
+    readings = series_frame(spark, {("f", "a"): [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, inf], ("f", "b"): [-inf, -inf, -inf, 1.0, 2.0, inf, inf, inf]})
+    stats = metrics.series_stats(readings)
+    assert anomaly.zscore_anomalies(readings, stats).count() == 0
+    # the quartiles of a are finite, those of b are not
+    assert rows_of(anomaly.iqr_anomalies(readings, stats), "sensor", "value") == [("a", inf)]
+    for method, marked in (("zscore", 0), ("iqr", 1)):
+        assert anomaly.anomalies_by_config(readings, stats, default_config(spark, method=method)).count() == marked
+    assert sum(r.anomalies for r in anomaly.threshold_sweep(readings, stats, [1.0, 3.0]).collect()) == 0

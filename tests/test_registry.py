@@ -359,3 +359,46 @@ def test_listings(spark):
     assert [r.id for r in catalog.newest_first(log, 3, action="apply", wide=None).collect()] == [9, 7, 5]
     listed = catalog.listing(log, ["id"], F.desc("id"))
     assert listed.columns == ["id"] and listed.first().id == 9
+
+
+# --- documents of any shape ---------------------------------------------------------
+
+
+@pytest.mark.parametrize("old, new, expected", [
+    ('{"a":{"b":{"c":{"d":1,"e":2}}}}', '{"a":{"b":{"c":{"e":2,"d":1}}}}', []),
+    ('{"a":{"b":{"c":{"d":{"e":1}}}}}', '{"a":{"b":{"c":{"d":{"e":2}}}}}', [("a.b.c.d.e", "modified", "1", "2")]),
+    ('{"note":"{draft}","version":1}', '{"note":"{draft}","version":2}', [("version", "modified", "1", "2")]),
+    ('{"x":[1,2]}', '{"x":[1,2.0]}', []),
+    ('{"x":"1"}', '{"x":1}', [("x", "modified", "1", "1")]),
+    ('{"x":"true"}', '{"x":true}', [("x", "modified", "true", "true")]),
+    ('{"x":true}', '{"x":1}', []),
+    ('{"x":9007199254740993}', '{"x":9007199254740992}', [("x", "modified", "9007199254740993", "9007199254740992")]),
+    ('{"a.b":1,"a":{"b":2}}', '{"a":{"b":3}}', [("a.b", "modified", "2", "3")]),
+    ('{"x":0.50,"y":null}', '{"x":0.5,"z":null}', [("y", "removed", None, None), ("z", "added", None, None)]),
+    ('{"x":{}}', '{}', []), (None, '{"x":1}', [("x", "added", None, "1")]), ("no json", "[1]", []),
+])
+def test_config_changes(spark, old, new, expected):
+    pairs = spark.createDataFrame([(1, old, new)], "k INT, old_json STRING, new_json STRING")
+    assert rows_of(configs.config_diff(pairs, ["k"]), "path", "change", "old_value", "new_value") == expected
+
+
+@pytest.mark.parametrize("text, expected", [
+    ('{"cleaning":{"remove_duplicates":true,"custom":7},"owner":"x","version":1}', '{"cleaning":{"remove_duplicates":true,"custom":7},"owner":"x","version":9}'),
+    ('{"version":1.5, "a":"{"}', '{"version":9, "a":"{"}'), ('{ }', '{"version": 9 }'),
+    ('{"a":{"version":1}}', '{"version": 9, "a":{"version":1}}'), ('{"version":{"x":[1]},"b":1e3}', '{"version":9,"b":1e3}'),
+    (None, None), ("[1]", None), ("broken", None),
+])
+def test_version_rewrite_keeps_everything_else(spark, text, expected):
+    row = spark.createDataFrame([(text,)], "t STRING").select(with_version(F.col("t"), F.lit(9)).alias("v")).first()
+    assert row.v == expected
+
+
+def test_infinite_metrics_compare(spark):
+    inf, nan = float("inf"), float("nan")
+    same = metric_frame(spark, [("a", "s", "max", inf), ("a", "s", "std", nan), ("a", "s", "min", 1.0)])
+    verdict = replay.replay_verdict(replay.replay_comparison(same, same)).first()
+    assert verdict.acceptable and verdict.metrics_with_diff == 0
+    both = same.union(metric_frame(spark, [("b", "s", "max", inf), ("b", "s", "min", 3.0)]))
+    matrix = compare.metric_matrix(both)
+    assert compare.matrix_summary(matrix).first().metrics_with_diff == 1
+    assert [r.metric_name for r in compare.top_differences(matrix).collect()] == ["min"]

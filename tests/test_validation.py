@@ -15,17 +15,17 @@ def parsed(spark, text):
 
 def test_sample_errors(spark):
     errors = validate.row_errors(parsed(spark, SAMPLE))
-    assert rows_of(errors, "row_number", "error_type") == [(10, "missing_timestamp"), (8, "non_numeric_value")]
+    assert rows_of(errors, "row_number", "error_type") == [(10, "missing_timestamp"), (7, "non_numeric_value")]
     raw = {r.row_number: r.raw_data for r in errors.collect()}
-    assert raw[10] == ",24.9,1012.4,43.6"
+    assert raw[10] == ",5.1,223,1.36"
 
 
 def test_sample_readings(spark):
     readings = validate.readings_of(parsed(spark, SAMPLE))
-    assert readings.count() == 29 * 3
+    assert readings.count() == 17 * 3
     missing = readings.where("value IS NULL")
     assert rows_of(missing, "row_number", "sensor") == [
-        (5, "sensor_temp"), (6, "sensor_humidity"), (8, "sensor_pressure"),
+        (5, "level"), (7, "flow"), (9, "power"),
     ]
 
 
