@@ -89,9 +89,12 @@ class Memo:
         return [b"".join(map(look, units)) for units in lists]
 
 
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 def packed(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACKERS[len(ids)](*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _byte_letters() -> str:
@@ -120,8 +123,14 @@ def library_memo(path: str, pattern: str | None = None) -> Memo:
     def ids_of(piece: str) -> list[int]:
         return [t.id for t in model.tokenize(piece)]
 
+    def named(piece: str) -> str:
+        """A piece in the letters of the vocabulary; printable ASCII but the space stands for itself."""
+        if piece.isascii() and piece.isprintable():
+            return piece.replace(" ", letters[0x20])
+        return piece.encode("utf-8", "replace").decode("latin-1").translate(letters)
+
     def of_matches(found: list[str]) -> list[bytes]:
-        return [packed(ids_of(m.encode("utf-8", "replace").decode("latin-1").translate(letters))) for m in found]
+        return [packed(ids_of(named(m))) for m in found]
 
     pieces: dict[str, list[int]] = {}
 
@@ -137,8 +146,8 @@ def library_memo(path: str, pattern: str | None = None) -> Memo:
         found: dict[str, bytes] = {}
         for word in words:  # of Latin-1 letters: normalising is lower-casing, and they are one piece
             cut = _plain_word(word)
-            if cut and max(word) <= "\xff":
-                ids = piece_ids(cut[0].lower().encode().decode("latin-1").translate(letters))
+            if cut and (word.isascii() or max(word) <= "\xff"):
+                ids = piece_ids(named(cut[0].lower()))
                 found[word] = packed(ids + piece_ids(cut[1]) if len(cut) > 1 else ids)
         others = [w for w in words if w not in found]
         for at in range(0, len(others), 2000):
