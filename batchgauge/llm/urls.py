@@ -24,9 +24,9 @@ RULES = (
 )
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.7
-MOST_TOKENS = 8
-"""Tokens of a URL that are mined and matched; the first of each kind come first. This bounds the
-work for one URL: itemsets grow as a power of the tokens."""
+TOKENS_LEARNED = 8
+"""Tokens of one labelled URL that rules are mined from: its most frequent ones over all URLs with a
+label, as frequent itemsets grow as a power of the tokens. Matching reads all tokens of every URL."""
 DEFAULT = "allow"
 
 
@@ -71,8 +71,21 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
         F.transform(keys, lambda k: F.concat(F.lit("key="), k)),
         F.when(F.size(labels) > 3, F.array(F.concat(F.lit("sub="), labels[0]))).otherwise(F.array().cast("array<string>")),
     ]
-    found = F.slice(F.array_distinct(F.concat(*named)), 1, MOST_TOKENS)
-    return F.when(host != "", found).otherwise(F.array().cast("array<string>"))
+    return F.when(host != "", F.array_distinct(F.concat(*named))).otherwise(F.array().cast("array<string>"))
+
+
+def learned_tokens(labelled: DataFrame, min_support: float = MIN_SUPPORT, most: int = TOKENS_LEARNED) -> DataFrame:
+    """``tokens``, ``verdict`` rows with only the tokens rules can be made of.
+
+    A token below the minimum support is in no frequent itemset. Their number is below that of the
+    tokens of a URL over the support, so they are one short constant; the more frequent a token
+    is, the earlier it comes (ties by name).
+    """
+    counted = labelled.select(F.explode("tokens").alias("t")).groupBy("t").count()
+    frequent = counted.where(F.col("count") >= labelled.count() * min_support)
+    ranked = frequent.agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "t"))).alias("r"))
+    names = F.from_json(F.lit(ranked.select(F.to_json("r.t")).first()[0]), "array<string>")
+    return labelled.select(F.slice(F.array_intersect(names, "tokens"), 1, most).alias("tokens"), "verdict")
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -82,7 +95,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     at least as surely. Their number is bounded by the support, not by the number of URLs.
     """
     verdict = F.concat(F.lit("verdict="), F.col("verdict"))
-    items = labelled.select(F.concat(F.col("tokens"), F.array(verdict)).alias("items")).where(F.size("items") > 1)
+    items = learned_tokens(labelled, min_support).select(F.concat(F.col("tokens"), F.array(verdict)).alias("items")).where(F.size("items") > 1)
     # Lift compares a rule with the share its verdict has anyway: a rule no better says nothing.
     rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items).associationRules
     rules = rules.where(F.col("consequent")[0].startswith("verdict=") & (F.col("lift") > 1)).select(

@@ -158,6 +158,23 @@ def test_mined_rules_match_by_all_their_tokens(spark):
     assert sorted(index["index"]) == ["a", "b", "c"] or set(index["index"]) >= {"a", "b", "c"}
 
 
+def test_rules_match_tokens_anywhere_in_a_url(spark):
+    filler = "/".join(f"x{i}" for i in range(20))
+    rows = [(i, f"http://example.com/de/{i}") for i in range(20)] + [(100 + i, f"http://a.org/fr/{i}") for i in range(20)]
+    rows += [(200, f"http://other.com/{filler}/de/1"), (201, f"http://other.com/{filler}/it/1")]
+    found = by_id(urls.judge(spark.createDataFrame(rows, "page_id BIGINT, url STRING")), "page_id")
+    assert (found[200][0]["verdict"], found[200][0]["source"]) == ("block", "mined")
+    assert (found[201][0]["verdict"], found[201][0]["source"]) == ("allow", "default")
+
+
+def test_learned_tokens_are_the_frequent_ones(spark):
+    rows = [(["a", "b", "only"], "block")] * 1 + [(["b", "a"], "block")] * 5 + [(["b"], "allow")] * 4 + [([], "allow")]
+    labelled = spark.createDataFrame(rows, "tokens ARRAY<STRING>, verdict STRING")
+    found = {tuple(r.tokens) for r in urls.learned_tokens(labelled, 0.2, 1).collect()}
+    assert found == {("b",), ()}
+    assert {tuple(r.tokens) for r in urls.learned_tokens(labelled, 0.2).collect()} == {("b", "a"), ("b",), ()}
+
+
 # --- vectors ------------------------------------------------------------------------
 
 ODD = [(1001, None), (1002, []), (1003, [1.0, None]), (1004, [float("nan"), 1.0]), (1005, [float("inf"), 1.0]),
