@@ -10,7 +10,7 @@ from batchgauge.functions.settings import (
     config_version, missing_sections, version_compatible, with_version,
 )
 from batchgauge.operators.catalog import newest
-from batchgauge.operators.slicing import with_neighbours, with_positions
+from batchgauge.operators.slicing import left_join_known, stored_small, with_neighbours, with_positions
 from batchgauge.session import materialise
 
 SCHEME_VERSION = "1.0"
@@ -42,6 +42,23 @@ def with_changes(pairs: DataFrame, name: str = "config_diff") -> DataFrame:
     return pairs.withColumn(name, json_changes(F.col("old_json"), F.col("new_json")))
 
 
+def preview(checked: DataFrame) -> DataFrame:
+    """What carrying out prechecked requests would change: ``config_diff``, NULL where no new
+    configuration comes about (an unknown batch or scheme, nothing to roll back to)."""
+    known = F.col("old_json").isNotNull() & F.col("new_json").isNotNull()
+    return with_changes(checked, "_diff").withColumn("config_diff", F.when(known, F.col("_diff"))).drop("_diff")
+
+
+def dry_run_audit(checked: DataFrame) -> DataFrame:
+    """One audit row for every prechecked request, of an application or a rollback."""
+    return preview(checked).select(
+        "request_id", "batch_id", "scheme_id", "scheme_name", "source_scheme_id", F.lit("dry_run").alias("action"),
+        F.when(F.col("can_proceed"), "success").otherwise("blocked").alias("result"),
+        F.col("old_json").alias("previous_config_json"), F.col("new_json").alias("new_config_json"), "config_diff",
+        F.when(~F.col("can_proceed"), F.array_join(F.col("risks.risk"), ",")).alias("error_message"),
+    )
+
+
 def config_diff(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """One row per changed option of each pair (``old_json``, ``new_json``)."""
     # a plain explode would let the optimizer filter on the array size first, below the
@@ -81,15 +98,18 @@ def apply_precheck(
         "batch_id", "locked", F.col("config_json").alias("batch_config"),
         config_version(F.col("config_json")).alias("current_version"), F.lit(True).alias("has_batch"),
     )
-    taken = schemes.select(F.col("name").alias("new_name"), F.col("scheme_id").alias("name_owner"))
-    source = schemes.select(
-        F.col("scheme_id").alias("source_scheme_id"), F.col("name").alias("source_scheme_name")
+    # the schemes are stored once and broadcast if their size allows, so requests are shuffled by
+    # batch only; else NULL names and sources, which meet nothing, are spread over the tasks
+    scheme = stored_small(scheme)
+    taken = scheme.select(F.col("scheme_name").alias("new_name"), F.col("scheme_id").alias("name_owner"))
+    source = scheme.select(
+        F.col("scheme_id").alias("source_scheme_id"), F.col("scheme_name").alias("source_scheme_name")
     )
     joined = (
         requests.join(target, "batch_id", "left")
         .join(scheme, "scheme_id", "left")
-        .join(taken, "new_name", "left")
-        .join(source, "source_scheme_id", "left")
+        .transform(left_join_known, taken, "new_name", "request_id")
+        .transform(left_join_known, source, "source_scheme_id", "request_id")
     )
     has_batch, has_scheme = F.col("has_batch").isNotNull(), F.col("next_version").isNotNull()
     both = has_batch & has_scheme
@@ -234,7 +254,7 @@ def rollback_targets(history: DataFrame) -> DataFrame:
     The entry before the newest is the target whatever it is, so rolling back twice
     switches between two configurations.
     """
-    fields = ["id", "scheme_id", "scheme_name", "config_version", "config_json"]
+    fields = ["id", "scheme_id", "scheme_name", "source_scheme_id", "config_version", "config_json"]
     entry = F.struct(*fields)
     two = newest(history, "batch_id", "id", 2)
     pairs = two.groupBy("batch_id").agg(
@@ -249,7 +269,12 @@ def rollback_targets(history: DataFrame) -> DataFrame:
 
 
 def rollback_precheck(requests: DataFrame, batches: DataFrame, history: DataFrame) -> DataFrame:
-    """Risks of rolling batches back, with the version a rollback would get."""
+    """Risks of rolling batches back, with the version a rollback would get.
+
+    ``requests``: ``batch_id``, and ``request_id`` if there is one (else the batch's id).
+    """
+    if "request_id" not in requests.columns:
+        requests = requests.withColumn("request_id", F.col("batch_id"))
     state = batches.select(
         "batch_id", "locked", F.col("config_json").alias("batch_config"), F.lit(True).alias("has_batch")
     )
@@ -265,17 +290,21 @@ def rollback_precheck(requests: DataFrame, batches: DataFrame, history: DataFram
     possible = has_batch & F.col("target_id").isNotNull()
     return _with_verdict(joined, risks).withColumns({
         "new_version": F.when(possible, new_version),
+        "old_json": F.col("batch_config"),
         "new_json": F.when(possible, with_version(F.col("target_config_json"), new_version)),
+        **{c: F.col(f"target_{c}") for c in ("scheme_id", "scheme_name", "source_scheme_id")},
     })
 
 
 def apply_rollback(requests: DataFrame, batches: DataFrame, history: DataFrame) -> DataFrame:
     """History rows of the rollbacks that may go ahead: the previous configuration under
     the next version, linked to the entry it undoes."""
-    return rollback_precheck(requests, batches, history).where("can_proceed").select(
-        "batch_id",
-        F.col("target_scheme_id").alias("scheme_id"),
-        F.col("target_scheme_name").alias("scheme_name"),
+    return _rolled_back(rollback_precheck(requests, batches, history))
+
+
+def _rolled_back(checked: DataFrame) -> DataFrame:
+    return checked.where("can_proceed").select(
+        "batch_id", "scheme_id", "scheme_name", "source_scheme_id",
         F.col("new_version").alias("config_version"),
         F.col("new_json").alias("config_json"),
         F.lit("rollback").alias("action"),
@@ -283,15 +312,47 @@ def apply_rollback(requests: DataFrame, batches: DataFrame, history: DataFrame)
     )
 
 
+def roll_back(requests: DataFrame, batches: DataFrame, history: DataFrame) -> dict[str, DataFrame]:
+    """Rows to append when batches are rolled back: ``config_history``, ``audit_log`` (every
+    request: success, blocked by a lock, else failed) and ``batches`` (the new state of each
+    changed batch). Several requests for one batch count as one."""
+    if "request_id" not in requests.columns:
+        requests = requests.withColumn("request_id", F.col("batch_id"))
+    once = requests.groupBy("batch_id").agg(F.min("request_id").alias("request_id"))
+    checked = materialise(rollback_precheck(once, batches, history))  # three tables come from it
+    done = _rolled_back(checked)
+    locked = F.array_contains("risks.risk", "batch_locked")
+    audit = preview(checked).select(
+        "request_id", "batch_id",
+        *[F.when(F.col("can_proceed"), F.col(c)).alias(c) for c in ("scheme_id", "scheme_name", "source_scheme_id")],
+        F.lit("rollback").alias("action"),
+        F.when(F.col("can_proceed"), "success").when(locked, "blocked").otherwise("failed").alias("result"),
+        F.col("old_json").alias("previous_config_json"),
+        *[F.when(F.col("can_proceed"), F.col(c)).alias(n) for c, n in (("new_json", "new_config_json"), ("config_diff", "config_diff"))],
+        F.when(locked, "batch_locked").otherwise(F.get("risks.risk", F.lit(0))).alias("error_message"),
+    )
+    changed = done.select(
+        "batch_id", F.col("scheme_id").alias("current_scheme_id"), F.col("scheme_name").alias("current_scheme_name"),
+        "config_version", "config_json",
+    )
+    return {"config_history": done, "audit_log": audit, "batches": changed}
+
+
 def last_change(batches: DataFrame, audit: DataFrame, schemes: DataFrame, history: DataFrame) -> DataFrame:
-    """Newest change of every batch, dry runs left out, with scheme and rollback details."""
+    """Newest change of every batch, dry runs left out, with its difference and its scheme and
+    rollback details. ``trigger_method``, ``error_message`` and ``source_scheme_id`` of the
+    audit row come along where the log has them."""
+    kept = [c for c in ("trigger_method", "error_message", "source_scheme_id") if c in audit.columns]
     change = newest(audit.where("action <> 'dry_run'"), "batch_id", "id").select(
-        "batch_id", F.col("id").alias("audit_id"), "action", "result", "scheme_id",
+        "batch_id", F.col("id").alias("audit_id"), "action", "result", "scheme_id", *kept,
+        F.col("previous_config_json").alias("old_json"), F.col("new_config_json").alias("new_json"),
         config_version(F.col("previous_config_json")).alias("old_version"),
         config_version(F.col("new_config_json")).alias("new_version"),
     )
+    change = preview(change)
     undone = newest(history, "batch_id", "id").select(
         "batch_id", F.col("rolled_back_from_id").alias("_from"), F.col("scheme_id").alias("_to"),
+        F.col("scheme_name").alias("_to_name"),
     )
     rolled = (F.col("action") == "rollback") & F.col("_from").isNotNull()
     return (
@@ -301,9 +362,10 @@ def last_change(batches: DataFrame, audit: DataFrame, schemes: DataFrame, histor
         .join(undone, "batch_id", "left")
         .select(
             "batch_id", "batch_name", "locked", "config_version", "audit_id", "action", "result",
-            "scheme_id", "scheme_name", "scheme_version", "old_version", "new_version",
+            "scheme_id", "scheme_name", "scheme_version", *kept, "old_version", "new_version", "config_diff",
             F.when(rolled, F.col("_from")).alias("rolled_back_from_id"),
             F.when(rolled, F.col("_to")).alias("rolled_back_to_scheme_id"),
+            F.when(rolled, F.col("_to_name")).alias("rolled_back_to_scheme_name"),
         )
     )
 

@@ -26,7 +26,8 @@ ROWS_PER_SLICE = 2_000_000
 """Largest group one task handles; a larger one is cut into slices of about this size."""
 
 BROADCAST_ROWS = 1_000_000
-"""Largest counted side that gets a broadcast hint: about 100 MB of slice rows."""
+BROADCAST_BYTES = 64 * 1024 * 1024
+"""Largest side, counted and by the size of its stored files or rows, that gets a broadcast hint."""
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -40,10 +41,35 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _wide(df: DataFrame) -> list[str]:
+    fixed = {"long", "integer", "double", "boolean", "short", "byte", "float", "date", "timestamp", "timestamp_ntz"}
+    return [f.name for f in df.schema.fields if f.dataType.typeName() not in fixed]
+
+
 def stored_small(df: DataFrame) -> DataFrame:
-    """Store a table that is expected to be small, count it, and broadcast it if it is."""
+    """Store a table that is expected to be small, measure it, and broadcast it if it is.
+
+    Rows are counted, and the texts, lists and the like in them are added up as text, since
+    a million rows may hold anything.
+    """
     stored = materialise(df)
-    return small_side(stored, stored.count())
+    texts = [F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)) for c in _wide(stored)]
+    width = sum(texts, F.lit(16 * len(stored.columns)))
+    rows, size = stored.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return small_side(stored, rows) if size <= BROADCAST_BYTES else stored
+
+
+def left_join_known(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+    """A left join on ``key`` that does not gather the rows whose key is NULL in one task.
+
+    Such rows get a number of their own beside the key; it decides where they go, not what they
+    meet. The pair is one join key, so the optimizer cannot take it apart again.
+    """
+    number = F.when(F.col(key).isNotNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(spread))
+    keyed = left.withColumn("_pair", F.struct(F.col(key).alias("key"), number.alias("number")))
+    found = right.where(F.col(key).isNotNull()).withColumn(
+        "_found", F.struct(F.col(key).alias("key"), F.lit(0).cast("bigint").alias("number"))).drop(key)
+    return keyed.join(found, keyed["_pair"] == found["_found"], "left").drop("_pair", "_found")
 
 
 @dataclass(frozen=True)

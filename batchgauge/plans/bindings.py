@@ -265,6 +265,7 @@ def config_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         k.alias("id"), F.col("o_custkey").alias("batch_id"), (k % 25).alias("scheme_id"),
         F.concat(F.lit("scheme_"), (k % 25).cast("string")).alias("scheme_name"),
+        F.when(k % 3 == 0, k % 7).alias("source_scheme_id"),
         (k % 9 + 1).alias("config_version"), config_json(k % 9 + 1, k % 4 + 1).alias("config_json"),
         F.when(rollback, "rollback").otherwise("apply").alias("action"),
         F.when(rollback, k - 1).alias("rolled_back_from_id"),
@@ -280,7 +281,7 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("batch_id"), action.alias("action"),
         F.when(s == "F", "success").when(s == "O", "failed").otherwise("blocked").alias("result"),
-        (k % 25).alias("scheme_id"),
+        (k % 25).alias("scheme_id"), F.when(s == "O", F.concat(F.lit("error "), (k % 4).cast("string"))).alias("error_message"),
         config_json(k % 9 + 1, F.lit(1)).alias("previous_config_json"),
         config_json(k % 9 + 2, k % 3 + 1).alias("new_config_json"),
     )

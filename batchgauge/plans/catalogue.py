@@ -554,11 +554,37 @@ def apply_rollback(spark, sf):
     return configs.apply_rollback(requests, b.batches(spark, sf), b.config_history(spark, sf))
 
 
+def _rolled_back(spark, sf):
+    batches = b.batches(spark, sf)
+    return configs.roll_back(batches.select("batch_id"), batches, b.config_history(spark, sf))
+
+
+@query
+def rollback_audit(spark, sf):
+    audit = _rolled_back(spark, sf)["audit_log"].withColumn("changes", F.coalesce(F.size("config_diff"), F.lit(0)))
+    return audit.drop("config_diff", "request_id")
+
+
+@query
+def rollback_batches(spark, sf):
+    return _rolled_back(spark, sf)["batches"]
+
+
+@query
+def apply_dry_run(spark, sf):
+    """Every request as a dry run."""
+    checked = configs.apply_precheck(b.apply_requests(spark, sf), b.batches(spark, sf), b.schemes(spark, sf))
+    audit = configs.dry_run_audit(checked).withColumn("changes", F.coalesce(F.size("config_diff"), F.lit(0)))
+    return audit.drop("config_diff", "error_message")
+
+
 @query
 def last_change(spark, sf):
-    return configs.last_change(
+    found = configs.last_change(
         b.batches(spark, sf), b.audit_log(spark, sf), b.schemes(spark, sf), b.config_history(spark, sf)
     )
+    changed = F.coalesce(F.array_join(F.col("config_diff.path"), ","), F.lit(""))
+    return found.withColumn("changed", changed).drop("config_diff")
 
 
 @query

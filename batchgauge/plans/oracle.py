@@ -552,7 +552,8 @@ def _config(version: str, threshold: str) -> str:
 
 HISTORY = f"""history AS (
   SELECT o_orderkey AS id, o_custkey AS batch_id, o_orderkey % 25 AS scheme_id,
-         'scheme_' || CAST(o_orderkey % 25 AS VARCHAR) AS scheme_name, o_orderkey % 9 + 1 AS config_version,
+         'scheme_' || CAST(o_orderkey % 25 AS VARCHAR) AS scheme_name,
+         CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 END AS source_scheme_id, o_orderkey % 9 + 1 AS config_version,
          o_orderkey % 4 + 1 AS threshold, {_config("o_orderkey % 9 + 1", "o_orderkey % 4 + 1")} AS config_json,
          CASE WHEN o_orderpriority = '2-HIGH' THEN 'rollback' ELSE 'apply' END AS action,
          CASE WHEN o_orderpriority = '2-HIGH' THEN o_orderkey - 1 END AS rolled_back_from_id,
@@ -589,7 +590,7 @@ REQUESTS = """requests AS (
          CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 150 END AS source_scheme_id
   FROM orders),
 checked AS (
-  SELECT q.request_id, q.batch_id, q.scheme_id, q.new_name, s.name AS scheme_name, z.name AS source_scheme_name,
+  SELECT q.request_id, q.batch_id, q.scheme_id, q.new_name, q.source_scheme_id, s.name AS scheme_name, z.name AS source_scheme_name,
          c.c_custkey IS NULL AS no_batch, s.scheme_id IS NULL AS no_scheme, c.c_nationkey % 5 = 0 AS locked,
          x.name IS NOT NULL AS clash, q.source_scheme_id IS NOT NULL AND z.name IS NULL AS no_source,
          s.scheme_id IS NOT NULL AND coalesce(s.scheme_version NOT LIKE '1.%', true) AS other_version, s.partial,
@@ -648,22 +649,54 @@ FROM (SELECT DISTINCT batch_id FROM requests) q LEFT JOIN customer ON c_custkey
 LEFT JOIN history a ON a.batch_id = q.batch_id AND a.nth = 1
 LEFT JOIN history p ON p.batch_id = q.batch_id AND p.nth = 2"""
 ORACLES["apply_rollback"] = _with(HISTORY) + f"""
-SELECT a.batch_id, p.scheme_id, p.scheme_name, a.config_version + 1 AS config_version,
+SELECT a.batch_id, p.scheme_id, p.scheme_name, p.source_scheme_id, a.config_version + 1 AS config_version,
        {_config("a.config_version + 1", "p.threshold")} AS config_json, 'rollback' AS action, a.id AS rolled_back_from_id
 FROM history a JOIN history p ON p.batch_id = a.batch_id AND p.nth = 2 JOIN customer ON c_custkey = a.batch_id
 WHERE a.nth = 1 AND c_nationkey % 5 <> 0"""
+ORACLES["rollback_batches"] = _with(HISTORY) + f"""
+SELECT a.batch_id, p.scheme_id AS current_scheme_id, p.scheme_name AS current_scheme_name,
+       a.config_version + 1 AS config_version, {_config("a.config_version + 1", "p.threshold")} AS config_json
+FROM history a JOIN history p ON p.batch_id = a.batch_id AND p.nth = 2 JOIN customer ON c_custkey = a.batch_id
+WHERE a.nth = 1 AND c_nationkey % 5 <> 0"""
+ORACLES["rollback_audit"] = _with(BATCHES, HISTORY) + f"""
+, judged AS (
+  SELECT b.batch_id, b.config_json, b.config_version AS v0, c_nationkey % 3 + 1 AS t0, a.config_version + 1 AS v1, p.threshold AS t1,
+         p.scheme_id, p.scheme_name, p.source_scheme_id, NOT locked AND p.id IS NOT NULL AS done,
+         CASE WHEN locked THEN 'batch_locked' WHEN a.id IS NULL THEN 'no_history' WHEN p.id IS NULL THEN 'already_first' END AS reason
+  FROM batches b JOIN customer ON c_custkey = b.batch_id
+  LEFT JOIN history a ON a.batch_id = b.batch_id AND a.nth = 1
+  LEFT JOIN history p ON p.batch_id = b.batch_id AND p.nth = 2)
+SELECT batch_id, CASE WHEN done THEN scheme_id END AS scheme_id, CASE WHEN done THEN scheme_name END AS scheme_name,
+       CASE WHEN done THEN source_scheme_id END AS source_scheme_id, 'rollback' AS action,
+       CASE WHEN done THEN 'success' WHEN reason = 'batch_locked' THEN 'blocked' ELSE 'failed' END AS result,
+       config_json AS previous_config_json, CASE WHEN done THEN {_config("v1", "t1")} END AS new_config_json,
+       CASE WHEN done THEN CAST(v0 <> v1 AS INTEGER) + CAST(t0 <> t1 AS INTEGER) ELSE 0 END AS changes, reason AS error_message
+FROM judged"""
+ORACLES["apply_dry_run"] = _with(SCHEMES, REQUESTS) + f"""
+SELECT request_id, batch_id, scheme_id, scheme_name, source_scheme_id, 'dry_run' AS action,
+       CASE WHEN can_proceed THEN 'success' ELSE 'blocked' END AS result,
+       CASE WHEN NOT no_batch AND NOT no_scheme THEN {_config("current_version", "batch_nation % 3 + 1")} END AS previous_config_json,
+       CASE WHEN no_batch OR no_scheme THEN NULL
+            WHEN partial THEN '{{"version": ' || CAST(new_version AS VARCHAR) || ', "cleaning": {{}}}}'
+            ELSE {_config("new_version", "n % 3 + 1")} END AS new_config_json,
+       CASE WHEN no_batch OR no_scheme THEN 0 ELSE CAST(current_version <> new_version AS INTEGER)
+            + CASE WHEN partial THEN 4 ELSE CAST(batch_nation % 3 <> n % 3 AS INTEGER) END END AS changes
+FROM decided"""
 AUDIT = """audit AS (
   SELECT o_orderkey AS id, o_custkey AS batch_id,
          CASE o_orderpriority WHEN '1-URGENT' THEN 'apply' WHEN '2-HIGH' THEN 'rollback' WHEN '3-MEDIUM' THEN 'import'
               WHEN '4-NOT SPECIFIED' THEN 'direct_modify' ELSE 'dry_run' END AS action,
          CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failed' ELSE 'blocked' END AS result,
-         o_orderkey % 25 AS scheme_id, {old} AS previous_config_json, {new} AS new_config_json
+         o_orderkey % 25 AS scheme_id,
+         CASE WHEN o_orderstatus = 'O' THEN 'error ' || CAST(o_orderkey % 4 AS VARCHAR) END AS error_message, {old} AS previous_config_json, {new} AS new_config_json
   FROM orders)""".format(old=_config("o_orderkey % 9 + 1", "1"), new=_config("o_orderkey % 9 + 2", "o_orderkey % 3 + 1"))
 ORACLES["last_change"] = _with(BATCHES, AUDIT, SCHEMES, HISTORY) + """
 SELECT b.batch_id, batch_name, locked, b.config_version, a.id AS audit_id, a.action, result, a.scheme_id,
-       s.name AS scheme_name, s.scheme_version, a.id % 9 + 1 AS old_version, a.id % 9 + 2 AS new_version,
+       s.name AS scheme_name, s.scheme_version, error_message, a.id % 9 + 1 AS old_version, a.id % 9 + 2 AS new_version,
+       coalesce(CASE WHEN a.id % 3 = 0 THEN 'version' ELSE 'version,anomaly_detection.zscore_threshold' END, '') AS changed,
        CASE WHEN a.action = 'rollback' THEN h.rolled_back_from_id END AS rolled_back_from_id,
-       CASE WHEN a.action = 'rollback' AND h.rolled_back_from_id IS NOT NULL THEN h.scheme_id END AS rolled_back_to_scheme_id
+       CASE WHEN a.action = 'rollback' AND h.rolled_back_from_id IS NOT NULL THEN h.scheme_id END AS rolled_back_to_scheme_id,
+       CASE WHEN a.action = 'rollback' AND h.rolled_back_from_id IS NOT NULL THEN h.scheme_name END AS rolled_back_to_scheme_name
 FROM batches b
 LEFT JOIN (SELECT * FROM audit WHERE id IN (SELECT max(id) FROM audit WHERE action <> 'dry_run' GROUP BY batch_id)) a
   ON a.batch_id = b.batch_id

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from batchgauge.functions.settings import with_version
+from batchgauge.operators.slicing import left_join_known
 from batchgauge.operators import anomaly, catalog, compare, configs, drift, merge, replay, tickets
 from helpers import rows_of
 
@@ -138,8 +139,8 @@ def registry(spark):
          (3, "broken", "1.0", '{"version": 1}', None, None), (4, "copy", "1.0", CONFIG % (1, "2.0"), None, 1)],
         "scheme_id BIGINT, name STRING, scheme_version STRING, config_json STRING, source_scheme_id BIGINT, original_id BIGINT")
     history = spark.createDataFrame(
-        [(5, 3, 1, "base", 2, CONFIG % (2, "2.0"), "apply", None), (4, 3, None, None, 1, CONFIG % (1, "3.0"), "baseline", None), (6, 2, 1, "base", 2, CONFIG % (2, "2.0"), "apply", None)],
-        "id BIGINT, batch_id BIGINT, scheme_id BIGINT, scheme_name STRING, config_version BIGINT, config_json STRING, action STRING, rolled_back_from_id BIGINT")
+        [(5, 3, 1, "base", 11, 2, CONFIG % (2, "2.0"), "apply", None), (4, 3, None, None, None, 1, CONFIG % (1, "3.0"), "baseline", None), (6, 2, 1, "base", 11, 2, CONFIG % (2, "2.0"), "apply", None)],
+        "id BIGINT, batch_id BIGINT, scheme_id BIGINT, scheme_name STRING, source_scheme_id BIGINT, config_version BIGINT, config_json STRING, action STRING, rolled_back_from_id BIGINT")
     return batches, schemes, history
 
 
@@ -199,6 +200,48 @@ def test_rollback_twice_toggles(spark):
     assert '"zscore_threshold": 2.0' in row.config_json and '"version": 4' in row.config_json
 
 
+def test_rollback_tables(spark):
+    batches, _, history = registry(spark)
+    requests = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 8), (5, 3)], "request_id BIGINT, batch_id BIGINT")
+    done = configs.roll_back(requests, batches, history)
+    assert rows_of(done["audit_log"], "request_id", "batch_id", "result", "error_message") == [
+        (1, 1, "failed", "no_history"), (2, 2, "blocked", "batch_locked"), (3, 3, "success", None), (4, 8, "failed", "batch_not_found")]
+    audit = {r.batch_id: r for r in done["audit_log"].collect()}
+    assert [(c.path, c.old_value, c.new_value) for c in audit[3].config_diff] == [("version", "1", "3")]
+    assert audit[1].config_diff is None and audit[1].previous_config_json and audit[8].previous_config_json is None
+    assert rows_of(done["batches"], "batch_id", "current_scheme_id", "config_version") == [(3, None, 3)]
+    assert rows_of(done["config_history"], "batch_id", "source_scheme_id", "rolled_back_from_id") == [(3, None, 5)]
+    again = history.unionByName(done["config_history"].withColumn("id", F.lit(9).cast("bigint")))
+    assert rows_of(configs.apply_rollback(requests.where("request_id = 3"), batches, again), "source_scheme_id") == [(11,)]
+
+
+def test_dry_runs(spark):
+    batches, schemes, history = registry(spark)
+    requests = spark.createDataFrame([(1, 1, 1, None, None), (2, 2, 1, None, None), (3, 9, 9, None, 9)], REQUEST)
+    found = {r.request_id: r for r in configs.dry_run_audit(configs.apply_precheck(requests, batches, schemes)).collect()}
+    assert {i: (r.action, r.result, r.error_message) for i, r in found.items()} == {
+        1: ("dry_run", "success", None), 2: ("dry_run", "blocked", "batch_locked"),
+        3: ("dry_run", "blocked", "batch_not_found,scheme_not_found,source_missing")}
+    assert [c.path for c in found[1].config_diff] == ["version", "anomaly_detection.zscore_threshold"] and found[3].config_diff is None
+    checked = configs.rollback_precheck(spark.createDataFrame([(3,), (1,)], "batch_id BIGINT"), batches, history)
+    assert [(r.request_id, r.result, len(r.config_diff or [])) for r in configs.dry_run_audit(checked).orderBy("batch_id").collect()] == [
+        (1, "blocked", 0), (3, "success", 1)]
+
+
+@pytest.mark.parametrize("limit", [-1, 10_000_000])
+def test_join_on_known_keys(spark, limit):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        left = spark.createDataFrame([(i, "a" if i % 3 else None) for i in range(9)] + [(9, "b")], "id BIGINT, name STRING")
+        right = spark.createDataFrame([("a", 1), (None, 2)], "name STRING, n INT")
+        found = left_join_known(left, right, "name", "id")
+        assert found.columns == ["id", "name", "n"]
+        assert rows_of(found, "id", "n") == [(i, 1 if i % 3 else None) for i in range(9)] + [(9, None)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_last_change_and_lineage(spark):
     batches, schemes, history = registry(spark)
     audit = spark.createDataFrame(
