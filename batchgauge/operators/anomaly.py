@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from batchgauge.operators.slicing import stored_small
+
 SERIES = ["batch_id", "sensor"]
 READING = ["batch_id", "sensor", "row_number", "ts", "value"]
 
@@ -30,7 +32,8 @@ def zscore_anomalies(
     """Readings farther than ``threshold`` sample deviations from the mean (strict)."""
     eligible = stats.where((F.col("count") >= min_values) & (F.col("std") > 0) & ~F.isnan("std"))
     return (
-        readings.join(eligible.select(*SERIES, "mean", "std"), SERIES)
+        # one row per series: broadcast if measured small, so the readings stay where they are
+        readings.join(stored_small(eligible.select(*SERIES, "mean", "std")), SERIES)
         .withColumn("score", _z())
         .where((F.col("score") > threshold) & ~F.isnan("score"))
         .select(*READING, "score")
@@ -44,7 +47,7 @@ def iqr_anomalies(
     eligible = stats.where(F.col("count") >= min_values)
     lower, upper = _fences(F.lit(float(multiplier)))
     return (
-        readings.join(eligible.select(*SERIES, "q1", "q3"), SERIES)
+        readings.join(stored_small(eligible.select(*SERIES, "q1", "q3")), SERIES)
         .withColumns({"lower": lower, "upper": upper})
         .withColumn("side", _side(F.col("lower"), F.col("upper")))
         .where(F.col("side").isNotNull())

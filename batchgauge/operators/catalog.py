@@ -68,7 +68,7 @@ def filtered(df: DataFrame, **equal) -> DataFrame:
     return df
 
 
-def newest_first(df: DataFrame, limit: int = 100, order: str = "id", **equal) -> DataFrame:
+def newest_first(df: DataFrame, limit: int, order: str = "id", **equal) -> DataFrame:
     """The newest matching rows (audit log, ticket list, check history)."""
     return filtered(df, **equal).orderBy(F.desc(order)).limit(limit)
 

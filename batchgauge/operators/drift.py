@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchgauge.operators.catalog import newest
+from batchgauge.operators.slicing import stored_small
 
 # Half-widths of the band around a baseline value of zero.
 ZERO_WARN = 0.01
@@ -64,6 +65,11 @@ def _judged(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _expected(requests: DataFrame, limits: DataFrame) -> DataFrame:
+    """Requests with the limits of their baseline; the limits are broadcast if they were measured small."""
+    return requests.join(stored_small(limits), "baseline_id")
+
+
 def drift_check(thresholds: DataFrame, metrics: DataFrame, requests: DataFrame) -> DataFrame:
     """Compare target runs with baselines, metric by metric.
 
@@ -73,7 +79,7 @@ def drift_check(thresholds: DataFrame, metrics: DataFrame, requests: DataFrame)
     run lacks are skipped.
     """
     limits = thresholds.select("baseline_id", *KEY, "baseline_value", "warn_pct", "block_pct")
-    expected = requests.join(limits, "baseline_id")
+    expected = _expected(requests, limits)
     pairs = expected.join(metrics.select("batch_id", *KEY, "metric_value"), ["batch_id", *KEY])
     return _judged(pairs.where(F.col("metric_value").isNotNull())).select(
         "baseline_id", "batch_id", *KEY, "baseline_value", "actual_value",
@@ -91,7 +97,7 @@ def drift_check_by_name(thresholds: DataFrame, metrics: DataFrame, requests: Dat
         .groupBy("batch_id", "metric_name")
         .agg(F.max_by("metric_value", "sensor").alias("metric_value"))
     )
-    pairs = requests.join(per_name, "baseline_id").join(actual, ["batch_id", "metric_name"])
+    pairs = _expected(requests, per_name).join(actual, ["batch_id", "metric_name"])
     return _judged(pairs).select(
         "baseline_id", "batch_id", "metric_name", "baseline_value", "actual_value",
         "absolute_diff", "relative_pct", "status",

@@ -73,7 +73,7 @@ def even_sample(
     return placed.withColumn("idx", F.col("pos") - 1).drop("pos").join(chosen, ["batch_id", "idx"])
 
 
-def capped(rows: DataFrame, key: str, order: str, cap: int = 1000) -> DataFrame:
+def capped(rows: DataFrame, key: str, order: str, cap: int) -> DataFrame:
     """The first ``cap`` rows of each run in the order they were stored."""
     window = Window.partitionBy(key).orderBy(order)
     return rows.withColumn("_nth", F.row_number().over(window)).where(F.col("_nth") <= cap).drop("_nth")

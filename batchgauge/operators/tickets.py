@@ -29,7 +29,13 @@ def judged_events(events: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> Da
 
 
 def ticket_state(events: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Current status, assignee and resolution of every ticket."""
+    """Current status, assignee and resolution of every ticket.
+
+    ``payload`` is the assignee of create and assign events and the resolution of resolve events;
+    a resolve event may name an assignee as well, in the optional column ``assignee``.
+    """
+    named = F.col("assignee") if "assignee" in events.columns else F.lit(None).cast("string")
+    events = events.withColumn("assignee", named)
     judged = judged_events(events, rows_per_slice)
     action = F.col("action")
     status = (
@@ -38,7 +44,7 @@ def ticket_state(events: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> Dat
         .when(action == "resolve", "resolved")
         .when(action == "reopen", "reopened")
     )
-    assignee = F.when(action.isin("create", "assign"), F.col("payload"))
+    assignee = F.when(action.isin("create", "assign"), F.col("payload")).when(action == "resolve", F.col("assignee"))
     resolution = F.when(action == "resolve", F.col("payload"))
     ok = judged.withColumns({
         "new_status": F.when(F.col("accepted"), status),
@@ -135,7 +141,8 @@ def raise_tickets(
 
 
 NOTES_PER_DOCUMENT = 1000
-"""Notes in one exchange document; a longer timeline goes on in further parts."""
+"""Notes in one exchange document; a longer timeline goes on in further parts, which
+``sources.documents`` puts together again."""
 
 
 def ticket_documents(
@@ -145,15 +152,19 @@ def ticket_documents(
 
     The format nests the notes, so a timeline is split into numbered parts of bounded
     length: no row grows with the number of notes of a ticket, and none is left out.
+    ``notes_before`` counts the notes in earlier parts. ``created_at`` of notes is optional.
     """
+    if "created_at" not in notes.columns:
+        notes = notes.withColumn("created_at", F.lit(None).cast("string"))
     placed = with_positions(notes, ["ticket_id"], "note_id", "note_id", "pos", rows_per_slice)
-    line = F.struct("note_id", "author", "note_type", "content")
+    line = F.struct("note_id", "author", "note_type", "content", F.col("created_at").cast("string").alias("created_at"))
     parts = placed.groupBy(
         "ticket_id", F.floor((F.col("pos") - 1) / NOTES_PER_DOCUMENT).alias("part")
     ).agg(F.array_sort(F.collect_list(line)).alias("notes"))
-    none = F.array().cast("array<struct<note_id:bigint,author:string,note_type:string,content:string>>")
+    none = F.array().cast(parts.schema["notes"].dataType)
     return tickets.join(parts, "ticket_id", "left").withColumns({
         "part": F.coalesce("part", F.lit(0)),
+        "notes_before": F.coalesce("part", F.lit(0)) * NOTES_PER_DOCUMENT,
         "notes": F.coalesce("notes", none),
         "original_ticket_id": F.coalesce("original_ticket_id", "ticket_id"),
     })

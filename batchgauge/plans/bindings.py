@@ -311,9 +311,12 @@ def ticket_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     created = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("ticket_id"), F.lit(-1).cast("bigint").alias("seq"),
         F.lit("create").alias("action"), F.when(F.col("c_nationkey") % 2 == 0, "desk").alias("payload"),
+        F.lit(None).cast("string").alias("assignee"), F.lit(None).cast("string").alias("created_at"),
     )
+    closer = F.when((kind == 1) & (k % 3 == 0), F.concat(F.lit("closer"), (k % 10).cast("string")))
     later = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("ticket_id"), k.alias("seq"), action.alias("action"), payload.alias("payload")
+        F.col("o_custkey").alias("ticket_id"), k.alias("seq"), action.alias("action"), payload.alias("payload"),
+        closer.alias("assignee"), F.col("o_orderdate").cast("date").cast("string").alias("created_at"),
     )
     return created.unionByName(later)
 

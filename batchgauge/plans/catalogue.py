@@ -455,12 +455,12 @@ def export_anomalies(spark, sf):
 def ticket_export_docs(spark, sf):
     notes = b.ticket_events(spark, sf).where("action <> 'create'").select(
         "ticket_id", F.col("seq").alias("note_id"), F.lit(None).cast("string").alias("author"),
-        F.col("action").alias("note_type"), F.col("payload").alias("content"),
+        F.col("action").alias("note_type"), F.col("payload").alias("content"), "created_at",
     )
     documents = tickets.ticket_documents(b.tickets(spark, sf), notes)
     return documents.select(
-        "ticket_id", "title", "status", "original_ticket_id", "part",
-        F.array_join(F.transform("notes", lambda n: F.concat_ws("|", n["note_type"], n["content"])), ";").alias("timeline"),
+        "ticket_id", "title", "status", "original_ticket_id", "part", "notes_before",
+        F.array_join(F.transform("notes", lambda n: F.concat_ws("|", n["note_type"], n["content"], n["created_at"])), ";").alias("timeline"),
     )
 
 

@@ -474,12 +474,15 @@ SELECT {DESCRIBED}, sensor, row_number, "timestamp", value, anomaly_type FROM ru
 
 EVENTS_LOG = """ticket_log AS (
   SELECT c_custkey AS ticket_id, CAST(-1 AS BIGINT) AS seq, 'create' AS action,
-         CASE WHEN c_nationkey % 2 = 0 THEN 'desk' END AS payload FROM customer
+         CASE WHEN c_nationkey % 2 = 0 THEN 'desk' END AS payload,
+         CAST(NULL AS VARCHAR) AS closer, CAST(NULL AS VARCHAR) AS created_at FROM customer
   UNION ALL
   SELECT o_custkey, o_orderkey,
          CASE o_orderkey % 4 WHEN 0 THEN 'assign' WHEN 1 THEN 'resolve' WHEN 2 THEN 'reopen' ELSE 'comment' END,
          CASE WHEN o_orderkey % 4 = 0 THEN 'user' || CAST(o_orderkey % 10 AS VARCHAR)
-              ELSE 'note ' || CAST(o_orderkey AS VARCHAR) END FROM orders),
+              ELSE 'note ' || CAST(o_orderkey AS VARCHAR) END,
+         CASE WHEN o_orderkey % 4 = 1 AND o_orderkey % 3 = 0 THEN 'closer' || CAST(o_orderkey % 10 AS VARCHAR) END,
+         CAST(CAST(o_orderdate AS DATE) AS VARCHAR) FROM orders),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY seq) AS nth FROM ticket_log),
 folded AS (
   SELECT ticket_id, nth, seq, action, true AS ok, CASE WHEN payload IS NULL THEN 'open' ELSE 'assigned' END AS status,
@@ -491,7 +494,8 @@ folded AS (
          CASE WHEN n.action = 'assign' AND f.status <> 'resolved' THEN 'assigned'
               WHEN n.action = 'resolve' AND f.status <> 'resolved' THEN 'resolved'
               WHEN n.action = 'reopen' AND f.status = 'resolved' THEN 'reopened' ELSE f.status END,
-         CASE WHEN n.action = 'assign' AND f.status <> 'resolved' THEN n.payload ELSE f.assignee END,
+         CASE WHEN n.action = 'assign' AND f.status <> 'resolved' THEN n.payload
+              WHEN n.action = 'resolve' AND f.status <> 'resolved' THEN coalesce(n.closer, f.assignee) ELSE f.assignee END,
          CASE WHEN n.action = 'resolve' AND f.status <> 'resolved' THEN n.payload ELSE f.resolution END
   FROM folded f JOIN numbered n ON n.ticket_id = f.ticket_id AND n.nth = f.nth + 1)"""
 ORACLES["ticket_state"] = _with(EVENTS_LOG) + """
@@ -511,7 +515,8 @@ ORACLES["ticket_export_docs"] = _with(EVENTS_LOG) + """
 SELECT c_custkey AS ticket_id, c_name AS title,
        CASE c_nationkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'assigned' ELSE 'resolved' END AS status,
        CASE WHEN c_nationkey % 4 = 0 THEN c_custkey - 1 ELSE c_custkey END AS original_ticket_id,
-       coalesce(part, 0) AS part, coalesce(string_agg(action || '|' || payload, ';' ORDER BY seq), '') AS timeline
+       coalesce(part, 0) AS part, 1000 * coalesce(part, 0) AS notes_before,
+       coalesce(string_agg(action || '|' || payload || '|' || created_at, ';' ORDER BY seq), '') AS timeline
 FROM customer LEFT JOIN notes ON ticket_id = c_custkey GROUP BY ALL"""
 ORACLES["sensors_with_anomalies"] = _with(*COUNTED) + "SELECT DISTINCT sensor FROM counts"
 ORACLES["ticket_conflicts"] = _with("""

@@ -114,10 +114,21 @@ def write_result_set(path: str, parts: dict[str, DataFrame], caps: dict[str, tup
     return path
 
 
-def baseline_package(baselines: DataFrame, thresholds: DataFrame, checks: DataFrame, keep: int = 50) -> dict[str, DataFrame]:
-    """Parts of a baseline result set, with the newest checks of each baseline."""
-    return {
-        "baseline_summary": baselines,
-        "metric_thresholds": thresholds.join(baselines.select("baseline_id"), "baseline_id", "left_semi"),
-        "check_history": last_checks(checks, keep).drop("newest_rank"),
+def baseline_package(
+    baselines: DataFrame, thresholds: DataFrame, checks: DataFrame, newest_checks: int | None = None
+) -> dict[str, DataFrame]:
+    """Parts of a baseline result set, with all checks of its baselines and their number.
+
+    ``newest_checks`` asks for a further part ``newest_checks`` with that many of each baseline.
+    """
+    chosen = baselines.select("baseline_id")
+    history = checks.join(chosen, "baseline_id", "left_semi")
+    totals = history.groupBy("baseline_id").agg(F.count(F.lit(1)).alias("check_history_count"))
+    parts = {
+        "baseline_summary": baselines.join(totals, "baseline_id", "left").fillna(0, ["check_history_count"]),
+        "metric_thresholds": thresholds.join(chosen, "baseline_id", "left_semi"),
+        "check_history": history,
     }
+    if newest_checks is not None:
+        parts["newest_checks"] = last_checks(history, newest_checks).drop("newest_rank")
+    return parts

@@ -14,7 +14,7 @@ TICKET_FILE = (
     "format_version STRING, title STRING, source_batch_id BIGINT, source_run_id BIGINT, "
     "trigger_rule STRING, status STRING, assignee STRING, resolution STRING, "
     f"original_ticket_id BIGINT, notes ARRAY<{NOTE}>, "
-    "created_at STRING, updated_at STRING, exported_at STRING"
+    "created_at STRING, updated_at STRING, exported_at STRING, part BIGINT, notes_before BIGINT"
 )
 
 
@@ -23,8 +23,15 @@ def read_schemes(spark: SparkSession, path: str) -> DataFrame:
     return _with_origin(spark.read.schema(SCHEME_FILE).json(path, multiLine=True))
 
 
-def read_tickets(spark: SparkSession, path: str) -> DataFrame:
-    return _with_origin(spark.read.schema(TICKET_FILE).json(path, multiLine=True))
+def read_ticket_parts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Every exchange document: one a file, or one a line as ``sinks.exports.write_json`` writes them."""
+    return _with_origin(spark.read.schema(TICKET_FILE).json(path, multiLine=not lines))
+
+
+def read_tickets(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per ticket: the first part of a ticket whose timeline goes on in further ones.
+    ``ticket_notes`` of all parts gives the whole timeline."""
+    return read_ticket_parts(spark, path, lines).where("coalesce(part, 0) = 0")
 
 
 def _with_origin(documents: DataFrame) -> DataFrame:
@@ -35,9 +42,9 @@ def _with_origin(documents: DataFrame) -> DataFrame:
 
 
 def ticket_notes(tickets: DataFrame, key: str = "title") -> DataFrame:
-    """Note timeline of loaded tickets, in document order."""
-    return tickets.select(key, F.posexplode("notes").alias("seq", "note")).select(
-        key, "seq", "note.author", "note.note_type", "note.content", "note.created_at"
+    """Note timeline of loaded tickets or ticket parts, in document order."""
+    return tickets.select(key, "notes_before", F.posexplode("notes").alias("place", "note")).select(
+        key, (F.coalesce("notes_before", F.lit(0)) + F.col("place")).alias("seq"), "note.author", "note.note_type", "note.content", "note.created_at"
     )
 
 

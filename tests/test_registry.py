@@ -353,6 +353,15 @@ def test_ticket_state_equals_the_fold(spark, rows_per_slice):
     assert tickets.illegal_events(events, rows_per_slice).count() == sum(fold(log)[3] for log in logs.values())
 
 
+def test_assignee_given_on_resolve(spark):
+    events = spark.createDataFrame(
+        [(1, 0, "create", None, None), (1, 1, "resolve", "done", "eve"), (2, 0, "create", "x", None), (2, 1, "resolve", "ok", None),
+         (3, 0, "create", "x", None), (3, 1, "resolve", "ok", "eve"), (3, 2, "resolve", "again", "bob"), (3, 3, "comment", "c", "zoe")],
+        "ticket_id BIGINT, seq BIGINT, action STRING, payload STRING, assignee STRING")
+    assert rows_of(tickets.ticket_state(events), "ticket_id", "status", "assignee", "resolution") == [
+        (1, "resolved", "eve", "done"), (2, "resolved", "x", "ok"), (3, "resolved", "eve", "ok")]
+
+
 def test_ticket_conflicts(spark):
     schema = "title STRING, source_batch_id BIGINT, source_run_id BIGINT"
     held = spark.createDataFrame([(1, "a", 1, 10), (2, "b", 1, 11), (3, "c", 2, None), (4, "d", None, 10)], "ticket_id BIGINT, " + schema)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from batchgauge.functions.settings import missing_sections, read_config, version_compatible
 from batchgauge.operators import merge, validate
+from batchgauge.operators import tickets as review
 from batchgauge.operators.replay import capped
 from batchgauge.sinks import exports
 from batchgauge.sources import csv_files, documents, integrity
@@ -136,6 +137,17 @@ def test_ticket_files(spark, tmp_path):
     assert rows_of(documents.ticket_notes(tickets), "title", "seq", "content") == [("T", 0, "hi"), ("T", 1, "ho")]
 
 
+def test_tickets_in_parts_come_back_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(review, "NOTES_PER_DOCUMENT", 3)
+    held = spark.createDataFrame([(1, "T", None), (2, "U", 9)], "ticket_id BIGINT, title STRING, original_ticket_id BIGINT")
+    notes = spark.createDataFrame([(1, i, "me", "comment", f"n{i}", f"t{i}") for i in range(8)],
+        "ticket_id BIGINT, note_id BIGINT, author STRING, note_type STRING, content STRING, created_at STRING")
+    path = exports.write_json(review.ticket_documents(held, notes), str(tmp_path / "tickets"))
+    assert rows_of(documents.read_tickets(spark, path, lines=True), "title", "original_ticket_id") == [("T", 1), ("U", 9)]
+    timeline = documents.ticket_notes(documents.read_ticket_parts(spark, path, lines=True))
+    assert rows_of(timeline, "seq", "title", "content", "created_at") == [(i, "T", f"n{i}", f"t{i}") for i in range(8)]
+
+
 def test_csv_sinks(spark, tmp_path):
     empty = spark.createDataFrame([], "batch_id INT, v STRING")
     exports.write_csv(empty, str(tmp_path / "empty"))
@@ -190,4 +202,8 @@ def test_scheme_export_and_baseline_package(spark, tmp_path):
     checks = spark.createDataFrame([(i, 1, "pass") for i in range(60)], "id BIGINT, baseline_id BIGINT, check_status STRING")
     thresholds = spark.createDataFrame([(1, "s"), (2, "s")], "baseline_id BIGINT, sensor STRING")
     parts = exports.baseline_package(baselines, thresholds, checks)
-    assert parts["check_history"].count() == 50 and parts["metric_thresholds"].count() == 1
+    assert parts["check_history"].count() == 60 and parts["metric_thresholds"].count() == 1
+    assert parts.keys() == {"baseline_summary", "metric_thresholds", "check_history"}
+    assert parts["baseline_summary"].first().check_history_count == 60
+    newest = exports.baseline_package(baselines, thresholds, checks, newest_checks=50)["newest_checks"]
+    assert sorted(r.id for r in newest.collect()) == list(range(10, 60))
