@@ -5,6 +5,7 @@ SQL functions need a schema or a fixed depth; these small Arrow functions do not
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
@@ -114,6 +115,18 @@ def versioned(text: str | None, version: str | None) -> str | None:
         return None
 
 
+def canonical_sha256(text: str | None) -> str | None:
+    """SHA-256 of a document with sorted keys, so neither their order nor blanks count; NULL
+    for NULL and for text that is no JSON."""
+    try:
+        document = json.loads(text) if text is not None else None
+    except (ValueError, RecursionError):
+        return None
+    if text is None:
+        return None
+    return hashlib.sha256(json.dumps(document, sort_keys=True, ensure_ascii=False).encode("utf-8", "surrogatepass")).hexdigest()
+
+
 _CHANGE = T.StructType([T.StructField(n, T.StringType()) for n in ("path", "change", "old_value", "new_value")])
 
 
@@ -125,3 +138,8 @@ def json_changes(old: pd.Series, new: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def json_with_version(text: pd.Series, version: pd.Series) -> pd.Series:
     return pd.Series([versioned(t, v) for t, v in zip(text, version)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def json_sha256(text: pd.Series) -> pd.Series:
+    return pd.Series([canonical_sha256(t) for t in text], dtype=object)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from batchgauge.functions.json_text import json_sha256
 from batchgauge.operators.slicing import ROWS_PER_SLICE, stored_small, with_positions
+from batchgauge.sources.integrity import FORMAT_VERSION
 
 KEY = ["batch_id", "sensor", "metric_name"]
 
@@ -79,6 +81,37 @@ def capped(rows: DataFrame, key: str, order: str, cap: int) -> DataFrame:
     return rows.withColumn("_nth", F.row_number().over(window)).where(F.col("_nth") <= cap).drop("_nth")
 
 
+def kind_counts(rows: DataFrame, kind: Column, name: str) -> DataFrame:
+    """Per run the number of rows of each kind, as a list of ``kind, n`` in order of the kind."""
+    counted = rows.groupBy("run_id", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("kind", "n"))).alias(name))
+
+
+def snapshot_manifest(
+    runs: DataFrame, batches: DataFrame, metrics: DataFrame, anomalies: DataFrame, errors: DataFrame
+) -> DataFrame:
+    """One row per stored run: where it came from, its configuration with checksum, totals and
+    counts by kind. ``runs`` carry the ``config_json`` they ran with.
+
+    The kind of an anomaly is its method: labels hold the values and would be a kind each.
+    """
+    totals = manifest_summary(runs, metrics, anomalies, errors).drop("batch_id", "run_number", "config_version")
+    method = F.substring_index("anomaly_type", " (", 1)
+    return (
+        runs.select("run_id", "batch_id", "run_number", "config_version", "rows_processed", "rows_errors", "config_json")
+        .join(batches.select("batch_id", "batch_name", "source_file"), "batch_id", "left")
+        .join(totals, "run_id")
+        .join(kind_counts(anomalies, method, "anomaly_type_counts"), "run_id", "left")
+        .join(kind_counts(errors, F.col("error_type"), "error_type_counts"), "run_id", "left")
+        .withColumns({
+            "format_version": F.lit(FORMAT_VERSION),
+            "config_sha256": json_sha256(F.col("config_json")),
+            **{c: F.coalesce(c, F.array().cast("array<struct<kind:string,n:bigint>>"))
+               for c in ("anomaly_type_counts", "error_type_counts")},
+        })
+    )
+
+
 def manifest_summary(
     runs: DataFrame, metrics: DataFrame, anomalies: DataFrame, errors: DataFrame
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchgauge.functions.text import is_number, parse_number, parse_time, strip
+from batchgauge.operators.slicing import stored_small
 
 TIME_COLUMN = "timestamp"
 
@@ -135,7 +136,7 @@ def rejected_files(files: DataFrame, lines: DataFrame) -> DataFrame:
 
     ``files`` lists every file (``batch_id``), so one without any line shows up as empty.
     """
-    headers = headers_of(lines)
+    headers = stored_small(headers_of(lines))  # so the lines are not shuffled for it
     good = (
         parsed_rows(lines, headers)
         .where(F.col("row_error").isNull())

@@ -148,6 +148,10 @@ def user_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return files.select("batch_id"), lines.drop("user_id")
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def write_csv_files(spark: SparkSession, sf_dir: str) -> str:
     """The day files as real CSV files, cut every ``ROWS_PER_FILE`` event ids."""
     lines = table(spark, sf_dir, "events").select(
@@ -159,7 +163,7 @@ def write_csv_files(spark: SparkSession, sf_dir: str) -> str:
     header = lines.select("day", "part").distinct().select(
         "day", "part", F.lit(-1).cast("bigint").alias("n"), F.lit("timestamp,value,user_id").alias("value")
     )
-    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "csv")
     (
         lines.unionByName(header)
         .repartition("day", "part")

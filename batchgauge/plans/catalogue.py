@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from batchgauge.plans import bindings as b
 from batchgauge.plans import process as run
 from batchgauge.session import materialise
 from batchgauge.sinks import exports
-from batchgauge.sources import csv_files
+from batchgauge.sources import csv_files, documents, integrity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -433,6 +434,45 @@ def manifest_summary(spark, sf):
     )
 
 
+def _snapshot(spark, sf):
+    batches = b.batches(spark, sf)
+    runs = b.numbered_runs(spark, sf).join(batches.select("batch_id", "config_json"), "batch_id")
+    return replay.snapshot_manifest(runs, batches, b.run_metrics(spark, sf), b.run_anomalies(spark, sf), b.run_errors(spark, sf))
+
+
+@query
+def snapshot_manifest(spark, sf):
+    def shown(kinds):
+        return F.array_join(F.transform(kinds, lambda k: F.concat_ws("=", k["kind"], k["n"].cast("string"))), ",").alias(kinds)
+
+    return _snapshot(spark, sf).select(
+        "run_id", "batch_name", "run_number", "config_sha256", "total_metrics", "total_anomalies", "total_errors",
+        shown("anomaly_type_counts"), shown("error_type_counts"),
+    )
+
+
+@query
+def snapshot_package(spark, sf):
+    """A package of all runs, written, checked and read again: rows of each part."""
+    manifest = materialise(_snapshot(spark, sf))
+    lines = manifest.groupBy("batch_id").agg(F.sum("rows_processed").alias("total_rows"))
+    parts = exports.snapshot_package(
+        manifest, b.run_metrics(spark, sf), b.run_anomalies(spark, sf), b.run_errors(spark, sf), lines, {"pyspark": spark.version})
+    path = exports.write_package(b.new_folder(spark, "package"), parts)
+    read = documents.read_package(spark, path, integrity.SNAPSHOT_FILES)
+    counts = [table.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n")) for part, table in sorted(read.items())]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query
+def run_records(spark, sf):
+    """A run over the scanned lines: processed rows after cleaning and imputation, and errors."""
+    rows = materialise(_scanned(spark, sf))
+    readings = validate.readings_of(rows)
+    options = with_option_defaults(readings.select("batch_id").distinct())
+    return run.process(readings, options, errors=validate.row_errors(rows)).runs
+
+
 # --- exports ------------------------------------------------------------------------
 
 

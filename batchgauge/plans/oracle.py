@@ -461,6 +461,32 @@ FROM runs r LEFT JOIN (SELECT run_id, count(*) AS n FROM run_metrics GROUP BY 1)
 LEFT JOIN (SELECT run_id, count(*) AS n FROM run_anomalies GROUP BY 1) a ON a.run_id = r.run_id
 LEFT JOIN (SELECT run_id, count(*) AS n FROM run_errors GROUP BY 1) e ON e.run_id = r.run_id"""
 
+ORACLES["snapshot_manifest"] = _with(RUNS, RUN_METRICS, RUN_ANOMALIES, RUN_ERRORS, BATCHES) + """
+SELECT r.run_id, batch_name, run_number,
+       sha256('{"anomaly_detection": {"zscore_threshold": ' || CAST(c_nationkey % 3 + 1 AS VARCHAR) ||
+              '}, "cleaning": {"remove_duplicates": true}, "metrics": {"compute_mean": true}, ' ||
+              '"missing_values": {"strategy": "fill"}, "version": ' || CAST(b.config_version AS VARCHAR) || '}') AS config_sha256,
+       coalesce(m.n, 0) AS total_metrics, coalesce(a.n, 0) AS total_anomalies, coalesce(e.n, 0) AS total_errors,
+       coalesce(a.kinds, '') AS anomaly_type_counts, coalesce(e.kinds, '') AS error_type_counts
+FROM runs r JOIN batches b ON b.batch_id = r.batch_id JOIN customer ON c_custkey = r.batch_id
+LEFT JOIN (SELECT run_id, count(*) AS n FROM run_metrics GROUP BY 1) m ON m.run_id = r.run_id
+LEFT JOIN (SELECT run_id, CAST(sum(k) AS BIGINT) AS n, string_agg(anomaly_type || '=' || CAST(k AS VARCHAR), ',' ORDER BY anomaly_type) AS kinds
+           FROM (SELECT run_id, anomaly_type, count(*) AS k FROM run_anomalies GROUP BY 1, 2) GROUP BY 1) a ON a.run_id = r.run_id
+LEFT JOIN (SELECT run_id, CAST(sum(k) AS BIGINT) AS n, string_agg(error_type || '=' || CAST(k AS VARCHAR), ',' ORDER BY error_type) AS kinds
+           FROM (SELECT run_id, error_type, count(*) AS k FROM run_errors GROUP BY 1, 2) GROUP BY 1) e ON e.run_id = r.run_id"""
+ORACLES["snapshot_package"] = _with(RUNS, RUN_METRICS, RUN_ANOMALIES, RUN_ERRORS) + """
+SELECT 'manifest' AS part, count(*) AS n FROM runs
+UNION ALL SELECT 'config', count(*) FROM runs
+UNION ALL SELECT 'source_summary', count(DISTINCT batch_id) FROM runs
+UNION ALL SELECT 'dependencies', 1
+UNION ALL SELECT 'metrics', count(*) FROM run_metrics WHERE run_id IN (SELECT run_id FROM runs)
+UNION ALL SELECT 'anomalies', count(*) FROM run_anomalies WHERE run_id IN (SELECT run_id FROM runs)
+UNION ALL SELECT 'errors', count(*) FROM run_errors WHERE run_id IN (SELECT run_id FROM runs)"""
+ORACLES["run_records"] = _with(CSV_FIELDS) + """
+SELECT p.batch_id, 'success' AS run_status, rows_processed, coalesce(n, 0) AS rows_errors
+FROM (SELECT batch_id, count(DISTINCT ts) AS rows_processed FROM cells GROUP BY 1) p
+LEFT JOIN (SELECT batch_id, count(*) AS n FROM errors GROUP BY 1) e ON p.batch_id = e.batch_id"""
+
 # --- exports ------------------------------------------------------------------------
 
 DESCRIBED = "l.batch_id, batch_name, l.run_id, run_number, l.config_version"

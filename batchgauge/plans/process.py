@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from batchgauge.operators import anomaly, impute, metrics
 from batchgauge.operators.quantiles import EXACT_ROWS
@@ -18,6 +19,8 @@ class RunResult:
     stats: DataFrame
     metrics: DataFrame
     anomalies: DataFrame
+    counters: DataFrame
+    runs: DataFrame
 
 
 def by_series(readings: DataFrame) -> DataFrame:
@@ -34,12 +37,16 @@ def process(
     config: DataFrame,
     rows_per_slice: int = ROWS_PER_SLICE,
     exact_rows: int = EXACT_ROWS,
+    errors: DataFrame | None = None,
 ) -> RunResult:
     """Readings and a flat configuration table to metrics and anomalies.
 
     Group sizes are measured once, on the scanned readings: a superset of the
-    de-duplicated rows that costs a scan of the key columns. Once a series has to be cut,
-    the imputed rows feed several passes and are written to the shared folder first.
+    de-duplicated rows that costs a scan of the key columns. The imputed rows feed every
+    output, so they are written to the shared folder once; the statistics (one row per
+    series) too, and they reach the readings by a broadcast if they are small.
+
+    ``errors`` are the row-level errors of the readings, for the counters and the run records.
     """
     largest = largest_group(readings, impute.SERIES)
     large = largest > min(rows_per_slice, exact_rows)
@@ -47,14 +54,17 @@ def process(
     flagged = impute.flag_incomplete(readings, config)
     cleaned = impute.clean_by_config(flagged if large else by_series(flagged), config)
     imputed = impute.impute_by_config(cleaned, config, rows_per_slice, readings, largest)
-    if large:
-        imputed = materialise(imputed)
-    stats = metrics.series_stats(imputed, exact_rows=exact_rows, largest=largest, stored=large)
-    if large:
-        stats = stored_small(stats)
+    imputed = materialise(imputed)
+    stats = stored_small(metrics.series_stats(imputed, exact_rows=exact_rows, largest=largest, stored=True))
+    if errors is None:
+        errors = readings.select("batch_id", "row_number").limit(0)
+    counters = materialise(metrics.run_counters(imputed, errors))
     return RunResult(
         imputed=imputed,
         stats=stats,
         metrics=metrics.metrics_by_config(stats, config),
         anomalies=anomaly.anomalies_by_config(imputed, stats, config),
+        counters=counters,
+        runs=counters.select(
+            "batch_id", F.lit("success").alias("run_status"), "rows_processed", F.col("error_records").alias("rows_errors")),
     )

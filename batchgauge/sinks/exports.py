@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from batchgauge.operators.catalog import latest_run
 from batchgauge.operators.drift import last_checks
 from batchgauge.operators.replay import capped
+from batchgauge.sources.integrity import CHECKSUMS, package_files
 
 RUN = ["batch_id", "batch_name", "run_id", "run_number", "config_version"]
 METRICS = ["sensor", "metric", "value"]
@@ -104,6 +105,32 @@ def write_json(table: DataFrame, path: str) -> str:
     return path
 
 
+def snapshot_package(
+    manifest: DataFrame, metrics: DataFrame, anomalies: DataFrame, errors: DataFrame,
+    source_summary: DataFrame, dependencies: dict[str, str],
+) -> dict[str, DataFrame]:
+    """Parts of the package of the runs in ``manifest`` (``replay.snapshot_manifest``), whole."""
+    chosen = manifest.select("run_id")
+    spark = manifest.sparkSession
+    return {
+        "manifest": manifest,
+        "config": manifest.select("run_id", "config_json", "config_sha256"),
+        **{name: rows.join(chosen, "run_id", "left_semi")
+           for name, rows in (("metrics", metrics), ("anomalies", anomalies), ("errors", errors))},
+        "source_summary": source_summary.join(manifest.select("batch_id").distinct(), "batch_id", "left_semi"),
+        "dependencies": spark.createDataFrame(sorted(dependencies.items()), "name STRING, version STRING"),
+    }
+
+
+def write_package(path: str, parts: dict[str, DataFrame]) -> str:
+    """A folder per part, and the size and checksum of every file written in part ``checksum``."""
+    for part, table in parts.items():
+        table.write.mode("error").parquet(f"{path}/{part}")
+    spark = next(iter(parts.values())).sparkSession
+    package_files(spark, path).select("file_name", "file_size", "sha256").write.mode("error").json(f"{path}/{CHECKSUMS}")
+    return path
+
+
 def write_result_set(path: str, parts: dict[str, DataFrame], caps: dict[str, tuple[str, str, int]] | None = None) -> str:
     """A stored result set: every part as Parquet; ``caps`` names parts that also get a
     shortened copy for the manifest (``part -> (group column, order column, rows)``)."""

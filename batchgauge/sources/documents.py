@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batchgauge.sources.integrity import CHECKSUMS, check_written, package_parts
+
 SCHEME_FILE = (
     "name STRING, description STRING, scheme_version STRING, config STRING, "
     "source_scheme_id BIGINT, original_id BIGINT, exported_at STRING"
@@ -48,6 +50,14 @@ def ticket_notes(tickets: DataFrame, key: str = "title") -> DataFrame:
     )
 
 
+def read_package(spark: SparkSession, path: str, required: list[str]) -> dict[str, DataFrame]:
+    """All parts of a package that passes its check; a broken one raises an error with its first problems."""
+    problems = check_written(spark, path, required).limit(10).collect()
+    if problems:
+        raise ValueError("; ".join(f"{p.file_name}: {p.problem}" for p in problems))
+    return {p: spark.read.parquet(f"{path}/{p}") for p in package_parts(required) if p != CHECKSUMS}
+
+
 def read_result_set(spark: SparkSession, path: str, part: str, schema: str | None = None) -> DataFrame:
     """One part (metrics, anomalies, errors, ...) of a stored result set: Parquet as
     written by this package, or a JSON array when a schema is given."""

@@ -24,6 +24,7 @@ BASELINE_FILES = [
     "source_summary.json", "check_history.json", "checksum.json",
 ]
 FORMAT_VERSION = "1.0"
+CHECKSUMS = "checksum"
 
 
 IN_MEMORY = 256 * 1024 * 1024
@@ -63,6 +64,40 @@ def _hash_in_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(sha256=digests)
 
 
+def package_parts(files: list[str]) -> list[str]:
+    """The names of the parts that hold the contents of these files."""
+    return [name.removesuffix(".json") for name in files]
+
+
+def package_files(spark: SparkSession, path: str) -> DataFrame:
+    """``part``, ``file_name`` (``part/file``), ``file_size``, ``sha256`` of a package written as one
+    folder per part."""
+    found = fingerprints(spark, path)
+    part = F.element_at(F.split("file_path", "/"), -2)
+    return found.select(
+        part.alias("part"), F.concat_ws("/", part, "file_name").alias("file_name"), "file_size", "sha256")
+
+
+def check_written(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """Problems (``file_name``, ``problem``) of a package written by ``sinks.exports.write_package``:
+    parts that lack, files listed but absent, changed or not listed."""
+    actual = package_files(spark, path)
+    parts = package_parts(required)
+    present = {r.part for r in actual.where(F.col("part").isin(parts)).select("part").distinct().collect()}
+    problems = spark.createDataFrame(
+        [(p, "missing_file") for p in parts if p not in present], "file_name STRING, problem STRING")
+    if CHECKSUMS not in present:
+        return problems
+    listed = spark.read.schema("file_name STRING, file_size BIGINT, sha256 STRING").json(f"{path}/{CHECKSUMS}")
+    found = actual.where(F.col("part") != CHECKSUMS).select("file_name", F.col("sha256").alias("found"))
+    problem = (
+        F.when(F.col("found").isNull(), "missing_file").when(F.col("sha256").isNull(), "unlisted_file")
+        .when(F.col("sha256") != F.col("found"), "checksum_mismatch")
+    )
+    both = listed.join(found, "file_name", "full_outer").select("file_name", problem.alias("problem"))
+    return problems.unionByName(both.where("problem IS NOT NULL"))
+
+
 def check_packages(actual: DataFrame, listed: DataFrame, required: list[str]) -> DataFrame:
     """Problems of unpacked packages.
 

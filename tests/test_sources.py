@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from batchgauge.functions.settings import missing_sections, read_config, version_compatible
 from batchgauge.operators import merge, validate
 from batchgauge.operators import tickets as review
-from batchgauge.operators.replay import capped
+from batchgauge.operators.replay import capped, snapshot_manifest
 from batchgauge.sinks import exports
 from batchgauge.sources import csv_files, documents, integrity
 from helpers import SAMPLE, rows_of
@@ -171,6 +171,40 @@ def test_result_set_round_trip(spark, tmp_path):
     assert documents.read_result_set(spark, path, "old", "sensor STRING").count() == 2
 
 
+def test_packages_pass_their_own_check(spark, tmp_path):
+    runs = spark.createDataFrame(
+        [(1, 7, 1, 2, 10, 1, '{"b": 1, "a": [1.50, "é"]}'), (2, 7, 2, 2, 0, 0, "no json")],
+        "run_id BIGINT, batch_id BIGINT, run_number BIGINT, config_version BIGINT, rows_processed BIGINT, rows_errors BIGINT, config_json STRING")
+    batches = spark.createDataFrame([(7, "seven", "/d/x.csv")], "batch_id BIGINT, batch_name STRING, source_file STRING")
+    metrics = spark.createDataFrame([(1, "s", "mean", 1.5)], "run_id BIGINT, sensor STRING, metric_name STRING, metric_value DOUBLE")
+    anomalies = spark.createDataFrame(
+        [(1, "zscore (z=3.10)"), (1, "zscore (z=4.00)"), (1, "iqr (above_upper: [1, 2])"), (3, "x")], "run_id BIGINT, anomaly_type STRING")
+    errors = spark.createDataFrame([], "run_id BIGINT, error_type STRING")
+    manifest = snapshot_manifest(runs, batches, metrics, anomalies, errors)
+    first, second = manifest.orderBy("run_id").collect()
+    assert [tuple(k) for k in first.anomaly_type_counts] == [("iqr", 1), ("zscore", 2)] and second.anomaly_type_counts == []
+    assert first.config_sha256 == hashlib.sha256('{"a": [1.5, "é"], "b": 1}'.encode()).hexdigest() and second.config_sha256 is None
+    summary = spark.createDataFrame([(7, 10)], "batch_id BIGINT, total_rows BIGINT")
+    parts = exports.snapshot_package(manifest, metrics, anomalies, errors, summary, {"pyspark": "4"})
+    path = exports.write_package(str(tmp_path / "p"), parts)
+    assert integrity.check_written(spark, path, integrity.SNAPSHOT_FILES).count() == 0
+    read = documents.read_package(spark, path, integrity.SNAPSHOT_FILES)
+    assert read["anomalies"].count() == 3 and read["metrics"].collect() == metrics.collect() and read["errors"].count() == 0
+    file = next((tmp_path / "p" / "metrics").glob("part-*.parquet"))
+    content = file.read_bytes()
+    for crc in (tmp_path / "p").rglob(".*.crc"):
+        crc.unlink()
+    file.write_bytes(content + b"x")
+    write(tmp_path / "p" / "errors" / "more.parquet", "x")
+    for old in (tmp_path / "p" / "source_summary").iterdir():
+        old.unlink()
+    found = rows_of(integrity.check_written(spark, path, integrity.SNAPSHOT_FILES), "problem", "file_name")
+    assert ("checksum_mismatch", f"metrics/{file.name}") in found and ("unlisted_file", "errors/more.parquet") in found
+    assert ("missing_file", "source_summary") in found
+    with pytest.raises(ValueError, match="missing_file|checksum_mismatch"):
+        documents.read_package(spark, path, integrity.SNAPSHOT_FILES)
+
+
 def test_comparison_document(spark, tmp_path):
     one = spark.createDataFrame([("a", 1)], "batch_id STRING, n INT")
     doc = exports.comparison_document("report", one, one, one)
