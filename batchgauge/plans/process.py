@@ -58,7 +58,7 @@ def process(
     stats = stored_small(metrics.series_stats(imputed, exact_rows=exact_rows, largest=largest, stored=True))
     if errors is None:
         errors = readings.select("batch_id", "row_number").limit(0)
-    counters = materialise(metrics.run_counters(imputed, errors))
+    counters = metrics.run_counters(imputed, errors)
     return RunResult(
         imputed=imputed,
         stats=stats,
