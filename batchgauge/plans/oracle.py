@@ -724,7 +724,7 @@ AUDIT = """audit AS (
 ORACLES["last_change"] = _with(BATCHES, AUDIT, SCHEMES, HISTORY) + """
 SELECT b.batch_id, batch_name, locked, b.config_version, a.id AS audit_id, a.action, result, a.scheme_id,
        s.name AS scheme_name, s.scheme_version, error_message, a.id % 9 + 1 AS old_version, a.id % 9 + 2 AS new_version,
-       coalesce(CASE WHEN a.id % 3 = 0 THEN 'version' ELSE 'version,anomaly_detection.zscore_threshold' END, '') AS changed,
+       CASE WHEN a.id IS NULL THEN '' WHEN a.id % 3 = 0 THEN 'version' ELSE 'version,anomaly_detection.zscore_threshold' END AS changed,
        CASE WHEN a.action = 'rollback' THEN h.rolled_back_from_id END AS rolled_back_from_id,
        CASE WHEN a.action = 'rollback' AND h.rolled_back_from_id IS NOT NULL THEN h.scheme_id END AS rolled_back_to_scheme_id,
        CASE WHEN a.action = 'rollback' AND h.rolled_back_from_id IS NOT NULL THEN h.scheme_name END AS rolled_back_to_scheme_name
