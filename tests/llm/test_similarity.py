@@ -175,6 +175,32 @@ def test_learned_tokens_are_the_frequent_ones(spark):
     assert {tuple(r.tokens) for r in urls.learned_tokens(labelled, 0.2).collect()} == {("b", "a"), ("b",), ()}
 
 
+def test_rules_are_mined_from_long_urls(spark):
+    """The token that tells is the rarest of a URL; thirty others always come together."""
+    filler = [f"t{i:02}" for i in range(30)]
+    rows = []
+    for i in range(400):
+        mixed = [f"m{k}" for k in range(9) if i % 10 != k]
+        rows.append((["all", *filler, *mixed, "tells"] if i < 40 else ["all", *filler, *mixed] if i < 200 else ["all", *mixed], "block" if i < 40 or i % 2 else "allow"))
+    labelled = spark.createDataFrame(rows, "tokens ARRAY<STRING>, verdict STRING")
+    rules = urls.mine(labelled, 0.05, 0.7)
+    found = {(tuple(r.tokens), r.verdict): r for r in rules.collect()}
+    assert found[("tells",), "block"].confidence == 1.0 and found[("tells",), "block"].support == 0.1
+    assert not any("all" in tokens for tokens, _ in found)
+    counted = [(set(t), v) for t, v in rows]
+    for (tokens, verdict), rule in found.items():
+        having = [v for t, v in counted if t >= set(tokens)]
+        assert rule.confidence == pytest.approx(having.count(verdict) / len(having))
+        assert rule.support == pytest.approx(having.count(verdict) / len(rows))
+
+
+def test_tokens_that_come_together_stand_for_each_other(spark):
+    rows = [(i, f"http://a.net/x/left/right/{i}") for i in range(20)] + [(100 + i, f"http://b.org/fr/{i}") for i in range(20)]
+    rows += [(200, "http://other.com/left"), (201, "http://other.com/right"), (202, "http://other.com/right/left"), (203, "http://other.com/")]
+    found = by_id(urls.judge(spark.createDataFrame(rows, "page_id BIGINT, url STRING")), "page_id")
+    assert [(found[i][0]["verdict"], found[i][0]["source"]) for i in range(200, 204)] == [("block", "mined")] * 3 + [("allow", "default")]
+
+
 # --- vectors ------------------------------------------------------------------------
 
 ODD = [(1001, None), (1002, []), (1003, [1.0, None]), (1004, [float("nan"), 1.0]), (1005, [float("inf"), 1.0]),
