@@ -126,20 +126,48 @@ def postfix(expression: str) -> list[str]:
     return out + stack[::-1]
 
 
+def whole_part(tokens: list[str]) -> int:
+    """How many tokens, from the first on, the longest whole expression takes; one pass, any length."""
+    whole, depth, operand_next = 0, 0, True
+    for i, token in enumerate(tokens, 1):
+        if token.lower() in PRECEDENCE:
+            if operand_next:
+                break
+            operand_next = True
+        elif token == "(":
+            if not operand_next:
+                break
+            depth += 1
+        elif token == ")":
+            if operand_next or not depth:
+                break
+            depth -= 1
+        else:
+            if not operand_next or not re.match(r"[A-Za-z0-9]", token):
+                break
+            operand_next = False
+        if not operand_next and not depth:
+            whole = i
+    return whole
+
+
 def evaluate(expression: str) -> Value:
     """``OR`` leaves the choice of the mildest, ``AND`` binds to the strictest, ``WITH`` softens."""
-    stack: list[Value] = []
+    stack: list[tuple[float, set[str]]] = []
     for token in postfix(expression):
         if token not in PRECEDENCE:
-            stack.append(Value(restrictiveness(token), frozenset([token.lower()])))
+            stack.append((restrictiveness(token), {token.lower()}))
             continue
-        right, left = stack.pop(), stack.pop()
+        (right, more), (left, names) = stack.pop(), stack.pop()
         if token == "with":
-            stack.append(Value(left.restrictiveness * EXCEPTION, left.identifiers))
-        else:
-            pick = min if token == "or" else max
-            stack.append(Value(pick(left.restrictiveness, right.restrictiveness), left.identifiers | right.identifiers))
-    return stack[0]
+            stack.append((left * EXCEPTION, names))
+            continue
+        if len(more) > len(names):  # the smaller set goes into the larger, so long expressions stay cheap
+            names, more = more, names
+        names |= more
+        stack.append(((min if token == "or" else max)(left, right), names))
+    value, names = stack[0]
+    return Value(value, frozenset(names))
 
 
 def tagged(text: str) -> list[Value]:
@@ -148,14 +176,9 @@ def tagged(text: str) -> list[Value]:
     found = []
     for match in _TAGGED.finditer(text):
         tokens = _TOKEN.findall(match[1])
-        while tokens:
-            try:
-                found.append(evaluate(" ".join(tokens)))
-                break
-            except ValueError:
-                tokens.pop()
-                if len(tokens) > 64:
-                    tokens = tokens[:64]  # no expression is that long; keeps bad lines linear
+        whole = whole_part(tokens)
+        if whole:
+            found.append(evaluate(" ".join(tokens[:whole])))
     return found
 
 

@@ -57,6 +57,27 @@ def test_tags_are_evaluated():
     assert licenses.evaluate("GPL-2.0 WITH x").restrictiveness < licenses.restrictiveness("GPL-2.0")
 
 
+@pytest.mark.parametrize("shape", ["{} */ code", "({}) -->", "{} and so on, as written above"])
+def test_long_expressions_are_read_whole(shape):
+    names = [f"own-{i}" for i in range(5000)] + ["GPL-3.0-only"]
+    found = licenses.scan_text("SPDX-License-Identifier: " + shape.format(" AND ".join(names)))
+    assert set(names[:-1]) | {"gpl-3.0-only"} <= set(found[5].split(",")) and found[6] == pytest.approx(0.6)
+
+
+def test_whole_parts_against_every_prefix():
+    pick = random.Random(8)
+    for _ in range(3000):
+        tokens = [pick.choice(["MIT", "ISC", "AND", "or", "WITH", "(", ")", "*", "x"]) for _ in range(pick.randint(0, 12))]
+        whole = 0
+        for n in range(1, len(tokens) + 1):
+            try:
+                licenses.postfix(" ".join(tokens[:n]))
+                whole = n
+            except ValueError:
+                pass
+        assert licenses.whole_part(tokens) == whole
+
+
 def test_scan_rows(spark):
     found = by_id(licenses.scan(documents(spark)))
     assert sum(map(len, found.values())) == len(TEXTS) + 3
