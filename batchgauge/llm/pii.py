@@ -8,6 +8,9 @@ messages over both kinds of edges, so one clear occurrence decides the unclear o
 
 Potentials are learned piece by piece (a softmax over features, log odds of label pairs for
 neighbours and for skip edges) on a bounded sample of documents, with the base spans as labels.
+Tokens in a base span are observed. Three and more tokens that agree meet in a hub, a variable of
+their own that takes the labels observed on them, so every one of them is two edges from a clear
+one, however long the document.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ NODES_LEARNED = 400
 FEATURES = 1 << 15
 CONFIDENT = 0.9
 ROUNDS = 25
+"""Rounds after which messages that still change are taken over in smaller steps."""
+TOLERANCE = 1e-3
+OBSERVED = 1e9
+"""Log odds of an observed label, beyond what all messages of a document can add up to."""
 
 # The base patterns.
 _EMAIL_LEFT = re.compile(r"[A-Za-z0-9._%+-]")
@@ -98,6 +105,9 @@ class Graph:
     """Whether a node holds a digit or ``@``; the other nodes are its neighbours."""
     chain: np.ndarray
     skip: np.ndarray
+    """Two nodes that agree, or a node and a hub; hubs are numbered behind the nodes."""
+    pairs: np.ndarray
+    """Nodes that agree with the one before, which the potentials of skip edges are learned from."""
     features: list[list[int]]
 
 
@@ -172,18 +182,29 @@ def graph(text: str) -> Graph | None:
             spans.append(after.span())
             marked.append(False)
             links.append((len(spans) - 2, len(spans) - 1))
-    seen: dict[str, int] = {}
-    skips = set()
+    seen: dict[str, list[int]] = {}
+    pairs, joined = set(), set()
     for i, (a, b) in enumerate(spans):
         if marked[i]:
-            for key in _alike(text[a:b]):
-                # each occurrence is joined with the one before, so long documents stay sparse
-                if key in seen and seen[key] != i:
-                    skips.add((seen[key], i))
-                seen[key] = i
+            keys = _alike(text[a:b])
+            for key in keys:
+                group = seen.setdefault(key, [])
+                if group and group[-1] != i:
+                    pairs.add((group[-1], i))
+                group.append(i)
+            joined.update(keys[1:] or keys)  # tokens of one first key share the others too
+    groups = sorted({tuple(sorted(set(seen[key]))) for key in joined if len(set(seen[key])) > 1})
+    skips, hubs = set(), 0
+    for group in groups:
+        if len(group) == 2:
+            skips.add(group)
+        else:  # two edges apart through their hub, so long documents stay sparse
+            skips.update((i, len(spans) + hubs) for i in group)
+            hubs += 1
     return Graph(
         spans, np.array(marked), np.array(links, np.int64).reshape(-1, 2),
-        np.array(sorted(skips), np.int64).reshape(-1, 2), [_features(text, spans, i) for i in range(len(spans))],
+        np.array(sorted(skips), np.int64).reshape(-1, 2), np.array(sorted(pairs), np.int64).reshape(-1, 2),
+        [_features(text, spans, i) for i in range(len(spans))],
     )
 
 
@@ -208,9 +229,27 @@ class Field:
     chain: np.ndarray
     skip: np.ndarray
 
-    def marginals(self, found: Graph) -> np.ndarray:
-        """Label probabilities of every node by loopy, damped sum-product in the log domain."""
+    def marginals(self, found: Graph, observed: np.ndarray | None = None) -> np.ndarray:
+        """Label probabilities of every node, then every hub, by loopy, damped sum-product in the log domain.
+
+        ``observed`` has a label above 0 where a node's is known; a hub's label is one of those
+        observed on its nodes. Messages go round until they have settled.
+        """
         node = np.array([self.weights[f].sum(0) for f in found.features])
+        n = len(node)
+        hubs = max(0, found.skip.max(initial=-1) + 1 - n)
+        node = np.concatenate([node, np.zeros((hubs, node.shape[1]))])
+        if observed is not None:
+            known = np.flatnonzero(observed)
+            node[known] = -OBSERVED
+            node[known, observed[known]] = 0.0
+            seen = np.zeros((hubs, node.shape[1]))
+            to_hub = found.skip[found.skip[:, 1] >= n]
+            to_hub = to_hub[observed[to_hub[:, 0]] > 0]
+            np.add.at(seen, (to_hub[:, 1] - n, observed[to_hub[:, 0]]), 1)
+            told = seen.any(1)
+            share = seen[told] / seen[told].sum(1, keepdims=True)
+            node[n:][told] = np.where(share > 0, np.log(np.maximum(share, 1e-9)), -OBSERVED)
         edges = np.concatenate([found.chain, found.skip])
         tables = np.concatenate([
             np.broadcast_to(self.chain, (len(found.chain), *self.chain.shape)),
@@ -221,15 +260,19 @@ class Field:
         tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
         reverse = np.roll(np.arange(len(source)), len(edges))
         messages = np.zeros((len(source), node.shape[1]))
-        for _ in range(ROUNDS):
+        step, rounds = 0.5, 0
+        while step > TOLERANCE:
             belief = node.copy()
             np.add.at(belief, target, messages)
             out = _logsumexp((belief[source] - messages[reverse])[:, :, None] + tables, 1)
             out -= out.max(1, keepdims=True)
             change = abs(out - messages).max(initial=0)
-            messages = 0.5 * messages + 0.5 * out
-            if change < 1e-3:
+            messages = (1 - step) * messages + step * out
+            if change < TOLERANCE:
                 break
+            rounds += 1
+            if rounds % ROUNDS == 0 and rounds > 4 * ROUNDS:  # messages that swing come to rest in smaller steps
+                step /= 2
         belief = node.copy()
         np.add.at(belief, target, messages)
         return np.exp(belief - _logsumexp(belief, 1)[:, None])
@@ -290,7 +333,7 @@ def train(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Field:
                 out[0].append([i for f in found.features[:k] for i in f])
                 out[1].append(labels)
                 out[2].append(found.chain[(found.chain < k).all(1)].ravel().tolist())
-                out[3].append(found.skip[(found.skip < k).all(1)].ravel().tolist())
+                out[3].append(found.pairs[(found.pairs < k).all(1)].ravel().tolist())
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema)], schema=schema)
 
     learned = []
@@ -305,28 +348,29 @@ def train(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Field:
 def added_spans(text: str, base: list[tuple[int, int, str]], field: Field) -> list[tuple[int, int, str]]:
     """Spans of tokens the field labels, clear of all base spans.
 
-    A token counts if its label is confident and a token it is joined with by a skip edge has the
-    same label and lies in a base span: a repeated or similar form of personal data that is sure.
+    A token counts if its label is confident and skip edges join it, by tokens and hubs of the same
+    label, with one in a base span: a repeated or similar form of personal data that is sure.
     """
     found = graph(text) if base else None
     if found is None or not len(found.skip):
         return []
-    belief = field.marginals(found)
-    best = belief.argmax(1)
     sure = np.array(labels_of(found, base))
+    belief = field.marginals(found, sure)
+    best = belief.argmax(1)
     backed = np.zeros(len(best), bool)
-    backed[sure > 0] = True
-    for _ in range(len(found.skip)):  # along chains of repetitions
-        a, b = found.skip[:, 0], found.skip[:, 1]
-        same = best[a] == best[b]
+    backed[: len(sure)] = sure > 0
+    a, b = found.skip[:, 0], found.skip[:, 1]
+    same = best[a] == best[b]
+    while True:  # along chains of repetitions
         grown = backed.copy()
         np.logical_or.at(grown, a, backed[b] & same)
         np.logical_or.at(grown, b, backed[a] & same)
         if np.array_equal(grown, backed):
             break
         backed = grown
+    backed = backed[: len(sure)]
     out = []
-    for i in np.flatnonzero(backed & found.marked & (best > 0) & (sure == 0)).tolist():
+    for i in np.flatnonzero(backed & found.marked & (best[: len(sure)] > 0) & (sure == 0)).tolist():
         start, end = found.spans[i]
         while start < end and not text[start].isalnum():
             start += 1

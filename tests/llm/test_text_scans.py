@@ -157,6 +157,23 @@ def test_skip_edges_carry_a_label():
     assert field.marginals(graph)[b].max() < 0.5
 
 
+@pytest.mark.parametrize("lean", [0.0, -4.0])
+def test_a_clear_form_reaches_all_that_repeat_it(lean):
+    """Plain forms far from the one clear form are labelled like the near ones, even where each leans against it."""
+    n = len(pii.KINDS) + 1
+    field = pii.Field(np.zeros((pii.FEATURES, n)), np.zeros((n, n)), np.where(np.eye(n), 3.0, -3.0))
+    text = "Call +1 555 012 3456 or +15550123456 and then " + " ".join(f"word 15550123456 more{'x' * (i % 3)} words" for i in range(400))
+    base, found = pii.base_spans(text), pii.graph(text)
+    for i, (a, b) in enumerate(found.spans):
+        if text[a:b] == "15550123456":
+            field.weights[found.features[i][0], 1:] = lean / 2
+    spans = pii.added_spans(text, base, field)
+    assert [k for _, _, k in base] == ["phone"] * 2
+    plain = [(m.start(), m.end()) for m in re.finditer(r"(?<=word )15550123456", text)]
+    assert [(a, b) for a, b, _ in spans] == plain and {k for _, _, k in spans} == {"phone"}
+    assert len(found.skip) <= len(plain) + 3
+
+
 def test_redaction(spark):
     text = "a x@y.zz b 1.2.3.4"
     assert pii.redact(text, pii.base_spans(text)) == "a [EMAIL] b [IP]"
