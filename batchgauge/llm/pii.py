@@ -32,7 +32,9 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCUMENTS = 40_000
 """Documents to learn from, about; chosen by a hash of ``doc_id``."""
 NODES_LEARNED = 400
-"""Nodes of one document that are learned from; inference reads all."""
+"""Nodes of one document that are learned from; inference reads all. Of a document with more, runs of
+``RUN`` nodes are drawn by hash from all over it."""
+RUN = 20
 FEATURES = 1 << 15
 CONFIDENT = 0.9
 ROUNDS = 25
@@ -313,6 +315,18 @@ def learn_field(examples: list[tuple[list[list[int]], list[int], list, list]], p
     return Field(weights, pairs(0), pairs(1))
 
 
+def drawn(found: Graph, most: int = NODES_LEARNED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of a document to learn from, and the chain edges and pairs among them by place in it."""
+    n = len(found.spans)
+    kept = np.ones(n, bool)
+    if n > most:
+        runs = sorted(range(-(-n // RUN)), key=lambda r: zlib.crc32(b"%d of %d" % (r, n)))
+        kept = np.isin(np.arange(n) // RUN, runs[: most // RUN])
+    place = np.cumsum(kept) - 1
+    inside = (place[edges[kept[edges].all(1)]] for edges in (found.chain, found.pairs))
+    return np.flatnonzero(kept), *inside
+
+
 def train(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Field:
     """Learn from about ``sample`` documents; only feature numbers of marked tokens reach the driver."""
     rows = id_and_text(documents)
@@ -328,12 +342,12 @@ def train(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Field:
                 found = graph(text)
                 if found is None:
                     continue
-                labels = labels_of(found, base_spans(text))[:NODES_LEARNED]
-                k = len(labels)
-                out[0].append([i for f in found.features[:k] for i in f])
-                out[1].append(labels)
-                out[2].append(found.chain[(found.chain < k).all(1)].ravel().tolist())
-                out[3].append(found.pairs[(found.pairs < k).all(1)].ravel().tolist())
+                labels = labels_of(found, base_spans(text))
+                nodes, chain, pairs = drawn(found)
+                out[0].append([i for at in nodes.tolist() for i in found.features[at]])
+                out[1].append([labels[at] for at in nodes.tolist()])
+                out[2].append(chain.ravel().tolist())
+                out[3].append(pairs.ravel().tolist())
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema)], schema=schema)
 
     learned = []

@@ -174,6 +174,18 @@ def test_a_clear_form_reaches_all_that_repeat_it(lean):
     assert len(found.skip) <= len(plain) + 3
 
 
+def test_nodes_to_learn_from_come_from_the_whole_document():
+    short, long = (pii.graph(" ".join(f"word {i} {i % 50}0000000" for i in range(n))) for n in (20, 3000))
+    nodes, chain, pairs = pii.drawn(short)
+    assert len(nodes) == len(short.spans) and chain.tolist() == short.chain.tolist() and pairs.tolist() == short.pairs.tolist()
+    nodes, chain, pairs = pii.drawn(long)
+    n = len(long.spans)
+    assert n > 6000 and pii.NODES_LEARNED - pii.RUN <= len(nodes) <= pii.NODES_LEARNED
+    assert all(((nodes >= n * q // 4) & (nodes < n * (q + 1) // 4)).any() for q in range(4))
+    assert {tuple(e) for e in nodes[chain].tolist()} == {(a, b) for a, b in long.chain.tolist() if {a, b} <= set(nodes.tolist())}
+    assert {tuple(e) for e in nodes[pairs].tolist()} <= {tuple(e) for e in long.pairs.tolist()} and len(chain)
+
+
 def test_redaction(spark):
     text = "a x@y.zz b 1.2.3.4"
     assert pii.redact(text, pii.base_spans(text)) == "a [EMAIL] b [IP]"
