@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchgauge.llm.batches import arrow_schema, id_and_text, slices, texts
-from batchgauge.llm.units import byte_level_units, library_memo
+from batchgauge.llm.units import byte_level_units, text_ids
 from batchgauge.session import materialise
 
 MAGIC = b"DAC1"
@@ -112,16 +112,17 @@ class Codes:
         return below
 
 
-def write(documents: DataFrame, tokenizer: str, pattern: str, end_id: int) -> DataFrame:
+def write(documents: DataFrame, tokenizer: str, pattern: str, end_id: int, added_tokens: bool = False) -> DataFrame:
     """Encode ``documents`` with a byte-level tokenizers file and return the written blocks.
 
     ``tokenizer`` and ``pattern`` are the file and its split pattern. Texts are shuffled once, by
     range of ``doc_id``; rows of one ``doc_id`` may be cut anywhere, by their place in the input.
+    ``added_tokens``: strings of the file's added tokens become their ids instead of ordinary text.
     """
     end = struct.pack("<I", end_id)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, schema = library_memo(tokenizer, pattern), arrow_schema(BLOCKS)
+        schema = arrow_schema(BLOCKS)
         part, block, before = TaskContext.get().partitionId(), 0, 0
         doc_ids: list = []
         lengths: list[int] = []
@@ -134,7 +135,7 @@ def write(documents: DataFrame, tokenizer: str, pattern: str, end_id: int) -> Da
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in slices(batches):
-            ids = memo.ids([byte_level_units(t, pattern) for t in texts(batch)])
+            ids = text_ids(tokenizer, texts(batch), lambda t: byte_level_units(t, pattern), pattern, added_tokens)
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), ids):
                 doc_ids.append(doc_id)
                 lengths.append(len(found) // 4 + 1)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from batchgauge.llm.batches import arrow_schema, id_and_text, slices, texts
-from batchgauge.llm.units import blank_separated_units, library_memo
+from batchgauge.llm.units import blank_separated_units, text_ids
 
 WINDOW = 2048
 POOL = 4096
@@ -136,12 +136,17 @@ class Packer:
         self.sequence += 1
 
 
-def pack_documents(documents: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, pool: int = POOL) -> DataFrame:
-    """Pieces of all documents with their window and place in it."""
+def pack_documents(
+    documents: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, pool: int = POOL, added_tokens: bool = False
+) -> DataFrame:
+    """Pieces of all documents with their window and place in it.
+
+    ``added_tokens``: strings of the file's added tokens become their ids instead of ordinary text.
+    """
     end = struct.pack("<I", end_id)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, schema = library_memo(tokenizer), arrow_schema(PIECES)
+        schema = arrow_schema(PIECES)
         packer = Packer(TaskContext.get().partitionId() << 40, window, pool)
 
         def drained() -> pa.RecordBatch:
@@ -150,7 +155,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int, window: in
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
         for batch in slices(batches):
-            ids = memo.ids([blank_separated_units(t) for t in texts(batch)])
+            ids = text_ids(tokenizer, texts(batch), blank_separated_units, added_tokens=added_tokens)
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), ids):
                 packer.add(doc_id, found + end)
             yield drained()

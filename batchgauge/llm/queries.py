@@ -41,7 +41,8 @@ def op2_pii(spark, sf):
 @query
 def op3_addressable_codes(spark, sf):
     files = dac.write(
-        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, END_OF_DOCUMENT)
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, END_OF_DOCUMENT,
+        added_tokens=True)
     return dac.documents_of(files)
 
 
@@ -67,7 +68,8 @@ def op7_language_id(spark, sf):
 
 @query
 def op8_packing(spark, sf):
-    return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_OF_TEXT)
+    return packing.pack_documents(
+        table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_OF_TEXT, added_tokens=True)
 
 
 @query

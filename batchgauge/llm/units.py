@@ -166,3 +166,30 @@ def library_memo(path: str, pattern: str | None = None) -> Memo:
         return [found[w] for w in words]
 
     return Memo(of_matches if pattern else of_words, pattern=pattern)
+
+
+@functools.lru_cache(maxsize=4)
+def _added(path: str) -> tuple[list[str], Callable[[str], bytes]]:
+    """The strings of a file's added tokens, and the library's own encoding of a whole text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokens = tokenizer.get_added_tokens_decoder().values()
+    # one that is looked for in the normalized text may be written in other ways: any text may hold it
+    names = [""] if any(t.normalized for t in tokens) else [t.content for t in tokens]
+    return names, lambda text: packed(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def text_ids(
+    path: str, texts: list[str], cut: Callable[[str], list[str]], pattern: str | None = None, added_tokens: bool = False
+) -> list[bytes]:
+    """The ids of texts that ``cut`` parts into units. With ``added_tokens`` the strings of a file's added
+    tokens become their ids, as in the library's default: texts that hold one are encoded whole."""
+    memo = library_memo(path, pattern)
+    if not added_tokens:
+        return memo.ids([cut(t) for t in texts])
+    names, encode = _added(path)
+    whole = {i: encode(t) for i, t in enumerate(texts) if any(name in t for name in names)}
+    found = memo.ids([[] if i in whole else cut(t) for i, t in enumerate(texts)])
+    return [whole.get(i, ids) for i, ids in enumerate(found)]

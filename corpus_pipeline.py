@@ -36,7 +36,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in windows of 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), END_OF_TEXT)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), END_OF_TEXT, added_tokens=True)
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from batchgauge.llm import dac, packing, transducer, units
+from batchgauge.llm import dac, packing, queries, transducer, units
 from cases import DOCUMENTS, TEXTS, documents
 
 LETTERS = ["a", "é", " ", "\n", "'s", "'", "日本", "\u0301", "😀", "1", "²", "\x1c", "\x85", "\xa0", " ", "\t", "\r\n", "the", "<|endoftext|>", "ß", "_", "-", ".", ", "]
@@ -83,6 +83,24 @@ def test_encode_decode_rows(spark, machine):
             assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest()
 
 
+def test_queries_read_added_tokens_like_the_library(spark, tmp_path):
+    texts = [t or "" for t in TEXTS] + ["x <|endoftext|> y", "<|startoftext|>a<|endoftext|><|endoftext|>", "a <|ENDOFTEXT|> b  <|endoftext|"]
+    docs = documents(spark, [(i, t, None, None, None) for i, t in enumerate(texts)], DOCUMENTS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for query, name, end in ((queries.op3_addressable_codes, "byte_bpe_50k.json", 2), (queries.op8_packing, "word_bpe_49k.json", 1)):
+        default = Tokenizer.from_file(P.path(name))
+        found = {(r.doc_id, getattr(r, "start", 0)): r for r in query(spark, str(tmp_path)).collect()}
+        assert {i for i, _ in found} == set(range(len(texts)))
+        for (i, start), row in found.items():
+            ids = default.encode(texts[i], add_special_tokens=False).ids + [end]
+            if query is queries.op8_packing:
+                assert row.doc_tokens == len(ids)
+                ids = ids[start : start + row.length]
+            else:
+                assert row.n_tokens == len(ids)
+            assert row.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 # --- directly addressable codes -----------------------------------------------------
 
 
