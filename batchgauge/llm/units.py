@@ -97,7 +97,7 @@ def packed(ids: list[int]) -> bytes:
     return _PACKERS[len(ids)](*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
 
 
-def _byte_letters() -> str:
+def byte_letters() -> str:
     """The letters that stand for the 256 bytes in byte-level vocabularies: printable Latin-1 itself,
     then the letters from U+0100 on for the other bytes in order."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -118,7 +118,7 @@ def library_memo(path: str, pattern: str | None = None) -> Memo:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    model, letters = tokenizer.model, _byte_letters()
+    model, letters = tokenizer.model, byte_letters()
 
     def ids_of(piece: str) -> list[int]:
         return [t.id for t in model.tokenize(piece)]
