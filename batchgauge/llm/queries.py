@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchgauge.llm import covertree, crosspolytope, dac, ecoc, licenses, packing, pii, prefixtrie, simhash, transducer, urls
+from batchgauge.llm import (
+    alignment, covertree, crosspolytope, dac, ecoc, licenses, packing, pii, prefixtrie, simhash, spellings, transducer,
+    urls)
 from batchgauge.session import share_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,11 +85,23 @@ def op10_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@query
+def op11_token_alignment(spark, sf):
+    return alignment.align(
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+        public_tokenizers.PATTERN)
+
+
 @query
 def op12_prefix_trie(spark, sf):
     return prefixtrie.encode_decode(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op13_spelling_variants(spark, sf):
+    return spellings.variants(table(spark, sf, "documents"))
+
+
 ORACLES["op5_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
