@@ -1,6 +1,7 @@
-"""Configuration documents as JSON text: differences and the version, for documents of any shape.
+"""Configuration documents as JSON text: replacing the version, and a digest, for documents of any shape.
 
-SQL functions need a schema or a fixed depth; these small Arrow functions do not.
+SQL functions cannot change one value and keep the rest of a text as it is written; these small
+Arrow functions can. Differences need no Python, see ``operators.options``.
 """
 
 from __future__ import annotations
@@ -14,71 +15,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _BLANK = re.compile(r"[ \t\n\r]*")
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]|[^\[\]{}",:\s]+', re.DOTALL)
 
 
-class _Whole(int):
-    """An integer that remembers how it was written."""
+def _value_end(text: str, at: int) -> int:
+    """Where the value that begins at ``at`` ends, however deeply it is nested."""
+    depth = 0
+    for token in _TOKEN.finditer(text, at):
+        depth += {"{": 1, "[": 1, "}": -1, "]": -1}.get(token[0], 0)
+        if depth == 0:
+            return token.end()
+    raise ValueError("unfinished value")
 
-    def __new__(cls, text: str):
-        number = super().__new__(cls, text)
-        number.text = text
-        return number
 
-
-class _Real(float):
-    def __new__(cls, text: str):
-        number = super().__new__(cls, text)
-        number.text = text
-        return number
-
-
-def flat_options(text: str | None) -> dict:
-    """Dotted paths to values, to any depth; of equal paths the later one counts.
-
-    Empty objects have no options. Text that is no JSON object has none either.
-    """
+def _is_object(text: str) -> bool:
     try:
-        document = json.loads(text or "{}", parse_int=_Whole, parse_float=_Real)
-    except (ValueError, RecursionError):
-        return {}
-    flat: dict = {}
-    open_ = [iter([("", document)])] if isinstance(document, dict) else []
-    while open_:
-        for path, value in open_[-1]:
-            if isinstance(value, dict):
-                open_.append(iter([(f"{path}.{k}" if path else k, v) for k, v in value.items()]))
-                break
-            flat[path] = value
-        else:
-            open_.pop()
-    return flat
-
-
-def shown(value) -> str | None:
-    """A value as text: strings and numbers as written, lists as compact JSON."""
-    if value is None or isinstance(value, str):
-        return value
-    if isinstance(value, (_Whole, _Real)):
-        return value.text
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-
-
-def changes(old_text: str | None, new_text: str | None) -> list[dict]:
-    """Options added, removed or modified. Values compare by type and value: 1 equals 1.0 and true,
-    but no text equals a number."""
-    old, new = flat_options(old_text), flat_options(new_text)
-    found = []
-    for path in [*old, *(p for p in new if p not in old)]:
-        if path not in old:
-            change = "added"
-        elif path not in new:
-            change = "removed"
-        elif old[path] != new[path]:
-            change = "modified"
-        else:
-            continue
-        found.append({"path": path, "change": change, "old_value": shown(old.get(path)), "new_value": shown(new.get(path))})
-    return found
+        return isinstance(json.loads(text), dict)
+    except RecursionError:  # nested too deeply for the parser: the braces have to be in pairs at least
+        start = _BLANK.match(text).end()
+        return text[start] == "{" and not text[_value_end(text, start) :].strip()
 
 
 def versioned(text: str | None, version: str | None) -> str | None:
@@ -91,7 +46,7 @@ def versioned(text: str | None, version: str | None) -> str | None:
     decode = json.JSONDecoder()
     out, kept, found = [], 0, False
     try:
-        if not isinstance(json.loads(text), dict):
+        if not _is_object(text):
             return None
         at = _BLANK.match(text).end() + 1
         first = at
@@ -103,7 +58,7 @@ def versioned(text: str | None, version: str | None) -> str | None:
                 at = _BLANK.match(text, at + 1).end()
             key, at = decode.raw_decode(text, at)
             start = _BLANK.match(text, _BLANK.match(text, at).end() + 1).end()
-            _, at = decode.raw_decode(text, start)
+            at = _value_end(text, start)
             if key == "version":
                 out += [text[kept:start], version]
                 kept, found = at, True
@@ -111,28 +66,22 @@ def versioned(text: str | None, version: str | None) -> str | None:
             return "".join([*out, text[kept:]])
         empty = text[_BLANK.match(text, first).end()] == "}"
         return f'{text[:first]}"version": {version}{"" if empty else ", "}{text[first:]}'
-    except (ValueError, RecursionError):
+    except (ValueError, IndexError):
         return None
 
 
 def canonical_sha256(text: str | None) -> str | None:
-    """SHA-256 of a document with sorted keys, so neither their order nor blanks count; NULL
-    for NULL and for text that is no JSON."""
-    try:
-        document = json.loads(text) if text is not None else None
-    except (ValueError, RecursionError):
-        return None
+    """SHA-256 of a document with sorted keys, so neither their order nor blanks count; of one nested too
+    deeply for the parser the digest of the text; NULL for NULL and for text that is no JSON."""
     if text is None:
         return None
-    return hashlib.sha256(json.dumps(document, sort_keys=True, ensure_ascii=False).encode("utf-8", "surrogatepass")).hexdigest()
-
-
-_CHANGE = T.StructType([T.StructField(n, T.StringType()) for n in ("path", "change", "old_value", "new_value")])
-
-
-@F.pandas_udf(T.ArrayType(_CHANGE))
-def json_changes(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([changes(a, b) for a, b in zip(old, new)], dtype=object)
+    try:
+        text = json.dumps(json.loads(text), sort_keys=True, ensure_ascii=False)
+    except RecursionError:
+        pass
+    except ValueError:
+        return None
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 @F.pandas_udf(T.StringType())

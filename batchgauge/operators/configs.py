@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchgauge.functions.json_text import json_changes
 from batchgauge.functions.settings import (
     config_version, missing_sections, version_compatible, with_version,
 )
 from batchgauge.operators.catalog import newest
+from batchgauge.operators.options import config_diff, with_changes  # noqa: F401
 from batchgauge.operators.slicing import left_join_known, stored_small, with_neighbours, with_positions
 from batchgauge.session import materialise
 
@@ -32,16 +32,6 @@ def version_check(schemes: DataFrame, current: str = SCHEME_VERSION) -> DataFram
     )
 
 
-def with_changes(pairs: DataFrame, name: str = "config_diff") -> DataFrame:
-    """Add the array of ``path, change, old_value, new_value`` between ``old_json`` and
-    ``new_json``.
-
-    Both sides are in one row, so no join is needed. Nested options of any depth appear under
-    dotted paths; values compare by type and value: 1 equals 1.0 and true, "1" does not equal 1.
-    """
-    return pairs.withColumn(name, json_changes(F.col("old_json"), F.col("new_json")))
-
-
 def preview(checked: DataFrame) -> DataFrame:
     """What carrying out prechecked requests would change: ``config_diff``, NULL where no new
     configuration comes about (an unknown batch or scheme, nothing to roll back to)."""
@@ -59,14 +49,6 @@ def dry_run_audit(checked: DataFrame) -> DataFrame:
     )
 
 
-def config_diff(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per changed option of each pair (``old_json``, ``new_json``)."""
-    # a plain explode would let the optimizer filter on the array size first, below the
-    # columns the array is made from, and build the maps anew for every path
-    rows = with_changes(pairs).select(*keys, F.explode_outer("config_diff").alias("c"))
-    return rows.where(F.col("c").isNotNull()).select(*keys, "c.*")
-
-
 def _risk(condition: Column, kind: str, severity: str = "blocker") -> Column:
     return F.when(condition, F.struct(F.lit(kind).alias("risk"), F.lit(severity).alias("severity")))
 

@@ -49,11 +49,13 @@ def _wide(df: DataFrame) -> list[str]:
 def stored_small(df: DataFrame) -> DataFrame:
     """Store a table that is expected to be small, measure it, and broadcast it if it is.
 
-    Rows are counted, and the texts, lists and the like in them are added up as text, since
+    Rows are counted, and the texts, lists and the like in them are added up (lists as JSON), since
     a million rows may hold anything.
     """
     stored = materialise(df)
-    texts = [F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)) for c in _wide(stored)]
+    plain = {f.name for f in stored.schema.fields if f.dataType.typeName() in ("string", "binary")}
+    held = {c: F.col(f"`{c}`") if c in plain else F.to_json(F.struct(F.col(f"`{c}`"))) for c in _wide(stored)}
+    texts = [F.coalesce(F.octet_length(text), F.lit(0)) for text in held.values()]
     width = sum(texts, F.lit(16 * len(stored.columns)))
     rows, size = stored.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return small_side(stored, rows) if size <= BROADCAST_BYTES else stored

@@ -434,7 +434,40 @@ def test_config_changes(spark, old, new, expected):
     assert rows_of(configs.config_diff(pairs, ["k"]), "path", "change", "old_value", "new_value") == expected
 
 
+def nested(depth, value):
+    return '{"a":' * depth + value + "}" * depth
+
+
+@pytest.mark.parametrize("old, new, expected", [
+    (nested(300, "1"), nested(300, "2"), [(".".join("a" * 300), "modified", "1", "2")]),
+    (nested(20000, "1"), nested(20000, "2"), [("", "unreadable", nested(20000, "1"), nested(20000, "2"))]),
+    (nested(20000, "1"), nested(20000, "1"), []),
+    ('{"a":{"b":1,"b":2},"c":1}', '{"c":1}', [("", "unreadable", '{"a":{"b":1,"b":2},"c":1}', None), ("c", "added", None, "1")]),
+    ('{"a":', '{"a":1}', [("", "unreadable", '{"a":', None), ("a", "added", None, "1")]),
+    ('{"a":1,"a":2}', '{"a":2}', []), ('{"x":1e2,"y":[1e1]}', '{"x":100,"y":[10]}', []),
+    ('{"s":"{\\"v\\":1}","t":"[1]"}', '{"s":{"v":1},"t":[1]}', [
+        ("s", "removed", '{"v":1}', None), ("s.v", "added", None, "1"), ("t", "modified", "[1]", "[1]")]),
+    ('{"":{"x":1}}', '{"":{"x":2}}', [("x", "modified", "1", "2")]),
+    ('{"x":null}', '{"x":"null"}', [("x", "modified", None, "null")]),
+])
+def test_config_changes_of_odd_documents(spark, old, new, expected):
+    pairs = spark.createDataFrame([(1, old, new), (2, old, old), (3, None, None)], "k INT, old_json STRING, new_json STRING")
+    assert rows_of(configs.config_diff(pairs, ["k"]), "path", "change", "old_value", "new_value") == expected
+
+
+def test_changes_come_in_the_order_of_the_documents_without_python(spark):
+    old, new = '{"z":1,"b":{"y":1,"x":2},"gone":0}', '{"new":1,"b":{"x":3,"y":2},"z":2}'
+    pairs = spark.createDataFrame([(i, old, new, "k") for i in range(3)] + [(7, new, new, "k")], "id INT, old_json STRING, new_json STRING, path STRING")
+    found = {r.id: [c.path for c in r.config_diff] for r in configs.with_changes(pairs).collect()}
+    assert found == {7: [], **dict.fromkeys(range(3), ["z", "b.y", "b.x", "gone", "new"])}
+    for made in (configs.with_changes(pairs), configs.config_diff(pairs, ["id"])):
+        plan = made._jdf.queryExecution().toString()
+        assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
+
+
 @pytest.mark.parametrize("text, expected", [
+    (nested(20000, "1"), '{"version": 9, ' + nested(20000, "1")[1:]), ('{"v":"}\\"]","version":{"version":"{"}}', '{"v":"}\\"]","version":9}'),
+    ("[" * 20000, None),
     ('{"cleaning":{"remove_duplicates":true,"custom":7},"owner":"x","version":1}', '{"cleaning":{"remove_duplicates":true,"custom":7},"owner":"x","version":9}'),
     ('{"version":1.5, "a":"{"}', '{"version":9, "a":"{"}'), ('{ }', '{"version": 9 }'),
     ('{"a":{"version":1}}', '{"version": 9, "a":{"version":1}}'), ('{"version":{"x":[1]},"b":1e3}', '{"version":9,"b":1e3}'),
