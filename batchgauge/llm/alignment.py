@@ -18,6 +18,7 @@ import functools
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,7 +96,10 @@ class Aligner:
         self.bytes_a, self.bytes_b = byte_level_tokens(a), self.pieces.bytes_of
         self.length_a, self.length_b = (np.array([len(t) for t in side]) for side in (self.bytes_a, self.bytes_b))
         self.spaced_a, self.spaced_b = (np.array([t[:1] == b" " for t in side]) for side in (self.bytes_a, self.bytes_b))
+        self.sizes_a, self.sizes_b = self.length_a.tolist(), self.length_b.tolist()
+        self.decimal = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
         self.pairs = _pairs(self.bytes_a, self.bytes_b)
+        self.number = {pair: i for i, pair in enumerate(self.pairs.tolist())}
         self.windows: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
         self.size = 0
 
@@ -120,15 +124,27 @@ class Aligner:
 
     def _window(self, key: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
         """The groups of a window as text, and its links as numbers of ``pairs``."""
-        a, b = (np.frombuffer(ids, "<u4").tolist() for ids in key)
-        end_a, end_b = ({int(e): i + 1 for i, e in enumerate(np.cumsum(n[ids]))} for n, ids in ((self.length_a, a), (self.length_b, b)))
-        groups, links, i, j = [], [], 0, 0
-        for end in sorted(end_a.keys() & end_b.keys()):
-            p, q = end_a[end], end_b[end]
-            groups.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
-            links.append(a[p - 1] << 32 | b[q - 1])
-            i, j = p, q
-        found = ";".join(groups).encode(), np.searchsorted(self.pairs, links).astype("<u4").tobytes()
+        a, b = (struct.unpack(f"<{len(ids) // 4}I", ids) for ids in key)
+        size_a, size_b, decimal = self.sizes_a, self.sizes_b, self.decimal
+        groups, links, begin_a, begin_b, i, j = [], [], 0, 0, 0, 0
+        end_a, end_b = size_a[a[0]], size_b[b[0]]
+        while True:
+            if end_a < end_b:
+                i += 1
+                end_a += size_a[a[i]]
+            elif end_b < end_a:
+                j += 1
+                end_b += size_b[b[j]]
+            else:
+                links.append(self.number[a[i] << 32 | b[j]])
+                i, j = i + 1, j + 1
+                groups.append(f"{','.join([decimal[t] for t in a[begin_a:i]])}|{','.join([decimal[t] for t in b[begin_b:j]])}")
+                if i == len(a):
+                    break
+                begin_a, begin_b = i, j
+                end_a += size_a[a[i]]
+                end_b += size_b[b[j]]
+        found = ";".join(groups).encode(), packed(links)
         if len(key[0]) + len(key[1]) < 1024:  # a text without spaces is one long window that does not come again
             if self.size > self.limit:
                 self.windows.clear()
