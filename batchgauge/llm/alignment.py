@@ -18,8 +18,8 @@ import functools
 import hashlib
 import json
 import re
-import struct
 from collections.abc import Iterator
+from itertools import starmap
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,9 @@ from batchgauge.session import materialise
 
 SPACE = "▁"
 """What sentencepiece writes for a space."""
+_COMMA, _BAR, _SEMICOLON, _LINE = range(4)
+CHANGED = b"\xff" * 4
+"""Stands for the ids of a word whose pieces spell something else; no id has these bytes."""
 _WORDS = re.compile(r" +[^ ]*")
 
 
@@ -63,12 +66,17 @@ class Pieces:
 
     def _encode(self, units: list[str]) -> list[bytes]:
         """Units begin with the space that the model adds; a space alone it would take for no text."""
-        ids = self.model.encode([u[1:] for u in units], num_threads=1)
-        return [packed([self.model.piece_to_id(SPACE)] if u == " " else i) for u, i in zip(units, ids)]
+        found, look = self.model.encode([u[1:] for u in units], num_threads=1), self.bytes_of.__getitem__
+        for at, unit in enumerate(units):
+            if unit == " ":
+                found[at] = [self.model.piece_to_id(SPACE)]
+        return [
+            packed(ids) if b"".join(map(look, ids)) == unit.encode("utf-8", "replace") else CHANGED for unit, ids in zip(units, found)]
 
     def ids(self, spaced: list[str]) -> list[bytes]:
-        """The ids of texts that are given with the space in front."""
-        return self.memo.ids([_WORDS.findall(t) if self.by_words else [t] for t in spaced])
+        """The ids of texts that are given with the space in front; none where the pieces spell another text."""
+        found = self.memo.ids([_WORDS.findall(t) if self.by_words else [t] for t in spaced])
+        return [b"" if CHANGED in ids else ids for ids in found]
 
 
 def _pairs(tokens_a: list[bytes], tokens_b: list[bytes]) -> np.ndarray:
@@ -96,12 +104,13 @@ class Aligner:
         self.bytes_a, self.bytes_b = byte_level_tokens(a), self.pieces.bytes_of
         self.length_a, self.length_b = (np.array([len(t) for t in side]) for side in (self.bytes_a, self.bytes_b))
         self.spaced_a, self.spaced_b = (np.array([t[:1] == b" " for t in side]) for side in (self.bytes_a, self.bytes_b))
-        self.sizes_a, self.sizes_b = self.length_a.tolist(), self.length_b.tolist()
-        self.decimal = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+        if not {bytes([i]) for i in range(256)} <= set(self.bytes_a):
+            raise ValueError("a byte-level vocabulary has a token for every byte")  # so its tokens spell any text
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        self.decimal = [b"%d%s" % (i, after) for i in range(most) for after in (b",", b"|", b";", b"\n")]
         self.pairs = _pairs(self.bytes_a, self.bytes_b)
-        self.number = {pair: i for i, pair in enumerate(self.pairs.tolist())}
         self.windows: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
-        self.size = 0
+        self.held = 0
 
     def tokens(self, text: str | None) -> tuple[bytes, bytes]:
         return self.tokenised([text])[0]
@@ -112,45 +121,39 @@ class Aligner:
         live = [i for i, t in enumerate(found) if t]
         spaced = [" " + found[i] for i in live]
         ids_a = text_ids(self.path, spaced, lambda t: byte_level_units(t, self.pattern), self.pattern)
-        for i, text, a, b in zip(live, spaced, ids_a, self.pieces.ids(spaced)):
-            data = text.encode("utf-8", "replace")
-            if self._spells(a, self.bytes_a, data) and self._spells(b, self.bytes_b, data):
+        for i, a, b in zip(live, ids_a, self.pieces.ids(spaced)):
+            if b:
                 out[i] = a, b
         return out
 
-    @staticmethod
-    def _spells(ids: bytes, bytes_of: list[bytes], data: bytes) -> bool:
-        return b"".join(map(bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())) == data
-
-    def _window(self, key: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
-        """The groups of a window as text, and its links as numbers of ``pairs``."""
-        a, b = (struct.unpack(f"<{len(ids) // 4}I", ids) for ids in key)
-        size_a, size_b, decimal = self.sizes_a, self.sizes_b, self.decimal
-        groups, links, begin_a, begin_b, i, j = [], [], 0, 0, 0, 0
-        end_a, end_b = size_a[a[0]], size_b[b[0]]
-        while True:
-            if end_a < end_b:
-                i += 1
-                end_a += size_a[a[i]]
-            elif end_b < end_a:
-                j += 1
-                end_b += size_b[b[j]]
-            else:
-                links.append(self.number[a[i] << 32 | b[j]])
-                i, j = i + 1, j + 1
-                groups.append(f"{','.join([decimal[t] for t in a[begin_a:i]])}|{','.join([decimal[t] for t in b[begin_b:j]])}")
-                if i == len(a):
-                    break
-                begin_a, begin_b = i, j
-                end_a += size_a[a[i]]
-                end_b += size_b[b[j]]
-        found = ";".join(groups).encode(), packed(links)
-        if len(key[0]) + len(key[1]) < 1024:  # a text without spaces is one long window that does not come again
-            if self.size > self.limit:
-                self.windows.clear()
-                self.size = 0
-            self.windows[key] = found
-            self.size += len(key[0]) + len(key[1]) + len(found[0]) + len(found[1]) + 400
+    def _shared(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where tokens of both sides end together: the places of the two tokens. Both spell the same bytes."""
+        end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        near = np.searchsorted(end_b, end_a)
+        last_a = np.flatnonzero(end_b[near] == end_a)
+        return last_a, near[last_a]
+
+    def _aligned(self, keys: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+        """The groups of windows as text, and their links as numbers of ``pairs``, for many windows at once."""
+        a, b = (np.frombuffer(b"".join(ids), "<u4").astype(np.int64) for ids in zip(*keys))
+        stop_a = np.cumsum([len(ids) // 4 for ids, _ in keys])
+        last_a, last_b = self._shared(a, b)
+        # tokens in the order of the text: a group's tokens of A, then those of B, each with what follows it
+        size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        written = np.empty(len(a) + len(b), np.int64)
+        after_a, after_b = np.full(len(a), _COMMA), np.full(len(b), _COMMA)
+        after_a[last_a], after_b[last_b] = _BAR, _SEMICOLON
+        after_b[last_b[np.searchsorted(last_a, stop_a - 1)]] = _LINE
+        written[np.arange(len(a)) + np.repeat(last_b - size_b + 1, size_a)] = a * 4 + after_a
+        written[np.arange(len(b)) + np.repeat(last_a + 1, size_b)] = b * 4 + after_b
+        groups = b"".join(map(self.decimal.__getitem__, written.tolist())).split(b"\n")
+        numbers = np.searchsorted(self.pairs, a[last_a] << 32 | b[last_b]).astype("<u4").tobytes()
+        ends = (np.searchsorted(last_a, stop_a) * 4).tolist()
+        found = list(zip(groups, map(numbers.__getitem__, starmap(slice, zip([0, *ends], ends)))))
+        for key, window in zip(keys, found):
+            if len(key[0]) + len(key[1]) < 1024:  # a text without spaces is one long window that does not come again
+                self.windows[key] = window
+                self.held += len(key[0]) + len(key[1]) + len(window[0]) + len(window[1]) + 400
         return found
 
     def align(self, tokens: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
@@ -161,21 +164,21 @@ class Aligner:
             return out
         all_a, all_b = (b"".join(tokens[i][side] for i in live) for side in (0, 1))
         a, b = np.frombuffer(all_a, "<u4"), np.frombuffer(all_b, "<u4")
-        end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-        near = np.searchsorted(end_b, end_a)
-        last_a = np.flatnonzero(end_b[near] == end_a)  # verified: both sides end here
-        last_b = near[last_a]
+        last_a, last_b = self._shared(a, b)  # verified ends
         anchor = np.append(self.spaced_a[a], True)[last_a + 1] & np.append(self.spaced_b[b], True)[last_b + 1]
         stop_a, stop_b = last_a[anchor] + 1, last_b[anchor] + 1
         # a text begins with a space, so every text ends with an anchor
         ends = np.searchsorted(stop_a, np.cumsum([len(tokens[i][0]) // 4 for i in live]), side="right").tolist()
-        known, groups, links, p, q = self.windows.get, [], [], 0, 0
-        for x, y in zip((stop_a * 4).tolist(), (stop_b * 4).tolist()):
-            key = all_a[p:x], all_b[q:y]
-            window = known(key) or self._window(key)
-            groups.append(window[0])
-            links.append(window[1])
-            p, q = x, y
+        cuts = (stops.tolist() for stops in (stop_a * 4, stop_b * 4))
+        keys = list(zip(*(map(ids.__getitem__, starmap(slice, zip([0, *stops], stops))) for ids, stops in zip((all_a, all_b), cuts))))
+        if self.held > self.limit:
+            self.windows.clear()
+            self.held = 0
+        windows = list(map(self.windows.get, keys))
+        if new := list({keys[i] for i, window in enumerate(windows) if window is None}):
+            made = dict(zip(new, self._aligned(new)))
+            windows = [window or made[key] for key, window in zip(keys, windows)]
+        groups, links = zip(*windows)
         start = 0
         for i, end in zip(live, ends):
             out[i] = b";".join(groups[start:end]), b"".join(links[start:end])
