@@ -10,7 +10,7 @@ from batchgauge.functions.settings import (
 )
 from batchgauge.operators.catalog import newest
 from batchgauge.operators.options import config_diff, with_changes  # noqa: F401
-from batchgauge.operators.slicing import left_join_known, stored_small, with_neighbours, with_positions
+from batchgauge.operators.slicing import left_join_known, stored_small, with_neighbours, with_numbers
 from batchgauge.session import materialise
 
 SCHEME_VERSION = "1.0"
@@ -156,12 +156,12 @@ def apply_schemes(
     )
     accepted = accepted.join(origin, "scheme_id")
     if copies:
-        placed = with_positions(accepted.withColumn("_all", F.lit(0)), ["_all"], "request_id", "request_id")
+        placed = with_numbers(accepted, "request_id", "request_id")
         top = schemes.agg(F.coalesce(F.max("scheme_id"), F.lit(0))).first()[0]
         accepted = placed.withColumns({
             "applied_id": F.col("pos") + top, "applied_name": F.col("new_name"),
             "applied_source": F.col("scheme_id"),
-        }).drop("_all", "pos")
+        }).drop("pos")
     else:
         accepted = accepted.withColumns({
             "applied_id": F.col("scheme_id"), "applied_name": F.col("scheme_name"),

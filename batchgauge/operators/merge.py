@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchgauge.operators.slicing import ROWS_PER_SLICE, largest_group, with_positions
+from batchgauge.operators.slicing import ROWS_PER_SLICE, largest_group, with_numbers, with_positions
 from batchgauge.session import materialise
 
 # The policies, and the suffix given to renamed inputs.
@@ -39,7 +39,8 @@ def merge_decisions(
         "_conflict", F.col("target_id").isNotNull() | (F.col("seq") != F.col("_first"))
     )
     if policy == "rename":
-        return _renamed(existing, incoming, judged, names, rows_per_slice)
+        own = names.where(F.col("target_id").isNull()).select("name")
+        return renamed(existing, own, judged.drop("_first"), rows_per_slice)
     action = F.when(F.col("_conflict"), policy).otherwise("insert")
     kept = ~F.col("_conflict") if policy != "overwrite" else F.lit(True)
     return judged.select(
@@ -48,15 +49,14 @@ def merge_decisions(
     )
 
 
-def _renamed(
-    existing: DataFrame, incoming: DataFrame, judged: DataFrame, names: DataFrame, rows_per_slice: int
-) -> DataFrame:
-    own = names.where(F.col("target_id").isNull()).select("name")
+def renamed(existing: DataFrame, own: DataFrame, judged: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Names of inputs (``seq, name, target_id, _conflict``, optionally ``new_name``): those in conflict
+    get their new name if it is free, else the first free suffix. ``own``: names that inputs keep."""
     taken = existing.select("name").unionByName(own)
-    clashes = materialise(judged.where("_conflict").drop("_first", "_conflict"))
+    clashes = materialise(judged.where("_conflict").drop("_conflict"))
     unclear = clashes
     explicit = None
-    if "new_name" in incoming.columns:
+    if "new_name" in judged.columns:
         free = clashes.where(F.col("new_name").isNotNull()).join(
             taken.withColumnRenamed("name", "new_name"), "new_name", "left_anti"
         )
@@ -145,7 +145,6 @@ def merged_table(
     incoming: DataFrame,
     decisions: DataFrame,
     payload: list[str],
-    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """The table after the import: ``id, name``, payload, and provenance.
 
@@ -172,9 +171,7 @@ def merged_table(
         F.lit(None).cast("string").alias("original_name"), "original_id",
     )
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    fresh = with_positions(
-        final.where(~replaced).withColumn("_all", F.lit(0)), ["_all"], "seq", "seq", "pos", rows_per_slice
-    ).select(
+    fresh = with_numbers(final.where(~replaced), "seq", "seq").select(
         (F.col("pos") + top).alias("id"), F.col("final_name").alias("name"),
         *[F.col(f"_p.{c}").alias(c) for c in payload], "original_name", "original_id",
     )

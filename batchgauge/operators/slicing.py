@@ -244,6 +244,21 @@ def with_positions(
     )
 
 
+NUMBERED_ROWS = 100_000
+"""Rows of a range that new numbers are given out in, and how many ranges there are at least."""
+NUMBERED_RANGES = 8
+
+
+def with_numbers(df: DataFrame, order: str, tie: str, name: str = "pos", rows_per_range: int = NUMBERED_ROWS) -> DataFrame:
+    """1-based number of each row among all rows, by ``(order nulls last, tie)``, without a window
+    over all of them: rows are numbered inside ranges of the sort key, and the counts of the ranges
+    before, one row a range, say where a range begins."""
+    df = materialise(df.withColumn("_all", F.lit(0)))
+    rows = df.count()
+    size = max(1, min(rows_per_range, -(-rows // NUMBERED_RANGES)))
+    return with_positions(df, ["_all"], order, tie, name, size, largest=rows).drop("_all")
+
+
 def _skipping_nulls(function: str, value: str, parts: list[str], order: str, tie: str) -> Column:
     # lag / lead take IGNORE NULLS in SQL only
     names = ", ".join(f"`{p}`" for p in parts)

@@ -346,6 +346,64 @@ def incoming_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ticket_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticket documents to import, one per order: about ten share a title, three a batch; some leave
+    the batch, the run or both open, some have no title."""
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("seq"),
+        F.when(k % 31 != 0, F.concat(F.lit("Customer#"), F.lpad((F.col("o_custkey") * 2).cast("string"), 9, "0"))).alias("title"),
+        F.when(s != "O", F.floor(k / 3)).alias("source_batch_id"),
+        F.when((s == "F") & (k % 5 != 0) | (s == "P") & (k % 2 == 0), F.col("o_custkey")).alias("source_run_id"),
+        F.when(k % 4 == 0, "drift").alias("trigger_rule"),
+        F.when(k % 3 == 0, F.when(k % 2 == 0, "resolved").otherwise("reopened")).alias("status"),
+        F.when(k % 5 < 3, F.concat(F.lit("clerk "), (k % 9).cast("string"))).alias("assignee"),
+        F.when(k % 6 == 0, "done").alias("resolution"),
+        F.when(k % 4 != 1, k % 100).alias("original_ticket_id"),
+        F.concat(F.lit("/files/"), k.cast("string"), F.lit(".json")).alias("imported_from"),
+    )
+
+
+def ticket_file_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timelines of the documents: a note per line of an order."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("seq"), F.col("l_linenumber").cast("bigint").alias("place"),
+        F.col("l_linestatus").alias("author"), F.when(F.col("l_returnflag") != "N", "resolve").alias("note_type"),
+        F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("content"),
+    )
+
+
+def shaped_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two configuration documents per order, in five shapes: braces and quotes in text, lists, names
+    five levels deep, the version anywhere, empty objects, booleans, no object at all, NULL values."""
+    k = F.col("o_orderkey")
+    a, c = (k % 9 + 1).cast("string"), (k % 4).cast("string")
+
+    def text(*parts) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    def by_shape(*shapes: Column) -> Column:
+        return F.element_at(F.array(*shapes), (k % len(shapes) + 1).cast("int"))
+
+    return table(spark, sf_dir, "orders").select(
+        k.alias("id"),
+        by_shape(
+            text('{"note": "{', a, '} \\"x\\"", "list": [1, 2], "version": ', a, "}"),
+            text('{"l1": {"l2": {"l3": {"l4": {"l5": ', a, '}}}}, "version": ', a, "}"),
+            text('{"version": ', a, ', "cleaning": {}, "on": true}'),
+            text("[", a, "]"),
+            text('{"x": "', a, '", "y": null}'),
+        ).alias("old_json"),
+        by_shape(
+            text('{"version": ', c, ', "note": "{', c, '} \\"x\\"", "list": [1.0, 2]}'),
+            text('{"version": ', a, '.0, "l1": {"l2": {"l3": {"l4": {"l5": ', c, "}}}}}"),
+            text('{"on": 1, "cleaning": {"remove": ', c, '}, "version": ', a, "}"),
+            text('{"x": ', c, "}"),
+            text('{"x": ', a, ', "y": null}'),
+        ).alias("new_json"),
+    )
+
+
 def named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Existing names: the suppliers, some with one or two imported copies."""
     s = table(spark, sf_dir, "supplier")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchgauge.operators import (
-    anomaly, catalog, compare, configs, drift, impute, merge, metrics, replay, tickets, validate,
+    anomaly, catalog, compare, configs, drift, impute, merge, metrics, replay, ticket_import,
+    tickets, validate,
 )
 from batchgauge.functions.settings import with_option_defaults
 from batchgauge.operators.quantiles import EXACT_ROWS
@@ -531,6 +532,12 @@ def config_diff(spark, sf):
     return configs.config_diff(pairs, ["id"])
 
 
+@query
+def config_diff_shapes(spark, sf):
+    """Pairs of documents in several shapes."""
+    return configs.config_diff(b.shaped_configs(spark, sf), ["id"])
+
+
 @query
 def scheme_lineage(spark, sf):
     return configs.scheme_lineage(b.schemes(spark, sf))
@@ -728,3 +735,32 @@ def ticket_illegal(spark, sf):
 @query
 def ticket_conflicts(spark, sf):
     return tickets.ticket_conflicts(b.incoming_tickets(spark, sf), b.tickets(spark, sf))
+
+
+@query
+def ticket_import_reject(spark, sf):
+    return ticket_import.import_decisions(b.tickets(spark, sf), b.ticket_files(spark, sf), "reject")
+
+
+@query
+def ticket_import_rename(spark, sf):
+    return ticket_import.import_decisions(b.tickets(spark, sf), b.ticket_files(spark, sf), "rename")
+
+
+def _imported(spark, sf):
+    return ticket_import.import_tickets(b.tickets(spark, sf), b.ticket_files(spark, sf), b.ticket_file_notes(spark, sf), "reject")
+
+
+@query
+def ticket_import_rows(spark, sf):
+    """The tickets that an import adds, with the size of their timelines."""
+    made = _imported(spark, sf)
+    notes = made["ticket_notes"].groupBy("ticket_id").agg(
+        F.count(F.lit(1)).alias("notes"), F.max_by("content", "place").alias("last_note"), F.min_by("content", "place").alias("first_note"),
+        F.count_if(F.col("note_type") == "resolve").alias("resolving"))
+    return made["tickets"].join(notes, "ticket_id")
+
+
+@query
+def ticket_import_audit(spark, sf):
+    return _imported(spark, sf)["audit_log"]

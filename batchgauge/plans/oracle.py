@@ -606,6 +606,16 @@ FROM both_sides WHERE v0 <> v1
 UNION ALL
 SELECT id, 'anomaly_detection.zscore_threshold', 'modified', CAST(t0 AS VARCHAR), CAST(t1 AS VARCHAR)
 FROM both_sides WHERE t0 <> t1"""
+ORACLES["config_diff_shapes"] = """
+WITH d AS (
+  SELECT o_orderkey AS id, o_orderkey % 5 AS shape, CAST(o_orderkey % 9 + 1 AS VARCHAR) AS a, CAST(o_orderkey % 4 AS VARCHAR) AS c
+  FROM orders)
+SELECT id, 'version' AS path, 'modified' AS change, a AS old_value, c AS new_value FROM d WHERE shape = 0 AND a <> c
+UNION ALL SELECT id, 'note', 'modified', '{' || a || '} "x"', '{' || c || '} "x"' FROM d WHERE shape = 0 AND a <> c
+UNION ALL SELECT id, 'l1.l2.l3.l4.l5', 'modified', a, c FROM d WHERE shape = 1 AND a <> c
+UNION ALL SELECT id, 'cleaning.remove', 'added', NULL, c FROM d WHERE shape = 2
+UNION ALL SELECT id, 'x', 'added', NULL, c FROM d WHERE shape = 3
+UNION ALL SELECT id, 'x', 'modified', a, a FROM d WHERE shape = 4"""
 ORACLES["scheme_lineage"] = _with(SCHEMES) + """
 SELECT a.scheme_id, a.name, a.source_scheme_id, s.name AS source_scheme_name,
        coalesce(a.original_id, a.scheme_id) AS root_id, c.id AS newest_copy_id, n.name AS newest_copy_name
@@ -798,3 +808,103 @@ SELECT seq, name, 'insert' AS action, name AS final_name, target_id FROM judged
 UNION ALL
 SELECT r.seq, r.name, 'rename', candidate, target_id FROM ranked r JOIN free f ON f.name = r.name AND f.r = r.r"""
 ORACLES["merge_rename_sliced"] = ORACLES["merge_rename"]
+
+
+# --- ticket import: every round decides the first open input of every key -------------
+
+_SOURCE = "CASE WHEN b IS NOT NULL AND r IS NOT NULL THEN 'both' WHEN b IS NOT NULL THEN 'batch' WHEN r IS NOT NULL THEN 'run' END"
+_HELD = """SELECT {0}, 'title' AS kind, title AS k1, NULL AS k2 FROM {1}
+  UNION ALL SELECT {0}, 'both', CAST(b AS VARCHAR), r FROM {1} WHERE b IS NOT NULL AND r IS NOT NULL
+  UNION ALL SELECT {0}, 'batch', CAST(b AS VARCHAR), NULL FROM {1} WHERE b IS NOT NULL
+  UNION ALL SELECT {0}, 'run', CAST(r AS VARCHAR), NULL FROM {1} WHERE r IS NOT NULL"""
+TICKET_FILES = f"""tickets AS (
+  SELECT c_custkey AS id, c_name AS title, CASE WHEN c_nationkey % 5 <> 4 THEN c_nationkey END AS b,
+         CASE WHEN c_nationkey % 7 <> 6 THEN c_custkey % 11 END AS r FROM customer),
+files AS (
+  SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 31 <> 0 THEN 'Customer#' || lpad(CAST(o_custkey * 2 AS VARCHAR), 9, '0') END AS title,
+         CASE WHEN o_orderstatus <> 'O' THEN o_orderkey // 3 END AS b,
+         CASE WHEN (o_orderstatus = 'F' AND o_orderkey % 5 <> 0) OR (o_orderstatus = 'P' AND o_orderkey % 2 = 0) THEN o_custkey END AS r,
+         CASE WHEN o_orderkey % 4 = 0 THEN 'drift' END AS trigger_rule,
+         CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'resolved' ELSE 'reopened' END END AS status,
+         CASE WHEN o_orderkey % 5 < 3 THEN 'clerk ' || CAST(o_orderkey % 9 AS VARCHAR) END AS assignee,
+         CASE WHEN o_orderkey % 6 = 0 THEN 'done' END AS resolution,
+         CASE WHEN o_orderkey % 4 <> 1 THEN o_orderkey % 100 END AS original_ticket_id,
+         '/files/' || CAST(o_orderkey AS VARCHAR) || '.json' AS imported_from
+  FROM orders),
+named AS (SELECT * FROM files WHERE title IS NOT NULL),
+held AS MATERIALIZED (SELECT kind || ':' || k1 || coalesce(':' || CAST(k2 AS VARCHAR), '') AS key, seq FROM ({_HELD.format("seq", "named")})),
+asked AS MATERIALIZED (
+  SELECT seq, 'title:' || title AS key FROM named
+  UNION ALL
+  SELECT seq, {_SOURCE} || ':' || CAST(coalesce(b, r) AS VARCHAR)
+         || CASE WHEN b IS NOT NULL AND r IS NOT NULL THEN ':' || CAST(r AS VARCHAR) ELSE '' END
+  FROM named WHERE b IS NOT NULL OR r IS NOT NULL),
+stored AS MATERIALIZED (
+  SELECT kind || ':' || k1 || coalesce(':' || CAST(k2 AS VARCHAR), '') AS key, max(id) AS id
+  FROM ({_HELD.format("id", "tickets")}) GROUP BY 1)"""
+REJECTING = """rounds AS (
+  SELECT 0 AS n, seq, CASE WHEN seq IN (SELECT seq FROM asked JOIN stored USING (key)) THEN 2 ELSE 0 END AS state FROM named
+  UNION ALL
+  SELECT n + 1, o.seq, CASE WHEN state <> 0 THEN state WHEN coalesce(held < o.seq, false) THEN 2 WHEN next THEN 1 ELSE 0 END
+  FROM rounds o LEFT JOIN (
+    SELECT a.seq, min(taken) AS held, bool_and(open = a.seq) AS next
+    FROM asked a JOIN (
+      SELECT key, min(seq) FILTER (state = 1) AS taken, min(seq) FILTER (state = 0) AS open
+      FROM rounds JOIN held USING (seq) GROUP BY key) k USING (key)
+    GROUP BY a.seq) j ON j.seq = o.seq
+  WHERE EXISTS (SELECT 1 FROM rounds WHERE state = 0)),
+stored_inputs AS (SELECT seq FROM rounds WHERE n = (SELECT max(n) FROM rounds) AND state = 1),
+decided AS MATERIALIZED (
+  SELECT f.*, CASE WHEN s.seq IS NOT NULL THEN 'insert' ELSE 'reject' END AS action,
+         CASE WHEN s.seq IS NOT NULL THEN title END AS final_title FROM named f LEFT JOIN stored_inputs s USING (seq))"""
+RENAMING = """clear AS (
+  SELECT f.seq, f.title, bool_and(coalesce(k.first, f.seq) = f.seq AND s.id IS NULL) AS ok FROM named f
+  LEFT JOIN asked a ON a.seq = f.seq AND a.key NOT LIKE 'title:%'
+  LEFT JOIN (SELECT key, min(seq) AS first FROM held GROUP BY key) k ON k.key = a.key
+  LEFT JOIN stored s ON s.key = a.key GROUP BY 1, 2),
+owners AS (
+  SELECT title, min(seq) AS seq FROM clear WHERE ok AND title NOT IN (SELECT title FROM tickets) GROUP BY 1),
+numbered AS (
+  SELECT seq, title, row_number() OVER (PARTITION BY title ORDER BY seq) - 1 AS nth FROM named
+  WHERE seq NOT IN (SELECT seq FROM owners)),
+decided AS MATERIALIZED (
+  SELECT f.*, CASE WHEN nth IS NULL THEN 'insert' ELSE 'rename' END AS action,
+         f.title || CASE WHEN nth IS NULL THEN '' WHEN nth = 0 THEN '_imported' ELSE '_imported_' || CAST(nth AS VARCHAR) END AS final_title
+  FROM named f LEFT JOIN numbered USING (seq))"""
+IN_THE_WAY = f"""numbered_ids AS (
+  SELECT seq, (SELECT max(id) FROM tickets) + row_number() OVER (ORDER BY seq) AS ticket_id FROM decided WHERE final_title IS NOT NULL),
+placed AS MATERIALIZED (SELECT * FROM decided LEFT JOIN numbered_ids USING (seq)),
+entered AS MATERIALIZED (
+  SELECT kind || ':' || k1 || coalesce(':' || CAST(k2 AS VARCHAR), '') AS key, seq, ticket_id
+  FROM ({_HELD.format("seq, ticket_id", "(SELECT * EXCLUDE (title), final_title AS title FROM placed WHERE final_title IS NOT NULL)")})),
+hits AS (
+  SELECT w.seq, w.key LIKE 'title:%' AS by_title, coalesce(e.ticket_id, s.id) AS hit
+  FROM (SELECT a.seq, a.key, a.seq - 1 AS before FROM asked a JOIN placed p USING (seq) WHERE action <> 'insert') w
+  ASOF LEFT JOIN entered e ON e.key = w.key AND e.seq <= w.before LEFT JOIN stored s ON s.key = w.key),
+conflicts AS (
+  SELECT seq, max(hit) FILTER (by_title) AS title_hit, max(hit) FILTER (NOT by_title) AS source_hit FROM hits GROUP BY 1),
+decisions AS MATERIALIZED (
+  SELECT seq, title, action, CASE WHEN title_hit IS NOT NULL THEN 'title_exists' WHEN source_hit IS NOT NULL THEN 'source_exists' END AS conflict_type,
+         coalesce(title_hit, source_hit) AS existing_id, final_title, ticket_id FROM placed LEFT JOIN conflicts USING (seq)
+  UNION ALL SELECT seq, NULL, 'reject', 'title_missing', NULL, NULL, NULL FROM files WHERE title IS NULL)"""
+_REJECTED = f"WITH RECURSIVE {TICKET_FILES}, {REJECTING}, {IN_THE_WAY}"
+ORACLES["ticket_import_reject"] = _REJECTED + " SELECT * FROM decisions"
+ORACLES["ticket_import_rename"] = f"WITH {TICKET_FILES}, {RENAMING}, {IN_THE_WAY} SELECT * FROM decisions"
+ORACLES["ticket_import_rows"] = _REJECTED + """, timeline AS (
+  SELECT l_orderkey AS seq, count(*) AS lines, max(l_linenumber) AS last, count(*) FILTER (l_returnflag <> 'N') AS resolving
+  FROM lineitem GROUP BY 1)
+SELECT ticket_id, final_title AS title, b AS source_batch_id, r AS source_run_id, trigger_rule,
+       coalesce(status, CASE WHEN assignee IS NOT NULL THEN 'assigned' ELSE 'open' END) AS status, assignee, resolution,
+       original_ticket_id, imported_from, 1 + coalesce(lines, 0) AS notes,
+       coalesce('line ' || CAST(last AS VARCHAR), 'ticket created' || coalesce(' and assigned to ' || assignee, '')) AS last_note,
+       'ticket created' || coalesce(' and assigned to ' || assignee, '') AS first_note, coalesce(resolving, 0) AS resolving
+FROM placed LEFT JOIN timeline USING (seq) WHERE final_title IS NOT NULL"""
+ORACLES["ticket_import_audit"] = _REJECTED + """, told AS (
+  SELECT d.*, f.b, f.r, f.assignee, f.original_ticket_id, f.imported_from FROM decisions d JOIN files f USING (seq))
+SELECT seq, 'ticket_create' AS action, 'import' AS trigger_method, 'success' AS result, ticket_id, final_title AS ticket_title, existing_id,
+       b AS source_batch_id, r AS source_run_id, assignee, original_ticket_id, imported_from, NULL AS conflict_type, NULL AS conflict_action,
+       NULL AS original_title, NULL AS final_title, NULL AS error_message FROM told WHERE ticket_id IS NOT NULL
+UNION ALL
+SELECT seq, 'ticket_import', 'import', CASE WHEN ticket_id IS NOT NULL THEN 'success' ELSE 'blocked' END, ticket_id,
+       coalesce(final_title, title), existing_id, b, r, assignee, original_ticket_id, imported_from, conflict_type,
+       CASE WHEN action <> 'insert' THEN action END, title, final_title, CASE WHEN ticket_id IS NULL THEN conflict_type END FROM told"""
