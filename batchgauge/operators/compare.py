@@ -90,8 +90,10 @@ def batch_summaries(
     anomalies: DataFrame,
     status: str | None = None,
 ) -> DataFrame:
-    """Each batch with its latest run and that run's metric and anomaly counts."""
+    """Each batch with its latest run, that run's metric and anomaly counts, and when it was
+    processed: ``finished_at`` of the run, else ``started_at``, NULL where runs have neither."""
     latest = latest_run(runs, status)
+    times = [F.col(c) for c in ("finished_at", "started_at") if c in runs.columns]
     found = [
         rows.groupBy("run_id").agg(F.count(F.lit(1)).alias(name))
         for rows, name in ((metrics, "metrics_count"), (anomalies, "anomalies_count"))
@@ -112,4 +114,5 @@ def batch_summaries(
         "rows_errors",
         "anomalies_count",
         "metrics_count",
+        (F.coalesce(*times) if times else F.lit(None).cast("timestamp_ntz")).alias("processed_at"),
     )

@@ -106,7 +106,7 @@ def source_column_stats(readings: DataFrame) -> DataFrame:
 
 
 def source_summary(readings: DataFrame, errors: DataFrame) -> DataFrame:
-    """Rows, error records, sensor columns and time range of each batch."""
+    """Rows, error records, sensor columns (their number and their names) and time range of each batch."""
     # two levels keep the per-batch distinct count off the raw rows
     per_sensor = readings.groupBy("batch_id", "sensor").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1")
@@ -115,6 +115,7 @@ def source_summary(readings: DataFrame, errors: DataFrame) -> DataFrame:
         F.max("n").alias("total_rows"),
         F.sum("n").alias("total_cells"),
         F.count(F.lit(1)).alias("sensor_columns"),
+        F.array_sort(F.collect_list("sensor")).alias("columns"),
         F.min("t0").alias("time_start"),
         F.max("t1").alias("time_end"),
     )

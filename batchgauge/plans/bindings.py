@@ -215,6 +215,15 @@ def numbered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_runs(runs(spark, sf_dir))
 
 
+def timed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered runs with their times: begun on the order's day, finished the day after if successful."""
+    day = F.col("o_orderdate").cast("date")
+    times = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("run_id"), day.cast("string").alias("started_at"),
+        F.when(F.col("o_orderstatus") == "F", F.date_add(day, 1).cast("string")).alias("finished_at"))
+    return numbered_runs(spark, sf_dir).join(times, "run_id")
+
+
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics per run: quantity and price of an order's lines as two sensors."""
     wide = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(*[

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchgauge.operators import (
-    anomaly, catalog, compare, configs, drift, impute, merge, metrics, replay, ticket_import,
-    tickets, validate,
+    anomaly, catalog, compare, configs, drift, impute, merge, metrics, replay, sketches,
+    ticket_import, tickets, validate,
 )
 from batchgauge.functions.settings import with_option_defaults
 from batchgauge.operators.quantiles import EXACT_ROWS
@@ -18,7 +18,7 @@ from batchgauge.operators.slicing import ROWS_PER_SLICE, largest_group
 from batchgauge.plans import bindings as b
 from batchgauge.plans import process as run
 from batchgauge.session import materialise
-from batchgauge.sinks import exports
+from batchgauge.sinks import exports, reports
 from batchgauge.sources import csv_files, documents, integrity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,7 +110,8 @@ def run_counters(spark, sf):
 @query
 def source_summary(spark, sf):
     rows = _scanned(spark, sf)
-    return metrics.source_summary(validate.readings_of(rows), validate.row_errors(rows))
+    found = metrics.source_summary(validate.readings_of(rows), validate.row_errors(rows))
+    return found.withColumn("columns", F.array_join("columns", ","))
 
 
 @query
@@ -317,11 +318,72 @@ def metric_key_union(spark, sf):
 @query
 def batch_summaries(spark, sf):
     return compare.batch_summaries(
-        b.batches(spark, sf).drop("config_version"), b.numbered_runs(spark, sf),
+        b.batches(spark, sf).drop("config_version"), b.timed_runs(spark, sf),
         b.run_metrics(spark, sf), b.run_anomalies(spark, sf),
     )
 
 
+@query
+def cmp_metrics_blocks(spark, sf):
+    """The metric matrix with a column per batch, in blocks of seven columns."""
+    found = _stored_metrics(spark, sf)
+    days = found.select("batch_id").distinct().select(F.col("batch_id").alias("name"), F.unix_date(F.col("batch_id").cast("date")).alias("place"))
+    return rounded(reports.wide_blocks(found, ["sensor", "metric_name"], "batch_id", "metric_value", days, 7)[0])
+
+
+@query
+def cmp_document(spark, sf):
+    """The comparison of all days as one JSON document, written and read again line by line: the lines
+    with a mark for every number, and the sum of their numbers."""
+    days = _days(spark, sf).withColumns({
+        "batch_name": F.concat(F.lit("day "), "batch_id"), "locked": F.dayofmonth(F.col("batch_id").cast("date")) % 2 == 0})
+    document = reports.comparison_fragments("days", "2025-01-01T00:00:00", days, _stored_metrics(spark, sf), materialise(_counts(spark, sf)), (7, "s", "1.0"))
+    lines = spark.read.text(reports.write_document(b.new_folder(spark, "report"), document))
+    number = r"(?<=:)-?[0-9][0-9.E+-]*(?=[,}]|$)"
+    values = F.transform(F.regexp_extract_all("value", F.lit(f"({number})"), 1), lambda v: v.cast("double"))
+    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    return lines.select(F.regexp_replace("value", number, "#").alias("line"), F.round(total, 5).alias("numbers"))
+
+
+@query
+def sketch_errors(spark, sf):
+    """Quartiles from sketches of two halves of every series, merged: whether their ranks are within
+    the stated bound."""
+    readings = b.readings(spark, sf)
+    halves = materialise(sketches.series_sketches(readings.withColumn("half", F.col("row_number") % 2), ["half", *impute.SERIES]))
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    found = sketches.sketch_quantiles(materialise(sketches.merged(halves, impute.SERIES)), shares)
+    errors = sketches.measured_error(readings, found, shares)
+    # of the two values next to a share either may be taken: one value more
+    bound = sketches.rank_error() + 1 / F.col("n")
+    return errors.select(*impute.SERIES, "n", *[(F.col(f"{q}_error") <= bound).alias(f"{q}_within") for q in shares])
+
+
+@query
+def fingerprint_tree(spark, sf):
+    """Tree digests of the day files, with a hundred lines to a block."""
+    found = integrity.tree_digests(spark, b.write_csv_files(spark, sf), 100)
+    day = F.regexp_extract("file_path", r"day=(\d+)", 1)
+    return found.where("file_name LIKE 'part-%'").select(day.alias("day"), "file_size", "lines", "tree_sha256")
+
+
+@query
+def baseline_package(spark, sf):
+    """A package of all baselines, written, checked and read again: rows of each part."""
+    chosen = b.baselines(spark, sf).join(
+        b.batches(spark, sf).select(F.col("batch_id").alias("baseline_id"), "config_json"), "baseline_id").withColumn("source_batch_id", F.col("baseline_id"))
+    thresholds = drift.build_thresholds(b.run_metrics(spark, sf)).withColumn("baseline_id", F.col("run_id") % 100)
+    summary = b.numbered_runs(spark, sf).groupBy("batch_id").agg(F.sum("rows_processed").alias("total_rows"))
+    path = exports.write_package(b.new_folder(spark, "package"), exports.baseline_package(
+        chosen, thresholds, b.baseline_checks(spark, sf), newest_checks=5, source_summary=summary))
+    read = documents.read_package(spark, path, integrity.BASELINE_FILES)
+    counts = [table.agg(
+        F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"), F.sum("baseline_id").alias("ids"),
+        (F.sum("check_history_count") if part == "baseline_summary" else F.sum("total_rows") if part == "source_summary" else F.lit(None).cast("bigint")).alias("total"))
+        for part, table in sorted(read.items())]
+    return reduce(DataFrame.unionByName, counts)
+
+
 # --- drift --------------------------------------------------------------------------
 
 

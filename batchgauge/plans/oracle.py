@@ -183,9 +183,9 @@ FROM (SELECT batch_id, count(DISTINCT ts) AS rows_processed FROM cells GROUP BY
 LEFT JOIN (SELECT batch_id, count(*) AS error_records, count(DISTINCT row_number) AS error_rows FROM errors GROUP BY 1) e
 ON p.batch_id = e.batch_id"""
 ORACLES["source_summary"] = _with(CSV_FIELDS) + """
-SELECT p.batch_id, total_rows, total_cells, sensor_columns, time_start, time_end, coalesce(n, 0) AS error_records
+SELECT p.batch_id, total_rows, total_cells, sensor_columns, columns, time_start, time_end, coalesce(n, 0) AS error_records
 FROM (SELECT batch_id, count(DISTINCT row_number) AS total_rows, count(*) AS total_cells,
-             count(DISTINCT sensor) AS sensor_columns, min(ts) AS time_start, max(ts) AS time_end
+             count(DISTINCT sensor) AS sensor_columns, string_agg(DISTINCT sensor, ',' ORDER BY sensor) AS columns, min(ts) AS time_start, max(ts) AS time_end
       FROM cells GROUP BY 1) p
 LEFT JOIN (SELECT batch_id, count(*) AS n FROM errors GROUP BY 1) e ON p.batch_id = e.batch_id"""
 ORACLES["error_type_counts"] = _with(CSV_FIELDS) + (
@@ -347,11 +347,67 @@ ORACLES["metric_key_union"] = _with(*METRICS, RUN_METRICS) + """
 SELECT sensor, metric_name FROM metrics UNION SELECT sensor, metric_name FROM run_metrics"""
 ORACLES["batch_summaries"] = _with(RUNS, RUN_METRICS, RUN_ANOMALIES, BATCHES) + """
 SELECT b.batch_id, batch_name, 'processed' AS status, locked, source_file, l.config_version, l.run_id, run_number,
-       rows_processed, rows_errors, coalesce(a.n, 0) AS anomalies_count, coalesce(m.n, 0) AS metrics_count
-FROM batches b JOIN latest l ON b.batch_id = l.batch_id
+       rows_processed, rows_errors, coalesce(a.n, 0) AS anomalies_count, coalesce(m.n, 0) AS metrics_count,
+       CAST(CAST(o_orderdate AS DATE) + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS VARCHAR) AS processed_at
+FROM batches b JOIN latest l ON b.batch_id = l.batch_id JOIN orders ON o_orderkey = l.run_id
 LEFT JOIN (SELECT run_id, count(*) AS n FROM run_anomalies GROUP BY 1) a ON a.run_id = l.run_id
 LEFT JOIN (SELECT run_id, count(*) AS n FROM run_metrics GROUP BY 1) m ON m.run_id = l.run_id"""
 
+ORACLES["cmp_metrics_blocks"] = _with(*METRICS) + """
+, placed AS (SELECT batch_id, row_number() OVER (ORDER BY batch_id) - 1 AS p FROM (SELECT DISTINCT batch_id FROM metrics))
+SELECT CAST(p // 7 AS INTEGER) AS block, sensor, metric_name, {values}
+FROM metrics JOIN placed USING (batch_id) GROUP BY 1, 2, 3""".format(
+    values=", ".join(f"round(max(CASE WHEN p % 7 = {i} THEN metric_value END), 6) AS c{i}" for i in range(7)))
+ORACLES["cmp_document"] = _with(
+    *METRICS, MATRIX, DAYS, _stats("readings", "raw_stats"), SCORES.replace("JOIN stats", "JOIN raw_stats"), COUNTS) + """
+, named AS (
+  SELECT batch_id, batch_id || ':day ' || batch_id AS label, day(CAST(batch_id AS DATE)) % 2 = 0 AS locked,
+         CASE WHEN batch_id = (SELECT min(batch_id) FROM days) THEN '' ELSE ',' END AS comma FROM days),
+keyed AS (
+  SELECT sensor || '::' || metric_name AS metric, sensor, metric_name, abs_diff, rel_diff_pct,
+         (SELECT min(batch_id) FROM metrics m WHERE m.sensor = x.sensor AND m.metric_name = x.metric_name) AS first_batch FROM matrix x)
+SELECT '{"name":"days","scheme":{"id":#,"name":"s","version":"1.0"},"generated_at":"2025-01-01T00:00:00","batch_summaries":[' AS line,
+       CAST(7 AS DOUBLE) AS numbers
+UNION ALL SELECT comma || '{"batch_id":"' || batch_id || '","batch_name":"day ' || batch_id || '","locked":' || CAST(locked AS VARCHAR) || '}', 0 FROM named
+UNION ALL SELECT '],"metrics_diff":{"summary":{"total_metrics_compared":#,"metrics_with_diff":#,"batch_keys":[',
+                 count(*) + count(*) FILTER (abs_diff > 0) FROM matrix
+UNION ALL SELECT comma || '"' || label || '"', 0 FROM named
+UNION ALL SELECT ']},"per_metric":{', 0
+UNION ALL SELECT CASE WHEN metric = (SELECT min(metric) FROM keyed) THEN '' ELSE ',' END || '"' || metric || '":{"sensor":"' || sensor
+                 || '","metric":"' || metric_name || '","values":{', 0 FROM keyed
+UNION ALL SELECT CASE WHEN m.batch_id = first_batch THEN '' ELSE ',' END || '"' || label || '":#', round(metric_value, 5)
+          FROM metrics m JOIN keyed k ON k.sensor = m.sensor AND k.metric_name = m.metric_name JOIN named n ON n.batch_id = m.batch_id
+UNION ALL SELECT '},"abs_diff":' || CASE WHEN abs_diff IS NULL THEN 'null' ELSE '#' END || ',"rel_diff_pct":'
+                 || CASE WHEN rel_diff_pct IS NULL THEN 'null' ELSE '#' END || '}',
+                 round(coalesce(abs_diff, 0) + coalesce(rel_diff_pct, 0), 5) FROM keyed
+UNION ALL SELECT '}},"anomalies_diff":{"per_batch":{', 0
+UNION ALL SELECT comma || '"' || label || '":{"total":#,"locked":' || CAST(locked AS VARCHAR) || ',"per_sensor":{', total
+          FROM totals JOIN named USING (batch_id)
+UNION ALL SELECT CASE WHEN sensor = min(sensor) OVER (PARTITION BY batch_id) THEN '' ELSE ',' END || '"' || sensor || '":#', anomalies FROM counts
+UNION ALL SELECT '}}', 0 FROM named
+UNION ALL SELECT '},"total_anomalies_range":{"min":#,"max":#,"abs_diff":#},"sensors_with_anomalies":[', 2 * max(total) FROM totals
+UNION ALL SELECT CASE WHEN sensor = (SELECT min(sensor) FROM counts) THEN '' ELSE ',' END || '"' || sensor || '"', 0
+          FROM (SELECT DISTINCT sensor FROM counts)
+UNION ALL SELECT ']}}', 0"""
+ORACLES["sketch_errors"] = _with(SCATTERED) + """
+SELECT batch_id, sensor, count(value) AS n, true AS q1_within, true AS median_within, true AS q3_within
+FROM readings GROUP BY 1, 2 HAVING count(value) > 0"""
+ORACLES["fingerprint_tree"] = _with(CSV_FIELDS) + """
+, files AS (
+  SELECT strftime(ts, '%Y%m%d') AS day, event_id // 1000000 AS part, line, row_number() OVER (
+    PARTITION BY strftime(ts, '%Y%m%d'), event_id // 1000000 ORDER BY event_id) AS n
+  FROM lines JOIN (SELECT event_id AS id FROM events) ON id = event_id
+  UNION ALL SELECT DISTINCT strftime(ts, '%Y%m%d'), event_id // 1000000, 'timestamp,value,user_id', 0 FROM events),
+leaves AS (
+  SELECT day, part, n // 100 AS block, count(*) AS lines, sum(strlen(line) + 1) AS size, sha256(string_agg(sha256(line), '' ORDER BY n)) AS digest
+  FROM files GROUP BY 1, 2, 3),
+nodes AS (
+  SELECT day, part, block // 10000 AS node, sum(lines) AS lines, sum(size) AS size, sha256(string_agg(digest, '' ORDER BY block)) AS digest
+  FROM leaves GROUP BY 1, 2, 3)
+SELECT day, CAST(sum(size) AS BIGINT) AS file_size, CAST(sum(lines) AS BIGINT) AS lines,
+       sha256('100:' || CAST(sum(size) AS VARCHAR) || ':' || sha256(string_agg(digest, '' ORDER BY node))) AS tree_sha256
+FROM nodes GROUP BY day, part"""
+
 # --- drift --------------------------------------------------------------------------
 
 DRIFT = """first_day AS (SELECT min(batch_id) AS batch_id FROM metrics),
@@ -482,6 +538,15 @@ UNION ALL SELECT 'dependencies', 1
 UNION ALL SELECT 'metrics', count(*) FROM run_metrics WHERE run_id IN (SELECT run_id FROM runs)
 UNION ALL SELECT 'anomalies', count(*) FROM run_anomalies WHERE run_id IN (SELECT run_id FROM runs)
 UNION ALL SELECT 'errors', count(*) FROM run_errors WHERE run_id IN (SELECT run_id FROM runs)"""
+ORACLES["baseline_package"] = _with(RUNS, RUN_METRICS, BATCHES) + """
+, held AS (SELECT c_custkey AS id FROM customer),
+checks AS (SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS nth FROM orders WHERE o_custkey IN (SELECT id FROM held))
+SELECT 'baseline_summary' AS part, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, (SELECT count(*) FROM checks) AS total FROM held
+UNION ALL SELECT 'config', count(*), CAST(sum(id) AS BIGINT), NULL FROM held
+UNION ALL SELECT 'metric_thresholds', count(*), CAST(sum(run_id % 100) AS BIGINT), NULL FROM run_metrics WHERE run_id % 100 IN (SELECT id FROM held)
+UNION ALL SELECT 'source_summary', count(DISTINCT batch_id), (SELECT CAST(sum(id) AS BIGINT) FROM held WHERE id IN (SELECT batch_id FROM runs)),
+                 CAST(sum(rows_processed) AS BIGINT) FROM runs WHERE batch_id IN (SELECT id FROM held)
+UNION ALL SELECT 'check_history', count(*), CAST(sum(id) AS BIGINT), NULL FROM checks"""
 ORACLES["run_records"] = _with(CSV_FIELDS) + """
 SELECT p.batch_id, 'success' AS run_status, rows_processed, coalesce(n, 0) AS rows_errors
 FROM (SELECT batch_id, count(DISTINCT ts) AS rows_processed FROM cells GROUP BY 1) p

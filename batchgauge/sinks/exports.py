@@ -142,18 +142,31 @@ def write_result_set(path: str, parts: dict[str, DataFrame], caps: dict[str, tup
 
 
 def baseline_package(
-    baselines: DataFrame, thresholds: DataFrame, checks: DataFrame, newest_checks: int | None = None
+    baselines: DataFrame, thresholds: DataFrame, checks: DataFrame, newest_checks: int | None = None,
+    source_summary: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Parts of a baseline result set, with all checks of its baselines and their number.
+    """Parts of a baseline package, with all checks of its baselines and their number.
 
-    ``newest_checks`` asks for a further part ``newest_checks`` with that many of each baseline.
+    ``baselines``: one row each, with ``config_json`` if they have a configuration. ``source_summary``:
+    ``batch_id`` and the summary of its source (``metrics.source_summary``), taken for the batch a baseline
+    names as ``source_batch_id``. Both parts are written whether or not there is anything in them, so the
+    package passes its check. ``newest_checks`` asks for a further part of that name with that many checks
+    of each baseline.
     """
     chosen = baselines.select("baseline_id")
     history = checks.join(chosen, "baseline_id", "left_semi")
     totals = history.groupBy("baseline_id").agg(F.count(F.lit(1)).alias("check_history_count"))
+    config = F.col("config_json") if "config_json" in baselines.columns else F.lit(None).cast("string")
+    if source_summary is not None and "source_batch_id" in baselines.columns:
+        named = baselines.select("baseline_id", F.col("source_batch_id").alias("batch_id"))
+        source = named.join(source_summary, "batch_id").select("baseline_id", *source_summary.columns)
+    else:
+        source = chosen.select("baseline_id", F.lit(None).cast("string").alias("batch_id")).limit(0)
     parts = {
-        "baseline_summary": baselines.join(totals, "baseline_id", "left").fillna(0, ["check_history_count"]),
+        "baseline_summary": baselines.drop("config_json").join(totals, "baseline_id", "left").fillna(0, ["check_history_count"]),
+        "config": baselines.select("baseline_id", config.alias("config_json")).where("config_json IS NOT NULL"),
         "metric_thresholds": thresholds.join(chosen, "baseline_id", "left_semi"),
+        "source_summary": source,
         "check_history": history,
     }
     if newest_checks is not None:

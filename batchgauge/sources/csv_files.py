@@ -30,22 +30,27 @@ def file_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("place"),
         F.col("value").alias("line"),
     ))
+    return (
+        numbered(raw).select("file_path", "row_number", "line")
+        .withColumn("line", F.when(
+            F.col("row_number") == 1, F.regexp_replace("line", "^﻿", "")
+        ).otherwise(F.col("line")))
+    )
+
+
+def numbered(stored: DataFrame) -> DataFrame:
+    """Add ``row_number``, the line number in its file, to stored lines with ``file_path, block_start,
+    place``: the lines of earlier splits of the file, and the place within the split."""
     earlier = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(
         Window.unboundedPreceding, -1
     )
     blocks = stored_small(
-        raw.groupBy(*BLOCK)
+        stored.groupBy(*BLOCK)
         .agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first_place"))
         .select(*BLOCK, "first_place", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     )
     number = F.col("place") - F.col("first_place") + F.col("before") + 1
-    return (
-        raw.join(blocks, BLOCK)
-        .select("file_path", number.alias("row_number"), "line")
-        .withColumn("line", F.when(
-            F.col("row_number") == 1, F.regexp_replace("line", "^﻿", "")
-        ).otherwise(F.col("line")))
-    )
+    return stored.join(blocks, BLOCK).withColumn("row_number", number)
 
 
 def listed_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchgauge.functions.settings import version_compatible
-from batchgauge.sources.csv_files import file_name
+from batchgauge.session import materialise
+from batchgauge.sources.csv_files import file_name, numbered
 
 # Files a package must hold, and the current format versions.
 SNAPSHOT_FILES = [
@@ -64,6 +65,63 @@ def _hash_in_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(sha256=digests)
 
 
+BLOCK_LINES = 100_000
+"""Lines of a block of the tree digest."""
+NODE_BLOCKS = 10_000
+"""Block digests under one inner node."""
+
+
+def _joined(order: str, digest: str):
+    """SHA-256 over digests in their order; a group holds a bounded number of them."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(digest).alias("digest"))))
+    return F.sha2(F.array_join(F.transform(rows, lambda r: r["digest"]), ""), 256)
+
+
+def block_digests(spark: SparkSession, path: str, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """``file_path, block, first_line, lines, sha256`` for every block of lines of the files below ``path``.
+
+    Files are read by Spark's own splits, so a file of any size is hashed by many tasks, with the
+    access the session has. A line is hashed with the bytes it has, up to its line feed; a block's digest
+    is that over the digests of its lines. Blocks are counted in lines, so they do not depend on the splits.
+    """
+    raw = materialise(spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("place"), F.sha2(F.col("value").cast("binary"), 256).alias("digest")))
+    lines = numbered(raw).withColumn("block", F.floor((F.col("row_number") - 1) / block_lines))
+    return lines.groupBy("file_path", "block").agg(
+        F.min("row_number").alias("first_line"), F.count(F.lit(1)).alias("lines"), _joined("row_number", "digest").alias("sha256"))
+
+
+def tree_digests(spark: SparkSession, path: str, block_lines: int = BLOCK_LINES, blocks: DataFrame | None = None) -> DataFrame:
+    """``file_path, file_name, file_size, lines, tree_sha256`` of every file below ``path`` that is
+    not empty (Spark's readers pass over empty ones, ``csv_files.listed_files`` names them).
+
+    The root covers the size, the lines to a block and the block digests (``blocks``: those of
+    ``block_digests``, if they are there already), by way of inner nodes of ``NODE_BLOCKS`` blocks. One path
+    serves all sizes. It stands beside the plain SHA-256 of ``fingerprints``, which tools outside know.
+    """
+    if blocks is None:
+        blocks = block_digests(spark, path, block_lines)
+    nodes = blocks.withColumn("node", F.floor(F.col("block") / NODE_BLOCKS)).groupBy("file_path", "node").agg(
+        F.sum("lines").alias("lines"), _joined("block", "sha256").alias("digest"))
+    roots = nodes.groupBy(F.col("file_path").alias("_path")).agg(F.sum("lines").alias("lines"), _joined("node", "digest").alias("digest"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = listed.select(F.col("_metadata.file_path").alias("_path"), "length")  # contents are not read
+    return files.join(roots, "_path", "left").select(
+        F.col("_path").alias("file_path"), file_name(F.col("_path")).alias("file_name"), F.col("length").alias("file_size"),
+        F.coalesce("lines", F.lit(0)).alias("lines"),
+        F.sha2(F.concat_ws(":", F.lit(str(block_lines)), F.col("length").cast("string"), F.coalesce("digest", F.lit(""))), 256).alias("tree_sha256"))
+
+
+def changed_blocks(before: DataFrame, after: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Blocks that differ between two listings of ``block_digests``: ``keys, block, change`` (added,
+    removed, modified). ``keys`` name a file in both, by default its path."""
+    keys = keys or ["file_path"]
+    old, new = (side.select(*keys, "block", F.col("sha256").alias(name)) for side, name in ((before, "old"), (after, "new")))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "modified")
+    return old.join(new, [*keys, "block"], "full_outer").select(*keys, "block", change.alias("change")).where("change IS NOT NULL")
+
+
 def package_parts(files: list[str]) -> list[str]:
     """The names of the parts that hold the contents of these files."""
     return [name.removesuffix(".json") for name in files]

@@ -264,3 +264,54 @@ def test_infinite_cells_do_not_mark_their_series(spark):
     for method, marked in (("zscore", 0), ("iqr", 1)):
         assert anomaly.anomalies_by_config(readings, stats, default_config(spark, method=method)).count() == marked
     assert sum(r.anomalies for r in anomaly.threshold_sweep(readings, stats, [1.0, 3.0]).collect()) == 0
+
+
+# --- sketches and mixed plans -------------------------------------------------------
+
+
+def long_series(spark, rows=40_000):
+    return spark.range(rows).select(
+        F.lit("b").alias("batch_id"), F.col("id").alias("row_number"), F.expr("timestamp_ntz'2025-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)").alias("ts"),
+        F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("sensor"),
+        F.when(F.col("id") % 5 != 0, F.pmod(F.col("id") * 7919, F.lit(10007)).cast("double")).alias("value"))
+
+
+def test_sketch_errors_are_bounded_and_sketches_merge(spark):
+    from batchgauge.operators import sketches
+
+    readings = long_series(spark).unionByName(long_series(spark, 300).withColumn("batch_id", F.lit("small")))
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    whole = sketches.series_sketches(readings)
+    runs = sketches.series_sketches(readings.withColumn("run", F.col("row_number") % 3), ["run", "batch_id", "sensor"])
+    together = sketches.merged(runs, ["batch_id", "sensor"])
+    for made in (whole, together):
+        errors = sketches.measured_error(readings, sketches.sketch_quantiles(made, shares), shares)
+        for row in errors.collect():
+            bound = sketches.rank_error() + 1 / row.n if row.batch_id == "b" else 1 / row.n
+            assert max(row.q1_error, row.median_error, row.q3_error) <= bound
+        assert {(r.batch_id, r.n) for r in made.collect()} == {("b", 16_000), ("small", 120)}
+    stats = {r.batch_id: r for r in sketches.sketch_stats(together).where("sensor = 's1'").collect()}
+    assert stats["b"]["min"] >= 0 and stats["b"]["max"] <= 10006 and stats["b"]["range"] == stats["b"]["max"] - stats["b"]["min"]
+
+
+def test_one_large_series_leaves_the_plan_of_the_others_alone(spark):
+    from batchgauge.functions.settings import with_option_defaults
+    from batchgauge.plans import process as run
+
+    small = long_series(spark, 600).withColumn("batch_id", F.concat(F.lit("n"), F.floor(F.col("row_number") / 100).cast("string")))
+    readings = small.unionByName(long_series(spark, 3000))
+    config = with_option_defaults(readings.select("batch_id").distinct().withColumn(
+        "strategy", F.when(F.col("batch_id") == "n1", "drop").when(F.col("batch_id") == "n2", "ffill").otherwise("interpolate")))
+    plain, mixed = run.process(readings, config), run.process(readings, config, 200, 200)
+
+    def rows(df):
+        return sorted(tuple(None if v is None else round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in df.collect())
+
+    for name in ("imputed", "metrics", "anomalies", "counters"):
+        columns = getattr(plain, name).columns
+        assert rows(getattr(plain, name)) == rows(getattr(mixed, name).select(*columns)), name
+    ordinary, large = run.routes(readings, 200)
+    assert not ordinary.cut and large.cut and large.largest == 1500
+    assert {r.batch_id for r in ordinary.of(readings).select("batch_id").distinct().collect()} == {f"n{i}" for i in range(6)}
+    assert {r.batch_id for r in large.of(readings).select("batch_id").distinct().collect()} == {"b"}
+    assert [r.cut for r in run.routes(readings, 10_000)] == [False]

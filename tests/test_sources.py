@@ -237,7 +237,134 @@ def test_scheme_export_and_baseline_package(spark, tmp_path):
     thresholds = spark.createDataFrame([(1, "s"), (2, "s")], "baseline_id BIGINT, sensor STRING")
     parts = exports.baseline_package(baselines, thresholds, checks)
     assert parts["check_history"].count() == 60 and parts["metric_thresholds"].count() == 1
-    assert parts.keys() == {"baseline_summary", "metric_thresholds", "check_history"}
+    assert parts.keys() == {"baseline_summary", "config", "metric_thresholds", "source_summary", "check_history"}
+    path = exports.write_package(str(tmp_path / "b"), parts)  # without a configuration or a source: empty parts
+    assert integrity.check_written(spark, path, integrity.BASELINE_FILES).count() == 0
+    assert documents.read_package(spark, path, integrity.BASELINE_FILES)["config"].count() == 0
     assert parts["baseline_summary"].first().check_history_count == 60
     newest = exports.baseline_package(baselines, thresholds, checks, newest_checks=50)["newest_checks"]
     assert sorted(r.id for r in newest.collect()) == list(range(10, 60))
+
+
+def test_baseline_package_holds_configuration_and_source(spark, tmp_path):
+    baselines = spark.createDataFrame([(1, "x", 7, '{"version": 1}'), (2, "y", 8, None)],
+        "baseline_id BIGINT, name STRING, source_batch_id BIGINT, config_json STRING")
+    checks = spark.createDataFrame([], "id BIGINT, baseline_id BIGINT, check_status STRING")
+    thresholds = spark.createDataFrame([(1, "s")], "baseline_id BIGINT, sensor STRING")
+    source = spark.createDataFrame([(7, 100, ["a", "b"]), (9, 5, ["c"])], "batch_id BIGINT, total_rows BIGINT, columns ARRAY<STRING>")
+    path = exports.write_package(str(tmp_path / "p"), exports.baseline_package(baselines, thresholds, checks, source_summary=source))
+    read = documents.read_package(spark, path, integrity.BASELINE_FILES)
+    assert rows_of(read["config"], "baseline_id", "config_json") == [(1, '{"version": 1}')]
+    assert [(r.baseline_id, r.batch_id, r.columns) for r in read["source_summary"].collect()] == [(1, 7, ["a", "b"])]
+    assert rows_of(read["baseline_summary"], "baseline_id", "check_history_count") == [(1, 0), (2, 0)]
+
+
+# --- tree digests -------------------------------------------------------------------
+
+
+def tree_of(data, block):
+    sha = lambda text: hashlib.sha256(text).hexdigest()
+    lines = data.split(b"\n")
+    lines = lines[:-1] if lines[-1] == b"" else lines
+    leaves = [sha("".join(map(sha, lines[i : i + block])).encode()) for i in range(0, len(lines), block)]
+    nodes = [sha("".join(leaves[i : i + integrity.NODE_BLOCKS]).encode()) for i in range(0, len(leaves), integrity.NODE_BLOCKS)]
+    top = sha("".join(nodes).encode()) if nodes else ""
+    return sha(f"{block}:{len(data)}:{top}".encode())
+
+
+@pytest.mark.parametrize("nodes, split", [(10_000, 1 << 20), (3, 64)])
+def test_tree_digests(spark, tmp_path, monkeypatch, nodes, split):
+    monkeypatch.setattr(integrity, "NODE_BLOCKS", nodes)
+    files = {"a.csv": b"x\r\ny\n" * 40, "b.csv": b"".join(b"line %d\n" % i for i in range(95)), "c.csv": b"no line feed", "e.csv": b"", "z.bin": b"\xff\x00\n\n\xfe"}
+    (tmp_path / "in" / "k=1").mkdir(parents=True)
+    for name, data in files.items():
+        (tmp_path / "in" / "k=1" / name).write_bytes(data)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        found = {r.file_name: (r.file_size, r.tree_sha256) for r in integrity.tree_digests(spark, str(tmp_path / "in"), 10).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert found == {name: (len(data), tree_of(data, 10)) for name, data in files.items() if data}
+
+
+def test_changed_blocks_are_located(spark, tmp_path):
+    lines = [f"line {i}" for i in range(95)]
+    sides = []
+    for side, change in (("old", {}), ("new", {42: "changed"})):
+        folder = tmp_path / side
+        folder.mkdir()
+        write(folder / "f.csv", "\n".join(change.get(i, line) for i, line in enumerate(lines)) + ("\n" if side == "old" else "\nmore\n" * 10))
+        sides.append(integrity.block_digests(spark, str(folder), 10).withColumn("name", csv_files.file_name(F.col("file_path"))))
+    assert sorted(map(tuple, integrity.changed_blocks(*sides, keys=["name"]).collect())) == [
+        ("f.csv", 4, "modified"), ("f.csv", 9, "modified"), ("f.csv", 10, "added"), ("f.csv", 11, "added")]
+
+
+# --- reports ------------------------------------------------------------------------
+
+
+def report_of(spark, batches=3):
+    kind = "batch_id BIGINT, "
+    summaries = spark.createDataFrame(
+        [(i, f'b"{i}', i % 2 == 0, None if i == 1 else i * 10) for i in range(1, batches + 1)], kind + "batch_name STRING, locked BOOLEAN, rows_processed INT")
+    metrics = spark.createDataFrame(
+        [(i, s, m, float(i * k)) for i in range(1, batches + 1) for k, (s, m) in enumerate((("x", "max"), ("x", "mean"), ("y", "max"))) if (i, s) != (1, "y")],
+        kind + "sensor STRING, metric_name STRING, metric_value DOUBLE")
+    counts = spark.createDataFrame(
+        [(i, None, i) for i in range(2, batches + 1)] + [(i, "y", i - 1) for i in range(2, batches + 1)] + [(2, "x", 1)],
+        kind + "sensor STRING, anomalies BIGINT")
+    return summaries, metrics, counts
+
+
+def whole(path):
+    return "".join((path / f).read_text() for f in sorted(f.name for f in path.iterdir() if f.name.startswith("part-")))
+
+
+@pytest.mark.parametrize("scheme", [None, (3, "s", "1.0")])
+def test_comparison_is_one_document(spark, tmp_path, scheme):
+    from batchgauge.sinks import reports
+
+    fragments = reports.comparison_fragments("r", "2025-01-01T00:00:00", *report_of(spark), scheme)
+    reports.write_document(str(tmp_path / "doc"), fragments)
+    found = json.loads(whole(tmp_path / "doc"))
+    assert found["name"] == "r" and found["generated_at"] == "2025-01-01T00:00:00"
+    assert found["scheme"] == dict(zip(("id", "name", "version"), scheme or (None, None, None)))
+    assert [b["batch_id"] for b in found["batch_summaries"]] == [1, 2, 3] and found["batch_summaries"][0]["rows_processed"] is None
+    assert found["metrics_diff"]["summary"] == {"total_metrics_compared": 3, "metrics_with_diff": 2, "batch_keys": ['1:b"1', '2:b"2', '3:b"3']}
+    assert list(found["metrics_diff"]["per_metric"]) == ["x::max", "x::mean", "y::max"]
+    assert found["metrics_diff"]["per_metric"]["y::max"] == {
+        "sensor": "y", "metric": "max", "values": {'2:b"2': 4.0, '3:b"3': 6.0}, "abs_diff": 2.0, "rel_diff_pct": 50.0}
+    assert found["metrics_diff"]["per_metric"]["x::max"]["rel_diff_pct"] is None
+    assert found["anomalies_diff"] == {
+        "per_batch": {'1:b"1': {"total": 0, "locked": False, "per_sensor": {}}, '2:b"2': {"total": 2, "locked": True, "per_sensor": {"x": 1, "y": 1}},
+                      '3:b"3': {"total": 3, "locked": False, "per_sensor": {"y": 2}}},
+        "total_anomalies_range": {"min": 0, "max": 3, "abs_diff": 3}, "sensors_with_anomalies": ["x", "y"]}
+    assert fragments.agg(F.max(F.length("text"))).first()[0] < 200  # no row holds the report
+    with pytest.raises(ValueError):
+        reports.comparison_fragments("r", "", *report_of(spark, 1))
+
+
+def test_report_without_metrics_or_anomalies(spark, tmp_path):
+    from batchgauge.sinks import reports
+
+    summaries, metrics, counts = report_of(spark)
+    reports.write_document(str(tmp_path / "doc"), reports.comparison_fragments("r", "t", summaries, metrics.limit(0), counts.limit(0)))
+    found = json.loads(whole(tmp_path / "doc"))
+    assert found["metrics_diff"]["per_metric"] == {} and found["anomalies_diff"]["sensors_with_anomalies"] == []
+
+
+def test_wide_tables_of_many_columns(spark, tmp_path):
+    from batchgauge.sinks import reports
+
+    cells = spark.range(50_000).select(
+        F.concat(F.lit("batch "), F.col("id").cast("string")).alias("batch_id"), F.lit("s").alias("sensor"), F.lit("max").alias("metric_name"),
+        F.col("id").cast("double").alias("metric_value"))
+    columns = spark.range(50_000).select(F.concat(F.lit("batch "), F.col("id").cast("string")).alias("name"), (F.col("id") * 3).alias("place"))
+    blocks, index = reports.wide_blocks(cells, ["sensor", "metric_name"], "batch_id", "metric_value", columns)
+    assert len(blocks.columns) == 3 + reports.BLOCK_COLUMNS
+    reports.write_wide(str(tmp_path / "w"), blocks, index, ["sensor", "metric_name"])
+    back = spark.read.option("header", "true").csv(str(tmp_path / "w" / "blocks"))
+    assert back.count() == -(-50_000 // reports.BLOCK_COLUMNS)
+    names = spark.read.option("header", "true").csv(str(tmp_path / "w" / "index")).where("name = 'batch 777'").first()
+    assert (names.block, names.slot) == ("3", "9")
+    assert back.where("block = 3").first()["c9"] == "777.0"
