@@ -10,16 +10,17 @@ the answer as ambiguous.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchgauge.llm.batches import arrow_schema, id_and_text, per_slice, slices, texts
+from batchgauge.operators.slicing import stored_small
 from batchgauge.session import materialise
 
 BUCKETS = 1 << 16
@@ -28,7 +29,7 @@ SAMPLE_PER_LANGUAGE = 3000
 FOLDS = 5
 AMBIGUOUS = 0.2
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
 )
@@ -108,12 +109,13 @@ def _by_language(sample: DataFrame, ddl: str, rows) -> DataFrame:
 def train(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Learn from documents that are not held out and have text and ``lang``.
 
-    What reaches the driver is the number of documents and of trigrams per language and bucket.
+    What reaches the driver is the number of documents and of trigrams per language and bucket. One fold
+    weighs the bits and does not teach; a language with no other document in the sample teaches by it.
     """
     labelled = id_and_text(documents, F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL")
     labelled = labelled.where(~held_out())
     sizes = labelled.groupBy("lang").count().withColumn("share", F.lit(per_language) / F.col("count"))
-    shares = F.broadcast(sizes.select("lang", "share"))  # one row per language
+    shares = stored_small(sizes.select("lang", "share"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     sample = labelled.join(shares, "lang").where((draw < F.col("share")) & F.col("text").rlike(r"\p{L}"))
     sample = materialise(sample.select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).alias("fold")))
@@ -132,12 +134,11 @@ def train(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Mode
         ]
 
     ddl = "lang STRING, bucket INT, n BIGINT"
-    learn, check = sample.where("fold > 0"), sample.where("fold = 0")
+    most = sample.groupBy("lang").agg(F.max("fold").alias("most"))
+    lone = F.col("lang").isin([r["lang"] for r in most.where("most = 0").collect()])
+    learn, check = sample.where((F.col("fold") > 0) | lone), sample.where((F.col("fold") == 0) & ~lone)
     counted = _by_language(learn, ddl, count).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique())
-    if not languages:  # a small table may have all its rows in the fold that is left out
-        check, counted = learn, _by_language(sample, ddl, count).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-        languages = sorted(counted["lang"].unique())
     share = np.full((len(languages), BUCKETS), 0.5)
     for i, lang in enumerate(languages):
         own = counted[counted["lang"] == lang]
@@ -170,26 +171,48 @@ def train(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Mode
     return model
 
 
+def _answer(model: Model, text: str) -> tuple[str, float, bool]:
+    if not model.languages or not _LETTER.search(text):
+        return UNDETERMINED, 0.0, True
+    best, score, ambiguous = model.decide(model.margins(text))
+    return model.languages[best], score, ambiguous
+
+
 def identify(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """``doc_id``, ``held_out``, ``lang_pred``, ``score`` and ``ambiguous`` for every row.
 
-    Null text and text without a letter are ``und`` with score 0, and so is every text when no
-    labelled document is there to learn from. Only the text is read for a prediction.
+    Null text and text without a letter (``\\p{L}``) are ``und`` with score 0, and so is every text when no
+    labelled document is there to learn from. Only the text is read for a prediction. Rows come out as
+    they came in, repeated ones too; an empty table gives no rows.
     """
     model = documents.sparkSession.sparkContext.broadcast(train(documents, per_language))
 
     def rows(batch: pa.RecordBatch) -> list[list]:
-        chosen, languages = model.value, model.value.languages
-        out: list[list] = [batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), [], [], []]
-        for text in texts(batch):
-            if not languages or not _LETTER.search(text):
-                answer = UNDETERMINED, 0.0, True
-            else:
-                best, score, ambiguous = chosen.decide(chosen.margins(text))
-                answer = languages[best], score, ambiguous
-            for column, value in zip(out[2:], answer):
-                column.append(value)
-        return out
+        answers = [_answer(model.value, text) for text in texts(batch)]
+        return [batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), *map(list, zip(*answers))]
 
     ddl = "doc_id BIGINT, held_out BOOLEAN, lang_pred STRING, score DOUBLE, ambiguous BOOLEAN"
     return per_slice(id_and_text(documents, held_out().alias("held_out")), ddl, rows)
+
+
+def determined(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
+    """The rows of ``documents`` whose language is determined, with all their columns.
+
+    Each row is judged by its own text, so rows that share an id do not decide about each other. Where no
+    language could be learned, only null texts and texts without a letter go.
+    """
+    model = documents.sparkSession.sparkContext.broadcast(train(documents, per_language))
+    names = documents.columns
+    at = names.index("text")
+
+    def kept(text: str | None) -> bool:
+        if not model.value.languages:
+            return bool(_LETTER.search(text or ""))
+        return _answer(model.value, text or "")[0] != UNDETERMINED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array([kept(text) for text in batch.column(at).to_pylist()], pa.bool_()))
+
+    plain = documents.toDF(*[f"c{i}" for i in range(len(names))])  # whatever the names hold
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -18,8 +18,10 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +116,7 @@ class Graph:
 
 
 def _shape(token: str) -> str:
-    kinds = ("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token[:64])
+    kinds = ("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token)
     runs, last = [], ""
     for kind in kinds:
         if kind != last:
@@ -125,14 +127,14 @@ def _shape(token: str) -> str:
 
 def _features(text: str, spans: list[tuple[int, int]], i: int) -> list[int]:
     token = text[slice(*spans[i])]
-    digits = len(_digits(token[:256]))
+    digits = len(_digits(token))
     named = [
         f"s{_shape(token)}", f"d{min(digits, 20)}", f"d{min(digits, 20)}s{_shape(token)}", f"l{min(len(token), 24) // 2}",
         f"@{'@' in token}", f".{min(token.count('.'), 5)}", f"+{token[:1]}", f"${token[-1:] if not token[-1:].isalnum() else 'a'}",
     ]
     for step in (-1, 1):
         beside = text[slice(*spans[i + step])] if 0 <= i + step < len(spans) else ""
-        named.append(f"n{step}{_shape(beside[:24])}")
+        named.append(f"n{step}{_shape(beside)}")
     return [zlib.crc32(n.encode("utf-8", "replace")) % FEATURES for n in named]
 
 
@@ -216,8 +218,13 @@ def labels_of(found: Graph, spans: list[tuple[int, int, str]]) -> list[int]:
     for a, b in found.spans:
         while j < len(spans) and spans[j][1] <= a:
             j += 1
-        over = [(min(b, e) - max(a, s), 1 + KINDS.index(k)) for s, e, k in spans[j : j + 4] if s < b and e > a]
-        size, label = max(over, default=(0, 0))
+        size, label = 0, 0
+        at = j
+        while at < len(spans) and spans[at][0] < b:
+            s, e, kind = spans[at]
+            if e > a:
+                size, label = max((size, label), (min(b, e) - max(a, s), 1 + KINDS.index(kind)))
+            at += 1
         out.append(label if 2 * size > b - a else 0)
     return out
 
@@ -384,13 +391,15 @@ def added_spans(text: str, base: list[tuple[int, int, str]], field: Field) -> li
         backed = grown
     backed = backed[: len(sure)]
     out = []
+    starts, furthest = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
     for i in np.flatnonzero(backed & found.marked & (best[: len(sure)] > 0) & (sure == 0)).tolist():
         start, end = found.spans[i]
         while start < end and not text[start].isalnum():
             start += 1
         while end > start and not text[end - 1].isalnum():
             end -= 1
-        clear = not any(s < end and e > start for s, e, _ in base)
+        before = bisect_left(starts, end)  # base spans that begin before this one ends
+        clear = not before or furthest[before - 1] <= start
         if start < end and clear and belief[i, best[i]] >= CONFIDENT:
             out.append((start, end, KINDS[best[i] - 1]))
     return out
@@ -407,7 +416,8 @@ def written(spans: list[tuple[int, int, str]]) -> str:
 def find(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """Counts per kind, a digest of the base spans, all spans and the number of added ones.
 
-    Null text counts as empty: no spans. A table without personal data trains a field that adds none.
+    Null text counts as empty: no spans. A table without personal data trains a field that adds none. Rows
+    come out as they came in, repeated ones too; an empty table gives no rows.
     """
     held = documents.sparkSession.sparkContext.broadcast(train(documents, sample))
 

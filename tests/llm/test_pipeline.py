@@ -39,9 +39,28 @@ def test_stages_take_effect(spark, tmp_path):
     assert whole.columns == packing.pack_documents(clean, P.path("word_bpe_49k.json"), 1).columns
 
 
+def test_rows_that_share_an_id_do_not_decide_about_each_other(spark, tmp_path):
+    """Null, letterless and different texts under one id; no labels anywhere."""
+    rows = [(3, "...", None, "s", 3), (3, "A clean text about rivers and the towns on their banks", None, "s", 1), (3, None, None, "s", 0),
+            (4, "Bread is made of flour, water, salt and some patience", None, "s", 1),
+            (4, "The committee will meet again when the report is printed", None, "s", 1),
+            (5, "Bread is made of flour, water, salt and some patience", None, "s", 1),
+            (None, "Bread is made of flour, water, salt and some patience", None, "s", 1), (6, "\u00b2 \u00bd", None, "s", 3)]
+    docs = documents(spark, rows)
+    kept = corpus_pipeline.language_id(spark, docs, str(tmp_path))
+    letters = sorted(r[1] for r in rows if any(c.isalpha() for c in r[1] or ""))
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == letters
+    single = corpus_pipeline.near_duplicates(spark, kept, str(tmp_path))
+    assert single.columns == docs.columns
+    assert sorted((r.doc_id, r.text[:5]) for r in single.collect()) == [(3, "A cle"), (4, "Bread"), (4, "The c")]
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and 4 <= len(corpus_pipeline.STAGES) <= 5
 
 

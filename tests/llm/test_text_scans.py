@@ -1,8 +1,11 @@
 """License scan, personal data and language identification."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -230,3 +233,54 @@ def test_nothing_to_learn_from(spark):
 def test_codewords_differ(n):
     words = ecoc.codewords(n)
     assert words.shape[0] == n and len({tuple(w) for w in words}) == n
+
+
+def test_numerals_are_no_letters(spark):
+    pick = random.Random(8)
+    rows = [(i, invented(("en", "de")[i % 2], pick), ("en", "de")[i % 2], None, None) for i in range(40)]
+    odd = {100: "²", 101: "½ Ⅷ ٤", 102: "Ⓐ _", 103: "ª", 104: "漢"}
+    found = by_id(ecoc.identify(documents(spark, rows + [(i, t, None, None, None) for i, t in odd.items()])))
+    assert [found[i][0]["lang_pred"] == "und" for i in odd] == [True, True, True, False, False]
+    kept = ecoc.determined(documents(spark, [(i, t, None, None, None) for i, t in odd.items()]))
+    assert sorted(r.doc_id for r in kept.collect()) == [103, 104]
+
+
+@pytest.mark.parametrize("few", range(6))
+def test_a_language_of_one_document_is_learned(spark, few):
+    """Whatever fold its only labelled document falls in, if it is not held out."""
+    pick = random.Random(few)
+    rows = [(i, invented(("en", "de")[i % 2], pick), ("en", "de")[i % 2], None, None) for i in range(40)]
+    ids = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5]
+    rows.append((ids[few], invented("fr", pick), "fr", None, None))
+    assert ecoc.train(documents(spark, rows)).languages == ["de", "en", "fr"]
+
+
+def test_many_base_spans_in_one_text_take_linear_time():
+    n = len(pii.KINDS) + 1
+    field = pii.Field(np.zeros((pii.FEATURES, n)), np.zeros((n, n)), np.where(np.eye(n), 3.0, -3.0))
+    text = " ".join(f"user{i}@mail.example.org and user{i}@mail here" for i in range(20_000))
+    base, started = pii.base_spans(text), time.perf_counter()
+    spans = pii.added_spans(text, base, field)
+    assert len(base) == 20_000 and time.perf_counter() - started < 120
+    assert {text[a:b] for a, b, _ in spans} <= {f"user{i}@mail" for i in range(20_000)}
+
+
+def test_a_token_may_hold_many_base_spans():
+    text = "10.0.0.1,10.0.0.2,10.0.0.3,10.0.0.4,averylongmailaddressindeed@subdomain.mail.example.org,10.0.0.5"
+    found, base = pii.graph(text), pii.base_spans(text)
+    assert len(base) == 6 and pii.labels_of(found, base) == [1 + pii.KINDS.index("email")]
+
+
+def test_marginals_of_a_tree_are_exact():
+    """Sum-product on a chain with one skip edge that closes no loop equals the sum over all labellings."""
+    n, rng = len(pii.KINDS) + 1, np.random.default_rng(5)
+    field = pii.Field(rng.normal(size=(pii.FEATURES, n)), rng.normal(size=(n, n)), rng.normal(size=(n, n)))
+    field.skip = (field.skip + field.skip.T) / 2
+    found = pii.Graph([(0, 1)] * 4, np.array([True] * 4), np.array([[0, 1], [2, 3]]), np.array([[1, 2]]), np.zeros((0, 2), np.int64), [[i, i + 7] for i in range(4)])
+    single = np.array([field.weights[f].sum(0) for f in found.features])
+    total = np.zeros((4, n))
+    for labels in itertools.product(range(n), repeat=4):
+        score = sum(single[i, x] for i, x in enumerate(labels)) + field.chain[labels[0], labels[1]] + field.chain[labels[2], labels[3]] + field.skip[labels[1], labels[2]]
+        for i, x in enumerate(labels):
+            total[i, x] += np.exp(score)
+    assert np.allclose(field.marginals(found)[:4], total / total.sum(1, keepdims=True), atol=0.01)
