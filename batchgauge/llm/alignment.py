@@ -19,7 +19,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import starmap
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,8 @@ from batchgauge.session import materialise
 SPACE = "▁"
 """What sentencepiece writes for a space."""
 _COMMA, _BAR, _SEMICOLON, _LINE = range(4)
+_OF_B = np.uint32(1 << 31)
+"""Marks the ids of B in the key of a window."""
 CHANGED = b"\xff" * 4
 """Stands for the ids of a word whose pieces spell something else; no id has these bytes."""
 _WORDS = re.compile(r" +[^ ]*")
@@ -75,9 +76,17 @@ class Pieces:
 
     def ids(self, spaced: list[str]) -> list[bytes]:
         """The ids of texts that are given with the space in front; none where the pieces spell another text."""
-        found = self.memo.ids([_WORDS.findall(t) if self.by_words else [t] for t in spaced])
+        found = self.memo.ids([self._words(t) for t in spaced])
         return [b"" if CHANGED in ids else ids for ids in found]
 
+    def _words(self, spaced: str) -> list[str]:
+        """Units that begin with a space, or the run of spaces before a word."""
+        if not self.by_words:
+            return [spaced]
+        if "  " in spaced or "\0" in spaced:
+            return _WORDS.findall(spaced)
+        return spaced.replace(" ", "\0 ").split("\0")[1:]
+
 
 def _pairs(tokens_a: list[bytes], tokens_b: list[bytes]) -> np.ndarray:
     """All pairs of ids (A << 32 | B) of which one spells an end of the other, in order."""
@@ -109,7 +118,7 @@ class Aligner:
         most = max(len(self.bytes_a), len(self.bytes_b))
         self.decimal = [b"%d%s" % (i, after) for i in range(most) for after in (b",", b"|", b";", b"\n")]
         self.pairs = _pairs(self.bytes_a, self.bytes_b)
-        self.windows: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
+        self.windows: dict[bytes, tuple[bytes, bytes]] = {}
         self.held = 0
 
     def tokens(self, text: str | None) -> tuple[bytes, bytes]:
@@ -133,14 +142,17 @@ class Aligner:
         last_a = np.flatnonzero(end_b[near] == end_a)
         return last_a, near[last_a]
 
-    def _aligned(self, keys: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+    def _aligned(self, keys: list[bytes]) -> list[tuple[bytes, bytes]]:
         """The groups of windows as text, and their links as numbers of ``pairs``, for many windows at once."""
-        a, b = (np.frombuffer(b"".join(ids), "<u4").astype(np.int64) for ids in zip(*keys))
-        stop_a = np.cumsum([len(ids) // 4 for ids, _ in keys])
+        ids = np.frombuffer(b"".join(keys), "<u4")
+        of_b = ids >= _OF_B
+        a, b = ids[~of_b].astype(np.int64), (ids[of_b] - _OF_B).astype(np.int64)
+        stops = np.cumsum([len(key) // 4 for key in keys])
+        stop_a = np.cumsum(~of_b)[stops - 1]
         last_a, last_b = self._shared(a, b)
         # tokens in the order of the text: a group's tokens of A, then those of B, each with what follows it
         size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
-        written = np.empty(len(a) + len(b), np.int64)
+        written = np.empty(len(ids), np.int64)
         after_a, after_b = np.full(len(a), _COMMA), np.full(len(b), _COMMA)
         after_a[last_a], after_b[last_b] = _BAR, _SEMICOLON
         after_b[last_b[np.searchsorted(last_a, stop_a - 1)]] = _LINE
@@ -149,11 +161,11 @@ class Aligner:
         groups = b"".join(map(self.decimal.__getitem__, written.tolist())).split(b"\n")
         numbers = np.searchsorted(self.pairs, a[last_a] << 32 | b[last_b]).astype("<u4").tobytes()
         ends = (np.searchsorted(last_a, stop_a) * 4).tolist()
-        found = list(zip(groups, map(numbers.__getitem__, starmap(slice, zip([0, *ends], ends)))))
+        found = list(zip(groups, [numbers[i:j] for i, j in zip([0, *ends], ends)]))
         for key, window in zip(keys, found):
-            if len(key[0]) + len(key[1]) < 1024:  # a text without spaces is one long window that does not come again
+            if len(key) < 1024:  # a text without spaces is one long window that does not come again
                 self.windows[key] = window
-                self.held += len(key[0]) + len(key[1]) + len(window[0]) + len(window[1]) + 400
+                self.held += len(key) + len(window[0]) + len(window[1]) + 350
         return found
 
     def align(self, tokens: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
@@ -162,20 +174,24 @@ class Aligner:
         live = [i for i, (a, _) in enumerate(tokens) if a]
         if not live:
             return out
-        all_a, all_b = (b"".join(tokens[i][side] for i in live) for side in (0, 1))
-        a, b = np.frombuffer(all_a, "<u4"), np.frombuffer(all_b, "<u4")
+        a, b = (np.frombuffer(b"".join([tokens[i][side] for i in live]), "<u4") for side in (0, 1))
         last_a, last_b = self._shared(a, b)  # verified ends
         anchor = np.append(self.spaced_a[a], True)[last_a + 1] & np.append(self.spaced_b[b], True)[last_b + 1]
         stop_a, stop_b = last_a[anchor] + 1, last_b[anchor] + 1
         # a text begins with a space, so every text ends with an anchor
         ends = np.searchsorted(stop_a, np.cumsum([len(tokens[i][0]) // 4 for i in live]), side="right").tolist()
-        cuts = (stops.tolist() for stops in (stop_a * 4, stop_b * 4))
-        keys = list(zip(*(map(ids.__getitem__, starmap(slice, zip([0, *stops], stops))) for ids, stops in zip((all_a, all_b), cuts))))
+        # the two id tuples of a window one behind the other, those of B marked
+        tuples = np.empty(len(a) + len(b), "<u4")
+        tuples[np.arange(len(a)) + np.repeat(np.append(0, stop_b[:-1]), np.diff(stop_a, prepend=0))] = a
+        tuples[np.arange(len(b)) + np.repeat(stop_a, np.diff(stop_b, prepend=0))] = b | _OF_B
+        ids, stops = tuples.tobytes(), ((stop_a + stop_b) * 4).tolist()
+        keys = [ids[i:j] for i, j in zip([0, *stops], stops)]
         if self.held > self.limit:
             self.windows.clear()
             self.held = 0
         windows = list(map(self.windows.get, keys))
-        if new := list({keys[i] for i, window in enumerate(windows) if window is None}):
+        if None in windows:
+            new = list({key for key, window in zip(keys, windows) if window is None})
             made = dict(zip(new, self._aligned(new)))
             windows = [window or made[key] for key, window in zip(keys, windows)]
         groups, links = zip(*windows)
