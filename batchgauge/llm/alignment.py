@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchgauge.llm.batches import arrow_schema, id_and_text, per_slice, texts
+from batchgauge.llm.batches import arrow_schema, id_and_text, per_slice
 from batchgauge.llm.units import Memo, byte_letters, byte_level_units, packed, text_ids
 from batchgauge.session import materialise
 

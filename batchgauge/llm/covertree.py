@@ -165,13 +165,13 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64)
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` best candidates of every query.
 
     Queries are the rows whose ``vec_id`` is divisible by ``every``. Rows without id, and vectors
-    that are null, empty or hold null or non-finite components, take no part; of repeated ids the
-    smallest vector counts; vectors of different lengths are never compared. Fewer than ``k``
-    candidates give fewer rows.
+    that are null, empty or hold null or non-finite components, take no part; vectors of different lengths
+    are never compared. Every row is a candidate of the queries with another id, rows that share an id and
+    repeated rows too; queries that share an id share the ``k`` best of all of them. Fewer than ``k``
+    candidates give fewer rows, an empty table none.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), integer_vector(F.col("embedding"), scale).alias("v"))
-    rows = rows.where("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v"))
-    rows = materialise(rows.withColumn("d", F.size("v")))
+    rows = materialise(rows.where("vec_id IS NOT NULL AND v IS NOT NULL").withColumn("d", F.size("v")))
     # The sample bounds what the driver sees: vectors by a hash of their id.
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     samples, pivots = {}, {}

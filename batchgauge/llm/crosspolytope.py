@@ -207,11 +207,14 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, chunk: int =
 
     Unusable vectors and rows without ``vec_id`` link with nothing and are components of their own
     (``kept`` is true; the component of a null id is null). Rows that share a ``vec_id`` are one
-    node of the components. Vectors of different lengths never link. Empty in, empty out.
+    node of the components; each counts its own links. Vectors of different lengths never link. Empty in,
+    empty out.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
     fit = rows.where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
-    classes = materialise(fit.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
+    # equal vectors are one class; its number is stored with it, so it stays the same
+    classes = materialise(fit.groupBy("vector").agg(F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id()))
+    members = materialise(fit.join(classes.select("vector", "id"), "vector").select("vec_id", "id"))
     kind = classes.schema["vector"].dataType.simpleString()
     keyed = classes.select("id", "copies", "vector").mapInArrow(_coded, f"id BIGINT, copies BIGINT, vector {kind}, keys ARRAY<BIGINT>")
     keyed = materialise(keyed.select("id", "copies", "vector", F.explode(F.array_distinct("keys")).alias("key")))
@@ -224,11 +227,15 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, chunk: int =
                      "side", "id", "copies", "vector")
     run, ddl = _linked(cosine)
     found = materialise(met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, ddl))
-    linked = components(found.where("b IS NOT NULL").select("a", "b"))
+    several = members.groupBy("vec_id").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last").select("vec_id", "b")
+    shared = members.join(several, "vec_id").select(F.col("id").alias("a"), "b")
+    linked = components(found.where("b IS NOT NULL").select("a", "b").union(shared)).select(F.col("node").alias("id"), "component")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    named = classes.join(counts, "id", "left").join(linked.withColumnRenamed("node", "id"), "id", "left").select(
-        "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    linked_rows = fit.join(named, "vector").select("vec_id", "n_links", "component_id")
+    firsts = members.groupBy("id").agg(F.min("vec_id").alias("first"))
+    named = materialise(firsts.join(classes.select("id", "copies"), "id").join(counts, "id", "left").join(linked, "id", "left").select(
+        "id", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    linked_rows = members.join(named.join(least, "component"), "id").select("vec_id", "n_links", "component_id")
     others = rows.where(~(usable(F.col("vector")) & F.col("vec_id").isNotNull()))
     alone = others.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked_rows.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

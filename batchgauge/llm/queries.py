@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from batchgauge.llm import (
     alignment, covertree, crosspolytope, dac, ecoc, licenses, packing, pii, prefixtrie, simhash, spellings, transducer,

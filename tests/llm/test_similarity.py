@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from batchgauge.llm import covertree, crosspolytope, simhash, urls
+from batchgauge.llm import covertree, crosspolytope, queries, simhash, urls
 from batchgauge.llm.components import components
 from cases import TEXTS, by_id, documents, embeddings
 
@@ -235,7 +235,8 @@ def test_top_k_against_brute_force(spark, monkeypatch, n, block):
     found = {}
     for r in covertree.top_k(table, 20, 5).orderBy("query_id", "rank").collect():
         found.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    expected = plain_top(ids, x, 20, 5)
+    # the repeated row is a candidate of its own
+    expected = plain_top(np.append(ids, 3), np.concatenate([x, x[3:4]]), 20, 5)
     small = {i: np.floor(64 * np.array(v)) for i, v in ODD if i in (1007, 1008, 1010)}
     expected[1010] = sorted(((i, int(v @ small[1010])) for i, v in small.items() if i != 1010), key=lambda p: (-p[1], p[0]))
     zero = [(1006, 0)]
@@ -246,6 +247,33 @@ def test_top_k_against_brute_force(spark, monkeypatch, n, block):
     assert covertree.top_k(table.where("false")).count() == 0
 
 
+def test_top_k_of_rows_that_share_an_id_equals_the_sql(spark):
+    import duckdb
+
+    x, pick = vectors(200, 4), np.random.default_rng(2)
+    rows = [(int(i), v.tolist()) for i, v in zip(pick.integers(0, 90, 200), x)]
+    rows += [(20, [5.0, 0.0]), (20, [0.0, 5.0]), (5, [5.0, 0.0]), (5, [1.0, 0.0]), (6, [2.0, 0.0]), rows[7], rows[7]]
+    for some in (rows[-7:-2], rows[:200] + rows[-2:]):  # the SQL compares vectors of one length
+        connection = duckdb.connect()
+        connection.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+        connection.executemany("INSERT INTO embeddings VALUES (?, ?)", some)
+        expected = connection.execute(queries.ORACLES["op5_top_k"]).fetchall()
+        found = [(r.query_id, r.rank, r.vec_id, r.score) for r in covertree.top_k(embeddings(spark, some)).collect()]
+        assert sorted(found) == sorted(expected)
+
+
+def test_rows_that_share_an_id_count_their_own_links(spark):
+    far, near = [1.0, 0.0, 0.0], [0.99, 0.05, 0.0]
+    rows = [(7, far), (8, near), (7, [0.0, 1.0, 0.0]), (9, [0.05, 0.99, 0.0]), (10, [0.0, 0.98, 0.05]), (3, [0.0, 0.0, 1.0]), (8, near)]
+    found = crosspolytope.near_duplicates(embeddings(spark, rows))
+    # the rows of id 7 are one node, so both groups are one component
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found.collect()) == [
+        (3, 0, 3, True), (7, 2, 7, True), (7, 2, 7, True), (8, 2, 7, False), (8, 2, 7, False), (9, 2, 7, False), (10, 2, 7, False)]
+    two = [(7, [1.0, 0.0]), (8, [0.999, 0.01]), (7, [0.0, 1.0]), (9, [0.01, 0.999]), (10, [0.02, 0.999])]
+    assert sorted((r.vec_id, r.n_links) for r in crosspolytope.near_duplicates(embeddings(spark, two)).collect()) == [
+        (7, 1), (7, 2), (8, 1), (9, 2), (10, 2)]
+
+
 def test_cosine_links_against_brute_force(spark):
     for chunk in (1024, 7):
         x = vectors(300, 8)
