@@ -165,7 +165,3 @@ def registration_decisions(
 def last_checks(checks: DataFrame, keep: int = 1) -> DataFrame:
     """The newest ``keep`` checks of every baseline."""
     return newest(checks, "baseline_id", "id", keep)
-
-
-def usable_baselines(baselines: DataFrame, include_deleted: bool = False) -> DataFrame:
-    return baselines if include_deleted else baselines.where(F.col("status") == "active")

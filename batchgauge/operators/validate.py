@@ -30,8 +30,9 @@ def header_problem(headers: Column) -> Column:
     )
 
 
-def parsed_rows(lines: DataFrame, headers: DataFrame) -> DataFrame:
-    """Non-blank data lines of usable files, split, with ``ts`` and the row-level error.
+def parsed_rows(lines: DataFrame, headers: DataFrame, lenient: bool = False) -> DataFrame:
+    """Non-blank data lines of usable files, split, with ``ts`` and the row-level error. ``lenient``
+    takes more spellings of a timestamp (``functions.text.parse_time``).
 
     The three row-level errors exclude each other in this order: wrong number of cells,
     blank timestamp, unreadable timestamp.
@@ -51,7 +52,7 @@ def parsed_rows(lines: DataFrame, headers: DataFrame) -> DataFrame:
         .join(usable, "batch_id")
         .withColumn("cells", F.split("line", ",", -1))
         .withColumn("raw_time", raw_time)
-        .withColumn("ts", parse_time(F.col("raw_time")))
+        .withColumn("ts", parse_time(F.col("raw_time"), lenient))
         .withColumn("row_error", kind)
     )
 

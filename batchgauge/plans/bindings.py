@@ -127,6 +127,14 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.unionByName(header)
 
 
+def loose_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of the events in seven spellings: five loose ones, an accepted one, and none at all."""
+    shapes = ["yyyy-MM-dd HH:mm", "yyyyMMdd", "MM/dd/yyyy HH:mm:ss", "yyyy/M/d", "yyyyMMdd'T'HHmmss", "yyyy-MM-dd HH:mm:ss"]
+    k = F.col("event_id") % 7
+    text = F.coalesce(*[F.when(k == i, F.date_format("ts", shape)) for i, shape in enumerate(shapes)], F.lit("not a time"))
+    return table(spark, sf_dir, "events").select("event_id", text.alias("text"))
+
+
 def user_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """One file per user, some of them unusable: all files, and their numbered lines."""
     events, u = table(spark, sf_dir, "events"), F.col("user_id")

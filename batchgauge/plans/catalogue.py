@@ -13,6 +13,7 @@ from batchgauge.operators import (
     ticket_import, tickets, validate,
 )
 from batchgauge.functions.settings import with_option_defaults
+from batchgauge.functions.text import parse_time
 from batchgauge.operators.quantiles import EXACT_ROWS
 from batchgauge.operators.slicing import ROWS_PER_SLICE, largest_group
 from batchgauge.plans import bindings as b
@@ -67,6 +68,19 @@ def wide_to_long(spark, sf):
     return validate.wide_to_long(b.hour_grid(spark, sf), b.SENSORS)
 
 
+@query
+def long_to_wide(spark, sf):
+    """The hour grid made long and wide again."""
+    return validate.long_to_wide(validate.wide_to_long(b.hour_grid(spark, sf), b.SENSORS), b.SENSORS)
+
+
+@query
+def lenient_times(spark, sf):
+    """Times in loose spellings, read both ways."""
+    text = F.col("text")
+    return b.loose_times(spark, sf).select("event_id", "text", parse_time(text).alias("strict"), parse_time(text, lenient=True).alias("lenient"))
+
+
 def _scanned(spark, sf):
     return csv_files.scan(b.csv_lines(spark, sf))
 
@@ -127,6 +141,13 @@ def source_column_stats(spark, sf):
 # --- cleaning and imputation --------------------------------------------------------
 
 
+@query
+def dedup_rows(spark, sf):
+    """Wide rows of half a day each: the first row of every half stays."""
+    half = F.expr("ts - make_dt_interval(0, hour(ts) % 12)")
+    return impute.dedup_rows(b.hour_grid(spark, sf).withColumn("ts", half), b.SENSORS)
+
+
 @query
 def dedup_readings(spark, sf):
     return impute.dedup_readings(b.coarse_readings(spark, sf))
@@ -216,6 +237,16 @@ def anomaly_zscore(spark, sf):
     return rounded(anomaly.zscore_anomalies(readings, metrics.series_moments(readings), 3.0))
 
 
+@query
+def anomaly_labels(spark, sf):
+    """Display texts of the z-score anomalies."""
+    readings = b.readings(spark, sf)
+    none = F.lit(None).cast("double")
+    label = anomaly.anomaly_label(F.col("score"), none, none, none.cast("string"))
+    found = anomaly.zscore_anomalies(readings, metrics.series_moments(readings), 3.0)
+    return found.select("batch_id", "sensor", "row_number", label.alias("label"))
+
+
 @query
 def anomaly_iqr(spark, sf):
     readings = b.readings(spark, sf)
@@ -516,14 +547,18 @@ def snapshot_manifest(spark, sf):
 
 @query
 def snapshot_package(spark, sf):
-    """A package of all runs, written, checked and read again: rows of each part."""
+    """A package of all runs, written, checked and read again: rows and contents of each part."""
     manifest = materialise(_snapshot(spark, sf))
     lines = manifest.groupBy("batch_id").agg(F.sum("rows_processed").alias("total_rows"))
     parts = exports.snapshot_package(
         manifest, b.run_metrics(spark, sf), b.run_anomalies(spark, sf), b.run_errors(spark, sf), lines, {"pyspark": spark.version})
     path = exports.write_package(b.new_folder(spark, "package"), parts)
     read = documents.read_package(spark, path, integrity.SNAPSHOT_FILES)
-    counts = [table.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n")) for part, table in sorted(read.items())]
+    held = {
+        "manifest": F.sum("total_metrics"), "config": F.sum(F.length("config_json")), "metrics": F.sum("metric_value"),
+        "anomalies": F.sum("value"), "errors": F.sum("row_number"), "source_summary": F.sum("total_rows"), "dependencies": F.lit(0)}
+    counts = [table.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"), F.round(held[part].cast("double"), 3).alias("total"))
+              for part, table in sorted(read.items())]
     return reduce(DataFrame.unionByName, counts)
 
 
@@ -567,6 +602,35 @@ def ticket_export_docs(spark, sf):
     )
 
 
+@query
+def scheme_files(spark, sf):
+    """Schemes written as exchange documents and read again."""
+    path = exports.write_json(exports.scheme_documents(b.schemes(spark, sf)), b.new_folder(spark, "schemes"))
+    return documents.read_schemes(spark, path, lines=True).select("name", "scheme_version", "config", "source_scheme_id", "original_id")
+
+
+@query
+def ticket_file_timelines(spark, sf):
+    """Tickets written as exchange documents with their notes, read again: the timeline of every ticket."""
+    notes = b.ticket_events(spark, sf).where("action <> 'create'").select(
+        "ticket_id", F.col("seq").alias("note_id"), F.lit("desk").alias("author"), F.col("action").alias("note_type"),
+        F.col("payload").alias("content"), "created_at")
+    path = exports.write_json(tickets.ticket_documents(b.tickets(spark, sf), notes), b.new_folder(spark, "tickets"))
+    parts = documents.read_ticket_parts(spark, path, lines=True)
+    told = documents.ticket_notes(parts, "title").groupBy("title").agg(
+        F.count(F.lit(1)).alias("notes"), F.max("seq").alias("last"), F.max_by("content", "seq").alias("last_note"),
+        F.min_by("note_type", "seq").alias("first_type"))
+    read = documents.read_tickets(spark, path, lines=True).select("title", "status", "source_batch_id", "source_run_id", "assignee", "original_ticket_id")
+    return read.join(told, "title", "left")
+
+
+@query
+def first_errors(spark, sf):
+    """The first two row errors of every run: how many, and the sum of their rows (rows may have two)."""
+    first = replay.capped(b.run_errors(spark, sf), "run_id", "row_number", 2)
+    return first.groupBy("run_id").agg(F.count(F.lit(1)).alias("errors"), F.sum("row_number").alias("rows"))
+
+
 # --- configurations -----------------------------------------------------------------
 
 
@@ -719,6 +783,14 @@ def run_numbers(spark, sf):
     return b.numbered_runs(spark, sf).select("run_id", "batch_id", "run_number")
 
 
+@query
+def run_numbers_appended(spark, sf):
+    """Numbers of the runs of even orders, going on behind those of the odd ones."""
+    runs = b.runs(spark, sf)
+    stored = catalog.number_runs(runs.where("run_id % 2 = 1"))
+    return catalog.append_numbers(stored, runs.where("run_id % 2 = 0")).select("run_id", "batch_id", "run_number")
+
+
 @query
 def batch_status(spark, sf):
     return catalog.batch_status(b.batches(spark, sf), b.runs(spark, sf))

@@ -172,6 +172,21 @@ grid AS (
     types=", ".join(f"('{s}')" for s in SENSORS)
 )
 ORACLES["wide_to_long"] = _with(GRID) + "SELECT * FROM grid"
+ORACLES["long_to_wide"] = _with(GRID) + "SELECT batch_id, row_number, ts, {} FROM grid GROUP BY 1, 2, 3".format(
+    ", ".join(f"max(CASE WHEN sensor = '{s}' THEN value END) AS \"{s}\"" for s in SENSORS))
+ORACLES["dedup_rows"] = _with(GRID) + """
+, halves AS (SELECT *, ts - to_hours(CAST(hour(ts) % 12 AS INTEGER)) AS t FROM grid),
+first_rows AS (SELECT batch_id, t, min(row_number) AS row_number FROM halves GROUP BY 1, 2)
+SELECT batch_id, row_number, t AS ts, {} FROM halves JOIN first_rows USING (batch_id, t, row_number) GROUP BY 1, 2, 3""".format(
+    ", ".join(f"max(CASE WHEN sensor = '{s}' THEN value END) AS \"{s}\"" for s in SENSORS))
+ORACLES["lenient_times"] = """
+SELECT event_id, CASE event_id % 7 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M') WHEN 1 THEN strftime(ts, '%Y%m%d')
+         WHEN 2 THEN strftime(ts, '%m/%d/%Y %H:%M:%S') WHEN 3 THEN strftime(ts, '%Y/%-m/%-d') WHEN 4 THEN strftime(ts, '%Y%m%dT%H%M%S')
+         WHEN 5 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE 'not a time' END AS text,
+       CASE WHEN event_id % 7 = 5 THEN date_trunc('second', ts) END AS strict,
+       CASE event_id % 7 WHEN 0 THEN date_trunc('minute', ts) WHEN 1 THEN CAST(date_trunc('day', ts) AS TIMESTAMP)
+         WHEN 3 THEN CAST(date_trunc('day', ts) AS TIMESTAMP) WHEN 6 THEN NULL ELSE date_trunc('second', ts) END AS lenient
+FROM events"""
 for kind in ("column_mismatch", "missing_timestamp", "invalid_timestamp"):
     ORACLES[f"err_{kind}"] = _with(CSV_FIELDS) + f"SELECT * FROM errors WHERE error_type = '{kind}'"
 ORACLES["err_non_numeric"] = _with(CSV_FIELDS) + "SELECT * FROM errors WHERE error_type = 'non_numeric_value'"
@@ -241,6 +256,10 @@ ORACLES["anomaly_zscore"] = _with(SCATTERED, _stats("readings")) + """
 SELECT r.batch_id, r.sensor, row_number, ts, value, round(abs((value - mean) / std), 6) AS score
 FROM readings r JOIN stats s ON r.batch_id = s.batch_id AND r.sensor = s.sensor
 WHERE s."count" >= 5 AND std > 0 AND abs((value - mean) / std) > 3.0"""
+ORACLES["anomaly_labels"] = _with(SCATTERED, _stats("readings")) + """
+SELECT r.batch_id, r.sensor, row_number, printf('zscore (z=%.2f)', abs((value - mean) / std)) AS label
+FROM readings r JOIN stats s ON r.batch_id = s.batch_id AND r.sensor = s.sensor
+WHERE s."count" >= 5 AND std > 0 AND abs((value - mean) / std) > 3.0"""
 ORACLES["anomaly_iqr"] = _with(SCATTERED, _stats("readings")) + """
 , fenced AS (
   SELECT r.*, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi
@@ -530,14 +549,14 @@ LEFT JOIN (SELECT run_id, CAST(sum(k) AS BIGINT) AS n, string_agg(anomaly_type |
            FROM (SELECT run_id, anomaly_type, count(*) AS k FROM run_anomalies GROUP BY 1, 2) GROUP BY 1) a ON a.run_id = r.run_id
 LEFT JOIN (SELECT run_id, CAST(sum(k) AS BIGINT) AS n, string_agg(error_type || '=' || CAST(k AS VARCHAR), ',' ORDER BY error_type) AS kinds
            FROM (SELECT run_id, error_type, count(*) AS k FROM run_errors GROUP BY 1, 2) GROUP BY 1) e ON e.run_id = r.run_id"""
-ORACLES["snapshot_package"] = _with(RUNS, RUN_METRICS, RUN_ANOMALIES, RUN_ERRORS) + """
-SELECT 'manifest' AS part, count(*) AS n FROM runs
-UNION ALL SELECT 'config', count(*) FROM runs
-UNION ALL SELECT 'source_summary', count(DISTINCT batch_id) FROM runs
-UNION ALL SELECT 'dependencies', 1
-UNION ALL SELECT 'metrics', count(*) FROM run_metrics WHERE run_id IN (SELECT run_id FROM runs)
-UNION ALL SELECT 'anomalies', count(*) FROM run_anomalies WHERE run_id IN (SELECT run_id FROM runs)
-UNION ALL SELECT 'errors', count(*) FROM run_errors WHERE run_id IN (SELECT run_id FROM runs)"""
+ORACLES["snapshot_package"] = _with(RUNS, RUN_METRICS, RUN_ANOMALIES, RUN_ERRORS, BATCHES) + """
+SELECT 'manifest' AS part, count(*) AS n, CAST((SELECT count(*) FROM run_metrics WHERE run_id IN (SELECT run_id FROM runs)) AS DOUBLE) AS total FROM runs
+UNION ALL SELECT 'config', count(*), CAST(sum(length(config_json)) AS DOUBLE) FROM runs JOIN batches USING (batch_id)
+UNION ALL SELECT 'source_summary', count(DISTINCT batch_id), CAST(sum(rows_processed) AS DOUBLE) FROM runs
+UNION ALL SELECT 'dependencies', 1, 0
+UNION ALL SELECT 'metrics', count(*), round(sum(metric_value), 3) FROM run_metrics WHERE run_id IN (SELECT run_id FROM runs)
+UNION ALL SELECT 'anomalies', count(*), round(sum(value), 3) FROM run_anomalies WHERE run_id IN (SELECT run_id FROM runs)
+UNION ALL SELECT 'errors', count(*), CAST(sum(row_number) AS DOUBLE) FROM run_errors WHERE run_id IN (SELECT run_id FROM runs)"""
 ORACLES["baseline_package"] = _with(RUNS, RUN_METRICS, BATCHES) + """
 , held AS (SELECT c_custkey AS id FROM customer),
 checks AS (SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS nth FROM orders WHERE o_custkey IN (SELECT id FROM held))
@@ -609,6 +628,22 @@ SELECT c_custkey AS ticket_id, c_name AS title,
        coalesce(part, 0) AS part, 1000 * coalesce(part, 0) AS notes_before,
        coalesce(string_agg(action || '|' || payload || '|' || created_at, ';' ORDER BY seq), '') AS timeline
 FROM customer LEFT JOIN notes ON ticket_id = c_custkey GROUP BY ALL"""
+ORACLES["ticket_file_timelines"] = _with(EVENTS_LOG) + """
+, told AS (
+  SELECT ticket_id, count(*) AS notes, count(*) - 1 AS last, arg_max(payload, seq) AS last_note, arg_min(action, seq) AS first_type
+  FROM ticket_log WHERE action <> 'create' GROUP BY 1)
+SELECT c_name AS title, CASE c_nationkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'assigned' ELSE 'resolved' END AS status,
+       CASE WHEN c_nationkey % 5 <> 4 THEN c_nationkey END AS source_batch_id, CASE WHEN c_nationkey % 7 <> 6 THEN c_custkey % 11 END AS source_run_id,
+       c_mktsegment AS assignee, CASE WHEN c_nationkey % 4 = 0 THEN c_custkey - 1 ELSE c_custkey END AS original_ticket_id,
+       notes, last, last_note, first_type
+FROM customer LEFT JOIN told ON ticket_id = c_custkey"""
+ORACLES["first_errors"] = _with(RUN_ERRORS) + """
+SELECT run_id, count(*) AS errors, CAST(sum(row_number) AS BIGINT) AS rows
+FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY row_number) AS nth FROM run_errors) WHERE nth <= 2 GROUP BY 1"""
+ORACLES["run_numbers_appended"] = _with(RUNS) + """
+, odd AS (SELECT batch_id, count(*) AS n FROM runs WHERE run_id % 2 = 1 GROUP BY 1)
+SELECT run_id, batch_id, coalesce(n, 0) + row_number() OVER (PARTITION BY batch_id ORDER BY run_id) AS run_number
+FROM runs LEFT JOIN odd USING (batch_id) WHERE run_id % 2 = 0"""
 ORACLES["sensors_with_anomalies"] = _with(*COUNTED) + "SELECT DISTINCT sensor FROM counts"
 ORACLES["ticket_conflicts"] = _with("""
 incoming AS (
@@ -655,6 +690,9 @@ HISTORY = f"""history AS (
          CASE WHEN o_orderpriority = '2-HIGH' THEN o_orderkey - 1 END AS rolled_back_from_id,
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS nth
   FROM orders)"""
+ORACLES["scheme_files"] = _with(SCHEMES) + f"""
+SELECT name, scheme_version, CASE WHEN partial THEN '{{"version": ' || CAST(version AS VARCHAR) || ', "cleaning": {{}}}}'
+       ELSE {_config("version", "n % 3 + 1")} END AS config, source_scheme_id, coalesce(original_id, scheme_id) AS original_id FROM schemes"""
 ORACLES["eligible_batches"] = "SELECT c_custkey AS batch_id, c_name AS batch_name FROM customer WHERE c_nationkey % 5 <> 0"
 ORACLES["config_missing_fields"] = _with(SCHEMES) + (
     "SELECT scheme_id, 'missing_values,anomaly_detection,metrics' AS missing FROM schemes WHERE partial"

@@ -25,7 +25,9 @@ def build_session(app: str = "batchgauge", master: str | None = None, **conf: st
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    share_package(spark)
+    return spark
 
 
 def share_package(spark: SparkSession) -> None:
@@ -60,5 +62,22 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/batchgauge-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete the tables that ``materialise`` wrote in this application, and return their number.
+
+    For use once the results are written elsewhere: DataFrames that read such tables are of no use after it.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)

@@ -62,11 +62,12 @@ def listed_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "file_path STRING")
 
 
-def scan(lines: DataFrame) -> DataFrame:
-    """Parsed rows, with their row-level errors, of numbered lines.
+def scan(lines: DataFrame, lenient: bool = False) -> DataFrame:
+    """Parsed rows, with their row-level errors, of numbered lines; ``lenient`` reads more spellings of a
+    timestamp.
 
     The headers (one row per file) are stored and counted first, so the lines themselves
     are not shuffled for the join while the list of files is of ordinary length.
     """
-    return parsed_rows(lines, stored_small(headers_of(lines)))
+    return parsed_rows(lines, stored_small(headers_of(lines)), lenient)
 

@@ -20,9 +20,10 @@ TICKET_FILE = (
 )
 
 
-def read_schemes(spark: SparkSession, path: str) -> DataFrame:
-    """One row per scheme file; ``config`` stays JSON text for the section check."""
-    return _with_origin(spark.read.schema(SCHEME_FILE).json(path, multiLine=True))
+def read_schemes(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per scheme file, or per line as ``sinks.exports.write_json`` writes them; ``config`` stays
+    JSON text for the section check."""
+    return _with_origin(spark.read.schema(SCHEME_FILE).json(path, multiLine=not lines))
 
 
 def read_ticket_parts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

@@ -368,3 +368,18 @@ def test_wide_tables_of_many_columns(spark, tmp_path):
     names = spark.read.option("header", "true").csv(str(tmp_path / "w" / "index")).where("name = 'batch 777'").first()
     assert (names.block, names.slot) == ("3", "9")
     assert back.where("block = 3").first()["c9"] == "777.0"
+
+
+def test_intermediates_are_dropped_on_request(spark):
+    import os
+
+    from batchgauge import session
+
+    kept = dict(session._WRITTEN)  # tables that other tests may still read
+    session._WRITTEN.clear()
+    made = session.materialise(spark.range(5))
+    path = session._WRITTEN[spark.sparkContext.applicationId][0]
+    assert made.count() == 5 and os.path.isdir(path.removeprefix("file:"))
+    assert session.drop_intermediates(spark) == 1 and not os.path.exists(path.removeprefix("file:"))
+    assert session.drop_intermediates(spark) == 0
+    session._WRITTEN.update(kept)

@@ -93,3 +93,20 @@ def test_wide_and_long(spark):
     long = validate.wide_to_long(wide, ["x", "y"])
     assert rows_of(long, "sensor", "value") == [("x", 1.0), ("y", None)]
     assert validate.long_to_wide(long, ["x", "y"]).collect() == wide.collect()
+
+
+def test_lenient_times_are_read_row_by_row(spark):
+    loose = {
+        "2025-01-01 00:00": "2025-01-01 00:00:00", "2025-1-2 3:04": "2025-01-02 03:04:00", "2025/01/02": "2025-01-02 00:00:00",
+        "05/06/2025": "2025-05-06 00:00:00", "5/6/2025 07:08:09.5": "2025-05-06 07:08:09.500000", "20250101": "2025-01-01 00:00:00",
+        "20250101T101112": "2025-01-01 10:11:12", "202501011011": "2025-01-01 10:11:00", "2025.01.02 01:02:03": "2025-01-02 01:02:03",
+        "2025-13-01": None, "31/12/2025": None, "20250230": None, "now": None, "12:00": None, "2025": None, "2025-01-01 25:00": None, "": None}
+    strict = {"2025-01-01 01:02:03": "2025-01-01 01:02:03", "2025/01/01 01:02:03": "2025-01-01 01:02:03", "2025-01-01": "2025-01-01 00:00:00"}
+    rows = spark.createDataFrame([(t,) for t in [*loose, *strict]], "t STRING")
+    found = {r.t: (r.s, r.l) for r in rows.select("t", parse_time(F.col("t")).alias("s"), parse_time(F.col("t"), True).alias("l")).collect()}
+    assert {t: None if l is None else str(l) for t, (_, l) in found.items()} == loose | strict
+    assert {t for t, (s, _) in found.items() if s is not None} == set(strict)
+    lines = lines_frame(spark, {"f": "timestamp,a\n2025-01-01 00:00,1\n2025-01-01 00:01:00,2\n5/6/2025,3\nnever,4\n"})
+    for lenient, bad in ((False, [2, 4, 5]), (True, [5])):
+        errors = validate.row_errors(csv_files.scan(lines, lenient))
+        assert rows_of(errors, "row_number", "error_type") == [(n, "invalid_timestamp") for n in bad]
