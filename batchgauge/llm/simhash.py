@@ -2,17 +2,21 @@
 
 Fingerprints are computed once per document and grouped by value. Two fingerprints that differ in
 at most three of 64 bits agree in one of four 16-bit blocks, so each distinct fingerprint is dealt
-to four block groups, which finds every link. In a group, fingerprints are sorted by Gray rank:
-neighbours differ in few bits, and a run of them shares most. Every node above them keeps the bits
-its run shares (mask and pattern), less those its parent has; a search adds up the differences
-on the way down and drops whole runs once they exceed the limit.
-
-Groups beyond ``GROUP`` fingerprints are cut into chunks, and pairs of chunks meet in tasks of their
-own. Tasks return a spanning forest of the links they find, never all pairs.
+to four groups, by the first bits of each block, which finds every link. So many bits are taken that a
+group holds some two thousand fingerprints, however many there are (one group for all, where there are
+fewer). In a group, fingerprints are sorted by Gray rank: neighbours differ in few bits, and a run of them
+shares most. Every node above them keeps the bits its run shares (mask and pattern), less those its
+parent has; a search adds up the differences on the way down and drops whole runs once they exceed
+the limit.
+
+Groups far beyond that size (many fingerprints alike in a block, or more than a hundred million of them) are
+cut into chunks, and pairs of chunks meet in tasks of their own. Tasks return a spanning forest of the
+links they find, never all pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +27,17 @@ from pyspark.sql import functions as F
 
 from batchgauge.llm.batches import arrow_schema, id_and_text, per_slice, texts
 from batchgauge.llm.components import components
+from batchgauge.operators.slicing import stored_small
 from batchgauge.session import materialise
 
 SEED = 42
 SHINGLE_WORDS = 3
 MOST_DIFFERENCES = 3
 BLOCK_BITS = 16
-LEAF = 16
+LEAF = 4
 """Fingerprints below one leaf of the index, and children below one inner node."""
-GROUP = 4096
+GROUP = 2048
+"""Fingerprints a group holds on average, about; one of four times as many is cut."""
 AT_ONCE = 512
 """Queries that go down the index together."""
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -101,6 +107,8 @@ class GrayIndex:
             above = mask
             self.levels[i] = own, pattern & own
         self.leaf_own = ~np.repeat(above, LEAF)[: len(values)]
+        self.compared = 0
+        """Pairs whose difference was taken in full; searches leave out the others."""
 
     def search(self, queries: np.ndarray, most: int = MOST_DIFFERENCES) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, place in ``values`` as given) that differ in at most ``most`` bits."""
@@ -117,6 +125,7 @@ class GrayIndex:
                 stay = so_far <= most
                 q, node, so_far = q[stay], node[stay], so_far[stay]
             q, node, so_far = self._below(q, node, so_far, len(self.values))
+            self.compared += len(q)
             near = so_far + np.bitwise_count((some[q] ^ self.values[node]) & self.leaf_own[node]) <= most
             found_q.append(q[near] + at)
             found_v.append(self.order[node[near]])
@@ -158,36 +167,21 @@ def group_edges(values: np.ndarray, chunk: np.ndarray, pair: bool) -> tuple[np.n
     return values[moved], values[label[moved]]
 
 
-def single_leaf_edges(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same for many groups of one leaf each, side by side in key order."""
-    left, right = [], []
-    for apart in range(1, LEAF):
-        same = np.flatnonzero(key[apart:] == key[:-apart])
-        if not len(same):
-            break
-        near = same[np.bitwise_count(values[same] ^ values[same + apart]) <= MOST_DIFFERENCES]
-        left.append(near + apart)
-        right.append(near)
-    if not left:
-        return values[:0], values[:0]
-    label = forest(len(values), np.concatenate(left), np.concatenate(right))
-    moved = np.flatnonzero(label != np.arange(len(values)))
-    return values[moved], values[label[moved]]
-
-
 # --- Spark --------------------------------------------------------------------------
 
 
 def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
     """Edges ``a``, ``b`` that connect all distinct ``fp`` linked with each other."""
+    bits = max(0, min(BLOCK_BITS, math.ceil(math.log2(max(1, fps.count()) / group))))
+    # without any bits the groups of all blocks would be the same
     blocks = F.array(*[
-        F.shiftrightunsigned(F.col("fp"), BLOCK_BITS * i).bitwiseAND((1 << BLOCK_BITS) - 1) + F.lit(i << BLOCK_BITS)
-        for i in range(64 // BLOCK_BITS)
+        F.shiftrightunsigned(F.col("fp"), BLOCK_BITS * (i + 1) - bits).bitwiseAND((1 << bits) - 1) + F.lit(i << BLOCK_BITS)
+        for i in range(64 // BLOCK_BITS if bits else 1)
     ])
     keyed = fps.select("fp", F.explode(blocks).alias("key"))
-    sizes = keyed.groupBy("key").count().where("count > 1")
-    # At most 2 ** 18 keys whatever the input, so this side is bounded.
-    met = keyed.join(F.broadcast(sizes), "key").withColumn("chunks", F.ceil(F.col("count") / group))
+    sizes = stored_small(keyed.groupBy("key").count().where("count > 1"))
+    met = keyed.join(sizes, "key").withColumn(
+        "chunks", F.when(F.col("count") > 4 * group, F.ceil(F.col("count") / (2 * group))).otherwise(1).cast("long"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks"))
     met = met.withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     met = met.select(
@@ -201,17 +195,16 @@ def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def _edges_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of every run of equal (key, low, high); a run never exceeds two chunks."""
+    """Edges of every run of equal (key, low, high); a run is a group or two chunks of one."""
     schema, held = arrow_schema("a BIGINT, b BIGINT"), None
 
     def edges(run: np.ndarray) -> pa.RecordBatch:
         ids = run["key"] << 40 | run["low"] << 20 | run["high"]
         starts = np.flatnonzero(np.diff(ids, prepend=-1))
         sizes = np.diff(starts, append=len(ids))
-        small = np.repeat((sizes <= LEAF) & (run["low"] == run["high"])[starts], sizes)
-        found = [single_leaf_edges(ids[small], run["fp"][small])]
+        found = [(run["fp"][:0], run["fp"][:0])]
         for start, size in zip(starts.tolist(), sizes.tolist()):
-            if size > 1 and not small[start]:
+            if size > 1:
                 part = {c: run[c][start : start + size] for c in run}
                 found.append(group_edges(part["fp"], part["chunk"], part["low"][0] != part["high"][0]))
         a, b = (np.concatenate([f[i] for f in found]).view(np.int64) for i in (0, 1))

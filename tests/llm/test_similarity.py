@@ -1,5 +1,6 @@
 """Fingerprints, components, URL rules and vectors against brute force."""
 
+import os
 import random
 
 import numpy as np
@@ -103,6 +104,43 @@ def test_links_connect_what_brute_force_connects(spark, group):
     assert plain_components(nodes, found) == plain_components(nodes, truth)
 
 
+def test_the_index_leaves_out_most_pairs():
+    """Runs are dropped by the differences added up above them, in groups of the size the operator makes."""
+    rng = np.random.default_rng(3)
+    for values in (clustered(2 * simhash.GROUP, 11), rng.integers(0, 2**64, simhash.GROUP, dtype=np.uint64)):
+        index = simhash.GrayIndex(values)
+        index.search(values)
+        assert index.compared < 0.1 * len(values) ** 2
+    index = simhash.GrayIndex(values[:2])
+    index.search(values[:2])
+    assert index.compared in (2, 4)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_groups_of_the_given_documents_are_searched_by_the_index(spark):
+    """On sf0.1: the share of pairs compared in the groups that are searched, and the links of brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    prints = np.unique(np.array([r.fp for r in simhash.fingerprints(docs).select("fp").distinct().collect()], np.int64)).view(np.uint64)
+    bits = int(np.ceil(np.log2(len(prints) / simhash.GROUP)))
+    compared = pairs = 0
+    for block in range(4):
+        keys = prints >> np.uint64(16 * (block + 1) - bits) & np.uint64((1 << bits) - 1)
+        for key in np.unique(keys):
+            own = prints[keys == key]
+            index = simhash.GrayIndex(own)
+            index.search(own)
+            compared, pairs = compared + index.compared, pairs + len(own) ** 2
+    assert bits >= 1 and compared < 0.1 * pairs
+    place = {int(v): i for i, v in enumerate(prints.view(np.int64))}
+    edges = simhash.links(spark.createDataFrame([(v,) for v in place], "fp BIGINT")).collect()
+    truth = set()
+    for at in range(0, len(prints), 1000):
+        i, j = np.nonzero(np.bitwise_count(prints[at : at + 1000, None] ^ prints[None]) <= 3)
+        truth |= {(a + at, b) for a, b in zip(i.tolist(), j.tolist()) if a + at < b}
+    nodes = range(len(prints))
+    assert plain_components(nodes, [(place[r.a], place[r.b]) for r in edges]) == plain_components(nodes, truth)
+
+
 def test_near_duplicate_rows(spark):
     rows = [(i, t, None, None, None) for i, t in enumerate(TEXTS)] + [(7, TEXTS[7], None, None, None), (None, "alone here", None, None, None)]
     found = by_id(simhash.near_duplicates(documents(spark, rows)))
