@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchgauge.operators import (
-    anomaly, catalog, compare, configs, drift, impute, merge, metrics, replay, sketches,
+    anomaly, catalog, compare, configs, drift, impute, merge, metrics, package_import, replay, sketches,
     ticket_import, tickets, validate,
 )
 from batchgauge.functions.settings import with_option_defaults
@@ -562,6 +562,49 @@ def snapshot_package(spark, sf):
     return reduce(DataFrame.unionByName, counts)
 
 
+def _baseline_registry(spark, sf):
+    return b.baselines(spark, sf).select(F.col("baseline_id").alias("id"), "name")
+
+
+def _baselines_imported(spark, sf, policy):
+    """A package of one baseline per customer, some of whose names are taken, read and imported."""
+    chosen = b.batches(spark, sf).select(
+        F.col("batch_id").alias("baseline_id"), F.concat(F.lit("base_"), F.col("batch_id").cast("string")).alias("name"),
+        F.col("batch_id").alias("source_batch_id"), "config_json")
+    thresholds = drift.build_thresholds(b.run_metrics(spark, sf)).withColumn("baseline_id", F.col("run_id") % 100)
+    path = exports.write_package(b.new_folder(spark, "package"), exports.baseline_package(chosen, thresholds, b.baseline_checks(spark, sf)))
+    read = documents.read_package(spark, path, integrity.BASELINE_FILES)
+    return package_import.import_baselines(_baseline_registry(spark, sf), read, policy, "/packages/base")
+
+
+@query
+def baseline_import_rename(spark, sf):
+    """Imported baselines with the number of their thresholds."""
+    made = _baselines_imported(spark, sf, "rename")
+    counts = made["metric_thresholds"].groupBy("baseline_id").agg(F.count(F.lit(1)).alias("thresholds"))
+    return made["baselines"].join(counts, "baseline_id", "left").fillna(0, ["thresholds"])
+
+
+@query
+def baseline_import_audit(spark, sf):
+    return _baselines_imported(spark, sf, "reject")["audit_log"]
+
+
+@query
+def snapshot_import(spark, sf):
+    """A package of all runs imported twice as far as names are free: metrics under the new ids."""
+    manifest = materialise(_snapshot(spark, sf))
+    lines = manifest.groupBy("batch_id").agg(F.sum("rows_processed").alias("total_rows"))
+    parts = exports.snapshot_package(
+        manifest, b.run_metrics(spark, sf), b.run_anomalies(spark, sf), b.run_errors(spark, sf), lines, {"pyspark": spark.version})
+    read = documents.read_package(spark, exports.write_package(b.new_folder(spark, "package"), parts), integrity.SNAPSHOT_FILES)
+    taken = b.numbered_runs(spark, sf).where("run_number = 1").join(b.batches(spark, sf).select("batch_id", "batch_name"), "batch_id").select(
+        F.col("run_id").alias("id"), F.concat(F.col("batch_name"), F.lit(" #1")).alias("name"))
+    made = package_import.import_snapshots(taken, read, "skip", "/packages/runs")
+    held = made["metrics"].groupBy("run_id").agg(F.count(F.lit(1)).alias("metrics"), F.round(F.sum("metric_value"), 6).alias("total"))
+    return made["snapshots"].select("run_id", "name", "original_name", "original_id").join(held, "run_id", "left")
+
+
 @query
 def run_records(spark, sf):
     """A run over the scanned lines: processed rows after cleaning and imputation, and errors."""

@@ -566,6 +566,31 @@ UNION ALL SELECT 'metric_thresholds', count(*), CAST(sum(run_id % 100) AS BIGINT
 UNION ALL SELECT 'source_summary', count(DISTINCT batch_id), (SELECT CAST(sum(id) AS BIGINT) FROM held WHERE id IN (SELECT batch_id FROM runs)),
                  CAST(sum(rows_processed) AS BIGINT) FROM runs WHERE batch_id IN (SELECT id FROM held)
 UNION ALL SELECT 'check_history', count(*), CAST(sum(id) AS BIGINT), NULL FROM checks"""
+BASELINE_IMPORT = """existing AS (SELECT c_custkey AS id, 'base_' || CAST(c_custkey * 5 AS VARCHAR) AS name FROM customer),
+incoming AS (SELECT batch_id AS seq, 'base_' || CAST(batch_id AS VARCHAR) AS name, config_json FROM batches),
+clashing AS (SELECT i.*, e.id AS target FROM incoming i LEFT JOIN existing e USING (name)),
+checks AS (
+  SELECT o_custkey AS seq, arg_max(CASE o_orderstatus WHEN 'F' THEN 'pass' WHEN 'O' THEN 'warn' ELSE 'block' END, o_orderkey) AS last_check_status
+  FROM orders GROUP BY 1)"""
+ORACLES["baseline_import_rename"] = _with(BATCHES, BASELINE_IMPORT, RUN_METRICS) + """
+, counts AS (SELECT run_id % 100 AS seq, count(*) AS n FROM run_metrics GROUP BY 1)
+SELECT (SELECT max(id) FROM existing) + row_number() OVER (ORDER BY seq) AS baseline_id,
+       name || CASE WHEN target IS NULL THEN '' ELSE '_imported' END AS name, CAST(NULL AS BIGINT) AS source_batch_id, config_json, last_check_status,
+       name AS original_name, seq AS original_id, '/packages/base' AS imported_from, coalesce(n, 0) AS thresholds
+FROM clashing LEFT JOIN checks USING (seq) LEFT JOIN counts USING (seq)"""
+ORACLES["baseline_import_audit"] = _with(BATCHES, BASELINE_IMPORT) + """
+, stored AS (SELECT seq, (SELECT max(id) FROM existing) + row_number() OVER (ORDER BY seq) AS new_id FROM clashing WHERE target IS NULL)
+SELECT 'baseline_import' AS action, seq AS original_id, new_id AS baseline_id, name AS original_name, CASE WHEN target IS NULL THEN name END AS final_name,
+       CASE WHEN target IS NOT NULL THEN 'reject' END AS conflict_action, CASE WHEN target IS NULL THEN 'success' ELSE 'blocked' END AS result,
+       CASE WHEN target IS NOT NULL THEN 'name_exists' END AS error_message, '/packages/base' AS imported_from
+FROM clashing LEFT JOIN stored USING (seq)"""
+ORACLES["snapshot_import"] = _with(RUNS, RUN_METRICS, BATCHES) + """
+, named AS (SELECT run_id, run_number, batch_name || ' #' || CAST(run_number AS VARCHAR) AS name FROM runs JOIN batches USING (batch_id)),
+stored AS (
+  SELECT run_id AS original_id, name, (SELECT max(run_id) FROM named WHERE run_number = 1) + row_number() OVER (ORDER BY run_id) AS run_id
+  FROM named WHERE run_number > 1),
+held AS (SELECT run_id AS original_id, count(*) AS metrics, round(sum(metric_value), 6) AS total FROM run_metrics GROUP BY 1)
+SELECT run_id, name, name AS original_name, original_id, metrics, total FROM stored LEFT JOIN held USING (original_id)"""
 ORACLES["run_records"] = _with(CSV_FIELDS) + """
 SELECT p.batch_id, 'success' AS run_status, rows_processed, coalesce(n, 0) AS rows_errors
 FROM (SELECT batch_id, count(DISTINCT ts) AS rows_processed FROM cells GROUP BY 1) p
