@@ -77,7 +77,7 @@ def test_query_against_sql(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES) - {"op13_spelling_variants"}))  # that one is about words
 def test_query_returns_whole_tables(spark, name):
     found = queries.QUERIES[name](spark, TABLES)
     key = found.columns[0]
