@@ -60,12 +60,13 @@ def _with_verdict(judged: DataFrame, risks: list[Column]) -> DataFrame:
 
 
 def apply_precheck(
-    requests: DataFrame, batches: DataFrame, schemes: DataFrame, current: str = SCHEME_VERSION
+    requests: DataFrame, batches: DataFrame, schemes: DataFrame, current: str = SCHEME_VERSION, once: bool = False
 ) -> DataFrame:
     """Risks of applying schemes to batches, for all requests at once.
 
     ``requests``: ``request_id, scheme_id, batch_id, new_name, source_scheme_id`` (the
-    last two may be NULL).
+    last two may be NULL). A request whose new name several schemes have gives a row for each
+    of them, or one row if ``once`` is set.
     """
     # everything that depends on one scheme or one batch is worked out before the joins
     version = F.coalesce(config_version(F.col("config_json")), F.lit(0)) + 1
@@ -84,6 +85,8 @@ def apply_precheck(
     # batch only; else NULL names and sources, which meet nothing, are spread over the tasks
     scheme = stored_small(scheme)
     taken = scheme.select(F.col("scheme_name").alias("new_name"), F.col("scheme_id").alias("name_owner"))
+    if once:
+        taken = stored_small(taken.groupBy("new_name").agg(F.min("name_owner").alias("name_owner")))
     source = scheme.select(
         F.col("scheme_id").alias("source_scheme_id"), F.col("scheme_name").alias("source_scheme_name")
     )
@@ -130,25 +133,27 @@ def apply_schemes(
     """
     if action not in ("apply", "clone_apply", "derive_apply"):
         raise ValueError(f"unknown action {action!r}")
-    checked = apply_precheck(requests, batches, schemes, current)
     copies = action != "apply"
+    checked = apply_precheck(requests, batches, schemes, current, once=copies)
     if copies:
-        # the first request that is fine otherwise gets the name
-        first = (
-            checked.where("can_proceed").groupBy("new_name").agg(F.min("request_id").alias("_first"))
-        )
+        # the first request that is fine otherwise gets the name; only such requests are stored, and
+        # the others, most of all those without a name, are never brought together by name
+        fine = materialise(checked.where("can_proceed AND new_name IS NOT NULL"))
+        first = stored_small(fine.groupBy("new_name").agg(F.min("request_id").alias("_first")))
+        accepted = fine.join(first.select(F.col("_first").alias("request_id")), "request_id", "left_semi")
         unnamed = F.col("new_name").isNull()
-        lost = F.col("can_proceed") & (F.col("request_id") != F.col("_first"))
+        lost = F.coalesce(F.col("can_proceed") & (F.col("request_id") != F.col("_first")), F.lit(False))
         extra = F.array_compact(F.array(_risk(unnamed, "name_missing"), _risk(lost, "name_conflict")))
         checked = (
-            checked.join(first, "new_name", "left")
+            left_join_known(checked, first, "new_name", "request_id")
             .withColumn("risks", F.concat("risks", extra))
             .withColumn("can_proceed", F.col("can_proceed") & ~unnamed & ~lost)
             .drop("_first")
         )
-    # several result tables read the checked requests and the steps
-    checked = materialise(checked)
-    accepted = checked.where("can_proceed")
+    else:
+        # several result tables read the checked requests and the steps
+        checked = materialise(checked)
+        accepted = checked.where("can_proceed")
 
     origin = schemes.select(
         "scheme_id", "scheme_version", F.col("source_scheme_id").alias("own_source"),

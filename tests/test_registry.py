@@ -487,3 +487,16 @@ def test_infinite_metrics_compare(spark):
     matrix = compare.metric_matrix(both)
     assert compare.matrix_summary(matrix).first().metrics_with_diff == 1
     assert [r.metric_name for r in compare.top_differences(matrix).collect()] == ["min"]
+
+
+def test_copies_of_names_taken_several_times(spark):
+    """Names that several schemes have stop a request once, and unnamed requests stay out of the joins by name."""
+    batches, schemes, history = registry(spark)
+    schemes = schemes.unionByName(schemes.where("scheme_id = 1").withColumn("scheme_id", F.lit(7).cast("bigint")))
+    requests = spark.createDataFrame(
+        [(1, 1, 1, "base", None), (2, 1, 1, None, None), (3, 2, 1, None, None), (4, 1, 1, "new", None), (5, 3, 1, "new", None)], REQUEST)
+    done = configs.apply_schemes(requests, batches, schemes, history, "derive_apply")
+    assert rows_of(done["schemes"], "scheme_id", "name") == [(8, "new")]
+    assert rows_of(done["audit_log"], "request_id", "result", "error_message") == [
+        (1, "blocked", "name_conflict"), (2, "blocked", "name_missing"), (3, "blocked", "batch_locked,name_missing"),
+        (4, "success", ""), (5, "blocked", "name_conflict")]
