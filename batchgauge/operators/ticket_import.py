@@ -59,25 +59,35 @@ def _asked(inputs: DataFrame, *kept: str) -> DataFrame:
 
 
 def _accepted(inputs: DataFrame, stored: DataFrame) -> DataFrame:
-    """``seq`` of the inputs that are stored when conflicts are rejected. ``stored``: keys of tickets."""
+    """``seq`` of the inputs that are stored when conflicts are rejected. ``stored``: keys of tickets.
+
+    Keys that accepted inputs took are kept as long as an open input asks for them, so a round costs
+    what is open in it and not what was decided before.
+    """
     blocked = _asked(inputs, "seq").join(stored, _KEY, "left_semi").select("seq").distinct()
-    live = materialise(inputs.join(blocked, "seq", "left_anti"))
-    taken = live.sparkSession.createDataFrame([], "kind STRING, first STRING, second STRING, taken BIGINT")
+    live, taken = materialise(inputs.join(blocked, "seq", "left_anti")), None
     accepted, rounds = live.select("seq").limit(0), 0
     while not live.isEmpty():
         first = _held(live, "seq").groupBy(*_KEY).agg(F.min("seq").alias("open"))
-        judged = materialise(
-            _asked(live, "seq").join(first, _KEY).join(taken, _KEY, "left").groupBy("seq").agg(
-                F.bool_or(F.coalesce(F.col("taken") < F.col("seq"), F.lit(False))).alias("out"),
-                F.bool_and(F.col("open") == F.col("seq")).alias("next")))
+        asking = _asked(live, "seq").join(first, _KEY)
+        if taken is None:
+            asking = asking.withColumn("taken", F.lit(None).cast("bigint"))
+        else:
+            asking = asking.join(taken, _KEY, "left")
+        judged = materialise(asking.groupBy("seq").agg(
+            F.bool_or(F.coalesce(F.col("taken") < F.col("seq"), F.lit(False))).alias("out"),
+            F.bool_and(F.col("open") == F.col("seq")).alias("next")))
         entering = judged.where("next AND NOT out").select("seq")
         rounds += 1
         accepted = accepted.unionByName(entering)
         if rounds % 16 == 0:  # keeps the plan short
             accepted = materialise(accepted)
+        still = materialise(live.join(judged.where("NOT next AND NOT out").select("seq"), "seq", "left_semi"))
         new = _held(live.join(entering, "seq", "left_semi"), "seq").withColumnRenamed("seq", "taken")
-        taken = materialise(taken.unionByName(new).groupBy(*_KEY).agg(F.min("taken").alias("taken")))
-        live = materialise(live.join(judged.where("NOT next AND NOT out").select("seq"), "seq", "left_semi"))
+        known = new if taken is None else taken.unionByName(new.select(*taken.columns))
+        wanted = _asked(still, "seq").select(*_KEY).distinct()
+        taken = materialise(known.join(wanted, _KEY, "left_semi").groupBy(*_KEY).agg(F.min("taken").alias("taken")))
+        live = still
     return accepted
 
 

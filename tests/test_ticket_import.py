@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from batchgauge.operators import merge, slicing, ticket_import
+from batchgauge.session import materialise
 from batchgauge.sources import documents
 
 TICKETS = "ticket_id BIGINT, title STRING, source_batch_id BIGINT, source_run_id BIGINT"
@@ -186,3 +187,20 @@ def test_new_ids_follow_the_order_of_inputs(spark):
     incoming = spark.createDataFrame([(i, f"n{i % 40}", f"c{i}", None) for i in range(300)], "seq BIGINT, name STRING, config STRING, original_id BIGINT")
     merged = merge.merged_table(existing, incoming, merge.merge_decisions(existing, incoming, "skip"), ["config"])
     assert sorted((r.id, r.name) for r in merged.collect()) == [(7, "a"), *((8 + i, f"n{i}") for i in range(40))]
+
+
+def test_rounds_keep_the_keys_that_are_asked_for(spark, monkeypatch):
+    """Keys of accepted inputs that no open input asks for are not carried from round to round."""
+    sizes = []
+
+    def recorded(df):
+        stored = materialise(df)
+        if "taken" in df.columns:
+            sizes.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(ticket_import, "materialise", recorded)
+    rows = [(i, f"t{i}", i, i, None) for i in range(60)] + [(100, "x", 500, None, None), (101, "x", 501, None, None), (102, "y", 501, None, None)]
+    found = ticket_import.import_decisions(spark.createDataFrame([], TICKETS), spark.createDataFrame(rows, INPUTS), "reject")
+    assert [r.seq for r in found.where("action = 'reject'").collect()] == [101]
+    assert len(sizes) > 1 and max(sizes) <= 4
