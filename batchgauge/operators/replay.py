@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchgauge.functions.json_text import json_sha256
-from batchgauge.operators.slicing import ROWS_PER_SLICE, stored_small, with_positions
+from batchgauge.operators.slicing import ROWS_PER_SLICE, left_join_known, stored_small, with_positions
 from batchgauge.sources.integrity import FORMAT_VERSION
 
 KEY = ["batch_id", "sensor", "metric_name"]
@@ -95,20 +95,28 @@ def snapshot_manifest(
 
     The kind of an anomaly is its method: labels hold the values and would be a kind each.
     """
-    totals = manifest_summary(runs, metrics, anomalies, errors).drop("batch_id", "run_number", "config_version")
     method = F.substring_index("anomaly_type", " (", 1)
+    counted = metrics.groupBy("run_id").agg(F.count(F.lit(1)).alias("total_metrics"))
+    # equal configurations are digested once; runs share them
+    texts = runs.select("config_json").where("config_json IS NOT NULL").distinct()
+    digests = stored_small(texts.withColumn("config_sha256", json_sha256(F.col("config_json"))))
+    own = ["run_id", "batch_id", "run_number", "config_version", "rows_processed", "rows_errors", "config_json"]
+    kinds = {"anomaly_type_counts": "total_anomalies", "error_type_counts": "total_errors"}
     return (
-        runs.select("run_id", "batch_id", "run_number", "config_version", "rows_processed", "rows_errors", "config_json")
+        runs.select(*own)
         .join(batches.select("batch_id", "batch_name", "source_file"), "batch_id", "left")
-        .join(totals, "run_id")
+        .join(counted, "run_id", "left")
         .join(kind_counts(anomalies, method, "anomaly_type_counts"), "run_id", "left")
         .join(kind_counts(errors, F.col("error_type"), "error_type_counts"), "run_id", "left")
+        .transform(left_join_known, digests, "config_json", "run_id")
+        .withColumn("total_metrics", F.coalesce("total_metrics", F.lit(0)))
+        .withColumns({c: F.coalesce(c, F.array().cast("array<struct<kind:string,n:bigint>>")) for c in kinds})
         .withColumns({
             "format_version": F.lit(FORMAT_VERSION),
-            "config_sha256": json_sha256(F.col("config_json")),
-            **{c: F.coalesce(c, F.array().cast("array<struct<kind:string,n:bigint>>"))
-               for c in ("anomaly_type_counts", "error_type_counts")},
+            # every row has one kind, so the totals are the sums of the counts
+            **{total: F.aggregate(c, F.lit(0).cast("bigint"), lambda n, k: n + k["n"]) for c, total in kinds.items()},
         })
+        .select(*own, "batch_name", "source_file", "total_metrics", *kinds.values(), *kinds, "format_version", "config_sha256")
     )
 
 

@@ -528,10 +528,21 @@ def manifest_summary(spark, sf):
     )
 
 
-def _snapshot(spark, sf):
+def _snapshot(spark, sf, run_metrics=None):
     batches = b.batches(spark, sf)
     runs = b.numbered_runs(spark, sf).join(batches.select("batch_id", "config_json"), "batch_id")
-    return replay.snapshot_manifest(runs, batches, b.run_metrics(spark, sf), b.run_anomalies(spark, sf), b.run_errors(spark, sf))
+    if run_metrics is None:
+        run_metrics = b.run_metrics(spark, sf)
+    return replay.snapshot_manifest(runs, batches, run_metrics, b.run_anomalies(spark, sf), b.run_errors(spark, sf))
+
+
+def _snapshot_parts(spark, sf):
+    """Parts of a package of all runs; manifest and package read the metrics from one stored table."""
+    run_metrics = materialise(b.run_metrics(spark, sf))
+    manifest = materialise(_snapshot(spark, sf, run_metrics))
+    lines = manifest.groupBy("batch_id").agg(F.sum("rows_processed").alias("total_rows"))
+    return exports.snapshot_package(
+        manifest, run_metrics, b.run_anomalies(spark, sf), b.run_errors(spark, sf), lines, {"pyspark": spark.version})
 
 
 @query
@@ -548,10 +559,7 @@ def snapshot_manifest(spark, sf):
 @query
 def snapshot_package(spark, sf):
     """A package of all runs, written, checked and read again: rows and contents of each part."""
-    manifest = materialise(_snapshot(spark, sf))
-    lines = manifest.groupBy("batch_id").agg(F.sum("rows_processed").alias("total_rows"))
-    parts = exports.snapshot_package(
-        manifest, b.run_metrics(spark, sf), b.run_anomalies(spark, sf), b.run_errors(spark, sf), lines, {"pyspark": spark.version})
+    parts = _snapshot_parts(spark, sf)
     path = exports.write_package(b.new_folder(spark, "package"), parts)
     read = documents.read_package(spark, path, integrity.SNAPSHOT_FILES)
     held = {
@@ -593,10 +601,7 @@ def baseline_import_audit(spark, sf):
 @query
 def snapshot_import(spark, sf):
     """A package of all runs imported twice as far as names are free: metrics under the new ids."""
-    manifest = materialise(_snapshot(spark, sf))
-    lines = manifest.groupBy("batch_id").agg(F.sum("rows_processed").alias("total_rows"))
-    parts = exports.snapshot_package(
-        manifest, b.run_metrics(spark, sf), b.run_anomalies(spark, sf), b.run_errors(spark, sf), lines, {"pyspark": spark.version})
+    parts = _snapshot_parts(spark, sf)
     read = documents.read_package(spark, exports.write_package(b.new_folder(spark, "package"), parts), integrity.SNAPSHOT_FILES)
     taken = b.numbered_runs(spark, sf).where("run_number = 1").join(b.batches(spark, sf).select("batch_id", "batch_name"), "batch_id").select(
         F.col("run_id").alias("id"), F.concat(F.col("batch_name"), F.lit(" #1")).alias("name"))

@@ -383,3 +383,20 @@ def test_intermediates_are_dropped_on_request(spark):
     assert session.drop_intermediates(spark) == 1 and not os.path.exists(path.removeprefix("file:"))
     assert session.drop_intermediates(spark) == 0
     session._WRITTEN.update(kept)
+
+
+def test_manifest_digests_a_configuration_once(spark):
+    """Runs share configurations: their digests are stored beforehand, no row of a run goes through Python."""
+    runs = spark.createDataFrame(
+        [(i, 7, i, 2, 10, 1, None if i == 9 else '{"a": %d}' % (i % 2)) for i in range(10)],
+        "run_id BIGINT, batch_id BIGINT, run_number BIGINT, config_version BIGINT, rows_processed BIGINT, rows_errors BIGINT, config_json STRING")
+    batches = spark.createDataFrame([(7, "seven", "/d/x.csv")], "batch_id BIGINT, batch_name STRING, source_file STRING")
+    metrics = spark.createDataFrame([(1, "s", "mean", 1.5)], "run_id BIGINT, sensor STRING, metric_name STRING, metric_value DOUBLE")
+    anomalies = spark.createDataFrame([(1, "iqr (x)"), (1, "zscore"), (1, None)], "run_id BIGINT, anomaly_type STRING")
+    errors = spark.createDataFrame([(2, "a"), (2, "a")], "run_id BIGINT, error_type STRING")
+    manifest = snapshot_manifest(runs, batches, metrics, anomalies, errors)
+    assert "EvalPython" not in manifest._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.run_id: r for r in manifest.collect()}
+    digests = [hashlib.sha256(b'{"a": %d}' % i).hexdigest() for i in range(2)]
+    assert [found[i].config_sha256 for i in range(10)] == [digests[i % 2] for i in range(9)] + [None]
+    assert [(found[i].total_metrics, found[i].total_anomalies, found[i].total_errors) for i in range(4)] == [(0, 0, 0), (1, 3, 0), (0, 0, 2), (0, 0, 0)]
