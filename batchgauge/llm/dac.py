@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchgauge.llm.batches import arrow_schema, id_and_text, slices, texts
-from batchgauge.llm.units import byte_level_units, text_ids
+from batchgauge.llm.units import byte_level_units, forget, text_ids
 from batchgauge.session import materialise
 
 MAGIC = b"DAC1"
@@ -169,6 +169,7 @@ def documents_of(files: DataFrame) -> DataFrame:
     ddl = "doc_id BIGINT, start BIGINT, n_tokens BIGINT, ids_crc32 BIGINT"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # the worker may be one that wrote blocks
         schema = arrow_schema(ddl)
         for batch in batches:
             for i in range(batch.num_rows):

@@ -56,6 +56,19 @@ def _plain_word(unit: str) -> list[str] | None:
     return None
 
 
+class _Known(dict):
+    """Ids by unit; a unit that is not there counts as nothing and is noted in ``missing``."""
+
+    def __init__(self):
+        self.missing: set[str] = set()
+        self.misses = 0
+
+    def __missing__(self, unit: str) -> bytes:
+        self.missing.add(unit)
+        self.misses += 1
+        return b""
+
+
 class Memo:
     """Ids of units as little-endian 32-bit integers; forgets everything beyond ``limit`` bytes.
 
@@ -64,29 +77,43 @@ class Memo:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 128 << 20, pattern: str | None = None):
         self.encode, self.limit, self.pattern, self.size = encode, limit, pattern, 0
-        self.known: dict[str, bytes] = {}
+        self.known = _Known()
 
     def _keep(self, units: list[str], found: list[bytes]) -> None:
         self.known.update(zip(units, found))
         self.size += sum(map(len, units)) + sum(map(len, found)) + 180 * len(units)
 
     def ids(self, lists: list[list[str]]) -> list[bytes]:
-        """The joined ids of every list of units."""
+        """The joined ids of every list of units; only lists with new units are looked up twice."""
         known = self.known
         if self.size > self.limit:
             known.clear()
             self.size = 0
-        look = known.__getitem__
-        new = list(set().union(*lists).difference(known))
-        if self.pattern:
-            cut = [_plain_word(unit) or matches(unit, self.pattern) for unit in new]
-            parts = list(set().union(*cut).difference(known))
-            self._keep(parts, self.encode(parts))
-            joined = [(u, c) for u, c in zip(new, cut) if len(c) != 1]
-            self._keep([u for u, _ in joined], [b"".join(map(look, c)) for _, c in joined])
-        else:
+        look, again = known.__getitem__, []
+        found, seen = [], known.misses
+        for i, units in enumerate(lists):
+            found.append(b"".join(map(look, units)))
+            if known.misses > seen:
+                again.append(i)
+                seen = known.misses
+        if again:
+            self._learn(list(known.missing))
+            known.missing.clear()
+            for i in again:
+                found[i] = b"".join(map(look, lists[i]))
+        return found
+
+    def _learn(self, new: list[str]) -> None:
+        known = self.known
+        if not self.pattern:
             self._keep(new, self.encode(new))
-        return [b"".join(map(look, units)) for units in lists]
+            return
+        cut = [_plain_word(unit) or matches(unit, self.pattern) for unit in new]
+        parts = [part for part in set().union(*cut) if part not in known]
+        self._keep(parts, self.encode(parts))
+        joined = [(u, c) for u, c in zip(new, cut) if len(c) != 1]
+        look = known.__getitem__
+        self._keep([u for u, _ in joined], [b"".join(map(look, c)) for _, c in joined])
 
 
 _PACKERS = [struct.Struct(f"<{n}I").pack for n in range(32)]
@@ -105,6 +132,24 @@ def byte_letters() -> str:
     return "".join(chr(b if b in plain else next(others)) for b in range(256))
 
 
+@functools.lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    """The file's tokenizer, for which strings of added tokens are ordinary text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def forget() -> None:
+    """Drop what the worker remembers; for tasks that tokenize nothing."""
+    library_memo.cache_clear()
+    _added.cache_clear()
+    _tokenizer.cache_clear()
+
+
 @functools.lru_cache(maxsize=4)
 def library_memo(path: str, pattern: str | None = None) -> Memo:
     """A memo in front of a tokenizers file; lives as long as the Python worker.
@@ -112,12 +157,9 @@ def library_memo(path: str, pattern: str | None = None) -> Memo:
     With ``pattern`` the file is a byte-level one and units are its matches. Else units are words
     between blanks, which the file's own normalizer and pre-tokenizer cut further.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import numpy as np
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer = _tokenizer(path)
     model, letters = tokenizer.model, byte_letters()
 
     def ids_of(piece: str) -> list[int]:
@@ -171,14 +213,19 @@ def library_memo(path: str, pattern: str | None = None) -> Memo:
 @functools.lru_cache(maxsize=4)
 def _added(path: str) -> tuple[list[str], Callable[[str], bytes]]:
     """The strings of a file's added tokens, and the library's own encoding of a whole text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = _tokenizer(path)
     tokens = tokenizer.get_added_tokens_decoder().values()
     # one that is looked for in the normalized text may be written in other ways: any text may hold it
     names = [""] if any(t.normalized for t in tokens) else [t.content for t in tokens]
-    return names, lambda text: packed(tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def encode(text: str) -> bytes:
+        tokenizer.encode_special_tokens = False
+        try:
+            return packed(tokenizer.encode(text, add_special_tokens=False).ids)
+        finally:
+            tokenizer.encode_special_tokens = True
+
+    return names, encode
 
 
 def text_ids(
