@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from batchgauge.llm.batches import arrow_schema, id_and_text, slices, texts
-from batchgauge.llm.units import blank_separated_units, text_ids
+from batchgauge.llm.units import small_units, text_ids
 
 WINDOW = 2048
 POOL = 4096
@@ -155,7 +155,7 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
         for batch in slices(batches):
-            ids = text_ids(tokenizer, texts(batch), blank_separated_units, added_tokens=added_tokens)
+            ids = text_ids(tokenizer, texts(batch), small_units, added_tokens=added_tokens)
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), ids):
                 packer.add(doc_id, found + end)
             yield drained()

@@ -10,13 +10,16 @@ from __future__ import annotations
 import functools
 import os
 import re
+import string
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import regex
 
 _TWO_BLANKS = re.compile(r"\s\s")
 _BLANKS_OF_PYTHON_ONLY = re.compile("[\x1c-\x1f]")
+_STOP_BEHIND_NO_WORD = re.compile(r"[.,](?<=[\W_].)")
+"""Python's alphanumeric characters are those of \\p{L} and \\p{N}: a full stop or comma behind one begins a match."""
 
 
 @functools.lru_cache(maxsize=4)
@@ -34,10 +37,13 @@ def byte_level_units(text: str, pattern: str) -> list[str]:
     """Units for a byte-level tokenizer whose matches begin with one space at most.
 
     While no two blanks meet, every space begins a match and every line feed is one. Other texts
-    are cut by the pattern itself, which is slower.
+    are cut by the pattern itself, which is slower. Full stops and commas behind words begin units,
+    so that a word is the same unit with and without them.
     """
     if "\0" in text or _TWO_BLANKS.search(text):
         return matches(text, pattern)
+    if not _STOP_BEHIND_NO_WORD.search(text):
+        text = text.replace(".", "\0.").replace(",", "\0,")
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
@@ -46,73 +52,108 @@ def blank_separated_units(text: str) -> list[str]:
     return [text] if _BLANKS_OF_PYTHON_ONLY.search(text) else text.split()
 
 
+def small_units(text: str) -> list[str]:
+    """Units for a tokenizer that drops white space, composes, lower-cases and parts letters, digits and the rest.
+
+    Texts of Latin-1 characters are composed, and lower-cased as a whole. Full stops and commas behind their
+    words begin units, so that a word is the same unit with and without them. In other texts a letter may
+    become a letter and a mark, which goes with what follows.
+    """
+    if not _latin(text) or _BLANKS_OF_PYTHON_ONLY.search(text):
+        return blank_separated_units(text)
+    text = text.lower()
+    if not _STOP_BEHIND_NO_WORD.search(text):
+        text = text.replace(".", " .").replace(",", " ,")
+    return text.split()
+
+
+def _latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 def _plain_word(unit: str) -> list[str] | None:
-    """The matches of a word, with a space before or a full stop or comma behind, without the pattern."""
+    """The matches of a word, with a space before or ASCII punctuation behind, without the pattern."""
     word = unit[1:] if unit[:1] == " " else unit
     if word.isalpha():
         return [unit]
-    if word[-1:] in (".", ",") and word[:-1].isalpha():
-        return [unit[:-1], unit[-1]]
+    body = word.rstrip(string.punctuation)  # one match: no letter behind it could make a contraction of it
+    if body.isalpha():
+        at = len(body) - len(word)
+        return [unit[:at], unit[at:]]
     return None
 
 
-class _Known(dict):
-    """Ids by unit; a unit that is not there counts as nothing and is noted in ``missing``."""
-
-    def __init__(self):
-        self.missing: set[str] = set()
-        self.misses = 0
+def _small_word(word: str) -> list[str]:
+    """A word of Latin-1 letters as its lower-case letters and the punctuation behind; other words as they are.
 
-    def __missing__(self, unit: str) -> bytes:
-        self.missing.add(unit)
-        self.misses += 1
-        return b""
+    For a tokenizer that composes, lower-cases and parts letters from punctuation: the parts have the ids of the word.
+    """
+    cut = _plain_word(word)
+    if cut and _latin(word):
+        cut[0] = cut[0].lower()
+        return cut
+    return [word]
 
 
 class Memo:
-    """Ids of units as little-endian 32-bit integers; forgets everything beyond ``limit`` bytes.
+    """Ids of units as little-endian 32-bit integers, up to ``limit`` bytes.
 
-    With ``pattern``, a unit not seen before is cut into its matches, and only new matches are encoded.
+    Units are kept in two halves. Once the newer is full it becomes the older, and what is not asked
+    for again while the next one fills is forgotten; frequent units stay.
+    With ``pattern``, a unit not seen before is cut into its matches, or into what ``cut`` makes of it,
+    and only new parts are encoded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 128 << 20, pattern: str | None = None):
-        self.encode, self.limit, self.pattern, self.size = encode, limit, pattern, 0
-        self.known = _Known()
+    def __init__(
+        self, encode: Callable[[list[str]], list[bytes]], limit: int = 128 << 20, pattern: str | None = None,
+        cut: Callable[[str], list[str]] | None = None,
+    ):
+        self.encode, self.limit, self.size = encode, limit, 0
+        self.cut = cut or (pattern and (lambda unit: _plain_word(unit) or matches(unit, pattern)))
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _keep(self, units: list[str], found: list[bytes]) -> None:
         self.known.update(zip(units, found))
         self.size += sum(map(len, units)) + sum(map(len, found)) + 180 * len(units)
 
+    def _unknown(self, units: Iterable[str]) -> list[str]:
+        """The units that are in neither half; those in the older one are taken over."""
+        older, known = self.older, self.known
+        if not older:
+            return [u for u in units if u not in known]
+        units = [u for u in units if u not in known]
+        again = [u for u in units if u in older]
+        self._keep(again, [older[u] for u in again])
+        return [u for u in units if u not in older]
+
     def ids(self, lists: list[list[str]]) -> list[bytes]:
-        """The joined ids of every list of units; only lists with new units are looked up twice."""
-        known = self.known
-        if self.size > self.limit:
-            known.clear()
-            self.size = 0
-        look, again = known.__getitem__, []
-        found, seen = [], known.misses
-        for i, units in enumerate(lists):
-            found.append(b"".join(map(look, units)))
-            if known.misses > seen:
-                again.append(i)
-                seen = known.misses
-        if again:
-            self._learn(list(known.missing))
-            known.missing.clear()
-            for i in again:
-                found[i] = b"".join(map(look, lists[i]))
-        return found
+        """The joined ids of every list of units; known units are looked up once."""
+        if self.size > self.limit // 2:
+            self.known, self.older, self.size = {}, self.known, 0
+        look = self.known.get
+        found = [list(map(look, units)) for units in lists]
+        gaps = [[at for at, ids in enumerate(one) if ids is None] for one in found]
+        new = self._unknown({units[at] for units, gap in zip(lists, gaps) for at in gap})
+        if new:
+            self._learn(new)
+        for units, one, gap in zip(lists, found, gaps):
+            for at in gap:
+                one[at] = look(units[at])
+        return list(map(b"".join, found))
 
     def _learn(self, new: list[str]) -> None:
-        known = self.known
-        if not self.pattern:
+        if not self.cut:
             self._keep(new, self.encode(new))
             return
-        cut = [_plain_word(unit) or matches(unit, self.pattern) for unit in new]
-        parts = [part for part in set().union(*cut) if part not in known]
+        cut = list(map(self.cut, new))
+        parts = self._unknown(set().union(*cut))
         self._keep(parts, self.encode(parts))
-        joined = [(u, c) for u, c in zip(new, cut) if len(c) != 1]
-        look = known.__getitem__
+        joined = [(u, c) for u, c in zip(new, cut) if len(c) != 1 or c[0] != u]
+        look = self.known.__getitem__
         self._keep([u for u, _ in joined], [b"".join(map(look, c)) for _, c in joined])
 
 
@@ -174,40 +215,40 @@ def library_memo(path: str, pattern: str | None = None) -> Memo:
     def of_matches(found: list[str]) -> list[bytes]:
         return [packed(ids_of(named(m))) for m in found]
 
-    pieces: dict[str, list[int]] = {}
+    pieces: dict[str, bytes] = {}
 
-    def piece_ids(piece: str) -> list[int]:
+    def piece_ids(piece: str) -> bytes:
         known = pieces.get(piece)
         if known is None:
-            known = pieces[piece] = ids_of(piece)
+            known = pieces[piece] = packed(ids_of(piece))
         return known
 
     def of_words(words: list[str]) -> list[bytes]:
         if len(pieces) > 200_000:
             pieces.clear()
         found: dict[str, bytes] = {}
+        others = []
         for word in words:  # of Latin-1 letters: normalising is lower-casing, and they are one piece
-            cut = _plain_word(word)
-            if cut and (word.isascii() or max(word) <= "\xff"):
-                ids = piece_ids(named(cut[0].lower()))
-                found[word] = packed(ids + piece_ids(cut[1]) if len(cut) > 1 else ids)
-        others = [w for w in words if w not in found]
+            if word.isalpha() and _latin(word):
+                found[word] = packed(ids_of(named(word.lower())))
+            else:
+                others.append(word)
         for at in range(0, len(others), 2000):
             some = others[at : at + 2000]
             line = tokenizer.normalizer.normalize_str(" ".join(some))
             if line.count(" ") != len(some) - 1:  # a word that is no single word once normalised
                 found.update((w, packed(tokenizer.encode(w, add_special_tokens=False).ids)) for w in some)
                 continue
-            ids_by_word: list[list[int]] = [[] for _ in some]
+            ids_by_word: list[list[bytes]] = [[] for _ in some]
             starts = np.cumsum([0, *(len(w) + 1 for w in line.split(" "))])
             cut = tokenizer.pre_tokenizer.pre_tokenize_str(line)
             owners = np.searchsorted(starts, [span[0] for _, span in cut], side="right") - 1
             for (piece, _), owner in zip(cut, owners.tolist()):
-                ids_by_word[owner] += piece_ids(piece)
-            found.update(zip(some, map(packed, ids_by_word)))
+                ids_by_word[owner].append(piece_ids(piece))
+            found.update(zip(some, map(b"".join, ids_by_word)))
         return [found[w] for w in words]
 
-    return Memo(of_matches if pattern else of_words, pattern=pattern)
+    return Memo(of_matches, pattern=pattern) if pattern else Memo(of_words, cut=_small_word)
 
 
 @functools.lru_cache(maxsize=4)

@@ -1,6 +1,11 @@
 """The memo in front of a tokenizer."""
 
+import random
+
+import numpy as np
 import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
 
 from batchgauge.llm import units
 
@@ -35,3 +40,51 @@ def test_one_tokenizer_for_words_and_added_tokens():
     assert units.text_ids(path, texts, cut, pattern, added_tokens=True) == added
     units.forget()
     assert units._tokenizer.cache_info().currsize == 0
+
+
+def test_frequent_units_outlive_a_full_memo():
+    asked = []
+
+    def encode(new):
+        asked.extend(new)
+        return [u.encode() + b"." for u in new]
+
+    memo = units.Memo(encode, limit=4000)
+    for i in range(100):
+        assert memo.ids([["the", f"rare{i}"], ["the"]]) == [f"the.rare{i}.".encode(), b"the."]
+    assert asked.count("the") == 1 and len(asked) == 101
+    assert len(memo.known) + len(memo.older) < 30
+
+
+def test_words_are_encoded_once_whatever_their_case_and_punctuation():
+    asked = []
+
+    def encode(new):
+        asked.extend(new)
+        return [u.encode() + b"." for u in new]
+
+    memo = units.Memo(encode, cut=units._small_word)
+    texts = ["Été été. ÉTÉ, été&&& Was was", "was. was,*** WAS!!"]
+    found = memo.ids([units.small_units(t) for t in texts])
+    assert found[0].decode() == "été.été...été.,.été.&&&.was.was."
+    assert sorted(asked) == sorted(["été", "was", ".", ",", "&&&", ",***", "!!"])
+
+
+CHARACTERS = ["a", "É", "ß", "º", "µ", "×", "²", "½", "1", ".", ",", "'", "'S", "_", "&", " ", "  ", "\n", "\xa0", "\x85", "\x1d", "\0",
+              "Σ", "İ", "日", "\u0301", "…", "٣", "the", "THE", " word", ". ", ", ", "<|endoftext|>", "<|ENDOFTEXT|>"]
+
+
+@pytest.mark.parametrize("latin", [True, False])
+@pytest.mark.parametrize("name, pattern, cut", [
+    ("byte_bpe_50k.json", public_tokenizers.PATTERN, lambda t: units.byte_level_units(t, public_tokenizers.PATTERN)),
+    ("word_bpe_49k.json", None, lambda t: units.small_units(t))])
+def test_units_cut_at_stops_encode_like_whole_texts(name, pattern, cut, latin):
+    path, pick = public_tokenizers.path(name), random.Random(5)
+    letters = [c for c in CHARACTERS if units._latin(c)] if latin else CHARACTERS
+    texts = ["".join(pick.choice(letters) for _ in range(pick.randint(0, 12))) for _ in range(6000)]
+    for added in (False, True):
+        library = Tokenizer.from_file(path)
+        library.encode_special_tokens = not added
+        found = units.text_ids(path, texts, cut, pattern, added_tokens=added)
+        for text, ids in zip(texts, found):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
