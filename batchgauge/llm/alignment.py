@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchgauge.llm.batches import arrow_schema, id_and_text, per_slice
-from batchgauge.llm.units import Memo, byte_letters, byte_level_units, packed, text_ids
+from batchgauge.llm.units import Memo, byte_letters, byte_level_units, packed, stops_end_words, text_ids
 from batchgauge.session import materialise
 
 SPACE = "▁"
@@ -37,6 +37,7 @@ _OF_B = np.uint32(1 << 31)
 CHANGED = b"\xff" * 4
 """Stands for the ids of a word whose pieces spell something else; no id has these bytes."""
 _WORDS = re.compile(r" +[^ ]*")
+_STOPPED = re.compile(r"[^\W_][.,]")
 
 
 def byte_level_tokens(path: str) -> list[bytes]:
@@ -63,14 +64,23 @@ class Pieces:
             for i, p in enumerate(pieces)]
         # Where no piece goes on with a space, a space behind another character always begins a piece.
         self.by_words = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        # Letters and digits that a piece joins to a full stop or comma; behind others one always begins a piece.
+        self.glued = {pair for p in pieces for pair in _STOPPED.findall(p)}
+        self.lead = "a"  # encoded before a unit without the space that the model adds, and dropped again
+        self.lead_ids = model.encode(self.lead)
+        self.by_stops = self.by_words and not {self.lead + ".", self.lead + ","} & self.glued
         self.memo = Memo(self._encode)
 
     def _encode(self, units: list[str]) -> list[bytes]:
-        """Units begin with the space that the model adds; a space alone it would take for no text."""
-        found, look = self.model.encode([u[1:] for u in units], num_threads=1), self.bytes_of.__getitem__
+        """Units begin with the space that the model adds, or with a full stop or comma; a space alone the model
+        would take for no text."""
+        found = self.model.encode([u[1:] if u[0] == " " else self.lead + u for u in units], num_threads=1)
+        look = self.bytes_of.__getitem__
         for at, unit in enumerate(units):
             if unit == " ":
                 found[at] = [self.model.piece_to_id(SPACE)]
+            elif unit[0] != " ":
+                found[at] = found[at][len(self.lead_ids) :]
         return [
             packed(ids) if b"".join(map(look, ids)) == unit.encode("utf-8", "replace") else CHANGED for unit, ids in zip(units, found)]
 
@@ -80,11 +90,13 @@ class Pieces:
         return [b"" if CHANGED in ids else ids for ids in found]
 
     def _words(self, spaced: str) -> list[str]:
-        """Units that begin with a space, or the run of spaces before a word."""
+        """Units that begin with a space, or the run of spaces before a word; or with the full stop or comma behind one."""
         if not self.by_words:
             return [spaced]
         if "  " in spaced or "\0" in spaced:
             return _WORDS.findall(spaced)
+        if self.by_stops and stops_end_words(spaced) and not any(pair in spaced for pair in self.glued):
+            spaced = spaced.replace(".", "\0.").replace(",", "\0,")
         return spaced.replace(" ", "\0 ").split("\0")[1:]
 
 
@@ -118,7 +130,8 @@ class Aligner:
         most = max(len(self.bytes_a), len(self.bytes_b))
         self.decimal = [b"%d%s" % (i, after) for i in range(most) for after in (b",", b"|", b";", b"\n")]
         self.pairs = _pairs(self.bytes_a, self.bytes_b)
-        self.windows: dict[bytes, tuple[bytes, bytes]] = {}
+        self.windows: dict[bytes, tuple[bytes, bytes]] = {}  # the newer half of what is remembered
+        self.older: dict[bytes, tuple[bytes, bytes]] = {}
         self.held = 0
 
     def tokens(self, text: str | None) -> tuple[bytes, bytes]:
@@ -161,11 +174,29 @@ class Aligner:
         groups = b"".join(map(self.decimal.__getitem__, written.tolist())).split(b"\n")
         numbers = np.searchsorted(self.pairs, a[last_a] << 32 | b[last_b]).astype("<u4").tobytes()
         ends = (np.searchsorted(last_a, stop_a) * 4).tolist()
-        found = list(zip(groups, [numbers[i:j] for i, j in zip([0, *ends], ends)]))
-        for key, window in zip(keys, found):
-            if len(key) < 1024:  # a text without spaces is one long window that does not come again
-                self.windows[key] = window
-                self.held += len(key) + len(window[0]) + len(window[1]) + 350
+        return list(zip(groups, [numbers[i:j] for i, j in zip([0, *ends], ends)]))
+
+    def _keep(self, windows: dict[bytes, tuple[bytes, bytes]]) -> None:
+        # a text without spaces is one long window that does not come again
+        short = {key: window for key, window in windows.items() if len(key) < 1024}
+        self.windows.update(short)
+        self.held += sum(len(key) + len(g) + len(n) for key, (g, n) in short.items()) + 350 * len(short)
+
+    def _windows(self, keys: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """The alignments of windows, remembered in two halves, of which the older one is dropped when the newer is full."""
+        if self.held > self.limit // 2:
+            self.windows, self.older, self.held = {}, self.windows, 0
+        found = list(map(self.windows.get, keys))
+        gaps = [at for at, window in enumerate(found) if window is None]
+        if gaps:
+            new, older = {keys[at] for at in gaps}, self.older
+            made = {key: older[key] for key in new if key in older}
+            new = [key for key in new if key not in made]
+            if new:
+                made.update(zip(new, self._aligned(new)))
+            self._keep(made)
+            for at in gaps:
+                found[at] = made[keys[at]]
         return found
 
     def align(self, tokens: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
@@ -186,15 +217,8 @@ class Aligner:
         tuples[np.arange(len(b)) + np.repeat(stop_a, np.diff(stop_b, prepend=0))] = b | _OF_B
         ids, stops = tuples.tobytes(), ((stop_a + stop_b) * 4).tolist()
         keys = [ids[i:j] for i, j in zip([0, *stops], stops)]
-        if self.held > self.limit:
-            self.windows.clear()
-            self.held = 0
-        windows = list(map(self.windows.get, keys))
-        if None in windows:
-            new = list({key for key, window in zip(keys, windows) if window is None})
-            made = dict(zip(new, self._aligned(new)))
-            windows = [window or made[key] for key, window in zip(keys, windows)]
-        groups, links = zip(*windows)
+        windows = self._windows(keys)
+        groups, links = [g for g, _ in windows], [n for _, n in windows]
         start = 0
         for i, end in zip(live, ends):
             out[i] = b";".join(groups[start:end]), b"".join(links[start:end])

@@ -8,6 +8,7 @@ are encoded independently, so joined ids equal those of the whole text.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 import string
@@ -19,7 +20,6 @@ import regex
 _TWO_BLANKS = re.compile(r"\s\s")
 _BLANKS_OF_PYTHON_ONLY = re.compile("[\x1c-\x1f]")
 _STOP_BEHIND_NO_WORD = re.compile(r"[.,](?<=[\W_].)")
-"""Python's alphanumeric characters are those of \\p{L} and \\p{N}: a full stop or comma behind one begins a match."""
 
 
 @functools.lru_cache(maxsize=4)
@@ -33,6 +33,14 @@ def matches(text: str, pattern: str) -> list[str]:
     return _matcher(pattern).findall(text)
 
 
+def stops_end_words(text: str) -> bool:
+    """Whether every full stop and comma stands behind a letter or digit, so that it begins a match.
+
+    All of Python's alphanumeric characters are letters or numbers to the tokenizer libraries.
+    """
+    return not _STOP_BEHIND_NO_WORD.search(text)
+
+
 def byte_level_units(text: str, pattern: str) -> list[str]:
     """Units for a byte-level tokenizer whose matches begin with one space at most.
 
@@ -42,7 +50,7 @@ def byte_level_units(text: str, pattern: str) -> list[str]:
     """
     if "\0" in text or _TWO_BLANKS.search(text):
         return matches(text, pattern)
-    if not _STOP_BEHIND_NO_WORD.search(text):
+    if stops_end_words(text):
         text = text.replace(".", "\0.").replace(",", "\0,")
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
@@ -62,7 +70,7 @@ def small_units(text: str) -> list[str]:
     if not _latin(text) or _BLANKS_OF_PYTHON_ONLY.search(text):
         return blank_separated_units(text)
     text = text.lower()
-    if not _STOP_BEHIND_NO_WORD.search(text):
+    if stops_end_words(text):
         text = text.replace(".", " .").replace(",", " ,")
     return text.split()
 
@@ -200,6 +208,9 @@ def library_memo(path: str, pattern: str | None = None) -> Memo:
     """
     import numpy as np
 
+    # A slice of rows makes some hundred thousand short lists and no cycles; each full collection visits all that is
+    # remembered, and with the default thresholds there are several of them a slice.
+    gc.set_threshold(200_000, 50, 50)
     tokenizer = _tokenizer(path)
     model, letters = tokenizer.model, byte_letters()
 

@@ -104,6 +104,27 @@ def test_few_windows_are_remembered_where_memory_is_short(plain):
         assert groups.decode() == ";".join(plain.aligned(text)[2])
 
 
+def test_frequent_windows_outlive_a_full_memory(monkeypatch):
+    made = []
+    plain = alignment.Aligner._aligned
+    monkeypatch.setattr(alignment.Aligner, "_aligned", lambda self, keys: made.extend(keys) or plain(self, keys))
+    small = alignment.Aligner(*FILES, limit=8000)
+    small.align([small.tokens("the")])
+    (key,) = made
+    for i in range(60):
+        small.align([small.tokens(f"the rare{i}x the")])
+    assert len(made) > 60 and made.count(key) == 1
+    assert len(small.windows) + len(small.older) < 40
+
+
+def test_pieces_are_cut_at_stops_behind_words_only(aligner):
+    words = aligner.pieces._words
+    assert words(" One two. Three, 4.5 x,%%") == [" One", " two", ".", " Three", ",", " 4", ".5", " x", ",%%"]
+    for text in (" a ².", " one. ². two.", " wait... one.", " one .", " one).", "  one.", " one.\0"):
+        assert "." not in words(text) and "".join(words(text)) == text
+    assert aligner.pieces.glued == {"²."}
+
+
 def test_pairs_hold_all_that_can_be_linked(aligner):
     pairs = {(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in aligner.pairs}
     assert len(pairs) < sum(map(len, aligner.bytes_a)) + 2 * sum(map(len, aligner.bytes_b))
