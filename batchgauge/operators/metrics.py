@@ -74,12 +74,22 @@ def series_stats(
     )
 
 
+METRIC_NAMES = [*FLAGGED_METRICS, "count"]
+
+
 def metric_rows(stats: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Long form: one row per series and metric, count included."""
     keys = keys or SERIES
-    names = [*FLAGGED_METRICS, "count"]
-    wide = stats.select(*keys, *[F.col(n).cast("double").alias(n) for n in names])
-    return wide.unpivot(keys, names, "metric_name", "metric_value")
+    wide = stats.select(*keys, *[F.col(n).cast("double").alias(n) for n in METRIC_NAMES])
+    return wide.unpivot(keys, METRIC_NAMES, "metric_name", "metric_value")
+
+
+def metric_keys(imputed: DataFrame) -> DataFrame:
+    """Sensors and metrics that ``metric_rows`` gives for the statistics of imputed readings: all metrics of every
+    sensor with a known value. That needs no statistics, so no series comes together and a task holds sensors only.
+    """
+    known = imputed.where(F.col("value").isNotNull()).select("sensor").distinct()
+    return known.select("sensor", F.explode(F.array(*map(F.lit, METRIC_NAMES))).alias("metric_name"))
 
 
 def metrics_by_config(stats: DataFrame, config: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from batchgauge.functions.settings import with_version
 from batchgauge.operators.slicing import left_join_known
-from batchgauge.operators import anomaly, catalog, compare, configs, drift, merge, replay, tickets
+from batchgauge.operators import anomaly, catalog, compare, configs, drift, impute, merge, metrics, replay, tickets
+from batchgauge.plans import bindings
+from batchgauge.plans.catalogue import QUERIES
 from helpers import rows_of
 
 METRIC = "batch_id STRING, sensor STRING, metric_name STRING, metric_value DOUBLE"
@@ -500,3 +503,36 @@ def test_copies_of_names_taken_several_times(spark):
     assert rows_of(done["audit_log"], "request_id", "result", "error_message") == [
         (1, "blocked", "name_conflict"), (2, "blocked", "name_missing"), (3, "blocked", "batch_locked,name_missing"),
         (4, "success", ""), (5, "blocked", "name_conflict")]
+
+
+def test_metric_keys_are_those_of_the_statistics(spark):
+    readings = spark.createDataFrame(
+        [("d", i, i, sensor, value) for i, (sensor, value) in enumerate([("s", 1.0), ("s", None), ("t", 2.0), ("u", None), (None, 3.0)])],
+        "batch_id STRING, row_number LONG, ts LONG, sensor STRING, value DOUBLE")
+    for imputed in (readings, impute.fill_constant(readings)):
+        found, expected = metrics.metric_keys(imputed), metrics.metric_rows(metrics.series_stats(imputed)).select("sensor", "metric_name")
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.distinct().collect()))
+    assert metrics.metric_keys(readings.limit(0)).collect() == []
+
+
+def lines_of(spark, folder, keys):
+    spark.createDataFrame([(k, 1.0, None) for k in keys], "l_orderkey LONG, l_quantity DOUBLE, l_extendedprice DOUBLE").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("keys", [[], [None], [1, 1, 2]])
+def test_keys_of_run_metrics(spark, tmp_path, keys):
+    folder = lines_of(spark, tmp_path, keys)
+    expected = bindings.run_metrics(spark, folder).select("sensor", "metric_name").distinct()
+    assert sorted(bindings.run_metric_keys(spark, folder).collect()) == sorted(expected.collect())
+
+
+def test_key_union_gathers_keys_only(spark, tmp_path):
+    """No aggregate by run or by time: the memory of a task does not grow with the input."""
+    folder = lines_of(spark, tmp_path, [1, 2])
+    spark.sql("SELECT 1L AS event_id, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts, 'view' AS event_type, 1.0D AS value").write.parquet(f"{folder}/events.parquet")
+    found = QUERIES["metric_key_union"](spark, folder)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [re.sub(r"#\d+L?", "", g) for g in re.findall(r"Aggregate \[([^\]]*)\]", plan)]
+    assert len(grouped) >= 3 and set(grouped) <= {"count(1) AS n", "sensor", "sensor, metric_name"} and "Window" not in plan
+    assert found.count() == 13
