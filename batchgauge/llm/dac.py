@@ -32,6 +32,8 @@ SUPERBLOCK = 512
 """Bits of a bitmap per entry of its rank directory."""
 BLOCK_TOKENS = 1 << 20
 """A block is closed at this many ids; a longer document has a block of its own."""
+MEMO_BYTES = 256 << 20
+"""Units that a writing worker remembers: words keep their case here, and nothing else is held but a block."""
 
 BLOCKS = (
     "part INT, block INT, part_start BIGINT, tokens BIGINT, doc_ids ARRAY<BIGINT>, lengths ARRAY<BIGINT>, payload BINARY"
@@ -135,7 +137,7 @@ def write(documents: DataFrame, tokenizer: str, pattern: str, end_id: int, added
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in slices(batches):
-            ids = text_ids(tokenizer, texts(batch), lambda t: byte_level_units(t, pattern), pattern, added_tokens)
+            ids = text_ids(tokenizer, texts(batch), lambda t: byte_level_units(t, pattern), pattern, added_tokens, MEMO_BYTES)
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), ids):
                 doc_ids.append(doc_id)
                 lengths.append(len(found) // 4 + 1)

@@ -106,6 +106,10 @@ def _small_word(word: str) -> list[str]:
     return [word]
 
 
+MEMO_BYTES = 128 << 20
+"""What a memo holds at most, unless its user has more memory for it."""
+
+
 class Memo:
     """Ids of units as little-endian 32-bit integers, up to ``limit`` bytes.
 
@@ -116,7 +120,7 @@ class Memo:
     """
 
     def __init__(
-        self, encode: Callable[[list[str]], list[bytes]], limit: int = 128 << 20, pattern: str | None = None,
+        self, encode: Callable[[list[str]], list[bytes]], limit: int = MEMO_BYTES, pattern: str | None = None,
         cut: Callable[[str], list[str]] | None = None,
     ):
         self.encode, self.limit, self.size = encode, limit, 0
@@ -200,7 +204,7 @@ def forget() -> None:
 
 
 @functools.lru_cache(maxsize=4)
-def library_memo(path: str, pattern: str | None = None) -> Memo:
+def library_memo(path: str, pattern: str | None = None, limit: int = MEMO_BYTES) -> Memo:
     """A memo in front of a tokenizers file; lives as long as the Python worker.
 
     With ``pattern`` the file is a byte-level one and units are its matches. Else units are words
@@ -259,7 +263,7 @@ def library_memo(path: str, pattern: str | None = None) -> Memo:
             found.update(zip(some, map(b"".join, ids_by_word)))
         return [found[w] for w in words]
 
-    return Memo(of_matches, pattern=pattern) if pattern else Memo(of_words, cut=_small_word)
+    return Memo(of_matches, limit, pattern=pattern) if pattern else Memo(of_words, limit, cut=_small_word)
 
 
 @functools.lru_cache(maxsize=4)
@@ -281,11 +285,12 @@ def _added(path: str) -> tuple[list[str], Callable[[str], bytes]]:
 
 
 def text_ids(
-    path: str, texts: list[str], cut: Callable[[str], list[str]], pattern: str | None = None, added_tokens: bool = False
+    path: str, texts: list[str], cut: Callable[[str], list[str]], pattern: str | None = None, added_tokens: bool = False,
+    limit: int = MEMO_BYTES,
 ) -> list[bytes]:
     """The ids of texts that ``cut`` parts into units. With ``added_tokens`` the strings of a file's added
     tokens become their ids, as in the library's default: texts that hold one are encoded whole."""
-    memo = library_memo(path, pattern)
+    memo = library_memo(path, pattern, limit)
     if not added_tokens:
         return memo.ids([cut(t) for t in texts])
     names, encode = _added(path)
