@@ -3,12 +3,13 @@
 A sequence of tokens is the BPE encoding of its bytes exactly if every token encodes to itself and
 every two neighbours stay apart when encoded together. So merges compile into a nondeterministic
 transducer: it walks a trie of the vocabulary and may end a token wherever the token before it and
-this one stay apart. Reading a byte turns a set of hypotheses (trie node, token before it) into
-another. Of the hypotheses that may end a token exactly one stays apart from the token before it:
-a deterministic state therefore writes one token per byte, the one that ends there if the text does,
-and the borders that all open hypotheses have passed are final. Hypotheses reach back one token
-length at most, which bounds the lookahead. Sets are numbered as they are met and their transitions
-kept: the subset construction, done lazily.
+this one stay apart. Reading a byte turns a set of hypotheses (trie nodes, one for every suffix of
+what was read that begins a token) into another, and the deepest of them says which the others are:
+the subset construction has as many states as the trie, and its transitions are built as they are
+met and kept. Of the tokens that end with a byte exactly one stays apart from the token that was
+written where it begins: a transition therefore writes one token per byte, the one that ends there
+if the text does, and looks back at those written before. The borders that all open hypotheses have
+passed are final. Hypotheses reach back one token length at most, which bounds the lookahead.
 
 Decoding joins the bytes of ids and cuts complete characters off with a UTF-8 state machine that
 carries an unfinished character over to the next chunk.
@@ -18,20 +19,22 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import hashlib
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from batchgauge.llm.batches import id_and_text, per_slice, texts
-from batchgauge.llm.units import Memo, byte_level_units, packed
+from batchgauge.llm.batches import id_and_text, long_slices, per_slice, texts
+from batchgauge.llm.units import Memo, packed
 
-STATES = 120_000
-"""Determinised states kept at a time; beyond it the table is built anew."""
+MOVES = 600_000
+"""Transitions kept at a time; beyond it the table is built anew."""
 PAIRS = 600_000
 """Pairs of tokens whose answer is remembered."""
+MEMO_BYTES = 256 << 20
+"""Units that a worker remembers: words keep their case here."""
 NEVER = 1 << 60
 
 
@@ -52,12 +55,14 @@ class Transducer:
                     self.token.append(-1)
                     self.parent.append((parent, byte))
             self.token[node] = rank
+        self.sizes = {i: len(b) for i, b in self.bytes_of.items()}
         self.longest = max(map(len, ranks), default=1)
         self.suffixes: dict[int, tuple] = {0: ((0, 0),)}
+        self.states: dict[int, tuple] = {}
         self.moves: dict[int, tuple] = {}
-        self.apart: dict[int, bool] = {}
+        self.apart: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
         self.edges: dict[int, tuple[list, list]] = {}
-        self._forget()
 
     def merged(self, data: bytes, seen=lambda parts, rank: None) -> list[int]:
         """The merges applied by rank, lowest first: the definition, used on single tokens.
@@ -93,15 +98,22 @@ class Transducer:
             found = self.edges[token] = list(first.items()), list(last.items())
         return found
 
+    def _apart_from(self, right: int) -> dict[int, bool]:
+        """The answers known for a token, by the token before it (-1: none)."""
+        return self.apart.setdefault(right, {-1: True})
+
     def stay_apart(self, left: int, right: int) -> bool:
-        key = left << 32 | right
-        known = self.apart.get(key)
+        known = self._apart_from(right).get(left)
         if known is None:
-            if len(self.apart) >= PAIRS:
-                self.apart.clear()
+            if self.pairs >= PAIRS:
+                for answers in self.apart.values():  # emptied in place: states refer to them
+                    answers.clear()
+                    answers[-1] = True
+                self.pairs = 0
+            self.pairs += 1
             # Merges run in order of rank. One across the border comes about if it has its turn while
             # both parts beside the border stand; of equal ranks the one further left is first.
-            known = self.apart[key] = not any(
+            known = self.apart[right][left] = not any(
                 (rank := self.ranks.get(a + b, NEVER)) < end_a and rank <= end_b and rank < NEVER
                 for a, end_a in self._edge_parts(left)[1]
                 for b, end_b in self._edge_parts(right)[0]
@@ -117,59 +129,45 @@ class Transducer:
             found = self.suffixes[node] = (*((d, n) for d, n in ahead if n is not None), (0, 0))
         return found
 
-    def _move(self, node: int, byte: int) -> tuple:
-        """What a byte does to the open hypotheses of a trie node, whatever the tokens before them.
+    def _state(self, node: int) -> tuple:
+        """A state: its trie node, shifted for the next byte, and the tokens that end in it.
 
-        Returns the next node, a getter of the hypotheses that go on, and those that end a token.
+        All but the shortest token come as (place of the token before it from the end, token, answers
+        known for it), longest first. The shortest is the one that ends if none of these does.
         """
-        key = node << 8 | byte
-        found = self.moves.get(key)
+        found = self.states.get(node)
         if found is None:
-            opened = self._open(node)
-            ahead = [(i, self.child.get(n << 8 | byte)) for i, (_, n) in enumerate(opened)]
-            ahead = [(i, n) for i, n in ahead if n is not None]
-            keep = [i for i, _ in ahead]
-            pick = itemgetter(*keep) if len(keep) > 1 else (lambda lasts, i=keep[0]: (lasts[i],))
-            found = self.moves[key] = ahead[0][1], pick, [(i, self.token[n]) for i, n in ahead if self.token[n] >= 0]
+            ends = [(-depth, self.token[n]) for depth, n in self._open(node) if self.token[n] >= 0]
+            others = [(place, token, self._apart_from(token)) for place, token in ends[:-1]]
+            found = self.states[node] = node << 8, others, ends[-1][1]
+        return found
+
+    def _move(self, key: int) -> tuple:
+        """Build a transition from a state's shifted node and a byte."""
+        if len(self.moves) >= MOVES:
+            self.moves.clear()
+        ahead = (self.child.get(n << 8 | key & 255) for _, n in self._open(key >> 8))
+        found = self.moves[key] = self._state(next(n for n in ahead if n is not None))
         return found
 
-    def _forget(self) -> None:
-        # A state is the deepest open trie node and, per open hypothesis, the token before it (-1: none).
-        self.states: list[tuple] = [(0, (-1,))]
-        self.number = {self.states[0]: 0}
-        self.step: dict[int, tuple[int, int]] = {}
-
-    def _next(self, state: int, byte: int) -> tuple[int, int]:
-        """Build a transition: the next state, and the token that ends here if the text does."""
-        node, lasts = self.states[state]
-        node, pick, ends = self._move(node, byte)
-        token = next(t for i, t in ends if lasts[i] < 0 or self.stay_apart(lasts[i], t))
-        reached = node, (*pick(lasts), token)
-        number = self.number.get(reached)
-        if number is None:
-            number = self.number[reached] = len(self.states)
-            self.states.append(reached)
-        moved = self.step[state << 8 | byte] = number, token
-        return moved
-
-    def _settled(self, state: int, ended: list[int]) -> int:
+    def _settled(self, node: int, ended: list[int]) -> int:
         """The last border that every open hypothesis has passed; what stands before it is final."""
-        at, common = len(ended), None
-        for depth, _ in self._open(self.states[state][0]):
+        at, common = len(ended) - 1, None
+        for depth, _ in self._open(node):
             border, borders = at - depth, set()
             while border > 0:
                 borders.add(border)
-                border -= len(self.bytes_of[ended[border - 1]])
+                border -= self.sizes[ended[border]]
             common = borders if common is None else common & borders
         return max(common, default=0)
 
     def _read_back(self, ended: list[int], at: int) -> list[int]:
-        """The tokens of the first ``at`` bytes; ``ended[i]`` is the token that ends after byte i."""
-        out = []
+        """The tokens of the first ``at`` bytes; ``ended[i]`` is the token that ends before byte i."""
+        out, size = [], self.sizes
         while at > 0:
-            token = ended[at - 1]
+            token = ended[at]
             out.append(token)
-            at -= len(self.bytes_of[token])
+            at -= size[token]
         return out[::-1]
 
     def encode(self, match: bytes) -> list[int]:
@@ -177,19 +175,26 @@ class Transducer:
         whole = self.ranks.get(match)
         if whole is not None:
             return [whole]
-        if len(self.states) > STATES:
-            self._forget()
-        state, step, out = 0, self.step, []
-        ended: list[int] = []
-        for byte in match:
-            moved = step.get(state << 8 | byte) or self._next(state, byte)
-            state, token = moved
-            ended.append(token)
-            if len(ended) > 8 * self.longest:
-                at = self._settled(state, ended)
+        move, most = self.moves.get, 8 * self.longest
+        node, out, ended = 0, [], [-1]
+        for start in range(0, len(match), most):
+            for byte in match[start : start + most]:
+                key = node | byte
+                node, others, token = move(key) or self._move(key)
+                for place, longer, answers in others:
+                    last = ended[place]
+                    apart = answers.get(last)
+                    if apart is None:
+                        apart = self.stay_apart(last, longer)
+                    if apart:
+                        token = longer
+                        break
+                ended.append(token)
+            if start + most < len(match):
+                at = self._settled(node >> 8, ended)
                 out += self._read_back(ended, at)
                 ended = ended[at:]
-        return out + self._read_back(ended, len(ended))
+        return out + self._read_back(ended, len(ended) - 1)
 
 
 # --- decoding -----------------------------------------------------------------------
@@ -252,13 +257,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 @functools.lru_cache(maxsize=2)
 def _loaded(path: str, pattern: str):
     """Coder, memo and tables of a Python worker; built once, then kept."""
+    gc.set_threshold(200_000, 50, 50)  # as for a library's memo: full collections visit all that is remembered
     ranks = read_ranks(path)
     machine, decoder = Transducer(ranks), Decoder(ranks)
 
     def encode(found: list[str]) -> list[bytes]:
         return [packed(machine.encode(m.encode("utf-8", "replace"))) for m in found]
 
-    return Memo(encode, pattern=pattern), decoder, list(map(str, range(len(decoder.bytes_of))))
+    return Memo(encode, MEMO_BYTES, pattern), decoder, list(map(str, range(len(decoder.bytes_of))))
 
 
 def encode_decode(documents: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -272,7 +278,7 @@ def encode_decode(documents: DataFrame, ranks: str, pattern: str) -> DataFrame:
         memo, decoder, decimal = _loaded(ranks, pattern)
         found = texts(batch)
         out: list[list] = [batch.column("doc_id").to_pylist(), [], [], [], []]
-        for text, packed in zip(found, memo.ids([byte_level_units(t, pattern) for t in found])):
+        for text, packed in zip(found, memo.byte_level_ids(found, pattern)):
             ids = np.frombuffer(packed, "<u4").tolist()
             digest, stream, same, at = hashlib.sha256(), Utf8Stream(), True, 0
             for chunk in decoder.chunks(ids):
@@ -287,4 +293,5 @@ def encode_decode(documents: DataFrame, ranks: str, pattern: str) -> DataFrame:
             out[4].append(same and text[at:] == rest)
         return out
 
-    return per_slice(id_and_text(documents), "doc_id BIGINT, n_tokens BIGINT, ids_sha256 STRING, decoded_sha256 STRING, decoded_ok BOOLEAN", rows)
+    return per_slice(id_and_text(documents), "doc_id BIGINT, n_tokens BIGINT, ids_sha256 STRING, decoded_sha256 STRING, decoded_ok BOOLEAN", rows,
+                     long_slices)

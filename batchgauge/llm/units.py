@@ -15,6 +15,9 @@ import string
 import struct
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 _TWO_BLANKS = re.compile(r"\s\s")
@@ -48,11 +51,17 @@ def byte_level_units(text: str, pattern: str) -> list[str]:
     are cut by the pattern itself, which is slower. Full stops and commas behind words begin units,
     so that a word is the same unit with and without them.
     """
+    marked = _marked(text)
+    return matches(text, pattern) if marked is None else marked.split("\0")
+
+
+def _marked(text: str) -> str | None:
+    """The text with a zero between its byte-level units; none for texts that the pattern has to cut."""
     if "\0" in text or _TWO_BLANKS.search(text):
-        return matches(text, pattern)
+        return None
     if stops_end_words(text):
         text = text.replace(".", "\0.").replace(",", "\0,")
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0")
 
 
 def blank_separated_units(text: str) -> list[str]:
@@ -123,7 +132,7 @@ class Memo:
         self, encode: Callable[[list[str]], list[bytes]], limit: int = MEMO_BYTES, pattern: str | None = None,
         cut: Callable[[str], list[str]] | None = None,
     ):
-        self.encode, self.limit, self.size = encode, limit, 0
+        self.encode, self.limit, self.size, self.pattern = encode, limit, 0, pattern
         self.cut = cut or (pattern and (lambda unit: _plain_word(unit) or matches(unit, pattern)))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -142,10 +151,13 @@ class Memo:
         self._keep(again, [older[u] for u in again])
         return [u for u in units if u not in older]
 
-    def ids(self, lists: list[list[str]]) -> list[bytes]:
-        """The joined ids of every list of units; known units are looked up once."""
+    def _turn(self) -> None:
         if self.size > self.limit // 2:
             self.known, self.older, self.size = {}, self.known, 0
+
+    def ids(self, lists: list[list[str]]) -> list[bytes]:
+        """The joined ids of every list of units; known units are looked up once."""
+        self._turn()
         look = self.known.get
         found = [list(map(look, units)) for units in lists]
         gaps = [[at for at, ids in enumerate(one) if ids is None] for one in found]
@@ -157,10 +169,40 @@ class Memo:
                 one[at] = look(units[at])
         return list(map(b"".join, found))
 
+    def _ids_of_distinct(self, units: list[str]) -> list[bytes]:
+        self._turn()
+        found = list(map(self.known.get, units))
+        new = [u for u, ids in zip(units, found) if ids is None]
+        if not new:
+            return found
+        if self.older:
+            new = self._unknown(new)
+        self._learn(new)
+        look = self.known.__getitem__
+        return [look(u) if ids is None else ids for u, ids in zip(units, found)]
+
+    def byte_level_ids(self, texts: list[str], pattern: str) -> list[bytes]:
+        """The ids of texts by their byte-level units; Arrow finds the distinct ones of all texts, and only those are looked up."""
+        marked = list(map(_marked, texts))
+        by_pattern = {i: matches(t, pattern) for i, (t, m) in enumerate(zip(texts, marked)) if m is None}
+        whole = dict(zip(by_pattern, self.ids(list(by_pattern.values()))))
+        units = pc.split_pattern(pa.array([m or "" for m in marked], pa.large_string()), "\0")
+        named = units.flatten().dictionary_encode()
+        found = self._ids_of_distinct(named.dictionary.to_numpy(zero_copy_only=False).tolist())
+        _, bounds, data = pa.array(found, pa.large_binary()).take(named.indices).buffers()
+        ends, data = np.frombuffer(bounds, np.int64)[units.offsets.to_numpy()].tolist(), memoryview(data or b"")
+        return [whole[i] if i in whole else bytes(data[a:b]) for i, (a, b) in enumerate(zip(ends, ends[1:]))]
+
     def _learn(self, new: list[str]) -> None:
         if not self.cut:
             self._keep(new, self.encode(new))
             return
+        if self.pattern:  # most units are one match
+            words, rest = [], []
+            for u in new:
+                (words if u.isalpha() or u[:1] == " " and u[1:].isalpha() else rest).append(u)
+            self._keep(words, self.encode(words))
+            new = rest
         cut = list(map(self.cut, new))
         parts = self._unknown(set().union(*cut))
         self._keep(parts, self.encode(parts))
@@ -210,8 +252,6 @@ def library_memo(path: str, pattern: str | None = None, limit: int = MEMO_BYTES)
     With ``pattern`` the file is a byte-level one and units are its matches. Else units are words
     between blanks, which the file's own normalizer and pre-tokenizer cut further.
     """
-    import numpy as np
-
     # A slice of rows makes some hundred thousand short lists and no cycles; each full collection visits all that is
     # remembered, and with the default thresholds there are several of them a slice.
     gc.set_threshold(200_000, 50, 50)
@@ -227,8 +267,17 @@ def library_memo(path: str, pattern: str | None = None, limit: int = MEMO_BYTES)
             return piece.replace(" ", letters[0x20])
         return piece.encode("utf-8", "replace").decode("latin-1").translate(letters)
 
+    codes = np.frombuffer(letters.encode("utf-16-le"), "<u2")
+
+    def all_named(found: list[str]) -> list[str]:
+        """All pieces in those letters, at once unless a zero in one of them hides where they end."""
+        data = "\0".join(found).encode("utf-8", "replace")
+        if data.count(0) != len(found) - 1:
+            return list(map(named, found))
+        return codes[np.frombuffer(data, np.uint8)].tobytes().decode("utf-16-le").split(letters[0])
+
     def of_matches(found: list[str]) -> list[bytes]:
-        return [packed(ids_of(named(m))) for m in found]
+        return [packed([t.id for t in model.tokenize(name)]) for name in all_named(found)]
 
     pieces: dict[str, bytes] = {}
 
@@ -291,9 +340,19 @@ def text_ids(
     """The ids of texts that ``cut`` parts into units. With ``added_tokens`` the strings of a file's added
     tokens become their ids, as in the library's default: texts that hold one are encoded whole."""
     memo = library_memo(path, pattern, limit)
-    if not added_tokens:
-        return memo.ids([cut(t) for t in texts])
+    return _with_added(path if added_tokens else None, texts, lambda plain: memo.ids([cut(t) for t in plain]))
+
+
+def byte_level_text_ids(path: str, texts: list[str], pattern: str, added_tokens: bool = False, limit: int = MEMO_BYTES) -> list[bytes]:
+    """As :func:`text_ids` for a byte-level file, with the units of all texts looked up together."""
+    memo = library_memo(path, pattern, limit)
+    return _with_added(path if added_tokens else None, texts, lambda plain: memo.byte_level_ids(plain, pattern))
+
+
+def _with_added(path: str | None, texts: list[str], ids_of: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    if not path:
+        return ids_of(texts)
     names, encode = _added(path)
     whole = {i: encode(t) for i, t in enumerate(texts) if any(name in t for name in names)}
-    found = memo.ids([[] if i in whole else cut(t) for i, t in enumerate(texts)])
-    return [whole.get(i, ids) for i, ids in enumerate(found)]
+    found = iter(ids_of([t for i, t in enumerate(texts) if i not in whole]))
+    return [whole[i] if i in whole else next(found) for i in range(len(texts))]

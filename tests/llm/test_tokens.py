@@ -63,6 +63,31 @@ def test_neighbours_stay_apart_as_merging_says(machine):
         assert coder.stay_apart(a, b) == (coder.merged(coder.bytes_of[a] + coder.bytes_of[b]) == [a, b])
 
 
+def made_up_words(n, seed=2):
+    pick, parts = random.Random(seed), ["th", "ing", "er", "on", "re", "é", "ção", "ent", "ña", "sh", "ble", "ou"]
+    return ["".join(pick.choice(parts) for _ in range(pick.randint(3, 8))) for _ in range(n)]
+
+
+def test_states_are_those_of_the_vocabulary(machine):
+    """New words meet known states: a state is a trie node, whatever tokens came before."""
+    coder = transducer.Transducer(machine[0].ranks)
+    for word in made_up_words(3000, 2):
+        coder.encode(word.encode())
+    states, moves = len(coder.states), len(coder.moves)
+    for word in made_up_words(3000, 4):
+        assert coder.encode(word.encode()) == machine[2].encode_ordinary(word)
+    assert len(coder.states) < 1.1 * states < 1000 and len(coder.moves) < 1.1 * moves
+
+
+def test_transducer_with_small_tables(machine, monkeypatch):
+    monkeypatch.setattr(transducer, "PAIRS", 20)
+    monkeypatch.setattr(transducer, "MOVES", 30)
+    coder = transducer.Transducer(machine[0].ranks)
+    for text in made_up_words(300) + ["the" * 900, "日本ß" * 400]:
+        assert coder.encode(text.encode()) == machine[2].encode_ordinary(text)
+    assert coder.pairs <= 20 and len(coder.moves) <= 30
+
+
 def test_streaming_decode_of_broken_bytes():
     data = "é日😀".encode() + b"\xff\xe6" + b"a" + "😀".encode()[:3]
     for step in (1, 2, 3):
