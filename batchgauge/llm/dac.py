@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchgauge.llm.batches import arrow_schema, id_and_text, slices, texts
-from batchgauge.llm.units import byte_level_units, forget, text_ids
+from batchgauge.llm.batches import arrow_schema, id_and_text, long_slices, texts
+from batchgauge.llm.units import byte_level_text_ids, forget
 from batchgauge.session import materialise
 
 MAGIC = b"DAC1"
@@ -114,6 +114,13 @@ class Codes:
         return below
 
 
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, pattern: str, added_tokens: bool) -> Iterator[tuple[int | None, bytes]]:
+    """The ``doc_id`` and ids of every row; units of a slice are looked up together."""
+    for batch in long_slices(batches):
+        found = byte_level_text_ids(tokenizer, texts(batch), pattern, added_tokens, MEMO_BYTES)
+        yield from zip(batch.column("doc_id").to_pylist(), found)
+
+
 def write(documents: DataFrame, tokenizer: str, pattern: str, end_id: int, added_tokens: bool = False) -> DataFrame:
     """Encode ``documents`` with a byte-level tokenizers file and return the written blocks.
 
@@ -136,17 +143,15 @@ def write(documents: DataFrame, tokenizer: str, pattern: str, end_id: int, added
             row = [part, block, before, size, doc_ids, lengths, payload]
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, schema)], schema=schema)
 
-        for batch in slices(batches):
-            ids = text_ids(tokenizer, texts(batch), lambda t: byte_level_units(t, pattern), pattern, added_tokens, MEMO_BYTES)
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), ids):
-                doc_ids.append(doc_id)
-                lengths.append(len(found) // 4 + 1)
-                held += [found, end]
-                size += lengths[-1]
-                if size >= BLOCK_TOKENS:
-                    yield close()
-                    block, before = block + 1, before + size
-                    doc_ids, lengths, held, size = [], [], [], 0
+        for doc_id, found in encoded(batches, tokenizer, pattern, added_tokens):
+            doc_ids.append(doc_id)
+            lengths.append(len(found) // 4 + 1)
+            held += [found, end]
+            size += lengths[-1]
+            if size >= BLOCK_TOKENS:
+                yield close()
+                block, before = block + 1, before + size
+                doc_ids, lengths, held, size = [], [], [], 0
         if doc_ids:
             yield close()
 

@@ -6,6 +6,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -142,6 +143,18 @@ def test_codes_give_every_id(n, top):
         codes[n]
 
 
+def test_writers_look_up_units_of_many_rows_once(monkeypatch):
+    asked, look = [], units.Memo._ids_of_distinct
+    monkeypatch.setattr(units.Memo, "_ids_of_distinct", lambda memo, found: asked.append(found) or look(memo, found))
+    rows = [f"the cat {'sat' if i % 2 else 'ran'}, on the <|endoftext|> mat" if i % 9 == 0 else "the cat sat, the" for i in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([None, *range(1999)], pa.int64()), "text": [None, *rows[1:]]})
+    found = list(dac.encoded(iter([batch]), P.path("byte_bpe_50k.json"), P.PATTERN, True))
+    default = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert [i for i, _ in found] == [None, *range(1999)] and found[0][1] == b""
+    assert all(np.frombuffer(ids, "<u4").tolist() == default.encode(t).ids for (_, ids), t in zip(found[1:], rows[1:]))
+    assert len(asked) == 1 and len(asked[0]) < 10
+
+
 def test_files_round_trip(spark, monkeypatch):
     monkeypatch.setattr(dac, "BLOCK_TOKENS", 64)
     files = dac.write(documents(spark), P.path("byte_bpe_50k.json"), P.PATTERN, 2)
